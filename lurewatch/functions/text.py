@@ -99,10 +99,10 @@ def _n_log_n(n: Column) -> Column:
     return n * F.log2(n)
 
 
-def entropy(s: Column) -> Column:
+def entropy(s: Column, distinct_chars: Column | None = None) -> Column:
     """Shannon entropy (bits) of the characters: ``log2 n - sum(c log2 c) / n``."""
     acc = F.aggregate(
-        F.array_distinct(chars(s)), F.lit(0.0),
+        F.array_distinct(chars(s)) if distinct_chars is None else distinct_chars, F.lit(0.0),
         lambda a, c: a + _n_log_n(F.length(s) - F.length(F.replace(s, c, F.lit("")))))
     return F.when(F.length(s) > 0, F.log2(F.length(s).cast("double")) - acc / F.length(s)).otherwise(F.lit(0.0))
 
@@ -123,10 +123,9 @@ def array_entropy(arr: Column) -> Column:
 
 
 def ngrams(s: Column, k: int) -> Column:
-    """All k-grams of a string, in order, from its character array."""
-    cs = chars(s)
-    n = F.size(cs)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(cs, i, k), ""))
+    """All k-grams of a string, in order."""
+    n = F.length(s)
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.substr(s, i, F.lit(k)))
     return F.when(n >= k, grams).otherwise(F.array().cast("array<string>"))
 
 
@@ -146,10 +145,8 @@ def repeats_prefix(s: Column) -> Column:
 
 def transition_score(s: Column) -> Column:
     """Share of neighbouring characters whose code points differ by more than 5."""
-    codes = F.transform(chars(s), lambda c: F.ascii(c))
-    n = F.size(codes)
-    jumps = F.size(F.filter(F.zip_with(F.slice(codes, F.lit(1), n - 1), F.slice(codes, F.lit(2), n - 1),
-                                       lambda a, b: F.abs(a - b)), lambda d: d > 5))
+    n = F.length(s)
+    jumps = F.size(F.filter(ngrams(s, 2), lambda g: F.abs(F.ascii(g) - F.ascii(F.substr(g, F.lit(2), F.lit(1)))) > 5))
     return F.when(n >= 2, jumps.cast("double") / (n - 1)).otherwise(F.lit(0.0))
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lurewatch.session import sized_broadcast
+from lurewatch.session import bounded_values, sized_broadcast
 
 SPLIT_RE = r"(?s)^(?:([a-zA-Z][a-zA-Z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 IPV4_RE = r"^[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}$"
@@ -44,27 +44,33 @@ def first_label_of(host: Column) -> Column:
     return F.substring_index(F.replace(host, F.lit("www."), F.lit("")), ".", 1)
 
 
-def add_host_parts(df: DataFrame, suffixes: DataFrame) -> DataFrame:
+def add_host_parts(df: DataFrame, suffixes: DataFrame | list[str]) -> DataFrame:
     """Add ``host, port, n_labels, is_ip, tld, suffix, registered_domain, domain_label, subdomain``.
 
-    The public-suffix dimension is joined on the last two and last three labels;
-    without a match the suffix is the last label.
+    Public suffixes of two or three labels are looked up as a literal set while
+    the list is short, else by equi joins with the suffix table; without a
+    match the suffix is the last label.
     """
     host = host_of(F.col("netloc"))
     out = (df.withColumn("host", host)
            .withColumn("port", F.expr(r"try_cast(nullif(regexp_extract(netloc, ':([0-9]+)$', 1), '') as int)"))
            .withColumn("n_labels", F.when(F.col("host") == "", F.lit(0)).otherwise(
                F.length("host") - F.length(F.replace(F.col("host"), F.lit("."), F.lit(""))) + 1))
-           .withColumn("is_ip", F.col("host").rlike(IPV4_RE) | F.col("host").rlike(r"^\[.*\]$"))
-           .withColumn("last2", F.substring_index("host", ".", -2))
-           .withColumn("last3", F.substring_index("host", ".", -3)))
-    two = sized_broadcast(suffixes.select(F.col("suffix").alias("sfx2")))
-    three = sized_broadcast(suffixes.where(F.size(F.split("suffix", r"\.")) == 3).select(F.col("suffix").alias("sfx3")))
-    out = (out.join(two, (F.col("last2") == F.col("sfx2")) & (F.col("n_labels") >= 2), "left")
-           .join(three, (F.col("last3") == F.col("sfx3")) & (F.col("n_labels") >= 3), "left"))
+           .withColumn("is_ip", F.col("host").rlike(IPV4_RE) | F.col("host").rlike(r"^\[.*\]$")))
+    last2, last3 = F.substring_index("host", ".", -2), F.substring_index("host", ".", -3)
+    listed = suffixes if isinstance(suffixes, list) else bounded_values(suffixes, "suffix")
+    if listed is not None:
+        out = (out.withColumn("sfx2", F.when((F.col("n_labels") >= 2) & last2.isin(listed), last2))
+               .withColumn("sfx3", F.when((F.col("n_labels") >= 3) & last3.isin(listed), last3)))
+    else:
+        n_dots = F.length("suffix") - F.length(F.replace(F.col("suffix"), F.lit("."), F.lit("")))
+        two = sized_broadcast(suffixes.where(n_dots == 1).select(F.col("suffix").alias("sfx2")))
+        three = sized_broadcast(suffixes.where(n_dots == 2).select(F.col("suffix").alias("sfx3")))
+        out = (out.join(two, (last2 == F.col("sfx2")) & (F.col("n_labels") >= 2), "left")
+               .join(three, (last3 == F.col("sfx3")) & (F.col("n_labels") >= 3), "left"))
     plain = F.when((F.col("n_labels") < 2) | F.col("is_ip"), F.lit("")).otherwise(F.substring_index("host", ".", -1))
     suffix = F.when(F.col("is_ip"), F.lit("")).otherwise(F.coalesce("sfx3", "sfx2", plain))
-    out = out.withColumn("tld", plain).withColumn("suffix", suffix).drop("sfx2", "sfx3", "last2", "last3")
+    out = out.withColumn("tld", plain).withColumn("suffix", suffix).drop("sfx2", "sfx3")
     rest = F.when(F.col("suffix") == "", F.col("host")).otherwise(
         F.expr("left(host, greatest(length(host) - length(suffix) - 1, 0))"))
     out = out.withColumn("rest", rest).withColumn(

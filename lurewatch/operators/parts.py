@@ -18,14 +18,13 @@ def distinct_urls(df: DataFrame, url: str = "url", key: str = "url_id") -> DataF
     return df.groupBy(url).agg(F.min(key).alias(key), F.count(F.lit(1)).alias("n_seen"))
 
 
-def url_parts(urls: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+def url_parts(urls: DataFrame, suffixes: DataFrame | list[str] | None = None) -> DataFrame:
     """``url`` plus every URL component as columns; one row per input row.
 
     Deviations: the TLD is the last label (also of multi-label suffixes) and an
     IP host has no TLD, so neither is mistaken for an invalid TLD.
     """
-    suffixes = refdata.suffixes_table(urls.sparkSession) if suffixes is None else suffixes
-    out = add_host_parts(split_url(urls), suffixes)
+    out = add_host_parts(split_url(urls), refdata.SUFFIXES if suffixes is None else suffixes)
     return out.withColumn("label", first_label_of(F.col("host")))
 
 

@@ -25,6 +25,7 @@ def build_session(app: str = "lurewatch", master: str | None = None, **conf: str
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
     }
     for k, v in {**defaults, **conf}.items():
         b = b.config(k, v)
