@@ -9,12 +9,27 @@ every text with every term in one task, and no term is dropped.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lurewatch.session import LITERAL_LIST_MAX, bounded_values, sized_broadcast
 
 
+def term_lengths(terms: DataFrame, term: str) -> list[int]:
+    """The distinct term lengths (a handful of integers, whatever the number of terms)."""
+    return sorted(r[0] for r in terms.select(F.length(term).alias("n")).distinct().collect())
+
+
+def substrings(s: Column, lengths: list[int]) -> Column:
+    """Distinct substrings of the given lengths."""
+    def of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(s) - (n - 1), F.lit(1)))
+        return F.when(F.length(s) >= n, F.transform(starts, lambda i: F.substr(s, i, F.lit(n)))).otherwise(
+            F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(*[of(n) for n in lengths]))
+
+
 def containment_hits(texts: DataFrame, text: str, terms: DataFrame, term: str,
                      literal_max: int = LITERAL_LIST_MAX) -> DataFrame:
     """``texts`` x matching terms: all columns of ``texts`` plus ``term`` (inner)."""
@@ -22,13 +37,7 @@ def containment_hits(texts: DataFrame, text: str, terms: DataFrame, term: str,
     if listed is not None:
         hits = F.filter(F.array(*[F.lit(t) for t in listed]), lambda t: F.contains(F.col(text), t))
         return texts.withColumn(term, F.explode(hits))
-    lengths = [r[0] for r in terms.select(F.length(term).alias("n")).distinct().limit(256).collect()]
-    grams = F.array_distinct(F.flatten(F.array(*[
-        F.when(F.length(text) >= n, F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))),
-            lambda i, n=n: F.substr(F.col(text), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-        for n in sorted(lengths)])))
-    keyed = texts.withColumn(term, F.explode(grams))
+    keyed = texts.withColumn(term, F.explode(substrings(F.col(text), term_lengths(terms, term))))
     return keyed.join(sized_broadcast(terms.select(term).distinct()), term)
 
 

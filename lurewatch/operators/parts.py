@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lurewatch import refdata
 from lurewatch.functions.urlparts import add_host_parts, first_label_of, split_url
 
+HOST_NOT_NAME = r"^([0-9]{1,3}\.){3}[0-9]{1,3}$|^\[.*\]$"
+
 
 def distinct_urls(df: DataFrame, url: str = "url", key: str = "url_id") -> DataFrame:
     """One row per URL with its smallest id and its number of occurrences.
@@ -28,7 +30,11 @@ def url_parts(urls: DataFrame, suffixes: DataFrame | list[str] | None = None) ->
     return out.withColumn("label", first_label_of(F.col("host")))
 
 
+def usable_label(parts: DataFrame) -> DataFrame:
+    """Rows whose host has a brand-comparable label (a dotted, non-IP host)."""
+    return parts.where((F.col("label") != "") & F.col("host").contains(".") & ~F.col("host").rlike(HOST_NOT_NAME))
+
+
 def labels_of(parts: DataFrame) -> DataFrame:
-    """Distinct brand-comparable host labels (never empty, never an IP octet) with their number of URLs."""
-    return (parts.where(~F.col("is_ip") & (F.col("label") != "") & (F.col("n_labels") >= 2))
-            .groupBy("label").agg(F.count(F.lit(1)).alias("n_urls")))
+    """Distinct brand-comparable host labels with their number of URLs."""
+    return usable_label(parts).groupBy("label").agg(F.count(F.lit(1)).alias("n_urls"))

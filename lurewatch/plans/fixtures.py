@@ -7,6 +7,9 @@ backslash, so the text means the same in every dialect.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lurewatch.session import small_table
 
 BRAND = "replace(lower(p_name), ' ', '')"
 
@@ -34,7 +37,7 @@ FROM (SELECT k, b, CAST(1 + k % length(b) AS INT) AS i, CAST(1 + k % (length(b)-
 # URLs with one obfuscation each: encodings, ports, user-info, non-ASCII, odd hosts, long paths
 HOSTILE_SQL = f"""
 SELECT k AS url_id,
- CASE CAST(k % 26 AS INT)
+ CASE CAST(k % 27 AS INT)
   WHEN 0 THEN 'HTTP://User@' || b || '.com:8080/Path/../x.php?next=http%3A%2F%2Fevil.tk&a=1&a=2&b=#frag'
   WHEN 1 THEN 'https://secure-' || b || '-login.verify-account.tk/login/confirm.php?session=' || md5(b)
   WHEN 2 THEN 'http://xn--' || b || '-9za.com/'
@@ -60,7 +63,8 @@ SELECT k AS url_id,
   WHEN 22 THEN 'https://www.' || b || '.com/‮' || CAST(k AS STRING) || 'gpj.exe'
   WHEN 23 THEN 'http://paypal.com.' || b || '.ml/wp-admin/index.php?url=x'
   WHEN 24 THEN 'https://login-paypa1-' || CAST(k AS STRING) || '.verifyinfo-auth.com/account/suspended'
-  ELSE 'http://pay' || b || '-amaz0n.support/billing/update-payment' END || CASE WHEN k % 26 IN (9, 12, 13, 22) THEN '' ELSE '/q' || CAST(k AS STRING) END AS url
+  WHEN 25 THEN 'https://' || b || 'hub.org/offers'
+  ELSE 'http://pay' || b || '-amaz0n.support/billing/update-payment' END || CASE WHEN k % 27 IN (9, 12, 13, 22) THEN '' ELSE '/q' || CAST(k AS STRING) END AS url
 FROM (SELECT p_partkey AS k, {BRAND} AS b FROM {{part}}) x
 """
 
@@ -74,24 +78,34 @@ UNION ALL SELECT 2000000000 + url_id AS url_id, 'hostile' AS origin, url FROM ({
 BRANDS_SQL = f"SELECT DISTINCT {BRAND} AS brand FROM {{part}}"
 
 
+def settled(df: DataFrame, column: str = "url") -> DataFrame:
+    """Evaluate a derived column once per row.
+
+    Predicates on URL parts are pushed towards the scan; without this step they
+    would carry a copy of the long derivation for every reference to the URL.
+    (Real inputs store the URL and do not need it.)
+    """
+    return df.select(*[F.col(c) for c in df.columns if c != column], F.explode(F.array(column)).alias(column))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def known_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(KNOWN_SQL, part=table(spark, sf_dir, "part"))
+    return settled(spark.sql(KNOWN_SQL, part=table(spark, sf_dir, "part")))
 
 
 def hostile_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(HOSTILE_SQL, part=table(spark, sf_dir, "part"))
+    return settled(spark.sql(HOSTILE_SQL, part=table(spark, sf_dir, "part")))
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(CORPUS_SQL, part=table(spark, sf_dir, "part"), pages=table(spark, sf_dir, "pages"))
+    return settled(spark.sql(CORPUS_SQL, part=table(spark, sf_dir, "part"), pages=table(spark, sf_dir, "pages")))
 
 
 def brands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(BRANDS_SQL, part=table(spark, sf_dir, "part"))
+    return small_table(spark.sql(BRANDS_SQL, part=table(spark, sf_dir, "part")))
 
 
 def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:

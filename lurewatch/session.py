@@ -7,6 +7,10 @@ row count has been bounded by an actual (limited) count.
 
 from __future__ import annotations
 
+import tempfile
+
+
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +46,25 @@ def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFr
     return F.broadcast(df) if n <= max_rows else df
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Checkpoint a frame that several branches read, in the directory the cluster names.
+
+    ``spark.checkpoint.dir`` is respected; a temporary directory is used only
+    where nothing is configured (local tests).
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lurewatch-"))
+    return df.checkpoint()
+
+
+def small_table(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """A reference table as a local relation when it is provably small, else the frame itself."""
+    rows = df.limit(max_rows + 1).toArrow()
+    return df.sparkSession.createDataFrame(rows, schema=df.schema) if rows.num_rows <= max_rows else df
+
+
 def bounded_values(df: DataFrame, column: str, limit: int = LITERAL_LIST_MAX) -> list | None:
     """Distinct values of a reference column, or ``None`` when there are too many.
 
