@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("features", "ultra", "brands")
+MODULES = ("corpus", "features", "ultra", "brands")
 
 
 def load_all():

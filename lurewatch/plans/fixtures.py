@@ -113,3 +113,27 @@ def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     urls = known_urls(spark, sf_dir).select("url_id", "brand", "technique_id", "url")
     return li.join(urls, li.l_partkey == urls.url_id).drop("l_partkey")
+
+
+_FEED = """
+SELECT CASE WHEN l_linenumber % 2 = 0 THEN upper(url) ELSE ' ' || url || ' ' END AS url,
+ CASE WHEN l_orderkey % 11 = 0 THEN NULL WHEN l_orderkey % 13 = 0 THEN 2
+      WHEN technique_id IN (0, 9, 10, 11) THEN CASE WHEN l_orderkey % 17 = 0 THEN 1 ELSE 0 END ELSE 1 END AS label,
+ l_orderkey * 10 + l_linenumber AS ord, l_quantity AS f1, l_partkey
+FROM {lineitem} l JOIN (""" + KNOWN_SQL + """) kn ON l.l_partkey = kn.url_id
+"""
+# two labelled feeds over URL occurrences: mixed case, blanks, conflicting, missing and invalid labels
+FEED_A_SQL = f"SELECT url, label, ord, f1 FROM ({_FEED}) fe WHERE ord % 20 < 10"
+FEED_B_SQL = f"SELECT url, label, ord, f1 FROM ({_FEED}) fe WHERE ord % 30 < 10 AND l_partkey % 5 <> 0"
+
+
+def _feed(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    return spark.sql(sql, part=table(spark, sf_dir, "part"), lineitem=table(spark, sf_dir, "lineitem"))
+
+
+def feed_a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _feed(spark, sf_dir, FEED_A_SQL)
+
+
+def feed_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _feed(spark, sf_dir, FEED_B_SQL)

@@ -8,8 +8,7 @@ row count has been bounded by an actual (limited) count.
 from __future__ import annotations
 
 import tempfile
-
-
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,16 +45,25 @@ def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFr
     return F.broadcast(df) if n <= max_rows else df
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Checkpoint a frame that several branches read, in the directory the cluster names.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder shared by driver and executors: ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` is respected; a temporary directory is used only
-    where nothing is configured (local tests).
+    A temporary directory is used only where nothing is configured (local tests).
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lurewatch-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path for intermediate files in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Checkpoint a frame that several branches read (survives the loss of executors)."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
