@@ -153,3 +153,14 @@ def transition_score(s: Column) -> Column:
 def url_decode(s: Column) -> Column:
     """Percent-decode; ``+`` stays a plus, undecodable input is returned unchanged."""
     return F.coalesce(F.try_url_decode(F.replace(s, F.lit("+"), F.lit("%2B"))), s)
+
+
+def points_by(s: Column, weights: Iterable[tuple[str, float]]) -> Column:
+    """Weight of the exact value of ``s``, 0 when it is not listed."""
+    groups: dict = {}
+    for t, w in weights:
+        groups.setdefault(w, []).append(t)
+    out = F
+    for w, terms in groups.items():
+        out = out.when(s.isin(terms), F.lit(w))
+    return out.otherwise(F.lit(0))

@@ -314,3 +314,28 @@ def ultra_features(parts: DataFrame) -> DataFrame:
     return (out.join(sims, "domain_label")
             .withColumn("ultra_brand_wrong_tld", X.flag((F.col("ultra_brand_contained") == 1) & bad))
             .drop("domain_label", "netloc", "ultra_brand_contained"))
+
+
+def all_features(parts: DataFrame) -> DataFrame:
+    """Base and wide features side by side, one row per URL (one narrow pass plus the look-alike join)."""
+    from lurewatch.operators import base_features as B
+
+    cols: dict[str, Column] = {}
+    for fam in (B.lexical_columns(), B.structural_columns(), B.advanced_columns(), B.statistical_columns(), B.pattern_columns(),
+                B.impersonation_columns()):
+        cols.update(fam)
+    homo = B.homograph_columns()
+    cols.update({n: homo[n] for n in ("idn_homograph_score", "is_idn_homograph")})
+    # stacked projections: base columns see the raw host, wide columns the lower-cased one
+    step = parts.select("url_id", "url", "scheme", "netloc", "path", "query", "fragment", "host", "suffix", "subdomain",
+                        "registered_domain", "domain_label", *[c.alias(f"base_{n}") for n, c in cols.items()])
+    low = lowered(step)
+    wide = {n: c for f in FAMILIES for n, c in FAMILIES[f]().items()}
+    out = low.select("url_id", "domain_label", "netloc", *[F.col(f"base_{n}").alias(n) for n in cols],
+                     *[c.alias(f"ultra_{n}") for n, c in wide.items()])
+    sims = lookalike_labels(parts.select("domain_label").distinct())
+    sims = sims.select("domain_label", *[F.col(c).alias(f"ultra_{c}") for c in sims.columns if c != "domain_label"])
+    bad = X.ends_with_any(F.col("netloc"), [".tk", ".ml", ".ga", ".cf", ".gq", ".xyz"])
+    return (out.join(sims, "domain_label")
+            .withColumn("ultra_brand_wrong_tld", X.flag((F.col("ultra_brand_contained") == 1) & bad))
+            .drop("domain_label", "netloc", "ultra_brand_contained"))

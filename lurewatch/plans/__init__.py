@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("corpus", "features", "ultra", "brands")
+MODULES = ("corpus", "features", "ultra", "brands", "rules")
 
 
 def load_all():

@@ -7,9 +7,8 @@ backslash, so the text means the same in every dialect.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lurewatch.session import small_table
+from lurewatch.session import settle, small_table
 
 BRAND = "replace(lower(p_name), ' ', '')"
 
@@ -78,30 +77,20 @@ UNION ALL SELECT 2000000000 + url_id AS url_id, 'hostile' AS origin, url FROM ({
 BRANDS_SQL = f"SELECT DISTINCT {BRAND} AS brand FROM {{part}}"
 
 
-def settled(df: DataFrame, column: str = "url") -> DataFrame:
-    """Evaluate a derived column once per row.
-
-    Predicates on URL parts are pushed towards the scan; without this step they
-    would carry a copy of the long derivation for every reference to the URL.
-    (Real inputs store the URL and do not need it.)
-    """
-    return df.select(*[F.col(c) for c in df.columns if c != column], F.explode(F.array(column)).alias(column))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def known_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return settled(spark.sql(KNOWN_SQL, part=table(spark, sf_dir, "part")))
+    return settle(spark.sql(KNOWN_SQL, part=table(spark, sf_dir, "part")), ["url"])
 
 
 def hostile_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return settled(spark.sql(HOSTILE_SQL, part=table(spark, sf_dir, "part")))
+    return settle(spark.sql(HOSTILE_SQL, part=table(spark, sf_dir, "part")), ["url"])
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return settled(spark.sql(CORPUS_SQL, part=table(spark, sf_dir, "part"), pages=table(spark, sf_dir, "pages")))
+    return settle(spark.sql(CORPUS_SQL, part=table(spark, sf_dir, "part"), pages=table(spark, sf_dir, "pages")), ["url"])
 
 
 def brands(spark: SparkSession, sf_dir: str) -> DataFrame:

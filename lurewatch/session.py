@@ -45,6 +45,19 @@ def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFr
     return F.broadcast(df) if n <= max_rows else df
 
 
+def settle(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Evaluate derived columns exactly once per row.
+
+    The optimizer pushes predicates on a score below the projections that
+    compute it and pastes a copy of every intermediate expression per reference
+    (code beyond the JVM's method limit, and every regex evaluated again).  A
+    one-element ``explode`` is narrow and stops the substitution.
+    """
+    keep = [c for c in df.columns if c not in columns]
+    packed = df.select(*keep, F.explode(F.array(F.struct(*columns))).alias("_s"))
+    return packed.select(*keep, *[F.col(f"_s.`{c}`").alias(c) for c in columns])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder shared by driver and executors: ``spark.checkpoint.dir``.
 
