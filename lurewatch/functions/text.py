@@ -9,7 +9,6 @@ really is a fold over the characters or tokens of one string.
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,31 +34,42 @@ def ratio(num: Column, den: Column) -> Column:
     return F.when(den > 0, num.cast("double") / den.cast("double")).otherwise(F.lit(0.0))
 
 
-def any_of(s: Column, terms: Iterable[str]) -> Column:
-    """True when any term occurs in ``s``."""
-    tests = [F.contains(s, F.lit(t)) for t in terms]
-    return reduce(lambda a, b: a | b, tests) if tests else F.lit(False)
+def sql_text(value: str) -> str:
+    """A string literal in Spark SQL."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def hits_of(s: Column, terms: Iterable[str]) -> Column:
+def any_of(s: str, terms: Iterable[str]) -> Column:
+    """True when any term occurs in the SQL expression ``s``.
+
+    The list helpers take SQL text and build one expression: a hundred terms
+    cost one call into the JVM when the plan is built, not several hundred.
+    """
+    tests = [f"contains({s}, {sql_text(t)})" for t in terms]
+    return F.expr("(" + " OR ".join(tests or ["false"]) + ")")
+
+
+def hits_of(s: str, terms: Iterable[str]) -> Column:
     """How many of the terms occur in ``s`` (overlaps count; each term once)."""
-    tests = [F.contains(s, F.lit(t)).cast("int") for t in terms]
-    return reduce(lambda a, b: a + b, tests) if tests else F.lit(0)
+    return F.expr("(" + " + ".join([f"CAST(contains({s}, {sql_text(t)}) AS INT)" for t in terms] or ["0"]) + ")")
 
 
-def weight_of(s: Column, terms: Iterable[tuple[str, float]]) -> Column:
+def _weights(s: str, terms: Iterable[tuple[str, float]]) -> list[str]:
+    return [f"CASE WHEN contains({s}, {sql_text(t)}) THEN {w}{'D' if isinstance(w, float) else ''} "
+            f"ELSE {'0D' if isinstance(w, float) else '0'} END" for t, w in terms]
+
+
+def weight_of(s: str, terms: Iterable[tuple[str, float]]) -> Column:
     """Sum of the weights of the terms that occur in ``s``."""
-    tests = [F.when(F.contains(s, F.lit(t)), F.lit(w)).otherwise(F.lit(type(w)(0))) for t, w in terms]
-    return reduce(lambda a, b: a + b, tests)
+    return F.expr("(" + " + ".join(_weights(s, terms)) + ")")
 
 
-def max_weight_of(s: Column, terms: Iterable[tuple[str, float]]) -> Column:
-    tests = [F.when(F.contains(s, F.lit(t)), F.lit(w)).otherwise(F.lit(type(w)(0))) for t, w in terms]
-    return F.greatest(*tests)
+def max_weight_of(s: str, terms: Iterable[tuple[str, float]]) -> Column:
+    return F.expr("greatest(" + ", ".join(_weights(s, terms)) + ")")
 
 
-def ends_with_any(s: Column, ends: Iterable[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.endswith(s, F.lit(e)) for e in ends])
+def ends_with_any(s: str, ends: Iterable[str]) -> Column:
+    return F.expr("(" + " OR ".join(f"endswith({s}, {sql_text(e)})" for e in ends) + ")")
 
 
 def chars(s: Column) -> Column:
@@ -91,35 +101,46 @@ def longest_run(s: Column, regex: str) -> Column:
 
 def longest_same(s: Column) -> Column:
     """Longest run of one repeated character."""
-    return max_len(F.regexp_extract_all(s, F.lit(r"(?s)((.)\2*)"), F.lit(1)))
+    return F.when(F.length(s) > 0, F.greatest(F.lit(1), max_len(_runs(s)))).otherwise(F.lit(0))
+
+
+def _runs(s: Column) -> Column:
+    """Runs of two or more equal characters."""
+    return F.regexp_extract_all(s, F.lit(r"(?s)((.)\2+)"), F.lit(1))
+
+
+def sorted_chars(s: Column) -> Column:
+    """The characters of a string in order, as a string: equal characters become one run."""
+    return F.array_join(F.sort_array(chars(s)), "")
+
+
+def n_distinct(ordered: Column) -> Column:
+    """Distinct characters of a string given its ``sorted_chars``."""
+    return F.length(F.regexp_replace(ordered, r"(?s)(.)\1+", "$1"))
 
 
-def _n_log_n(n: Column) -> Column:
-    n = n.cast("double")
-    return n * F.log2(n)
+def top_count(ordered: Column) -> Column:
+    """Occurrences of the most frequent character given ``sorted_chars``."""
+    return longest_same(ordered)
 
 
-def entropy(s: Column, distinct_chars: Column | None = None) -> Column:
-    """Shannon entropy (bits) of the characters: ``log2 n - sum(c log2 c) / n``."""
-    acc = F.aggregate(
-        F.array_distinct(chars(s)) if distinct_chars is None else distinct_chars, F.lit(0.0),
-        lambda a, c: a + _n_log_n(F.length(s) - F.length(F.replace(s, c, F.lit("")))))
-    return F.when(F.length(s) > 0, F.log2(F.length(s).cast("double")) - acc / F.length(s)).otherwise(F.lit(0.0))
+def _entropy_of(n: Column, counts: Column) -> Column:
+    """``log2 n - sum(c log2 c) / n``; only counts above 1 contribute to the sum."""
+    acc = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * F.log2(c))
+    return F.when(n > 0, F.log2(n.cast("double")) - acc / n).otherwise(F.lit(0.0))
 
 
-def array_entropy(arr: Column) -> Column:
-    """Shannon entropy of array elements, folded over the sorted array (one pass over runs)."""
-    n = F.size(arr)
-    start = F.struct(F.lit(None).cast("string").alias("prev"), F.lit(0).alias("run"), F.lit(0.0).alias("acc"))
+def entropy(s: Column, ordered: Column | None = None) -> Column:
+    """Shannon entropy (bits) of the characters."""
+    runs = _runs(sorted_chars(s) if ordered is None else ordered)
+    return _entropy_of(F.length(s), F.transform(runs, lambda r: F.length(r).cast("double")))
 
-    def step(a, x):
-        same = a["prev"].eqNullSafe(x)
-        return F.struct(
-            x.alias("prev"), F.when(same, a["run"] + 1).otherwise(F.lit(1)).alias("run"),
-            F.when(same | (a["run"] == 0), a["acc"]).otherwise(a["acc"] + _n_log_n(a["run"])).alias("acc"))
 
-    total = F.aggregate(F.array_sort(arr), start, step, lambda a: a["acc"] + _n_log_n(a["run"]))
-    return F.when(n > 0, F.log2(n.cast("double")) - total / n).otherwise(F.lit(0.0))
+def ngram_entropy(grams: Column, k: int) -> Column:
+    """Shannon entropy (bits) of an array of k-grams: repeats are runs of the sorted, joined array."""
+    joined = F.concat(F.array_join(F.sort_array(grams), "\x01"), F.lit("\x01"))
+    runs = F.regexp_extract_all(joined, F.lit("(?s)((.{%d}\x01)\\2+)" % k), F.lit(1))
+    return _entropy_of(F.size(grams), F.transform(runs, lambda r: F.length(r) / F.lit(float(k + 1))))
 
 
 def ngrams(s: Column, k: int) -> Column:
@@ -155,12 +176,10 @@ def url_decode(s: Column) -> Column:
     return F.coalesce(F.try_url_decode(F.replace(s, F.lit("+"), F.lit("%2B"))), s)
 
 
-def points_by(s: Column, weights: Iterable[tuple[str, float]]) -> Column:
+def points_by(s: str, weights: Iterable[tuple[str, float]]) -> Column:
     """Weight of the exact value of ``s``, 0 when it is not listed."""
     groups: dict = {}
     for t, w in weights:
-        groups.setdefault(w, []).append(t)
-    out = F
-    for w, terms in groups.items():
-        out = out.when(s.isin(terms), F.lit(w))
-    return out.otherwise(F.lit(0))
+        groups.setdefault(w, []).append(sql_text(t))
+    cases = " ".join(f"WHEN {s} IN ({', '.join(ts)}) THEN {w}" for w, ts in groups.items())
+    return F.expr(f"CASE {cases} ELSE 0 END")

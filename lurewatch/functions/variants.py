@@ -68,7 +68,7 @@ def brand_variants(brands: DataFrame, max_variants: int = 100) -> DataFrame:
     rows = brands.select("brand", F.explode(every).alias("e")).select("brand", "e.*").where(F.col("variant") != b)
     first = rows.groupBy("brand", "variant").agg(F.min(F.struct("kind", "position")).alias("at"))
     # per brand: a bounded list (a few variants per character), sorted and cut
-    ordered = first.groupBy("brand").agg(F.slice(F.array_sort(F.collect_list(
+    ordered = first.groupBy("brand").agg(F.slice(F.sort_array(F.collect_list(
         F.struct("at.kind", "at.position", "variant"))), 1, max_variants).alias("vs"))
     kinds = F.element_at(F.array(*[F.lit(k) for k in ("omission", "keyboard", "doubling", "swap", "lookalike")]), F.col("v.kind"))
     return ordered.select("brand", F.explode("vs").alias("v")).select(

@@ -9,8 +9,6 @@ as look-alikes, and "Latin" means letters only.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +30,7 @@ def lexical_columns(keywords: list[str] = refdata.BASE_KEYWORDS) -> dict[str, Co
         "digit_ratio": X.ratio(digits, n), "letter_ratio": X.ratio(letters, n),
         "special_char_ratio": X.ratio(n - digits - letters, n),
         "url_entropy": X.entropy(u), "domain_entropy": X.entropy(d),
-        "suspicious_keyword_count": X.hits_of(F.lower(u), keywords),
+        "suspicious_keyword_count": X.hits_of("lower(url)", keywords),
     }
 
 
@@ -65,9 +63,9 @@ def advanced_columns(brands: list[str] = refdata.BASE_BRANDS, shorteners: list[s
                      extensions: list[str] = refdata.BASE_BAD_EXTENSIONS) -> dict[str, Column]:
     u, d = F.col("url"), F.col("netloc")
     hexes = X.count_re(u, r"%[0-9a-fA-F]{2}")
-    brand_hits = X.hits_of(F.lower(d), brands)
+    brand_hits = X.hits_of("lower(netloc)", brands)
     return {
-        "is_url_shortener": X.flag(X.any_of(d, shorteners)),
+        "is_url_shortener": X.flag(X.any_of("netloc", shorteners)),
         "has_double_slash_in_path": X.flag(F.contains(F.col("path"), F.lit("//"))),
         "has_double_dot": X.flag(F.contains(u, F.lit(".."))),
         "hex_char_count": hexes, "has_hex_encoding": X.flag(hexes > 0),
@@ -77,7 +75,7 @@ def advanced_columns(brands: list[str] = refdata.BASE_BRANDS, shorteners: list[s
         "mixed_scripts": X.flag(_mixed(d)),
         "has_hyphen_in_domain": X.flag(F.contains(d, F.lit("-"))),
         "hyphen_domain_ratio": X.ratio(X.count_of(d, "-"), F.length(d)),
-        "has_suspicious_extension": X.flag(X.ends_with_any(F.lower(u), extensions)),
+        "has_suspicious_extension": X.flag(X.ends_with_any("lower(url)", extensions)),
     }
 
 
@@ -85,23 +83,22 @@ def _mixed(s: Column) -> Column:
     return s.rlike(r"[A-Za-z]") & s.rlike(r"[Ͱ-ϿЀ-ӿ]")
 
 
-def homograph_columns(decoded: Column | None = None, brands: list[str] = refdata.IDN_BRANDS) -> dict[str, Column]:
+def homograph_columns(decoded: str = "netloc", brands: list[str] = refdata.IDN_BRANDS) -> dict[str, Column]:
     """Look-alike score of the (decoded) host: ratio of look-alike characters, script mixing, ``xn--``, folded brand."""
-    d = F.col("netloc") if decoded is None else decoded
     table = refdata.confusables()
-    src, dst = "".join(c for c, _, _ in table), "".join(latin for _, latin, _ in table)
-    low = F.lower(d)
-    folded = F.translate(low, src, dst)
-    n_conf = F.length(d) - F.length(F.translate(d, src, ""))
-    n = F.length(d)
-    similarity = F.lit(0.0)
-    for b in reversed(brands):
-        r = F.lit(2.0 * len(b)) / (F.lit(len(b)) + F.length(folded))
-        similarity = (F.when(F.contains(folded, F.lit(b)) & ~F.contains(low, F.lit(b)), F.lit(1.0))
-                      .when(F.contains(folded, F.lit(b)) & (r > 0.8), r).otherwise(similarity))
-    score = F.least(F.lit(1.0), F.least(X.ratio(n_conf, n) * 2.0, F.lit(0.8)) + F.when(_mixed(d), 0.6).otherwise(0.0)
-                    + F.when(F.contains(low, F.lit("xn--")), 0.4).otherwise(0.0) + similarity * 0.3)
-    return {"confusable_count": n_conf, "skeleton": folded, "homograph_similarity": similarity,
+    src, dst = (X.sql_text("".join(row[i] for row in table)) for i in (0, 1))
+    folded = f"translate(lower({decoded}), {src}, {dst})"
+    n_conf = f"length({decoded}) - length(translate({decoded}, {src}, ''))"
+    # the folded name is bound once (x.f), so each brand costs two comparisons
+    cases = " ".join(
+        f"WHEN contains(x.f, '{b}') AND NOT contains(x.l, '{b}') THEN 1D "
+        f"WHEN contains(x.f, '{b}') AND {2.0 * len(b)}D / ({len(b)} + length(x.f)) > 0.8D THEN {2.0 * len(b)}D / ({len(b)} + length(x.f))"
+        for b in brands)
+    similarity = F.expr(f"transform(array(struct({folded} AS f, lower({decoded}) AS l)), x -> CASE {cases} ELSE 0D END)[0]")
+    d = F.expr(decoded)
+    score = F.least(F.lit(1.0), F.least(X.ratio(F.expr(n_conf), F.length(d)) * 2.0, F.lit(0.8)) + F.when(_mixed(d), 0.6).otherwise(0.0)
+                    + F.when(F.contains(F.lower(d), F.lit("xn--")), 0.4).otherwise(0.0) + similarity * 0.3)
+    return {"confusable_count": F.expr(n_conf), "skeleton": F.expr(folded), "homograph_similarity": similarity,
             "idn_homograph_score": score, "is_idn_homograph": X.flag(F.round(score, 9) > 0.5)}
 
 
@@ -124,12 +121,12 @@ def pattern_columns(keywords=refdata.TABLE_KEYWORDS, regexes=refdata.TABLE_REGEX
                     paths=refdata.TABLE_PATHS) -> dict[str, Column]:
     u = F.lower("url")
     return {
-        "phishing_keyword_match": X.flag(X.any_of(u, keywords)),
+        "phishing_keyword_match": X.flag(X.any_of("lower(url)", keywords)),
         "suspicious_pattern_match": X.flag(u.rlike("|".join(f"(?:{r})" for r in regexes))),
-        "typosquatting_detected": X.flag(X.any_of(F.lower("netloc"), typos)),
-        "suspicious_port": X.flag(X.any_of(u, [f":{p}" for p in ports])),
-        "suspicious_extension": X.flag(X.ends_with_any(u, extensions)),
-        "known_phishing_path": X.flag(X.any_of(F.lower("path"), paths)),
+        "typosquatting_detected": X.flag(X.any_of("lower(netloc)", typos)),
+        "suspicious_port": X.flag(X.any_of("lower(url)", [f":{p}" for p in ports])),
+        "suspicious_extension": X.flag(X.ends_with_any("lower(url)", extensions)),
+        "known_phishing_path": X.flag(X.any_of("lower(path)", paths)),
     }
 
 
@@ -144,17 +141,23 @@ def _impersonation_parts(brand: Column, legit: Column) -> tuple[Column, Column,
 
 def impersonation_columns(brand_domains: dict[str, str] = refdata.BRAND_DOMAINS) -> dict[str, Column]:
     """Literal form for a short brand list: +0.5 brand outside its own domains, +0.3 in the subdomain, +0.2 hyphenated."""
-    trio = []
+    d = "lower(netloc)"
+    sub = ("CASE WHEN length(netloc) - length(replace(netloc, '.', '')) >= 2 THEN "
+           "left(lower(netloc), length(netloc) - length(substring_index(netloc, '.', -2)) - 1) ELSE '' END")
+    hit, inside, hyphen = [], [], []
     for b, ds in brand_domains.items():
-        trio.append(_impersonation_parts(F.lit(b), X.ends_with_any(F.lower("netloc"), ds.split())))
-    score = reduce(lambda a, c: a + c, [
-        F.when(h, 0.5).otherwise(0.0) + F.when(s, 0.3).otherwise(0.0) + F.when(y, 0.2).otherwise(0.0) for h, s, y in trio])
+        own = " OR ".join(f"endswith({d}, '{x}')" for x in ds.split())
+        h = f"(contains({d}, '{b}') AND NOT ({own}))"
+        hit.append(h)
+        inside.append(f"({h} AND contains({sub}, '{b}'))")
+        hyphen.append(f"({h} AND (contains({d}, '-{b}') OR contains({d}, '{b}-')))")
 
-    def some(i):
-        return X.flag(reduce(lambda a, c: a | c, [t[i] for t in trio]))
+    def total(conds: list[str], w: str) -> str:
+        return " + ".join(f"CASE WHEN {c} THEN {w} ELSE 0D END" for c in conds)
 
-    return {"brand_impersonation_score": F.least(F.lit(1.0), score), "likely_brand_impersonation": some(0),
-            "brand_in_subdomain": some(1), "brand_with_hyphens": some(2)}
+    return {"brand_impersonation_score": F.expr(f"least(1D, {total(hit, '0.5D')} + {total(inside, '0.3D')} + {total(hyphen, '0.2D')})"),
+            **{n: X.flag(F.expr(" OR ".join(c))) for n, c in (
+                ("likely_brand_impersonation", hit), ("brand_in_subdomain", inside), ("brand_with_hyphens", hyphen))}}
 
 
 def brand_impersonation(parts: DataFrame, brand_domains: DataFrame, literal_max: int = LITERAL_LIST_MAX) -> DataFrame:
@@ -192,11 +195,11 @@ def base_features(parts: DataFrame, punycode: DataFrame | None = None) -> DataFr
     if punycode is not None:
         extra = punycode.select("netloc", "decoded", "punycode_length_diff", "punycode_brand_similarity")
         parts = parts.join(extra, "netloc", "left")
-        decoded = F.coalesce("decoded", "netloc")
+        decoded = "coalesce(decoded, netloc)"
         diff = F.coalesce("punycode_length_diff", F.lit(0))
         sim = F.coalesce("punycode_brand_similarity", F.lit(0.0))
     else:
-        decoded, diff, sim = F.col("netloc"), F.lit(0), F.lit(0.0)
+        decoded, diff, sim = "netloc", F.lit(0), F.lit(0.0)
     homo = homograph_columns(decoded)
     cols.update({"punycode_length_diff": diff, "idn_homograph_score": homo["idn_homograph_score"],
                  "is_idn_homograph": homo["is_idn_homograph"], "punycode_brand_similarity": sim})

@@ -50,7 +50,7 @@ def _rare_tokens(s: Column, sorted_chars: Column) -> Column:
 
 
 def _sorted_chars(s: Column) -> Column:
-    ranked = F.array_sort(F.transform(X.chars(s), lambda c: F.struct(F.instr(F.lit(RARE_FIRST), c).alias("r"), c.alias("c"))))
+    ranked = F.sort_array(F.transform(X.chars(s), lambda c: F.struct(F.instr(F.lit(RARE_FIRST), c).alias("r"), c.alias("c"))))
     return F.transform(ranked, lambda x: x["c"])
 
 
@@ -108,7 +108,7 @@ def compare_labels(labels: DataFrame, brands: DataFrame, keywords: list[str] = r
     n, m = F.length("label"), F.length("brand")
     kt = F.col("kt")
     technique = (F.when((kt == "W") & flips, F.lit("bitsquatting"))
-                 .when(kt == "G", F.when(X.any_of(rest, keywords), F.col("technique")))
+                 .when(kt == "G", F.when(X.any_of("replace(label, brand, '')", keywords), F.col("technique")))
                  .when(kt == "T", F.lit(None)).otherwise(F.col("technique")))
     near = (kt == "T") & (F.least(n, m) * 3 >= F.greatest(n, m) * 2) & (F.levenshtein("label", "brand", 2) == -1)
     hits = hits.select("label", "brand", technique.alias("technique"), near.alias("near")).where(

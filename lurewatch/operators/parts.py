@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lurewatch import refdata
-from lurewatch.functions.urlparts import add_host_parts, first_label_of, split_url
+from lurewatch.functions.urlparts import add_host_parts, split_url
 
 HOST_NOT_NAME = r"^([0-9]{1,3}\.){3}[0-9]{1,3}$|^\[.*\]$"
 
@@ -26,8 +26,7 @@ def url_parts(urls: DataFrame, suffixes: DataFrame | list[str] | None = None) ->
     Deviations: the TLD is the last label (also of multi-label suffixes) and an
     IP host has no TLD, so neither is mistaken for an invalid TLD.
     """
-    out = add_host_parts(split_url(urls), refdata.SUFFIXES if suffixes is None else suffixes)
-    return out.withColumn("label", first_label_of(F.col("host")))
+    return add_host_parts(split_url(urls), refdata.SUFFIXES if suffixes is None else suffixes)
 
 
 def usable_label(parts: DataFrame) -> DataFrame:

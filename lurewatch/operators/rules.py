@@ -27,9 +27,9 @@ def points(*pairs: tuple[Column, int]) -> Column:
     return reduce(lambda a, b: a + b, [F.when(c, F.lit(w)).otherwise(F.lit(0)) for c, w in pairs])
 
 
-def first_of(terms: list[str], cond) -> Column:
-    """First term, in list order, for which ``cond(term)`` holds."""
-    return F.coalesce(*[F.when(cond(t), F.lit(t)) for t in terms])
+def first_of(conditions: dict[str, str]) -> Column:
+    """First name, in order, whose SQL condition holds."""
+    return F.expr("CASE " + " ".join(f"WHEN {c} THEN {X.sql_text(n)}" for n, c in conditions.items()) + " END")
 
 
 # --- validity ---------------------------------------------------------------
@@ -65,10 +65,10 @@ def garbage_terms(name: Column) -> list[tuple[Column, int, str]]:
         ((vowels == 0) & (n > 4), 30, "no_vowels"),
         ((vowels > 0) & (letters - vowels > vowels * 5), 20, "many_consonants"),
         ((n > 0) & (X.count_re(name, r"\p{Nd}") * 10 > n * 4), 25, "many_digits"),
-        (X.hits_of(low, refdata.ODD_BIGRAMS) >= 2, 20, "odd_bigrams"),
+        (X.hits_of("domain_label", refdata.ODD_BIGRAMS) >= 2, 20, "odd_bigrams"),
         ((n > 0) & ((X.count_of(name, "-") + X.count_of(name, "_")) * 10 > n * 3), 15, "many_separators"),
         ((n > 10) & ~low.rlike("[a-z]{3,}"), 15, "no_words"),
-        (X.any_of(low, refdata.KEYBOARD_WALKS), 35, "keyboard_walk"),
+        (X.any_of("domain_label", refdata.KEYBOARD_WALKS), 35, "keyboard_walk"),
         (X.entropy(name) > 4.0, 10, "high_entropy"),
     ]
 
@@ -99,9 +99,9 @@ def pattern_score(parts: DataFrame) -> DataFrame:
     tlds = refdata.weighted(refdata.PATTERN_TLDS)
     base = base.withColumns({
         "first": F.substring_index(d, ".", 1), "n_lab": X.count_of(d, ".") + 1, "hyphens": X.count_of(d, "-"),
-        "brand": first_of(refdata.PATTERN_BRANDS, lambda b: F.contains(d, F.lit(b)) | F.contains(p, F.lit(b))),
-        "n_kw": X.hits_of(u, [k for k, _ in keywords]), "kw": X.weight_of(u, keywords),
-        "tld_risk": X.points_by(F.substring_index(d, ".", -1), tlds),
+        "brand": first_of({b: f"contains(d, '{b}') OR contains(p, '{b}')" for b in refdata.PATTERN_BRANDS}),
+        "n_kw": X.hits_of("u", [k for k, _ in keywords]), "kw": X.weight_of("u", keywords),
+        "tld_risk": X.points_by("substring_index(d, '.', -1)", tlds),
         "sub": F.expr("CASE WHEN length(d) - length(replace(d, '.', '')) >= 2 THEN left(d, length(d) - length(substring_index(d, '.', -2)) - 1) ELSE '' END"),
     })
     base = settle(base, ["d", "p", "u", "first", "n_lab", "hyphens", "brand", "n_kw", "kw", "tld_risk", "sub"])
@@ -111,22 +111,22 @@ def pattern_score(parts: DataFrame) -> DataFrame:
     official = own | reduce(lambda a, b: a | b, [d == F.concat(brand, F.lit(x)) for x in (".co.uk", ".net", ".org")])
     in_domain = F.coalesce(F.contains(d, brand) & ~own, F.lit(False))
     in_first = F.coalesce(F.contains(first, brand), F.lit(False))
-    brand_risk = F.when(in_domain, F.when(X.any_of(d, refdata.PATTERN_DOMAIN_WORDS), 25)
+    brand_risk = F.when(in_domain, F.when(X.any_of("d", refdata.PATTERN_DOMAIN_WORDS), 25)
                         .when(F.contains(d, F.lit("-")) & in_first, 20).when(in_first, 15).otherwise(0)
                         + F.when(~official, 10).otherwise(0)).otherwise(0)
-    mixed = first.rlike("[a-z][0-9]|[0-9][a-z]") & ~X.any_of(first, refdata.PATTERN_BRANDS)
+    mixed = first.rlike("[a-z][0-9]|[0-9][a-z]") & ~X.any_of("first", refdata.PATTERN_BRANDS)
     http = F.col("scheme") == "http"
-    sensitive_http = X.any_of(u, refdata.PATTERN_HTTP_WORDS)
-    sub_word = X.any_of(sub, refdata.PATTERN_SUBDOMAIN_WORDS)
+    sensitive_http = X.any_of("u", refdata.PATTERN_HTTP_WORDS)
+    sub_word = X.any_of("sub", refdata.PATTERN_SUBDOMAIN_WORDS)
     numeric_sub = sub.rlike(r"(^|\.)[0-9]+(\.|$)")
-    shortener = X.any_of(d, refdata.PATTERN_SHORTENERS)
+    shortener = X.any_of("d", refdata.PATTERN_SHORTENERS)
     real_path = ~p.isin("", "/")
-    path_word = real_path & X.any_of(p, refdata.PATTERN_PATH_WORDS)
+    path_word = real_path & X.any_of("p", refdata.PATTERN_PATH_WORDS)
     rx = [(r, u.rlike(pattern), w) for r, pattern, w in refdata.PATTERN_REGEXES]
-    auth = has_brand & X.any_of(u, refdata.PATTERN_AUTH_WORDS) & in_first
+    auth = has_brand & X.any_of("u", refdata.PATTERN_AUTH_WORDS) & in_first
     bad_combo = has_brand & (F.col("n_kw") >= 2) & (F.col("tld_risk") >= 3)
-    urgent = X.any_of(u, refdata.PATTERN_URGENCY_WORDS) & X.any_of(u, refdata.PATTERN_SENSITIVE_WORDS)
-    executable = real_path & X.ends_with_any(p, refdata.PATTERN_BAD_EXTENSIONS)
+    urgent = X.any_of("u", refdata.PATTERN_URGENCY_WORDS) & X.any_of("u", refdata.PATTERN_SENSITIVE_WORDS)
+    executable = real_path & X.ends_with_any("p", refdata.PATTERN_BAD_EXTENSIONS)
     encoded, long_path = real_path & (X.count_of(p, "%") > 3), real_path & (F.length(p) > 100)
     dots, random = real_path & (X.count_of(p, ".") > 2), real_path & p.rlike("[a-z0-9]{30,}")
     many_hyphens = F.when(hyphens >= 3, hyphens * 3).when(hyphens == 2, F.lit(4)).otherwise(F.lit(0))
@@ -163,18 +163,17 @@ def url_hash(url: Column) -> Column:
     return F.sha2(F.regexp_replace(F.lower(F.trim(url)), "/$", ""), 256)
 
 
-def signature_brand(d: Column) -> Column:
+def signature_brand(d: str = "d") -> Column:
     """First brand (table order) with a misspelling in the host outside its own domain, or misused as a subdomain."""
-    deep, main = X.count_of(d, ".") >= 2, F.substring_index(d, ".", -2)
-
-    def hit(b: str) -> Column:
-        real = F.lit(f"{b}.com")
-        cond = X.any_of(d, refdata.SIGNATURE_BRAND_VARIANTS[b].split()) & ~F.contains(d, real)
+    def hit(b: str) -> str:
+        typos = " OR ".join(f"contains({d}, '{v}')" for v in refdata.SIGNATURE_BRAND_VARIANTS[b].split())
+        cond = f"(({typos}) AND NOT contains({d}, '{b}.com'))"
         if b in refdata.SIGNATURE_SUBDOMAIN_BRANDS:
-            cond = cond | (F.contains(d, F.lit(b)) & deep & (main != real))
+            cond += (f" OR (contains({d}, '{b}') AND length({d}) - length(replace({d}, '.', '')) >= 2"
+                     f" AND substring_index({d}, '.', -2) <> '{b}.com')")
         return cond
 
-    return first_of(list(refdata.SIGNATURE_BRAND_VARIANTS), hit)
+    return first_of({b: hit(b) for b in refdata.SIGNATURE_BRAND_VARIANTS})
 
 
 def signature_score(parts: DataFrame, known_bad: DataFrame | None = None) -> DataFrame:
@@ -188,8 +187,8 @@ def signature_score(parts: DataFrame, known_bad: DataFrame | None = None) -> Dat
     kws = [(k, int(round(w * 100))) for k, w in refdata.weighted(refdata.SIGNATURE_KEYWORDS)]
     base = base.withColumns({
         "n_rules": reduce(lambda a, b: a + b, [X.flag(u.rlike(r)) for _, r in refdata.SIGNATURE_REGEXES]),
-        "n_substrings": X.hits_of(u, refdata.SIGNATURE_SUBSTRINGS), "brand": signature_brand(d),
-        "kw_sum": X.weight_of(u, kws), "kw_max": X.max_weight_of(u, kws)})
+        "n_substrings": X.hits_of("u", refdata.SIGNATURE_SUBSTRINGS), "brand": signature_brand("d"),
+        "kw_sum": X.weight_of("u", kws), "kw_max": X.max_weight_of("u", kws)})
     base = settle(base, ["d", "p", "u", "n_rules", "n_substrings", "brand", "kw_sum", "kw_max"])
     kw = F.floor(F.least(F.lit(10000), F.col("kw_sum") * 30 + F.col("kw_max") * 70) * 20 / 10000).cast("int")
     structure = points(
@@ -197,7 +196,7 @@ def signature_score(parts: DataFrame, known_bad: DataFrame | None = None) -> Dat
         (X.count_of(d, ".") > 3, 15), (F.length(d) > 50, 10), (d.rlike("[a-z0-9]{15,}"), 20),
         (p.rlike("/(wp-|cgi-bin|tmp|temp)/"), 15), (p.rlike(r"\.[a-z]{2,4}\.[a-z]{2,4}$"), 20),
         (F.contains(d, F.lit(":")) & ~F.endswith(d, F.lit(":443")) & ~F.endswith(d, F.lit(":80")), 15),
-        (d.rlike(r"[^\x00-\x7f]"), 25), (X.any_of(d, refdata.SIGNATURE_SHORTENERS), 10))
+        (d.rlike(r"[^\x00-\x7f]"), 25), (X.any_of("d", refdata.SIGNATURE_SHORTENERS), 10))
     bad_tld = F.contains(d, F.lit(".")) & F.substring_index(d, ".", -1).isin(refdata.SIGNATURE_TLDS)
     scored = base.select("url_id", "url", "n_rules", "n_substrings", "brand", kw.alias("keyword_points"),
                          structure.alias("structure_points"),
@@ -223,7 +222,7 @@ def threat_indicators(parts: DataFrame) -> DataFrame:
     """No HTTPS +20, IP host +15, abused TLD +10, more than 100 characters +5."""
     d = F.col("netloc")
     terms = [(~F.startswith("url", F.lit("https://")), 20, "no_https"), (d.rlike(IPV4_RE), 15, "ip_address"),
-             (X.ends_with_any(d, [f".{t}" for t in refdata.INDICATOR_TLDS]), 10, "suspicious_tld"), (F.length("url") > 100, 5, "long_url")]
+             (X.ends_with_any("netloc", [f".{t}" for t in refdata.INDICATOR_TLDS]), 10, "suspicious_tld"), (F.length("url") > 100, 5, "long_url")]
     return parts.select("url_id", points(*[(c, w) for c, w, _ in terms]).alias("risk_score"),
                         codes(*[(c, r) for c, _, r in terms]).alias("indicators"))
 

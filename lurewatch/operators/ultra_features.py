@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from lurewatch import refdata
 from lurewatch.functions import text as X
 from lurewatch.functions.similarity import best_jaro
+from lurewatch.session import settle
 
 ACTION, URGENCY, SENSITIVE = (refdata.ULTRA_WORDS[k].split() for k in ("action", "urgency", "sensitive"))
 LETTER, DIGIT, OTHER = r"\p{L}", r"\p{Nd}", r"[^\p{L}\p{N}]"
@@ -26,9 +27,8 @@ def lowered(parts: DataFrame) -> DataFrame:
     """Parts with lower-cased components (``u`` = lower-cased URL); the raw host stays in ``raw_netloc``."""
     low = {c: F.lower(c) for c in ("netloc", "path", "query", "fragment")}
     out = parts.withColumn("raw_netloc", F.col("netloc")).withColumns(low).withColumn("u", F.lower("url"))
-    # arrays that several features fold over are evaluated once (unused ones are pruned)
-    return out.withColumns({"url_chars": F.array_distinct(X.chars(F.col("url"))),
-                            "host_chars": F.array_distinct(X.chars(F.col("netloc"))),
+    # what several features fold over is evaluated once (unused columns are pruned)
+    return out.withColumns({"url_sorted": X.sorted_chars(F.col("url")), "host_sorted": X.sorted_chars(F.col("netloc")),
                             "bigrams": X.ngrams(F.col("url"), 2), "trigrams": X.ngrams(F.col("url"), 3)})
 
 
@@ -44,7 +44,7 @@ def basic() -> dict[str, Column]:
         "has_fragment": X.flag(F.col("fragment") != ""), "uses_standard_port": X.flag(~F.contains(d, F.lit(":"))),
         "has_at_symbol": X.flag(F.contains(url, F.lit("@"))),
         "domain_has_ip": X.flag(d.rlike(r"^[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}")),
-        "url_shortener": X.flag(X.any_of(d, refdata.ULTRA_SHORTENERS)), "domain_dots_count": X.count_of(d, "."),
+        "url_shortener": X.flag(X.any_of("netloc", refdata.ULTRA_SHORTENERS)), "domain_dots_count": X.count_of(d, "."),
         "path_slashes_count": X.count_of(p, "/"), "query_ampersands_count": X.count_of(q, "&"),
         "total_special_chars": X.count_re(url, OTHER), "scheme_length": F.length("scheme"),
     }
@@ -66,7 +66,7 @@ def lexical() -> dict[str, Column]:
         "equals_count": X.count_of(url, "="), "question_marks_count": X.count_of(url, "?"),
         "ampersands_count": X.count_of(url, "&"),
         "has_tilde": X.flag(F.contains(url, F.lit("~"))), "has_pipe": X.flag(F.contains(url, F.lit("|"))),
-        "url_entropy": X.entropy(url, F.col("url_chars")), "domain_entropy": X.entropy(d, F.col("host_chars")), "path_entropy": X.entropy(p),
+        "url_entropy": X.entropy(url, F.col("url_sorted")), "domain_entropy": X.entropy(d, F.col("host_sorted")), "path_entropy": X.entropy(p),
         "domain_to_url_ratio": X.ratio(nd, n), "path_to_url_ratio": X.ratio(F.length(p), n),
         "query_to_url_ratio": X.ratio(F.length("query"), n),
     }
@@ -79,12 +79,12 @@ def domain() -> dict[str, Column]:
     return {
         "tld_length": F.length(sfx), "has_country_tld": X.flag(F.length(sfx) == 2), "tld_is_com": X.flag(sfx == "com"),
         "tld_is_suspicious": X.flag(sfx.isin(refdata.TLD_CATEGORIES["free_suspicious"])),
-        "domain_word_count": F.size(words), "domain_has_brand_name": X.flag(X.any_of(name, refdata.ULTRA_BRANDS)),
+        "domain_word_count": F.size(words), "domain_has_brand_name": X.flag(X.any_of("domain_label", refdata.ULTRA_BRANDS)),
         "domain_vowel_ratio": X.ratio(X.count_re(name, "[aeiou]"), F.length(name)),
         "domain_consonant_clusters": X.sum_len(runs) - F.size(runs) * 2,
         "has_subdomain": X.flag(sub != ""), "subdomain_length": F.length(sub),
         "subdomain_levels": F.when(sub == "", F.lit(0)).otherwise(X.count_of(sub, ".") + 1),
-        "subdomain_has_keyword": X.flag(X.any_of(sub, ["secure", "login", "verify"])),
+        "subdomain_has_keyword": X.flag(X.any_of("subdomain", ["secure", "login", "verify"])),
         "domain_contains_hyphen": X.flag(F.contains(name, F.lit("-"))),
         "domain_starts_with_digit": X.flag(name.rlike(r"^\p{Nd}")), "domain_ends_with_digit": X.flag(name.rlike(r"\p{Nd}$")),
         "domain_has_doubled_chars": X.flag(name.rlike(r"(.)\1{2,}")),
@@ -107,10 +107,10 @@ def path_query() -> dict[str, Column]:
         "path_double_extension": X.flag((X.count_of(p, ".") > 1) & ~F.endswith(p, F.lit(".html"))),
         "path_longest_segment": X.longest_run(p, "[^/]+"),
         "query_has_url": X.flag(q.rlike("https?://")),
-        "query_suspicious_params": X.hits_of(q, ["redirect", "url", "next", "continue", "return"]),
+        "query_suspicious_params": X.hits_of("query", ["redirect", "url", "next", "continue", "return"]),
         "query_has_base64": X.flag((F.length(q) > 20) & q.rlike(r"^[A-Za-z0-9+/]+=*$")),
         "path_percent_encoded": X.count_of(p, "%"), "query_percent_encoded": X.count_of(q, "%"),
-        "path_file_indicators": X.hits_of(p, [".php", ".asp", ".jsp", ".cgi"]),
+        "path_file_indicators": X.hits_of("path", [".php", ".asp", ".jsp", ".cgi"]),
         **{f"path_has_{w}": X.flag(F.contains(p, F.lit(w))) for w in ("login", "admin", "verify", "account")},
         "query_equals_to_ampersand_ratio": X.ratio(X.count_of(q, "="), amps),
         "query_longest_value": X.max_len(F.regexp_extract_all(q, F.lit("=([^&]*)"), F.lit(1))),
@@ -122,27 +122,27 @@ def path_query() -> dict[str, Column]:
 def linguistic() -> dict[str, Column]:
     u, d, p = F.col("u"), F.col("netloc"), F.col("path")
     first = F.substring_index(d, ".", 1)
-    act, urg, sen, brand = (X.any_of(u, w) for w in (ACTION, URGENCY, SENSITIVE, refdata.ULTRA_BRANDS))
+    act, urg, sen, brand = (X.any_of("u", w) for w in (ACTION, URGENCY, SENSITIVE, refdata.ULTRA_BRANDS))
     http = F.col("scheme") == "http"
     words = X.count_re(u, r"(?<![\p{L}\p{N}_])[a-z]{3,}(?![\p{L}\p{N}_])")
     return {
-        "has_action_words": X.hits_of(u, ACTION), "action_word_in_domain": X.flag(X.any_of(d, ACTION)),
-        "has_urgency_words": X.hits_of(u, URGENCY), "urgency_in_path": X.flag(X.any_of(p, URGENCY)),
-        "has_sensitive_words": X.hits_of(u, SENSITIVE), "sensitive_in_domain": X.flag(X.any_of(d, SENSITIVE)),
-        "brand_mention_count": X.hits_of(u, refdata.ULTRA_BRANDS),
-        "brand_in_subdomain": X.flag(X.any_of(first, refdata.ULTRA_BRANDS)),
+        "has_action_words": X.hits_of("u", ACTION), "action_word_in_domain": X.flag(X.any_of("netloc", ACTION)),
+        "has_urgency_words": X.hits_of("u", URGENCY), "urgency_in_path": X.flag(X.any_of("path", URGENCY)),
+        "has_sensitive_words": X.hits_of("u", SENSITIVE), "sensitive_in_domain": X.flag(X.any_of("netloc", SENSITIVE)),
+        "brand_mention_count": X.hits_of("u", refdata.ULTRA_BRANDS),
+        "brand_in_subdomain": X.flag(X.any_of("substring_index(netloc, '.', 1)", refdata.ULTRA_BRANDS)),
         "action_plus_urgency": X.flag(act & urg), "brand_plus_action": X.flag(brand & act),
         "sensitive_plus_action": X.flag(sen & act),
-        "has_login_keywords": X.flag(X.any_of(u, ["login", "signin", "sign-in"])),
-        "has_verify_keywords": X.flag(X.any_of(u, ["verify", "validation", "confirm"])),
-        "has_security_keywords": X.flag(X.any_of(u, ["secure", "security", "protect"])),
-        "has_update_keywords": X.flag(X.any_of(u, ["update", "upgrade", "renew"])),
-        "security_action_combo": X.flag(X.any_of(u, ["secure", "security"]) & X.any_of(u, ["login", "verify", "update"])),
+        "has_login_keywords": X.flag(X.any_of("u", ["login", "signin", "sign-in"])),
+        "has_verify_keywords": X.flag(X.any_of("u", ["verify", "validation", "confirm"])),
+        "has_security_keywords": X.flag(X.any_of("u", ["secure", "security", "protect"])),
+        "has_update_keywords": X.flag(X.any_of("u", ["update", "upgrade", "renew"])),
+        "security_action_combo": X.flag(X.any_of("u", ["secure", "security"]) & X.any_of("u", ["login", "verify", "update"])),
         "readable_words_count": words, "readable_words_ratio": X.ratio(words, F.greatest(X.count_re(u, r"\S+"), F.lit(1))),
         "has_mixed_case_domain": X.flag(F.col("raw_netloc") != d),
-        "has_suspended_terms": X.flag(X.any_of(u, ["suspend", "locked", "blocked", "frozen"])),
-        "has_restore_terms": X.flag(X.any_of(u, ["restore", "recover", "unlock", "reactivate"])),
-        "has_billing_terms": X.flag(X.any_of(u, ["billing", "payment", "invoice", "charge"])),
+        "has_suspended_terms": X.flag(X.any_of("u", ["suspend", "locked", "blocked", "frozen"])),
+        "has_restore_terms": X.flag(X.any_of("u", ["restore", "recover", "unlock", "reactivate"])),
+        "has_billing_terms": X.flag(X.any_of("u", ["billing", "payment", "invoice", "charge"])),
         "fake_https_in_domain": X.flag(F.contains(d, F.lit("https")) & http),
         "secure_in_http_url": X.flag(F.contains(u, F.lit("secure")) & http),
     }
@@ -153,16 +153,16 @@ def behaviour() -> dict[str, Column]:
     signals = [["password", "login"], ["urgent", "expire"], ["verify", "confirm"], ["suspend", "lock", "block"],
                ["update", "renew", "restore"]]
     return {
-        "requests_credentials": X.flag(X.any_of(u, ["password", "login", "signin", "auth"])),
-        "promises_reward": X.flag(X.any_of(u, ["free", "win", "prize", "gift", "bonus"])),
-        "creates_urgency": X.flag(X.any_of(u, ["urgent", "expire", "limited", "now", "today"])),
-        "impersonates_authority": X.flag(X.any_of(u, ["gov", "official", "legal", "court", "police"])),
-        "financial_focus": X.flag(X.any_of(u, ["bank", "credit", "payment", "billing", "money"])),
-        "suspicious_behavior_score": reduce(lambda a, b: a + b, [X.flag(X.any_of(u, s)) for s in signals]),
-        "tech_support_scam": X.flag(X.any_of(u, ["support", "help", "error", "warning", "virus"])),
-        "account_threat": X.flag(X.any_of(u, ["suspend", "lock", "close", "terminate"])),
-        "data_harvest": X.flag(X.any_of(u, ["verify", "confirm", "update", "validate"])
-                               & X.any_of(u, ["account", "profile", "info"])),
+        "requests_credentials": X.flag(X.any_of("u", ["password", "login", "signin", "auth"])),
+        "promises_reward": X.flag(X.any_of("u", ["free", "win", "prize", "gift", "bonus"])),
+        "creates_urgency": X.flag(X.any_of("u", ["urgent", "expire", "limited", "now", "today"])),
+        "impersonates_authority": X.flag(X.any_of("u", ["gov", "official", "legal", "court", "police"])),
+        "financial_focus": X.flag(X.any_of("u", ["bank", "credit", "payment", "billing", "money"])),
+        "suspicious_behavior_score": reduce(lambda a, b: a + b, [X.flag(X.any_of("u", s)) for s in signals]),
+        "tech_support_scam": X.flag(X.any_of("u", ["support", "help", "error", "warning", "virus"])),
+        "account_threat": X.flag(X.any_of("u", ["suspend", "lock", "close", "terminate"])),
+        "data_harvest": X.flag(X.any_of("u", ["verify", "confirm", "update", "validate"])
+                               & X.any_of("u", ["account", "profile", "info"])),
         "redirect_to_external": X.flag(F.contains(q, F.lit("redirect")) & F.contains(q, F.lit("http"))),
     }
 
@@ -172,40 +172,39 @@ def obfuscation() -> dict[str, Column]:
     return {
         "has_decimal_ip": X.flag(d.rlike("[0-9]{8,}")), "has_hex_ip": X.flag(u.rlike("0x[0-9a-f]+")),
         "has_octal_ip": X.flag(d.rlike("0[0-7]+")), "excessive_encoding": X.flag(X.count_of(u, "%") > 5),
-        "encoded_slashes": X.flag(X.any_of(u, ["%2f", "%5c"])), "encoded_dots": X.flag(F.contains(u, F.lit("%2e"))),
+        "encoded_slashes": X.flag(X.any_of("u", ["%2f", "%5c"])), "encoded_dots": X.flag(F.contains(u, F.lit("%2e"))),
         "double_encoding": X.flag(F.contains(u, F.lit("%25"))), "has_unicode": X.flag(F.col("url").rlike(r"[^\x00-\x7f]")),
         "zero_width_chars": X.flag(F.col("url").rlike("[​‌‍⁠]")),
-        "has_redirect_param": X.flag(X.any_of(q, ["redirect", "url", "goto", "next", "continue", "return", "redir"])),
+        "has_redirect_param": X.flag(X.any_of("query", ["redirect", "url", "goto", "next", "continue", "return", "redir"])),
         "suspicious_redirect": X.flag(q.rlike("(redirect|url|goto)=https?://")),
         "data_uri": X.flag(F.contains(u, F.lit("data:"))), "javascript_uri": X.flag(F.contains(u, F.lit("javascript:"))),
-        "path_traversal": X.flag(X.any_of(p, ["../", "..\\"])), "excessive_slashes": X.flag(F.contains(p, F.lit("//"))),
+        "path_traversal": X.flag(X.any_of("path", ["../", "..\\"])), "excessive_slashes": X.flag(F.contains(p, F.lit("//"))),
     }
 
 
-def _complexity(s: Column, distinct_chars: Column) -> Column:
+def _complexity(s: Column, ordered: Column) -> Column:
     n = F.length(s)
-    distinct = F.size(distinct_chars)
-    score = X.entropy(s, distinct_chars) * 10 + X.ratio(distinct, n) * 20 + X.ratio(X.count_re(s, OTHER), n) * 30
+    distinct = X.n_distinct(ordered)
+    score = X.entropy(s, ordered) * 10 + X.ratio(distinct, n) * 20 + X.ratio(X.count_re(s, OTHER), n) * 30
     return F.when(n > 0, F.least(F.lit(100.0), score)).otherwise(F.lit(0.0))
 
 
 def statistics() -> dict[str, Column]:
     url, d, u = F.col("url"), F.col("netloc"), F.col("u")
-    n, cs = F.length(url), F.col("url_chars")
-    distinct = F.size(cs)
-    top = F.array_max(F.transform(cs, lambda c: F.length(url) - F.length(F.replace(url, c, F.lit("")))))
+    n, cs = F.length(url), F.col("url_sorted")
+    distinct, top = X.n_distinct(cs), X.top_count(cs)
     lengths = [F.length(c) for c in ("scheme", "netloc", "path", "query", "fragment")]
     total = reduce(lambda a, b: a + b, lengths)
     structural = reduce(lambda a, b: a + b, [
         F.when(ln > 0, -(ln / total) * F.log2(ln / total)).otherwise(F.lit(0.0)) for ln in lengths])
     vowels = X.count_re(d, "[aeiou]")
     return {
-        "most_common_char_freq": X.ratio(F.coalesce(top, F.lit(0)), n), "unique_chars_ratio": X.ratio(distinct, n),
-        "bigram_entropy": X.array_entropy(F.col("bigrams")), "trigram_entropy": X.array_entropy(F.col("trigrams")),
+        "most_common_char_freq": X.ratio(top, n), "unique_chars_ratio": X.ratio(distinct, n),
+        "bigram_entropy": X.ngram_entropy(F.col("bigrams"), 2), "trigram_entropy": X.ngram_entropy(F.col("trigrams"), 3),
         "url_length_category": X.length_band(n), "domain_length_category": X.length_band(F.length(d)),
         "vowel_to_consonant_ratio": vowels.cast("double") / F.greatest(X.count_re(d, LETTER) - vowels, F.lit(1)),
         "alpha_to_digit_ratio": X.count_re(url, LETTER).cast("double") / F.greatest(X.count_re(url, DIGIT), F.lit(1)),
-        "url_complexity_score": _complexity(url, cs), "domain_complexity_score": _complexity(d, F.col("host_chars")),
+        "url_complexity_score": _complexity(url, cs), "domain_complexity_score": _complexity(d, F.col("host_sorted")),
         "has_repeating_pattern": X.flag(X.repeats_prefix(d)), "character_diversity": distinct,
         "digit_distribution": F.size(F.array_distinct(X.tokens(url, DIGIT))) / 10.0,
         "special_char_diversity": F.size(F.array_distinct(X.tokens(url, OTHER))),
@@ -214,7 +213,7 @@ def statistics() -> dict[str, Column]:
         "unique_bigrams": F.size(F.array_distinct("bigrams")),
         "unique_trigrams": F.size(F.array_distinct("trigrams")),
         "char_transition_score": X.transition_score(d),
-        "looks_random": X.flag((X.entropy(d, F.col("host_chars")) > 4.0) & (X.ratio(vowels, F.length(d)) < 0.2)),
+        "looks_random": X.flag((X.entropy(d, F.col("host_sorted")) > 4.0) & (X.ratio(vowels, F.length(d)) < 0.2)),
     }
 
 
@@ -246,12 +245,12 @@ def complexity() -> dict[str, Column]:
 def lookalike_labels(labels: DataFrame, brands: list[str] = refdata.ULTRA_BRANDS) -> DataFrame:
     """Brand-distance features of distinct domain labels (column ``domain_label``)."""
     s = F.col("domain_label")
-    contained = X.any_of(s, brands)
-    dist = F.least(*[F.levenshtein(s, F.lit(b)) for b in brands])
+    contained = X.any_of("domain_label", brands)
     # the nearest brand, first in list order on ties; a contained brand counts as distance 0
-    length = F.lit(None).cast("int")
-    for b in reversed(brands):
-        length = F.when(F.levenshtein(s, F.lit(b)) == dist, F.lit(len(b))).otherwise(length)
+    nearest = F.expr("least(" + ", ".join(
+        f"struct(levenshtein(domain_label, '{b}') AS dist, {i} AS pos, {len(b)} AS len)" for i, b in enumerate(brands)) + ")")
+    labels = settle(labels.select("domain_label", nearest.alias("nearest")), ["nearest"])
+    dist, length = F.col("nearest.dist"), F.col("nearest.len")
     low = F.when(contained, F.lit(0)).otherwise(dist)
     sims = best_jaro(s, brands)
     cols = {
@@ -259,16 +258,17 @@ def lookalike_labels(labels: DataFrame, brands: list[str] = refdata.ULTRA_BRANDS
         "typosquat_distance_ratio": F.when(contained, F.lit(0.0)).otherwise(dist.cast("double") / length),
         "typosquat_very_close": X.flag((low > 0) & (low <= 2)), "typosquat_close": X.flag((low > 2) & (low <= 4)),
         "has_homoglyph_chars": X.flag(s.rlike("[01l]")), "has_double_letter": X.flag(s.rlike(r"([a-z])\1")),
-        "missing_letter": X.flag(X.any_of(s, [b[:-1] for b in brands] + [b[1:] for b in brands])),
-        "has_digit_substitution": X.flag(s.rlike("[a-z][0-9]|[0-9][a-z]")), "common_substitutions": X.hits_of(s, "0134578"),
+        "missing_letter": X.flag(X.any_of("domain_label", [b[:-1] for b in brands] + [b[1:] for b in brands])),
+        "has_digit_substitution": X.flag(s.rlike("[a-z][0-9]|[0-9][a-z]")), "common_substitutions": X.hits_of("domain_label", "0134578"),
         "extra_hyphen": X.flag(F.contains(s, F.lit("-"))),
-        "brand_with_suffix": X.flag(X.any_of(s, [b + x for b in brands for x in "12"])),
-        "brand_keyword_combo": X.flag(contained & X.any_of(s, ["secure", "login", "verify", "account"])),
+        "brand_with_suffix": X.flag(X.any_of("domain_label", [b + x for b in brands for x in "12"])),
+        "brand_keyword_combo": X.flag(contained & X.any_of("domain_label", ["secure", "login", "verify", "account"])),
         "confusable_chars_count": X.count_re(s, "[o0l1i]"), "brand_contained": X.flag(contained),
-        "likely_transposition": X.flag(X.any_of(s, ["teh", "hte", "adn", "nda", "taht", "thta"])),
-        "plural_variation": X.flag(X.any_of(s, [b + "s" for b in brands])),
-        "repeated_brand_chars": reduce(lambda a, b: a + b, [
-            X.flag(X.any_of(s, sorted({c * 2 for c in b}))) for b in brands]),
+        "likely_transposition": X.flag(X.any_of("domain_label", ["teh", "hte", "adn", "nda", "taht", "thta"])),
+        "plural_variation": X.flag(X.any_of("domain_label", [b + "s" for b in brands])),
+        "repeated_brand_chars": F.expr(" + ".join(
+            "CASE WHEN " + " OR ".join(f"contains(domain_label, '{c * 2}')" for c in sorted(set(b))) + " THEN 1 ELSE 0 END"
+            for b in brands)),
     }
     out = labels.select("domain_label", *[c.alias(n) for n, c in cols.items()])
     return out.withColumn("sims", sims).withColumns({
@@ -279,7 +279,7 @@ def lookalike(parts: DataFrame, brands: list[str] = refdata.ULTRA_BRANDS) -> Dat
     """Brand-distance family per URL: once per distinct domain label, joined back on the label."""
     low = parts.select("url_id", "domain_label", F.lower("netloc").alias("d"))
     per = lookalike_labels(low.select("domain_label").distinct(), brands)
-    bad = X.ends_with_any(F.col("d"), [".tk", ".ml", ".ga", ".cf", ".gq", ".xyz"])
+    bad = X.ends_with_any("d", [".tk", ".ml", ".ga", ".cf", ".gq", ".xyz"])
     return (low.join(per, "domain_label")
             .withColumn("brand_wrong_tld", X.flag((F.col("brand_contained") == 1) & bad))
             .drop("domain_label", "d", "brand_contained"))
@@ -310,7 +310,7 @@ def ultra_features(parts: DataFrame) -> DataFrame:
                      *[c.alias(f"ultra_{n}") for n, c in {**first, **rest}.items()])
     sims = lookalike_labels(parts.select("domain_label").distinct())
     sims = sims.select("domain_label", *[F.col(c).alias(f"ultra_{c}") for c in sims.columns if c != "domain_label"])
-    bad = X.ends_with_any(F.col("netloc"), [".tk", ".ml", ".ga", ".cf", ".gq", ".xyz"])
+    bad = X.ends_with_any("netloc", [".tk", ".ml", ".ga", ".cf", ".gq", ".xyz"])
     return (out.join(sims, "domain_label")
             .withColumn("ultra_brand_wrong_tld", X.flag((F.col("ultra_brand_contained") == 1) & bad))
             .drop("domain_label", "netloc", "ultra_brand_contained"))
@@ -335,7 +335,7 @@ def all_features(parts: DataFrame) -> DataFrame:
                      *[c.alias(f"ultra_{n}") for n, c in wide.items()])
     sims = lookalike_labels(parts.select("domain_label").distinct())
     sims = sims.select("domain_label", *[F.col(c).alias(f"ultra_{c}") for c in sims.columns if c != "domain_label"])
-    bad = X.ends_with_any(F.col("netloc"), [".tk", ".ml", ".ga", ".cf", ".gq", ".xyz"])
+    bad = X.ends_with_any("netloc", [".tk", ".ml", ".ga", ".cf", ".gq", ".xyz"])
     return (out.join(sims, "domain_label")
             .withColumn("ultra_brand_wrong_tld", X.flag((F.col("ultra_brand_contained") == 1) & bad))
             .drop("domain_label", "netloc", "ultra_brand_contained"))
