@@ -8,6 +8,7 @@ really is a fold over the characters or tokens of one string.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -45,6 +46,9 @@ def any_of(s: str, terms: Iterable[str]) -> Column:
     The list helpers take SQL text and build one expression: a hundred terms
     cost one call into the JVM when the plan is built, not several hundred.
     """
+    terms = list(terms)
+    if len(terms) > 16:  # one automaton instead of a method too long for the JIT compiler
+        return F.expr(f"({s} RLIKE {sql_text('|'.join(re.escape(t) for t in terms))})")
     tests = [f"contains({s}, {sql_text(t)})" for t in terms]
     return F.expr("(" + " OR ".join(tests or ["false"]) + ")")
 

@@ -249,7 +249,8 @@ def lookalike_labels(labels: DataFrame, brands: list[str] = refdata.ULTRA_BRANDS
     # the nearest brand, first in list order on ties; a contained brand counts as distance 0
     nearest = F.expr("least(" + ", ".join(
         f"struct(levenshtein(domain_label, '{b}') AS dist, {i} AS pos, {len(b)} AS len)" for i, b in enumerate(brands)) + ")")
-    labels = settle(labels.select("domain_label", nearest.alias("nearest")), ["nearest"])
+    doubled = F.array_join(F.array_distinct(F.regexp_extract_all(s, F.lit(r"([a-z])\1"), F.lit(1))), "")
+    labels = settle(labels.select("domain_label", nearest.alias("nearest"), doubled.alias("doubled")), ["nearest", "doubled"])
     dist, length = F.col("nearest.dist"), F.col("nearest.len")
     low = F.when(contained, F.lit(0)).otherwise(dist)
     sims = best_jaro(s, brands)
@@ -267,8 +268,7 @@ def lookalike_labels(labels: DataFrame, brands: list[str] = refdata.ULTRA_BRANDS
         "likely_transposition": X.flag(X.any_of("domain_label", ["teh", "hte", "adn", "nda", "taht", "thta"])),
         "plural_variation": X.flag(X.any_of("domain_label", [b + "s" for b in brands])),
         "repeated_brand_chars": F.expr(" + ".join(
-            "CASE WHEN " + " OR ".join(f"contains(domain_label, '{c * 2}')" for c in sorted(set(b))) + " THEN 1 ELSE 0 END"
-            for b in brands)),
+            f"CAST(length(translate('{b}', doubled, '')) < {len(b)} AS INT)" for b in brands)),
     }
     out = labels.select("domain_label", *[c.alias(n) for n, c in cols.items()])
     return out.withColumn("sims", sims).withColumns({
