@@ -56,16 +56,16 @@ NAME_COLUMNS = [
     "CASE WHEN is_ip THEN host ELSE substring_index(_rest, '.', -1) END AS domain_label",
     "CASE WHEN is_ip THEN '' ELSE left(_rest, greatest(length(_rest) - length(domain_label) - 1, 0)) END AS subdomain",
     "CASE WHEN suffix = '' OR domain_label = '' THEN '' ELSE concat(domain_label, '.', suffix) END AS registered_domain",
-    "substring_index(replace(host, 'www.', ''), '.', 1) AS label",
+    "substring_index(replace(host, 'www.', ''), '.', 1) AS host_label",
 ]
 
 
 def add_host_parts(df: DataFrame, suffixes: DataFrame | list[str]) -> DataFrame:
-    """Add ``host, port, n_labels, is_ip, tld, suffix, registered_domain, domain_label, subdomain, label``.
+    """Add ``host, port, n_labels, is_ip, tld, suffix, registered_domain, domain_label, subdomain, host_label``.
 
     Public suffixes of two or three labels are looked up as a literal set while
     the list is short, else by equi joins with the suffix table; without a
-    match the suffix is the last label.  ``label`` (first label, ``www.``
+    match the suffix is the last label.  ``host_label`` (first label, ``www.``
     removed) is the string compared with brands.
     """
     listed = suffixes if isinstance(suffixes, list) else bounded_values(suffixes, "suffix")

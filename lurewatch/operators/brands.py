@@ -166,7 +166,7 @@ def severity(score: Column) -> Column:
 
 def lookalike_hosts(parts: DataFrame, brands: DataFrame) -> DataFrame:
     """Best imitated brand per host: ``host, label, brand, technique, score, severity`` (detected hosts only)."""
-    hosts = materialize(usable_label(parts).select("host", "label").distinct())
+    hosts = materialize(usable_label(parts).select("host", F.col("host_label").alias("label")).distinct())
     by_label = best_brand_per_label(hosts.select("label").distinct(), brands)
     by_host = homograph_matches(hosts, brands).groupBy("host").agg(F.min("brand").alias("h_brand"))
     out = hosts.join(by_label, "label", "left").join(by_host, "host", "left")

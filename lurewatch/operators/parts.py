@@ -31,9 +31,9 @@ def url_parts(urls: DataFrame, suffixes: DataFrame | list[str] | None = None) ->
 
 def usable_label(parts: DataFrame) -> DataFrame:
     """Rows whose host has a brand-comparable label (a dotted, non-IP host)."""
-    return parts.where((F.col("label") != "") & F.col("host").contains(".") & ~F.col("host").rlike(HOST_NOT_NAME))
+    return parts.where((F.col("host_label") != "") & F.col("host").contains(".") & ~F.col("host").rlike(HOST_NOT_NAME))
 
 
 def labels_of(parts: DataFrame) -> DataFrame:
     """Distinct brand-comparable host labels with their number of URLs."""
-    return usable_label(parts).groupBy("label").agg(F.count(F.lit(1)).alias("n_urls"))
+    return usable_label(parts).groupBy(F.col("host_label").alias("label")).agg(F.count(F.lit(1)).alias("n_urls"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("corpus", "features", "ultra", "brands", "rules", "findings")
+MODULES = ("corpus", "features", "ultra", "brands", "rules", "findings", "evaluation")
 
 
 def load_all():

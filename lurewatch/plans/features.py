@@ -18,7 +18,7 @@ def corpus_parts(spark, sf):
 def _parts(spark, sf):
     return corpus_parts(spark, sf).select(
         "url_id", "scheme", "netloc", "path", "query", "fragment", "host", "port", "n_labels", "is_ip", "tld", "suffix",
-        "registered_domain", "domain_label", "subdomain", "label")
+        "registered_domain", "domain_label", "subdomain", "host_label")
 
 
 @query("distinct_url_occurrences")

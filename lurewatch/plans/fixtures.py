@@ -126,3 +126,36 @@ def feed_a(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feed_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _feed(spark, sf_dir, FEED_B_SQL)
+
+
+# scored rows with a truth label: documents as items, three deterministic scores per item
+SCORED_SQL = """
+SELECT l.doc_id, l.quality AS label, CAST(d.n_chars % 997 AS DOUBLE) / 997 AS score, CAST(d.n_chars % 613 AS DOUBLE) / 613 AS score_b,
+ CAST(d.n_chars % 211 AS DOUBLE) / 211 AS score_c, CASE WHEN d.n_chars % 997 >= 400 THEN 1 ELSE 0 END AS prediction
+FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id
+"""
+# one row per (item, model): votes of three scorers
+VOTES_SQL = f"""
+SELECT doc_id, label, 'forest' AS model, score AS probability FROM ({SCORED_SQL}) s1
+UNION ALL SELECT doc_id, label, 'boosted' AS model, score_b AS probability FROM ({SCORED_SQL}) s2
+UNION ALL SELECT doc_id, label, 'linear' AS model, score_c AS probability FROM ({SCORED_SQL}) s3
+"""
+# a scan history: one row per event (decision NULL = unclear; failed scans carry an error)
+SCAN_LOG_SQL = """
+SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, 'https://host' || CAST(user_id AS STRING) || '.com/' AS url, user_id,
+ CASE event_type WHEN 'click' THEN true WHEN 'purchase' THEN NULL WHEN 'error' THEN NULL ELSE false END AS is_phishing,
+ CASE WHEN event_type = 'error' THEN 'timeout' END AS error, value AS confidence
+FROM {events} e
+"""
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(SCORED_SQL, labels=table(spark, sf_dir, "labels"), documents=table(spark, sf_dir, "documents"))
+
+
+def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(VOTES_SQL, labels=table(spark, sf_dir, "labels"), documents=table(spark, sf_dir, "documents"))
+
+
+def scan_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(SCAN_LOG_SQL, events=table(spark, sf_dir, "events"))

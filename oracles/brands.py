@@ -16,7 +16,7 @@ def matches_cte(source: str | None = None) -> str:
     base = parts_cte() if source is None else parts_cte(source)
     return f"""{base},
 brand AS ({BRANDS}),
-labels AS (SELECT DISTINCT label AS l FROM p WHERE NOT is_ip AND label <> '' AND n_labels >= 2),
+labels AS (SELECT DISTINCT host_label AS l FROM p WHERE NOT is_ip AND host_label <> '' AND n_labels >= 2),
 pairs AS (SELECT l, brand AS b FROM labels CROSS JOIN brand WHERE l NOT IN (SELECT brand FROM brand)),
 d AS (SELECT l, b, CASE WHEN length(l) = length(b) THEN list_filter(range(1, length(b) + 1), lambda i: substr(l, i, 1) <> substr(b, i, 1)) END AS df FROM pairs),
 t AS (SELECT l, b, list_filter([
@@ -43,7 +43,7 @@ _SRC, _DST = "".join(c for c, _, _ in _T), "".join(x for _, x, _ in _T)
 
 def hosts_cte(source: str | None = None) -> str:
     return f"""{matches_cte(source)},
-hosts AS (SELECT DISTINCT host, label FROM p WHERE NOT is_ip AND label <> '' AND n_labels >= 2),
+hosts AS (SELECT DISTINCT host, host_label AS label FROM p WHERE NOT is_ip AND host_label <> '' AND n_labels >= 2),
 homo AS (SELECT host, min(brand) AS h_brand FROM (SELECT host, translate(host, {lit(_SRC)}, {lit(_DST)}) AS folded FROM hosts WHERE strlen(host) <> length(host)) f
   JOIN brand ON contains(folded, brand) AND NOT contains(host, brand) GROUP BY host),
 look AS (SELECT host, label, coalesce(h_brand, brand) AS brand, CASE WHEN h_brand IS NOT NULL THEN 'idn_homograph' ELSE technique END AS technique,
@@ -72,13 +72,13 @@ ORACLES = {
     "imitated_brands": f"""WITH {hosts_cte(OCC)},
 seen AS (SELECT host, count(*) AS n_urls, sum(n_seen) AS n_seen FROM p GROUP BY host)
 SELECT technique, brand, CAST(sum(n_urls) AS BIGINT) AS n_urls, CAST(sum(n_seen) AS BIGINT) AS n_seen FROM look JOIN seen USING (host) WHERE brand IS NOT NULL GROUP BY ALL""",
-    "brand_watch": f"""WITH {parts_cte()}, brand AS ({BRANDS}), labels AS (SELECT DISTINCT label FROM p WHERE NOT is_ip AND label <> '' AND n_labels >= 2), {VARIANTS}
+    "brand_watch": f"""WITH {parts_cte()}, brand AS ({BRANDS}), labels AS (SELECT DISTINCT host_label AS label FROM p WHERE NOT is_ip AND host_label <> '' AND n_labels >= 2), {VARIANTS}
 SELECT label, brand, kind, position FROM names JOIN labels ON variant = label WHERE rn <= 1000""",
     "brand_variants": f"WITH brand AS ({BRANDS}), {VARIANTS} SELECT brand, kind, position, variant FROM names WHERE rn <= 100",
     "bitflip_neighbours": f"""WITH brand AS ({BRANDS}), used AS (SELECT c AS src, count(*) AS n_used FROM (SELECT unnest(string_split(brand, '')) AS c FROM brand) x GROUP BY c),
 flips AS (SELECT src, bit, n_used, chr(CAST(xor(unicode(src), CAST(power(2, bit) AS INTEGER)) AS INTEGER)) AS dst FROM used, range(0, 8) r(bit))
 SELECT src, bit, dst, n_used FROM flips WHERE regexp_matches(dst, '^([\\p{{L}}\\p{{N}}]|-)$')""",
-    "jaro_winkler_pairs": f"""WITH {parts_cte()}, brand AS ({BRANDS}), labels AS (SELECT DISTINCT label AS l FROM p WHERE NOT is_ip AND n_labels >= 2 AND regexp_full_match(label, '[a-z0-9-]+'))
+    "jaro_winkler_pairs": f"""WITH {parts_cte()}, brand AS ({BRANDS}), labels AS (SELECT DISTINCT host_label AS l FROM p WHERE NOT is_ip AND n_labels >= 2 AND regexp_full_match(host_label, '[a-z0-9-]+'))
 SELECT l AS label, brand, round(jaro_winkler_similarity(l, brand), 6) AS score FROM labels CROSS JOIN brand
 WHERE levenshtein(l, brand) > 2 AND jaro_winkler_similarity(l, brand) >= 0.9333333334""",
 }

@@ -97,7 +97,7 @@ p5 AS (SELECT *, CASE WHEN suffix = '' THEN ls ELSE ls[1:len(ls) - len(string_sp
 p AS (SELECT *, CASE WHEN is_ip THEN host WHEN len(rest) = 0 THEN '' ELSE rest[-1] END AS domain_label,
    CASE WHEN is_ip OR len(rest) < 2 THEN '' ELSE array_to_string(rest[1:len(rest) - 1], '.') END AS subdomain,
    CASE WHEN suffix = '' OR len(rest) = 0 OR rest[-1] = '' THEN '' ELSE rest[-1] || '.' || suffix END AS registered_domain,
-   string_split(replace(host, 'www.', ''), '.')[1] AS label FROM p5){extra}"""
+   string_split(replace(host, 'www.', ''), '.')[1] AS host_label FROM p5){extra}"""
 
 
 def select_features(spec: dict[str, tuple[str, str]], cte: str, frm: str = "p", key: str = "url_id") -> str:

@@ -111,7 +111,7 @@ OCCURRENCES = f"SELECT l.l_orderkey, l.l_linenumber, k.* FROM lineitem l JOIN ({
 
 ORACLES = {
     "url_parts": f"""WITH {parts_cte()} SELECT url_id, scheme, netloc, path, query, fragment, host, CAST(port AS BIGINT) AS port,
- CAST(n_labels AS BIGINT) AS n_labels, is_ip, tld, suffix, registered_domain, domain_label, subdomain, label FROM p""",
+ CAST(n_labels AS BIGINT) AS n_labels, is_ip, tld, suffix, registered_domain, domain_label, subdomain, host_label FROM p""",
     "distinct_url_occurrences": f"""WITH occ AS ({OCCURRENCES}),
 {parts_cte("SELECT url, min(url_id) AS url_id, count(*) AS n_seen FROM occ GROUP BY url")}
 SELECT url_id, url, n_seen, registered_domain, tld FROM p""",
