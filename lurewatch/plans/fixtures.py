@@ -159,3 +159,24 @@ def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scan_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(SCAN_LOG_SQL, events=table(spark, sf_dir, "events"))
+
+
+# snapshots over the registered domains of the known URLs
+DNS_SQL = f"""
+SELECT domain, k % 2 = 0 AS has_a, k % 5 = 0 AS has_mx, k % 7 = 0 AS has_ns,
+ array('8.8.' || CAST(k % 256 AS STRING) || '.1', CASE CAST(k % 6 AS INT) WHEN 0 THEN '10.1.2.3' WHEN 1 THEN '172.' || CAST(k % 40 AS STRING) || '.0.9'
+  WHEN 2 THEN '192.168.0.7' WHEN 3 THEN '127.0.0.1' WHEN 4 THEN '300.1.1.1' ELSE 'bad' END) AS ips
+FROM (SELECT {BRAND} || '.com' AS domain, min(p_partkey) AS k FROM {{part}} GROUP BY {BRAND}
+      UNION ALL SELECT {BRAND} || '-login.com' AS domain, min(p_partkey) + 1 AS k FROM {{part}} GROUP BY {BRAND}) x WHERE k % 3 <> 0
+"""
+WHOIS_SQL = f"""
+SELECT domain, min(o_orderdate) AS created FROM (SELECT {BRAND} || '.com' AS domain, p_partkey AS k FROM {{part}}) x
+JOIN {{orders}} o ON o.o_orderkey = k AND k % 50 = 0 GROUP BY domain
+"""
+REPUTATION_SQL = f"""
+SELECT sha2(regexp_replace(lower(trim(url)), '/$', ''), 256) AS url_hash,
+ CASE CAST(l_linenumber % 4 AS INT) WHEN 0 THEN 'safe_browsing' WHEN 1 THEN 'scanners' WHEN 2 THEN 'sandbox' ELSE 'community' END AS service,
+ CASE WHEN l_orderkey % 5 = 0 THEN 'error' ELSE 'checked' END AS status, l_orderkey % 3 = 0 AS flagged,
+ CAST(l_orderkey % 7 AS INT) AS malicious, CAST(l_quantity AS INT) AS score
+FROM {{lineitem}} l JOIN ({KNOWN_SQL}) kn ON l.l_partkey = kn.url_id WHERE l_suppkey % 4 = 0
+"""
