@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("corpus", "features", "ultra", "brands", "rules", "findings", "evaluation", "enrichment")
+MODULES = ("corpus", "features", "ultra", "brands", "rules", "findings", "evaluation", "enrichment", "streams", "models")
 
 
 def load_all():
