@@ -12,7 +12,6 @@ key has.
 from __future__ import annotations
 
 import sys
-from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -20,6 +19,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lurewatch.session import materialize
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
@@ -53,29 +54,35 @@ def kept_seconds(secs: np.ndarray, ttl: int, entry: int) -> np.ndarray:
 
 def suppress_checks(checks: DataFrame, ttl: int, chunk: int | None = None) -> DataFrame:
     """Checks ``key, sec`` (epoch seconds) that are actually made: ``key, sec``."""
-    chunk = chunk or max(30 * 86_400, 8 * ttl)  # at most 2.6 million seconds per (key, chunk): some 20 MB
-    key_type = checks.schema["key"].dataType.simpleString()
-    distinct = checks.select("key", F.col("sec").cast("bigint").alias("sec")).distinct().withColumn(
-        "chunk", F.floor(F.col("sec") / chunk))
-
-    def summarise(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        upto, exits = step_function(np.sort(pdf["sec"].to_numpy()), ttl)
-        return pd.DataFrame({"key": [key[0]], "chunk": [key[1]], "upto": [upto.tolist()], "exits": [exits.tolist()]})
-
-    def compose(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        t, entries = -(2**62), []
-        pdf = pdf.sort_values("chunk")
-        for upto, exits in zip(pdf["upto"], pdf["exits"]):
-            entries.append(t)
-            i = int(np.searchsorted(np.asarray(upto), t))
-            t = int(exits[i]) if i < len(upto) else t
-        return pd.DataFrame({"key": key[0], "chunk": pdf["chunk"].to_numpy(), "entry": entries})
-
-    def scan(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        kept = kept_seconds(np.sort(pdf["sec"].to_numpy()), ttl, int(pdf["entry"].iloc[0]))
-        return pd.DataFrame({"key": [key[0]] * len(kept), "sec": kept})
-
-    steps = distinct.groupBy("key", "chunk").applyInPandas(
-        summarise, f"key {key_type}, chunk bigint, upto array<bigint>, exits array<bigint>")
-    entry = steps.groupBy("key").applyInPandas(compose, f"key {key_type}, chunk bigint, entry bigint")
-    return distinct.join(entry, ["key", "chunk"]).groupBy("key", "chunk").applyInPandas(scan, f"key {key_type}, sec bigint")
+    chunk = chunk or max(8 * 86_400, 8 * ttl)  # bounds the seconds of one (key, chunk), some 5 MB at the default
+
+    @F.pandas_udf("upto array<bigint>, exits array<bigint>")
+    def summarise(secs: pd.Series) -> pd.DataFrame:
+        both = [step_function(np.asarray(s), ttl) for s in secs]
+        return pd.DataFrame({"upto": [u for u, _ in both], "exits": [e for _, e in both]})
+
+    @F.pandas_udf("array<bigint>")
+    def compose(upto: pd.Series, exits: pd.Series) -> pd.Series:
+        """Entry threshold of every chunk of a key, chunks in time order."""
+        out = []
+        for us, es in zip(upto, exits):
+            t, entries = -(2**62), []
+            for u, e in zip(us, es):
+                entries.append(t)
+                i = int(np.searchsorted(u, t))
+                t = int(e[i]) if i < len(u) else t
+            out.append(entries)
+        return pd.Series(out)
+
+    @F.pandas_udf("array<bigint>")
+    def scan(secs: pd.Series, entry: pd.Series) -> pd.Series:
+        return pd.Series([kept_seconds(np.asarray(s), ttl, int(e)) for s, e in zip(secs, entry)])
+
+    distinct = checks.select("key", F.col("sec").cast("bigint").alias("sec")).distinct()
+    chunks = materialize(distinct.groupBy("key", F.floor(F.col("sec") / chunk).alias("chunk")).agg(
+        F.sort_array(F.collect_list("sec")).alias("secs")))
+    steps = chunks.select("key", "chunk", summarise("secs").alias("f")).groupBy("key").agg(
+        F.sort_array(F.collect_list(F.struct("chunk", "f.upto", "f.exits"))).alias("fs"))
+    entry = steps.select("key", F.col("fs.chunk").alias("chunk"), compose("fs.upto", "fs.exits").alias("entry")).select(
+        "key", F.explode(F.arrays_zip("chunk", "entry")).alias("e")).select("key", "e.chunk", "e.entry")
+    return chunks.join(entry, ["key", "chunk"]).select("key", F.explode(scan("secs", "entry")).alias("sec"))
