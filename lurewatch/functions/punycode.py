@@ -19,14 +19,17 @@ def _decode(label: str) -> str:
         return label
 
 
-def decode_label(label: Column) -> Column:
-    """Decoded label; undecodable input is returned unchanged."""
-
+def decode_label_udf():
     @F.pandas_udf("string")
     def run(x: pd.Series) -> pd.Series:
         return x.map(_decode, na_action="ignore")
 
-    return run(label)
+    return run
+
+
+def decode_label(label: Column) -> Column:
+    """Decoded label; undecodable input is returned unchanged."""
+    return decode_label_udf()(label)
 
 
 def decoded_labels(hosts: DataFrame, host: str = "host") -> DataFrame:

@@ -74,7 +74,7 @@ def _by_length(left: list[str], right: list[str], chunk: int = 4096):
         yield order[i:i + chunk]
 
 
-def jaro_winkler(left: Column, right: Column) -> Column:
+def jaro_winkler_udf():
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
         xs, ys = x.fillna("").tolist(), y.fillna("").tolist()
@@ -83,7 +83,11 @@ def jaro_winkler(left: Column, right: Column) -> Column:
             out[idx] = jaro_batch([xs[i] for i in idx], [ys[i] for i in idx])[1]
         return pd.Series(out)
 
-    return run(left, right)
+    return run
+
+
+def jaro_winkler(left: Column, right: Column) -> Column:
+    return jaro_winkler_udf()(left, right)
 
 
 def best_jaro(label: Column, brands: list[str]) -> Column:
@@ -104,11 +108,14 @@ def best_jaro(label: Column, brands: list[str]) -> Column:
     return run(label)
 
 
-def sequence_ratio(left: Column, right: Column) -> Column:
-    """Ratcliff-Obershelp ratio of two strings."""
-
+def sequence_ratio_udf():
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([SequenceMatcher(None, a or "", b or "").ratio() for a, b in zip(x, y)], dtype="float64")
 
-    return run(left, right)
+    return run
+
+
+def sequence_ratio(left: Column, right: Column) -> Column:
+    """Ratcliff-Obershelp ratio of two strings."""
+    return sequence_ratio_udf()(left, right)

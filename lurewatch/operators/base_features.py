@@ -164,9 +164,8 @@ def brand_impersonation(parts: DataFrame, brand_domains: DataFrame, literal_max:
     """The same features for a brand table of any size, computed once per distinct authority and joined back."""
     hosts = parts.select("netloc").distinct().withColumn("low", F.lower("netloc"))
     hits = containment_hits(hosts, "low", brand_domains, "brand", literal_max)
-    doms = sized_broadcast(brand_domains.groupBy("brand").agg(F.collect_set("domain").alias("domains")))
-    hits = hits.join(doms, "brand").withColumn(
-        "legit", F.exists("domains", lambda x: F.endswith(F.col("low"), x)))
+    hits = hits.join(sized_broadcast(brand_domains), "brand").groupBy("netloc", "low", "brand").agg(
+        F.max(F.endswith("low", "domain")).alias("legit"))
     hit, sub, hyp = _impersonation_parts(F.col("brand"), F.col("legit"))
     per = hits.groupBy("netloc").agg(
         F.sum(F.when(hit, 0.5).otherwise(0.0) + F.when(sub, 0.3).otherwise(0.0) + F.when(hyp, 0.2).otherwise(0.0)).alias("s"),

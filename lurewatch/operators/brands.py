@@ -166,7 +166,12 @@ def severity(score: Column) -> Column:
 
 def lookalike_hosts(parts: DataFrame, brands: DataFrame) -> DataFrame:
     """Best imitated brand per host: ``host, label, brand, technique, score, severity`` (detected hosts only)."""
-    hosts = materialize(usable_label(parts).select("host", F.col("host_label").alias("label")).distinct())
+    hosts = usable_label(parts).select("host", F.col("host_label").alias("label")).distinct()
+    return lookalikes_of(materialize(hosts), brands)
+
+
+def lookalikes_of(hosts: DataFrame, brands: DataFrame) -> DataFrame:
+    """The same for a (materialised) table of distinct ``host, label``."""
     by_label = best_brand_per_label(hosts.select("label").distinct(), brands)
     by_host = homograph_matches(hosts, brands).groupBy("host").agg(F.min("brand").alias("h_brand"))
     out = hosts.join(by_label, "label", "left").join(by_host, "host", "left")
@@ -180,8 +185,10 @@ def lookalike_hosts(parts: DataFrame, brands: DataFrame) -> DataFrame:
 
 def imitated_brands(parts: DataFrame, brands: DataFrame) -> DataFrame:
     """Which brands are imitated, how, and how often: ``technique, brand, n_urls, n_seen``."""
-    seen = parts.groupBy("host").agg(F.count(F.lit(1)).alias("n_urls"), F.sum("n_seen").alias("n_seen"))
-    return (lookalike_hosts(parts, brands).join(seen, "host").groupBy("technique", "brand")
+    # one pass over the URLs; everything after it works on distinct hosts
+    seen = materialize(usable_label(parts).groupBy("host", F.col("host_label").alias("label")).agg(
+        F.count(F.lit(1)).alias("n_urls"), F.sum("n_seen").alias("n_seen")))
+    return (lookalikes_of(seen.select("host", "label"), brands).join(seen.drop("label"), "host").groupBy("technique", "brand")
             .agg(F.sum("n_urls").alias("n_urls"), F.sum("n_seen").alias("n_seen")))
 
 

@@ -38,7 +38,7 @@ def containment_hits(texts: DataFrame, text: str, terms: DataFrame, term: str,
         hits = F.filter(F.array(*[F.lit(t) for t in listed]), lambda t: F.contains(F.col(text), t))
         return texts.withColumn(term, F.explode(hits))
     keyed = texts.withColumn(term, F.explode(substrings(F.col(text), term_lengths(terms, term))))
-    return keyed.join(sized_broadcast(terms.select(term).distinct()), term)
+    return keyed.join(sized_broadcast(terms.select(term).distinct(), probe=terms), term)
 
 
 def containment_weights(texts: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:

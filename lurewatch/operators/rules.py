@@ -204,7 +204,7 @@ def signature_score(parts: DataFrame, known_bad: DataFrame | None = None) -> Dat
                           + kw + structure).alias("score"))
     scored = settle(scored, ["keyword_points", "structure_points", "score"])
     if known_bad is not None:
-        bad = sized_broadcast(known_bad.select("url_hash").distinct().withColumn("known", F.lit(True)))
+        bad = sized_broadcast(known_bad.select("url_hash").distinct().withColumn("known", F.lit(True)), probe=known_bad)
         scored = scored.withColumn("url_hash", url_hash(F.col("url"))).join(bad, "url_hash", "left").withColumn(
             "score", F.when(F.col("known"), F.lit(100)).otherwise(F.col("score")))
     s = F.col("score")

@@ -78,3 +78,13 @@ def _jw(spark, sf):
 def _ratio(spark, sf):
     pairs = _name_pairs(spark, sf)
     return pairs.withColumn("ratio", S.sequence_ratio(F.col("label"), F.col("brand")))
+
+
+@query("sql_functions")
+def _sql(spark, sf):
+    """The SQL surface: generated names of the brands and their similarity, through registered functions."""
+    from lurewatch.functions.register import register_functions
+
+    register_functions(spark)
+    return spark.sql("""SELECT brand, kind, position, variant, jaro_winkler(brand, variant) AS similarity, url_hash(variant) AS hash
+        FROM {brands} b LATERAL VIEW inline(lookalike_names(brand)) v AS kind, position, variant""", brands=fx.brands(spark, sf))

@@ -36,13 +36,15 @@ def build_session(app: str = "lurewatch", master: str | None = None, **conf: str
     return b.getOrCreate()
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, probe: DataFrame | None = None) -> DataFrame:
     """Hint a broadcast only when a limited count proves the side is small.
 
-    Beyond ``max_rows`` the frame is returned as is, and the join falls back to
-    a shuffled join (with AQE skew splitting).
+    ``probe`` is a cheaper frame with at least as many rows (the input of a
+    ``distinct``, say): its limited count stops after ``max_rows``.  Beyond the
+    bound the frame is returned as is, and the join falls back to a shuffled
+    join (with AQE skew splitting).
     """
-    n = df.limit(max_rows + 1).count()
+    n = (df if probe is None else probe).limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
 
 
