@@ -16,7 +16,7 @@ def _map(pairs: dict[str, str]) -> str:
 def register_functions(spark: SparkSession) -> None:
     """Register ``jaro_winkler``, ``sequence_ratio``, ``decode_label``, ``url_hash`` and ``lookalike_names(brand)``.
 
-    The last returns an array of rows: ``FROM t LATERAL VIEW inline(lookalike_names(brand)) v``.
+    The last returns an array of rows: ``FROM (SELECT lookalike_names(brand) AS vs FROM t) LATERAL VIEW inline(vs) v``.
     """
     spark.udf.register("jaro_winkler", jaro_winkler_udf())
     spark.udf.register("sequence_ratio", sequence_ratio_udf())

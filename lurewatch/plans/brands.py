@@ -87,4 +87,4 @@ def _sql(spark, sf):
 
     register_functions(spark)
     return spark.sql("""SELECT brand, kind, position, variant, jaro_winkler(brand, variant) AS similarity, url_hash(variant) AS hash
-        FROM {brands} b LATERAL VIEW inline(lookalike_names(brand)) v AS kind, position, variant""", brands=fx.brands(spark, sf))
+        FROM (SELECT brand, lookalike_names(brand) AS vs FROM {brands}) b LATERAL VIEW inline(vs) v AS kind, position, variant""", brands=fx.brands(spark, sf))
