@@ -20,8 +20,8 @@ EVIDENCE = {
     ("sandbox", "malicious"): (10, 0.90), ("sandbox", "high_score"): (5, 0.80),
 }
 LAYERS = ["domain", "lookalike", "model", "pattern", "features", "signatures", "community", "safe_browsing", "scanners", "sandbox"]
-# Threat-score layers -> weight
-LAYER_WEIGHTS = {"model": 0.4, "services": 0.3, "safe_browsing": 0.2, "indicators": 0.1}
+# Threat-score layers -> weight in tenths (whole numbers keep the sums independent of row order)
+LAYER_WEIGHTS = {"model": 4, "services": 3, "safe_browsing": 2, "indicators": 1}
 
 
 def evidence_points(evidence: DataFrame) -> DataFrame:
@@ -67,7 +67,7 @@ def weighted_threat(layers: DataFrame) -> DataFrame:
     g = layers.withColumn("w", F.try_element_at(w, F.col("layer"))).where(F.col("w").isNotNull() & F.col("score").isNotNull()).groupBy("url_id").agg(
         F.coalesce(F.try_divide(F.sum(F.col("w") * F.col("score")), F.sum("w")), F.lit(0.0)).alias("t"), F.sum("w").alias("w"))
     t = F.round("t", 6)
-    return g.select("url_id", F.round("t", 1).alias("threat_score"), F.least(F.round("w", 2), F.lit(1.0)).alias("confidence"),
+    return g.select("url_id", F.round("t", 1).alias("threat_score"), F.least(F.col("w") / 10, F.lit(1.0)).alias("confidence"),
                     F.when(t >= 70, "dangerous").when(t >= 50, "suspicious").when(t >= 30, "questionable")
                     .when(t >= 10, "low_risk").otherwise("safe").alias("verdict"))
 

@@ -78,7 +78,7 @@ SELECT url_id, CASE WHEN risk_score >= 30 THEN 1 ELSE CAST(c >= 0.3 AS BIGINT) E
 l AS (SELECT url_id, 'indicators' AS layer, CAST({OR.points(*[(c, x) for c, x, _ in OR.IND])} AS DOUBLE) AS score FROM p UNION ALL SELECT url_id, 'model', CAST(length(url) % 101 AS DOUBLE) FROM p
   UNION ALL SELECT url_id, 'services', CAST(length(host) * 7 % 101 AS DOUBLE) FROM p WHERE url_id % 3 = 0),
 g AS (SELECT url_id, sum(w * score) / sum(w) AS t, sum(w) AS w FROM l JOIN w USING (layer) GROUP BY url_id)
-SELECT url_id, round(t, 1) AS threat_score, least(round(w, 2), 1.0) AS confidence, CASE WHEN round(t, 6) >= 70 THEN 'dangerous' WHEN round(t, 6) >= 50 THEN 'suspicious' WHEN round(t, 6) >= 30 THEN 'questionable' WHEN round(t, 6) >= 10 THEN 'low_risk' ELSE 'safe' END AS verdict FROM g""",
+SELECT url_id, round(t, 1) AS threat_score, CAST(least(w / 10, 1.0) AS DOUBLE) AS confidence, CASE WHEN round(t, 6) >= 70 THEN 'dangerous' WHEN round(t, 6) >= 50 THEN 'suspicious' WHEN round(t, 6) >= 30 THEN 'questionable' WHEN round(t, 6) >= 10 THEN 'low_risk' ELSE 'safe' END AS verdict FROM g""",
     "pair_comparison": f"""WITH {PATTERN_ONLY}, pr AS (SELECT url_id AS left_id, url_id + 1 AS right_id FROM corpus WHERE url_id % 2 = 0)
 SELECT left_id, right_id, a.risk_score AS left_risk, a.verdict AS left_verdict, b.risk_score AS right_risk, b.verdict AS right_verdict,
  CASE WHEN a.risk_score < b.risk_score THEN 'left' WHEN b.risk_score < a.risk_score THEN 'right' ELSE 'same' END AS safer FROM pr JOIN pat a ON a.url_id = left_id JOIN pat b ON b.url_id = right_id""",
