@@ -18,7 +18,7 @@ from lurewatch.functions import variants as V
 from lurewatch.functions.similarity import jaro_winkler
 from lurewatch.operators.containment import containment_hits, substrings, term_lengths
 from lurewatch.operators.parts import usable_label
-from lurewatch.session import bounded_values, materialize, sized_broadcast
+from lurewatch.session import bounded_values, materialize, settle, sized_broadcast
 
 # Technique scores and the detection threshold
 SCORES = {"omission": 0.95, "insertion": 0.90, "substitution": 0.92, "transposition": 0.93, "homophone": 0.85,
@@ -132,7 +132,7 @@ def scored_pairs(labels: DataFrame, brands: DataFrame) -> DataFrame:
     pairs = compare_labels(labels, brands)
     # pairs with a technique enter the similarity function as NULL and cost nothing there
     similar = jaro_winkler(F.when(F.col("technique").isNull(), F.col("label")), F.col("brand")) * SIMILARITY_WEIGHT
-    return pairs.withColumn("sim", similar).where(F.col("technique").isNotNull() | (F.col("sim") >= DETECTION)).select(
+    return settle(pairs.withColumn("sim", similar), ["sim"]).where(F.col("technique").isNotNull() | (F.col("sim") >= DETECTION)).select(
         "label", "brand", F.coalesce("technique", F.lit("high_similarity")).alias("technique"),
         F.coalesce("score", "sim").alias("score"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lurewatch import refdata
 from lurewatch.functions.urlparts import add_host_parts, split_url
+from lurewatch.session import settle
 
 HOST_NOT_NAME = r"^([0-9]{1,3}\.){3}[0-9]{1,3}$|^\[.*\]$"
 
@@ -31,7 +32,8 @@ def url_parts(urls: DataFrame, suffixes: DataFrame | list[str] | None = None) ->
 
 def usable_label(parts: DataFrame) -> DataFrame:
     """Rows whose host has a brand-comparable label (a dotted, non-IP host)."""
-    return parts.where((F.col("host_label") != "") & F.col("host").contains(".") & ~F.col("host").rlike(HOST_NOT_NAME))
+    # the host is derived by several regular expressions: evaluate it once, not once per predicate
+    return settle(parts, ["host", "host_label"]).where((F.col("host_label") != "") & F.col("host").contains(".") & ~F.col("host").rlike(HOST_NOT_NAME))
 
 
 def labels_of(parts: DataFrame) -> DataFrame:
