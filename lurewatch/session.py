@@ -67,9 +67,12 @@ def shared_dir(spark: SparkSession) -> str:
     A temporary directory is used only where nothing is configured (local tests).
     """
     sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lurewatch-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+        if configured is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="lurewatch-"))
+    return configured or sc.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from lurewatch import refdata as R
 from lurewatch.operators.brands import SCORES
-from oracles.common import BRANDS, KNOWN, arr, has_any, lit, parts_cte
+from oracles.common import BRANDS, KNOWN, has_any, lit, parts_cte
 
 RULES = [(s, d) for s, ds in R.HOMOPHONES.items() for d in ds.split()]
 HOMOPHONE = " OR ".join(f"(contains(b, '{s}') AND replace(b, '{s}', '{d}') = l)" for s, d in RULES)
@@ -84,4 +84,3 @@ SELECT b AS brand, ['omission', 'keyboard', 'doubling', 'swap', 'lookalike'][kin
 SELECT l AS label, brand, round(jaro_winkler_similarity(l, brand), 6) AS score FROM labels CROSS JOIN brand
 WHERE levenshtein(l, brand) > 2 AND jaro_winkler_similarity(l, brand) >= 0.9333333334""",
 }
-del arr

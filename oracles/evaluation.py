@@ -7,7 +7,7 @@ from lurewatch.plans import fixtures as fx
 from lurewatch.plans.evaluation import FEATURES
 from oracles import brands as OB
 from oracles import rules as OR
-from oracles.common import CORPUS, KNOWN, arr, parts_cte
+from oracles.common import CORPUS, KNOWN, parts_cte
 from oracles.features import LEXICAL
 
 T = {"labels": "labels", "documents": "documents", "events": "events"}
@@ -83,4 +83,3 @@ SELECT url_id, round(t, 1) AS threat_score, CAST(least(w / 10, 1.0) AS DOUBLE) A
 SELECT left_id, right_id, a.risk_score AS left_risk, a.verdict AS left_verdict, b.risk_score AS right_risk, b.verdict AS right_verdict,
  CASE WHEN a.risk_score < b.risk_score THEN 'left' WHEN b.risk_score < a.risk_score THEN 'right' ELSE 'same' END AS safer FROM pr JOIN pat a ON a.url_id = left_id JOIN pat b ON b.url_id = right_id""",
 }
-del arr

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lurewatch import refdata as R
-from oracles.common import (CORPUS, KNOWN, arr, chars, count_of, count_re, ends_any, entropy, flag, has_any, hits, lit,
+from oracles.common import (KNOWN, arr, chars, count_of, count_re, ends_any, entropy, flag, has_any, hits, lit,
                             longest, parts_cte, ratio, select_features, total_len)
 
 DIGITS, LETTERS = count_re("url", r"\p{Nd}"), count_re("url", r"\p{L}")
@@ -131,4 +131,3 @@ SELECT url_id, CAST(length(url) AS VARCHAR) || ' characters' AS url_length_text,
  CAST({hits('lower(url)', R.BASE_KEYWORDS)} AS BIGINT) AS suspicious_keywords, round(ent, 2) AS url_entropy,
  CASE WHEN {STRUCTURAL['has_ip_address'][1]} = 1 THEN 'Yes' ELSE 'No' END AS has_ip FROM e""",
 }
-del CORPUS
