@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lurewatch.llm import line_dedup, mixing
 from lurewatch.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_source_mixing": mixing.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
 
 
 def query(fn):
@@ -23,3 +24,39 @@ def op2_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lurewatch.llm.signature_join import signature_components
 
     return signature_components(documents(spark, sf_dir), n=3, pct=90)
+
+
+@query
+def op1_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, line labels by a conditional random field, and whether the document is kept."""
+    from lurewatch.llm.line_quality import fit_on_labels, judge_documents
+
+    docs = documents(spark, sf_dir)
+    return judge_documents(docs, fit_on_labels(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+@query
+def op3_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight shards by weighted hash draws down a tree, and where each row goes with a ninth."""
+    from lurewatch.llm.hash_tree import SHARDS, layout, shard_documents
+
+    return shard_documents(documents(spark, sf_dir), layout(SHARDS), layout(SHARDS + 1))
+
+
+@query
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes from each document."""
+    from lurewatch.llm.mixing import mix_sources
+
+    return mix_sources(documents(spark, sf_dir)).drop("source_name")
+
+
+@query
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines before, lines dropped and a digest of what stays, per document."""
+    from pyspark.sql import functions as F
+
+    from lurewatch.llm.line_dedup import dedup_lines
+
+    out = dedup_lines(documents(spark, sf_dir))
+    return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
