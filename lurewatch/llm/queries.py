@@ -6,11 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lurewatch.llm import line_dedup, mixing
+from lurewatch.llm import line_dedup, mixing, topk
 from lurewatch.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op4_source_mixing": mixing.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op4_source_mixing": mixing.ORACLE, "op5_uniform_threshold_topk": topk.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
+
+
+def tokenizer_path(name: str) -> str:
+    """Path of a public tokenizer's file (installed on every machine)."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def query(fn):
@@ -60,3 +67,44 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = dedup_lines(documents(spark, sf_dir))
     return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op5_uniform_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest inner products for every hundredth vector."""
+    from lurewatch.llm.topk import integer_vectors, top_k
+
+    rows = integer_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return top_k(rows, rows.where("vec_id % 100 = 0"))
+
+
+@query
+def op6_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word unigram base score and marginal subword lattice score of every document."""
+    from lurewatch.llm.lattice_lm import score_documents
+
+    return score_documents(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases, labels and expressions of every document."""
+    from lurewatch.llm.license_scan import scan_licenses
+
+    return scan_licenses(documents(spark, sf_dir))
+
+
+@query
+def op9_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents in sequences of at most 4096 tokens."""
+    from lurewatch.llm.packing import best_fit
+
+    return best_fit(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
+
+
+@query
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document."""
+    from lurewatch.llm.secret_scan import scan_secrets
+
+    return scan_secrets(documents(spark, sf_dir))
