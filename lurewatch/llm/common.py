@@ -80,17 +80,18 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     node (combined before the shuffle) and an equi join that Spark can split when a hub is hot; no neighbour list is
     ever gathered.  Every round is written to the shared folder.
     """
-    e = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct()
+    e = stored(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct(), "edges")
     mark = None
     while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.withColumnRenamed("m", "v"))
-        e = stored(small.where("u <> v").distinct(), "stars")
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("u")).first()
-        if now[0] == now[2] and tuple(now) == mark:
+        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == mark or not now[0]:
             break
-        mark = tuple(now)
+        mark = now
+        # large star: the larger end of an edge goes to the least neighbour of the smaller end
+        low = e.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "v")
+        large = e.join(low, "v", "left").select("u", F.coalesce("m", "v").alias("v"))
+        # small star: a node and its smaller neighbours go to the least of them
+        near = large.groupBy("u").agg(F.min("v").alias("m"))
+        ends = F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
+        e = stored(large.join(near, "u").select(ends.alias("e")).select("e.*").where("u <> v").distinct(), "stars")
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

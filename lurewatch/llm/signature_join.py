@@ -188,8 +188,8 @@ class SignatureTree:
         return (most * (100 + pct) >= pct * (lo[i] + lo[j])) & (100 * hi[i] >= pct * lo[j]) & (100 * hi[j] >= pct * lo[i])
 
 
-def tree_links(sets: list[np.ndarray], bits: np.ndarray, on: np.ndarray, pct: int, labels: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Verified links that connect, together with ``labels``, exactly what all links of the sets connect."""
+def tree_links(sets: list[np.ndarray], bits: np.ndarray, on: np.ndarray, pct: int, labels: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Verified links that connect, together with ``labels``, exactly what all links of the sets connect; and each set's component."""
     sizes = np.array([len(s) for s in sets], np.int64)
     band = np.floor(np.log(np.maximum(sizes, 1)) / np.log(100 / pct)).astype(np.int64)
     order = np.lexsort((sizes, np.array([s[0] for s in sets], np.uint64), band))
@@ -231,32 +231,38 @@ def tree_links(sets: list[np.ndarray], bits: np.ndarray, on: np.ndarray, pct: in
                 root[root == root[j[0]]] = root[i[0]]
             left = root[i[1:]] != root[j[1:]]
             i, j = i[1:][left], j[1:][left]
-    return links
+    component = np.empty(len(sets), np.int64)
+    component[order] = root
+    return links, component
 
 
-def _group_links(pct: int, labelled: bool):
-    """Arrow batches sorted by grp -> verified links (u, v) of document ids."""
+def _group_links(pct: int, labelled: bool, whole: bool):
+    """Arrow batches sorted by grp -> verified links (u, v); where a group is whole, each id with its smallest linked id."""
 
     def run(batches):
         for t in in_groups(batches, "grp"):
             ids = t["id"].to_numpy()
-            _, first = np.unique(ids, return_index=True)
+            ids, first = np.unique(ids, return_index=True)
             if len(first) < 2:
                 continue
             raw = t["tokens"].to_pylist()
             sets = [np.frombuffer(raw[i], np.uint64) for i in first]
             bits = np.stack([t[f"b{k}"].to_numpy()[first] for k in range(WORDS64)], axis=1)
-            links = tree_links(sets, bits, t["bits"].to_numpy()[first], pct, t["label"].to_numpy()[first] if labelled else None)
+            links, component = tree_links(sets, bits, t["bits"].to_numpy()[first], pct, t["label"].to_numpy()[first] if labelled else None)
             if links:
-                a = np.array(links)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[first][a[:, 0]]), pa.array(ids[first][a[:, 1]])], names=["u", "v"])
+                if whole:  # ids are sorted: the first of a component is its smallest
+                    _, least, inverse = np.unique(component, return_index=True, return_inverse=True)
+                    u, v = ids, ids[least][inverse]
+                else:
+                    u, v = (ids[list(x)] for x in zip(*links, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(u[u != v]), pa.array(v[u != v])], names=["u", "v"])
 
     return run
 
 
-def _links_by(rows: DataFrame, pct: int, labelled: bool = False) -> DataFrame:
+def _links_by(rows: DataFrame, pct: int, labelled: bool = False, whole: bool = False) -> DataFrame:
     cols = ["grp", "id", "bits", "tokens", *[f"b{i}" for i in range(WORDS64)], *(["label"] if labelled else [])]
-    return rows.select(*cols).repartition("grp").sortWithinPartitions("grp").mapInArrow(_group_links(pct, labelled), "u long, v long")
+    return rows.select(*cols).repartition("grp").sortWithinPartitions("grp").mapInArrow(_group_links(pct, labelled, whole), "u long, v long")
 
 
 def _cut(sets: DataFrame, keys: list[str], pct: int, block_sets: int, block_tokens: int) -> DataFrame:
@@ -309,10 +315,9 @@ def signature_components(df: DataFrame, n: int = 5, pct: int = 80, id_col: str =
     sets = stored(sets, "sets")
     sums = sets.groupBy("grp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t"))
     large = stored(sums.where((F.col("c") > block_sets) | (F.col("t") > block_tokens)).select("grp"), "large")
-    links = _links_by(sets.join(large, "grp", "left_anti"), pct)
+    linked = _links_by(sets.join(large, "grp", "left_anti"), pct, whole=True).toDF("id", "component")
     if not large.isEmpty():
-        links = links.unionByName(_large_group_links(sets.join(large, "grp"), pct, block_sets, block_tokens))
-    linked = components(stored(links, "links"))
+        linked = linked.unionByName(components(_large_group_links(sets.join(large, "grp"), pct, block_sets, block_tokens)))
     named = classes.join(linked, classes.rep == linked.id, "left").select("hi", "lo", F.coalesce("component", "rep").alias("component_id"))
     out = members.join(named, ["hi", "lo"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
