@@ -148,7 +148,8 @@ def score_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", te
     used = {r.piece: r.c for r in piece_counts(counts, model_file).collect()}  # at most one row per piece of the vocabulary
     top = counts.orderBy(F.desc("c"), "word").limit(hot_words).toArrow()
     hot = dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True))
-    ends = hot.get(END, 0)
+    ends = next((r.c for r in counts.where(F.col("word") == F.lit(END)).collect()), 0)
+    hot |= {END: ends} if ends else {}
     model = spark.sparkContext.broadcast((piece_scores(model_file, used, ends), hot))
     unit = math.log10(n + v + 1) if n + v else 0.0
 

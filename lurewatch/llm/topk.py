@@ -49,6 +49,11 @@ def _scores(q: np.ndarray, r: np.ndarray) -> np.ndarray:
     return whole(q).dot(whole(r).T)
 
 
+def _as_double(scores: np.ndarray) -> np.ndarray:
+    """Scores for choosing candidates: whole numbers beyond a double's range are cut to that of a long."""
+    return scores if scores.dtype != object else np.array([_longs(row) for row in scores], np.float64).reshape(scores.shape)
+
+
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Indices of the k highest scores, ties to smaller ids."""
     if scores.dtype == object:
@@ -79,7 +84,7 @@ def _gather(k: int, segments: int):
                 part = q[at : at + STEP // 4]
                 own = queries["vec_id"].to_numpy()[at : at + STEP // 4]
                 n = min(k + 1, len(ids))  # one more, as the query's own row may be among them
-                chosen = [np.argpartition(-_scores(part[:, a:b], r[:, a:b]).astype(np.float64), n - 1, axis=1)[:, :n] for a, b in zip(cuts, cuts[1:], strict=False)]
+                chosen = [np.argpartition(-_as_double(_scores(part[:, a:b], r[:, a:b])), n - 1, axis=1)[:, :n] for a, b in zip(cuts, cuts[1:], strict=False)]
                 total = _scores(part, r)
                 for i, qid in enumerate(own):
                     c = np.unique(np.concatenate([x[i] for x in chosen]))
