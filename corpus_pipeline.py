@@ -33,8 +33,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that three or more documents hold stay in one of them; a document left without any word goes."""
-    return _with_length(dedup_lines(docs).where(F.regexp_like("text", F.lit("[^\\x20\\x09-\\x0D]"))).drop("__n_lines", "__n_dropped"))
+    """Lines that three or more documents hold stay in one of them; every document stays, if need be with an empty text."""
+    return _with_length(dedup_lines(docs).drop("__n_lines", "__n_dropped"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

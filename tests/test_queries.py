@@ -6,10 +6,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from lurewatch.plans import load_all
+from oracles import all_oracles
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-ORACLES = entry.oracle_sql()
+ORACLES, QUERIES = all_oracles(), load_all()
 SLOW = {"models_fast", "models_full", "soft_vote_metrics", "scored_urls"}
 
 
@@ -28,12 +30,12 @@ def rows(cols, data):
 
 
 def test_registry_is_consistent():
-    assert set(ORACLES) <= set(entry.queries()) and len(entry.queries()) > 100
+    assert set(ORACLES) <= set(QUERIES) <= set(entry.queries()) and len(QUERIES) > 100
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
 def test_query(spark, duck, name):
-    df = entry.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     got = rows(df.columns, [tuple(r) for r in df.collect()])
     if name in ORACLES:
         cur = duck.execute(ORACLES[name])
