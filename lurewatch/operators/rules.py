@@ -95,8 +95,8 @@ def pattern_score(parts: DataFrame) -> DataFrame:
     base = parts.select("url_id", "url", "scheme", F.lower("netloc").alias("d"), F.lower("path").alias("p"),
                         F.lower("url").alias("u"))
     d, p, u = F.col("d"), F.col("p"), F.col("u")
-    keywords = refdata.weighted(refdata.PATTERN_KEYWORDS)
-    tlds = refdata.weighted(refdata.PATTERN_TLDS)
+    keywords = refdata.PATTERN_KEYWORDS
+    tlds = refdata.PATTERN_TLDS
     base = base.withColumns({
         "first": F.substring_index(d, ".", 1), "n_lab": X.count_of(d, ".") + 1, "hyphens": X.count_of(d, "-"),
         "brand": first_of({b: f"contains(d, '{b}') OR contains(p, '{b}')" for b in refdata.PATTERN_BRANDS}),
@@ -184,7 +184,7 @@ def signature_score(parts: DataFrame, known_bad: DataFrame | None = None) -> Dat
     """
     base = parts.select("url_id", "url", F.lower("netloc").alias("d"), F.lower("path").alias("p"), F.lower("url").alias("u"))
     d, p, u = F.col("d"), F.col("p"), F.col("u")
-    kws = [(k, int(round(w * 100))) for k, w in refdata.weighted(refdata.SIGNATURE_KEYWORDS)]
+    kws = [(k, int(round(w * 100))) for k, w in refdata.SIGNATURE_KEYWORDS]
     base = base.withColumns({
         "n_rules": reduce(lambda a, b: a + b, [X.flag(u.rlike(r)) for _, r in refdata.SIGNATURE_REGEXES]),
         "n_substrings": X.hits_of("u", refdata.SIGNATURE_SUBSTRINGS), "brand": signature_brand("d"),

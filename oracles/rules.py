@@ -45,7 +45,7 @@ GARBAGE_SQL = f"""g AS (SELECT *, (is_ip OR list_contains({arr(R.VALID_TLDS)}, t
   CASE WHEN {DL} = '' THEN 100 ELSE {points(*[(c, w) for c, w, _ in GARBAGE])} END AS garbage_score,
   CASE WHEN {DL} = '' THEN 'empty_domain' ELSE {codes(*[(c, k) for c, _, k in GARBAGE])} END AS garbage_reasons FROM p)"""
 
-KW = R.weighted(R.PATTERN_KEYWORDS)
+KW = R.PATTERN_KEYWORDS
 REPEAT = "regexp_matches(u, '" + "|".join(f"{c}{{4,}}" for c in "abcdefghijklmnopqrstuvwxyz") + "')"
 
 
@@ -58,7 +58,7 @@ s0 AS (SELECT url_id, scheme, lower(netloc) AS d, lower(path) AS pt, lower(url)
 s1 AS (SELECT *, string_split(d, '.')[1] AS f, len(string_split(d, '.')) AS n_lab, {count_of('d', '-')} AS hy,
   list_filter({arr(R.PATTERN_BRANDS)}, lambda b: contains(d, b) OR contains(pt, b))[1] AS brand,
   list_filter({_struct_list(KW)}, lambda k: contains(u, k.t)) AS ks,
-  coalesce(list_filter({_struct_list(R.weighted(R.PATTERN_TLDS))}, lambda k: ends_with(d, '.' || k.t))[1].w, 0) AS tr,
+  coalesce(list_filter({_struct_list(R.PATTERN_TLDS)}, lambda k: ends_with(d, '.' || k.t))[1].w, 0) AS tr,
   CASE WHEN len(string_split(d, '.')) > 2 THEN array_to_string(string_split(d, '.')[1:len(string_split(d, '.')) - 2], '.') ELSE '' END AS sub FROM s0),
 s2 AS (SELECT *, len(ks) AS n_kw, coalesce(list_sum(list_transform(ks, lambda k: k.w)), 0) AS kw, coalesce(contains(f, brand), false) AS inf, pt NOT IN ('', '/') AS rp,
   coalesce(contains(d, brand) AND d <> brand || '.com' AND d <> 'www.' || brand || '.com', false) AS ind,
@@ -86,7 +86,7 @@ s4 AS (SELECT *, br + kw + CASE WHEN n_kw >= 3 THEN 10 ELSE 0 END + CASE WHEN hy
 pat AS (SELECT url_id, brand, CAST(n_kw AS BIGINT) AS n_keywords, CAST(least(s, 100) AS BIGINT) AS risk_score, s >= 15 AS is_suspicious, round(least(s / 50.0, 1.0), 6) AS confidence,
   array_to_string(rs[1:5], '|') AS reasons, rs, CASE WHEN s >= 50 THEN 'EXTREMELY_SUSPICIOUS' WHEN s >= 30 THEN 'HIGHLY_SUSPICIOUS' WHEN s >= 15 THEN 'SUSPICIOUS' WHEN s >= 10 THEN 'QUESTIONABLE' ELSE 'LOW_RISK' END AS verdict FROM s4)"""
 
-SKW = [(k, round(w * 100)) for k, w in R.weighted(R.SIGNATURE_KEYWORDS)]
+SKW = [(k, round(w * 100)) for k, w in R.SIGNATURE_KEYWORDS]
 URLHASH = "sha256(regexp_replace(lower(trim(url, ' ')), '/$', ''))"
 
 
@@ -143,11 +143,11 @@ ULTRA_CODES = codes(
         (UL.BEHAVIOUR, "account_threat", "account_threat"))])
 IMP = FE.ORACLES["brand_impersonation_defaults"]
 HOM = FE.ORACLES["homograph_features"]
-LEX = [("signature_keyword", t, w) for t, w in R.weighted(R.SIGNATURE_KEYWORDS)]
+LEX = [("signature_keyword", t, w) for t, w in R.SIGNATURE_KEYWORDS]
 FULL_LEX = ([("pattern_keyword", t) for t, _ in KW] + [("signature_keyword", t) for _, t, _ in LEX] + [("signature_substring", t) for t in R.SIGNATURE_SUBSTRINGS]
             + [("finding_keyword", t) for t in R.FINDING_KEYWORDS] + [("combo_keyword", t) for t in R.COMBO_KEYWORDS]
             + [(f"ultra_{f}", t) for f, ts in R.ULTRA_WORDS.items() for t in ts.split()])
-TLDW = dict(R.weighted(R.PATTERN_TLDS))
+TLDW = dict(R.PATTERN_TLDS)
 TLDC = {t: c for c, ts in R.TLD_CATEGORIES.items() for t in ts}
 TLD_ROWS = ", ".join(f"('{t}', '{TLDC.get(t, 'valid' if t in R.VALID_TLDS else 'unknown')}', {TLDW.get(t, 0)}, {str(t in R.VALID_TLDS).lower()})"
                      for t in sorted(set(R.VALID_TLDS) | set(TLDW) | set(R.SIGNATURE_TLDS) | set(R.FINDING_TLDS)))
