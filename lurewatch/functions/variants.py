@@ -38,11 +38,11 @@ def wildcards(s: Column) -> Column:
     return F.transform(positions(s), lambda i: F.concat(i.cast("string"), F.lit(":"), cut(s, i)))
 
 
-def brand_variants(brands: DataFrame, max_variants: int = 100) -> DataFrame:
+def brand_variants(brands: DataFrame) -> DataFrame:
     """Look-alike names of each brand: ``brand, kind, position, variant``.
 
-    Omission, neighbouring key, doubling, swap, digit look-alike; the first
-    ``max_variants`` in (kind, position, variant) order, the brand itself excluded.
+    Omission, neighbouring key, doubling, swap, digit look-alike; each name once, under its first (kind, position), the
+    brand itself excluded.
     """
     b = F.col("brand")
     near = F.create_map(*[F.lit(x) for k, ns in refdata.VARIANT_KEYBOARD.items() for x in (k, ns)])
@@ -67,12 +67,8 @@ def brand_variants(brands: DataFrame, max_variants: int = 100) -> DataFrame:
         F.transform(positions(b, F.length(b) - 1), lambda i: entry(4, i, swap(b, i))), looked)
     rows = brands.select("brand", F.explode(every).alias("e")).select("brand", "e.*").where(F.col("variant") != b)
     first = rows.groupBy("brand", "variant").agg(F.min(F.struct("kind", "position")).alias("at"))
-    # per brand: a bounded list (a few variants per character), sorted and cut
-    ordered = first.groupBy("brand").agg(F.slice(F.sort_array(F.collect_list(
-        F.struct("at.kind", "at.position", "variant"))), 1, max_variants).alias("vs"))
-    kinds = F.element_at(F.array(*[F.lit(k) for k in ("omission", "keyboard", "doubling", "swap", "lookalike")]), F.col("v.kind"))
-    return ordered.select("brand", F.explode("vs").alias("v")).select(
-        "brand", kinds.alias("kind"), F.col("v.position").alias("position"), F.col("v.variant").alias("variant"))
+    kinds = F.element_at(F.array(*[F.lit(k) for k in ("omission", "keyboard", "doubling", "swap", "lookalike")]), F.col("at.kind"))
+    return first.select("brand", kinds.alias("kind"), F.col("at.position").alias("position"), "variant")
 
 
 def bitflip_table(spark: SparkSession) -> DataFrame:

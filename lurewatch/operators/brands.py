@@ -192,7 +192,7 @@ def imitated_brands(parts: DataFrame, brands: DataFrame) -> DataFrame:
             .agg(F.sum("n_urls").alias("n_urls"), F.sum("n_seen").alias("n_seen")))
 
 
-def watch_hits(labels: DataFrame, brands: DataFrame, max_variants: int = 100) -> DataFrame:
+def watch_hits(labels: DataFrame, brands: DataFrame) -> DataFrame:
     """Observed labels that equal a generated variant of a brand."""
-    vs = V.brand_variants(brands, max_variants).withColumnRenamed("variant", "label")
+    vs = V.brand_variants(brands).withColumnRenamed("variant", "label")
     return labels.join(sized_broadcast(vs), "label").select("label", "brand", "kind", "position")

@@ -91,12 +91,12 @@ def union_first_source(*feeds: DataFrame) -> DataFrame:
     return keep_first(out.where(F.col("url") != ""), ["url"], ["_p", "label"]).drop("_p")
 
 
-def www_variants(seeds: DataFrame, first: int = 50, order: str = "rank") -> DataFrame:
-    """Seeds plus the www / non-www form of the first ``first`` of them."""
+def www_variants(seeds: DataFrame, first: int | None = None, order: str = "rank") -> DataFrame:
+    """Seeds plus their www / non-www form (of the first ``first`` by ``order`` where given)."""
     u = F.col("url")
     other = F.when(F.contains(u, F.lit("www.")), F.replace(u, F.lit("www."), F.lit(""))).otherwise(
         F.concat(F.lit("https://www."), F.replace(u, F.lit("https://"), F.lit(""))))
-    head = seeds.orderBy(order).limit(first).select(other.alias("url"), F.lit(True).alias("generated"))
+    head = (seeds if first is None else seeds.orderBy(order).limit(first)).select(other.alias("url"), F.lit(True).alias("generated"))
     return seeds.select("url", F.lit(False).alias("generated")).unionByName(head)
 
 

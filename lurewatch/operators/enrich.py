@@ -53,21 +53,40 @@ def asof_verdicts(requests: DataFrame, cache: DataFrame, ttl: int, slot: int | N
 
 # --- DNS / WHOIS / address snapshots -------------------------------------------
 
-def with_dns(parts: DataFrame, dns: DataFrame) -> DataFrame:
-    """Left join on the registered domain: ``has_a, has_mx, has_ns, exists_in_dns`` (absent = false)."""
-    d = dns.select(F.col("domain").alias("registered_domain"), "has_a", "has_mx", "has_ns")
+def latest_facts(snapshot: DataFrame, as_of: Column | None = None, key: str = "domain") -> DataFrame:
+    """One row per key: the newest one at or before ``as_of`` (all rows count where it is None).
+
+    Snapshots without an ``as_of`` column hold one state, of which repeated rows are dropped.
+    """
+    if "as_of" not in snapshot.columns:
+        return snapshot.dropDuplicates([key])
+    rows = snapshot if as_of is None else snapshot.where(F.col("as_of") <= as_of)
+    facts = [c for c in snapshot.columns if c not in (key, "as_of")]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*facts), "as_of").alias("_f")).select(key, "_f.*")
+
+
+def _spread(parts: DataFrame) -> DataFrame:
+    """Join key of the registered domain; rows without one (IP and nameless hosts) are dealt over many keys that match nothing."""
+    ids = F.col("url_id") if "url_id" in parts.columns else F.lit(0)
+    empty = F.concat(F.lit("#"), F.pmod(F.xxhash64(ids), F.lit(1024)).cast("string"))
+    return parts.withColumn("_domain", F.when(F.coalesce("registered_domain", F.lit("")) == "", empty).otherwise(F.col("registered_domain")))
+
+
+def with_dns(parts: DataFrame, dns: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """Left join on the registered domain: ``has_a, has_mx, has_ns, exists_in_dns`` (absent = false); newest snapshot at ``as_of``."""
+    d = latest_facts(dns, as_of).select(F.col("domain").alias("_domain"), "has_a", "has_mx", "has_ns")
     f = lambda c: F.coalesce(c, F.lit(False)).alias(c)
-    return parts.join(d, "registered_domain", "left").select(
+    return _spread(parts).join(d, "_domain", "left").select(
         *parts.columns, f("has_a"), f("has_mx"), f("has_ns"),
         F.coalesce(F.col("has_a") | F.col("has_mx") | F.col("has_ns"), F.lit(False)).alias("exists_in_dns"))
 
 
 def with_domain_age(parts: DataFrame, whois: DataFrame, as_of: Column) -> DataFrame:
     """Age in days at ``as_of`` and its threat (under 30 days 40, under 180 days 20); an age of 0 counts."""
-    w = whois.select(F.col("domain").alias("registered_domain"), "created")
+    w = latest_facts(whois, as_of).select(F.col("domain").alias("_domain"), "created")
     age = F.datediff(as_of, F.col("created"))
     threat = F.when(age < NEW_DAYS, 40).when(age < YOUNG_DAYS, 20).otherwise(0)
-    return parts.join(w, "registered_domain", "left").select(
+    return _spread(parts).join(w, "_domain", "left").select(
         *parts.columns, age.alias("domain_age_days"), F.when(age.isNotNull(), threat).otherwise(0).alias("age_threat"))
 
 

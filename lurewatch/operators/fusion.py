@@ -34,23 +34,52 @@ def evidence_points(evidence: DataFrame) -> DataFrame:
                            F.coalesce(F.try_element_at(conf, key), own).alias("confidence")).where(F.col("points").isNotNull())
 
 
-def fuse(evidence: DataFrame) -> DataFrame:
-    """Additive fusion, capped at 100: ``threat_level, confidence, is_phishing (nullable), verdict, reasoning``.
+def _verdict(s: Column, confidence: Column, reasoning: Column) -> list[Column]:
+    """Additive score, capped at 100, with bands 15/25/40/60; no evidence at all appears safe at confidence 0.5."""
+    return [
+        F.least(s, F.lit(100)).alias("threat_level"), F.coalesce(confidence, F.lit(0.5)).alias("confidence"),
+        F.when(s >= 25, F.lit(True)).when(s < 15, F.lit(False)).alias("is_phishing"),
+        F.when(s >= 60, "PHISHING_DETECTED").when(s >= 40, "LIKELY_PHISHING").when(s >= 25, "SUSPICIOUS")
+        .when(s >= 15, "QUESTIONABLE").otherwise("APPEARS_SAFE").alias("verdict"), reasoning.alias("reasoning")]
+
 
-    At most one row per layer and URL, so the collected reasoning is bounded by the number of layers.
+def fuse_layers(df: DataFrame) -> DataFrame:
+    """Fusion of one wide row per URL (a column per layer with its outcome, ``<layer>_confidence`` where it has its own).
+
+    A fixed array over the layers, no shuffle: ``url_id, threat_level, confidence, is_phishing (nullable), verdict, reasoning``.
+    """
+    found = []
+    for layer in [x for x in LAYERS if x in df.columns]:
+        own = F.col(f"{layer}_confidence") if f"{layer}_confidence" in df.columns else F.lit(None)
+        pts, conf = F.lit(None).cast("int"), F.lit(None).cast("double")
+        for (name, outcome), (p, c) in EVIDENCE.items():
+            if name == layer:
+                hit = F.col(layer) == outcome
+                pts, conf = F.when(hit, F.lit(p)).otherwise(pts), F.when(hit, F.lit(c) if c is not None else own.cast("double")).otherwise(conf)
+        found.append(F.struct(pts.alias("p"), conf.alias("c"), F.concat_ws(":", F.lit(layer), F.col(layer)).alias("r")))
+    df = df.select("url_id", F.filter(F.array(*found), lambda e: e["p"].isNotNull()).alias("e"))
+    s = F.aggregate("e", F.lit(0), lambda a, e: a + e["p"])
+    sure = F.filter("e", lambda e: e["c"].isNotNull())
+    c = F.try_divide(F.aggregate(sure, F.lit(0.0), lambda a, e: a + e["c"]), F.size(sure))
+    df = df.select("url_id", s.alias("s"), c.alias("c"), F.transform("e", lambda e: e["r"]).alias("rs"))
+    return df.select("url_id", *_verdict(F.col("s"), F.col("c"), F.col("rs")))
+
+
+def fuse(evidence: DataFrame, urls: DataFrame | None = None) -> DataFrame:
+    """Fusion of long evidence: ``threat_level, confidence, is_phishing (nullable), verdict, reasoning``.
+
+    ``urls`` (``url_id``) are all URLs that need a verdict; those without evidence appear safe.  At most one row per
+    layer and URL, so the collected reasoning is bounded by the number of layers.
     """
     e = evidence_points(evidence)
     order = F.array_position(F.array(*[F.lit(x) for x in LAYERS]), F.col("layer"))
     g = e.groupBy("url_id").agg(
         F.sum("points").alias("s"), F.avg("confidence").alias("c"),
         F.sort_array(F.collect_list(F.struct(order.alias("o"), F.concat_ws(":", "layer", "outcome").alias("r")))).alias("rs"))
-    s = F.col("s")
-    return g.select(
-        "url_id", F.least(s, F.lit(100)).alias("threat_level"), F.coalesce("c", F.lit(0.5)).alias("confidence"),
-        F.when(s >= 25, F.lit(True)).when(s < 15, F.lit(False)).alias("is_phishing"),
-        F.when(s >= 60, "PHISHING_DETECTED").when(s >= 40, "LIKELY_PHISHING").when(s >= 25, "SUSPICIOUS")
-        .when(s >= 15, "QUESTIONABLE").otherwise("APPEARS_SAFE").alias("verdict"),
-        F.transform("rs", lambda r: r["r"]).alias("reasoning"))
+    if urls is not None:
+        g = urls.select("url_id").join(g, "url_id", "left")
+    reasons = F.coalesce(F.transform("rs", lambda r: r["r"]), F.array().cast("array<string>"))
+    return g.select("url_id", *_verdict(F.coalesce("s", F.lit(0)), F.col("c"), reasons))
 
 
 def pattern_outcome(risk: Column) -> Column:
@@ -61,11 +90,16 @@ def signature_outcome(is_phishing: Column, risk: Column) -> Column:
     return F.when(is_phishing, "phishing").when(is_phishing.isNull(), "unclear").when(risk >= 20, "minor")
 
 
-def weighted_threat(layers: DataFrame) -> DataFrame:
-    """Weighted mean of layer scores over the completed layers (``url_id, layer, score``), bands 10/30/50/70."""
+def weighted_threat(layers: DataFrame, urls: DataFrame | None = None) -> DataFrame:
+    """Weighted mean of layer scores over the completed layers (``url_id, layer, score``), bands 10/30/50/70.
+
+    ``urls`` without a completed layer score 0 with confidence 0.
+    """
     w = F.create_map(*[F.lit(x) for kv in LAYER_WEIGHTS.items() for x in kv])
     g = layers.withColumn("w", F.try_element_at(w, F.col("layer"))).where(F.col("w").isNotNull() & F.col("score").isNotNull()).groupBy("url_id").agg(
         F.coalesce(F.try_divide(F.sum(F.col("w") * F.col("score")), F.sum("w")), F.lit(0.0)).alias("t"), F.sum("w").alias("w"))
+    if urls is not None:
+        g = urls.select("url_id").join(g, "url_id", "left").fillna(0, ["t", "w"])
     t = F.round("t", 6)
     return g.select("url_id", F.round("t", 1).alias("threat_score"), F.least(F.col("w") / 10, F.lit(1.0)).alias("confidence"),
                     F.when(t >= 70, "dangerous").when(t >= 50, "suspicious").when(t >= 30, "questionable")

@@ -151,7 +151,7 @@ def pattern_score(parts: DataFrame) -> DataFrame:
     s = F.col("raw_score")
     return raw.select(
         "url_id", "brand", "n_keywords", F.least(s, F.lit(100)).alias("risk_score"), (s >= 15).alias("is_suspicious"),
-        F.least(s / 50.0, F.lit(1.0)).alias("confidence"), F.slice("all_reasons", 1, 5).alias("reasons"),
+        F.least(s / 50.0, F.lit(1.0)).alias("confidence"), F.col("all_reasons").alias("reasons"),
         F.when(s >= 50, "EXTREMELY_SUSPICIOUS").when(s >= 30, "HIGHLY_SUSPICIOUS").when(s >= 15, "SUSPICIOUS")
         .when(s >= 10, "QUESTIONABLE").otherwise("LOW_RISK").alias("verdict"))
 

@@ -238,7 +238,7 @@ def complexity() -> dict[str, Column]:
         "balanced_structure": X.flag((F.length(d) > 0) & (F.length(p) < F.length(d) * 3) & (F.length(q) < F.length(d) * 2)),
         "component_count": reduce(lambda a, b: a + b, [X.flag(c != "") for c in comp]),
         "component_diversity": F.size(F.array_distinct(F.array(
-            F.col("scheme"), d, F.substring(p, 1, 20), F.substring(q, 1, 20)))),
+            F.col("scheme"), d, p, q))),
     }
 
 

@@ -48,7 +48,7 @@ def _imitated(spark, sf):
 
 @query("brand_watch")
 def _watch(spark, sf):
-    return B.watch_hits(corpus_labels(spark, sf), fx.brands(spark, sf), 1000)
+    return B.watch_hits(corpus_labels(spark, sf), fx.brands(spark, sf))
 
 
 @query("brand_variants")

@@ -64,7 +64,7 @@ def _ranked(spark, sf):
     fx.table(spark, sf, "orders").select(
         (F.col("o_orderkey") + 1).alias("rank"), F.concat(F.lit("site"), F.col("o_custkey").cast("string"), F.lit(".com")).alias("domain")
     ).write.csv(path)
-    return feeds.read_ranked_domains(spark, path)
+    return feeds.first_ranked(feeds.read_ranked_domains(spark, path), 10_000)
 
 
 def _lifecycle_rows(spark, sf):
@@ -141,13 +141,13 @@ def _common_set(spark, sf):
 
 @query("supplemented_corpus")
 def _supplement(spark, sf):
-    a = fx.feed_a(spark, sf).where("ord % 400 < 10").select("url", "label")
+    a = fx.feed_a(spark, sf).select("url", "label")
     return C.add_supplement(a, fx.feed_b(spark, sf).select("url", "label")).groupBy("url", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("urls_not_held")
 def _except(spark, sf):
-    held = fx.feed_a(spark, sf).where("ord % 400 < 10")
+    held = fx.feed_a(spark, sf)
     return C.new_urls(fx.feed_b(spark, sf).select("url").distinct(), held)
 
 
@@ -171,7 +171,7 @@ def _first_source(spark, sf):
 
 @query("www_variants")
 def _www(spark, sf):
-    seeds = fx.known_urls(spark, sf).where("technique_id IN (0, 7)").select("url", F.col("url_id").alias("rank"))
+    seeds = fx.known_urls(spark, sf).select("url", F.col("url_id").alias("rank"))
     return C.www_variants(seeds)
 
 

@@ -19,7 +19,7 @@ def known_parts(spark, sf):
 
 
 def dns_snapshot(spark, sf):
-    """DNS facts of two thirds of the registered domains of the parts table."""
+    """DNS facts, on two days, of two thirds of the registered domains of the parts table."""
     return spark.sql(fx.DNS_SQL, part=fx.table(spark, sf, "part"))
 
 
@@ -35,7 +35,7 @@ def reputation(spark, sf):
 def _asof(spark, sf):
     e = fx.table(spark, sf, "events").select(F.col("user_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
                                              "event_id", "event_type", "value")
-    req = e.where("event_type IN ('click', 'view')").select("key", "us", "event_id")
+    req = e.where("event_type <> 'signup'").select("key", "us", "event_id")
     cache = e.where("event_type = 'signup'").select("key", "us", F.when(F.col("value") > 50, "phishing").otherwise("clean").alias("verdict"))
     return E.asof_verdicts(req, cache, 24 * 3600).select("event_id", "verdict", "checked_us", "is_hit")
 
@@ -52,7 +52,7 @@ def _age(spark, sf):
 
 @query("private_addresses")
 def _private(spark, sf):
-    return E.private_addresses(dns_snapshot(spark, sf))
+    return E.private_addresses(E.latest_facts(dns_snapshot(spark, sf)))
 
 
 @query("reputation_by_service")

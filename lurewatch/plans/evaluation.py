@@ -10,11 +10,13 @@ from lurewatch.operators import metrics as M
 from lurewatch.operators import rules as R
 from lurewatch.operators import split as S
 from lurewatch.operators.brands import lookalike_hosts
+from lurewatch.operators.enrich import latest_facts
 from lurewatch.operators.parts import url_parts
 from lurewatch.plans import fixtures as fx
 from lurewatch.plans.features import corpus_parts
 from lurewatch.plans.registry import query
-from lurewatch.sources.sinks import verdict_json
+from lurewatch.session import materialize, scratch_path
+from lurewatch.sources.sinks import write_verdict_report
 
 FEATURES = ["url_length", "domain_length", "path_length", "dot_count", "slash_count", "hyphen_count", "digit_count", "letter_count",
             "digit_ratio", "letter_ratio", "url_entropy", "domain_entropy"]
@@ -161,12 +163,32 @@ def evidence(spark, sf):
 
 @query("fused_verdicts")
 def _fuse(spark, sf):
-    return U.fuse(evidence(spark, sf)).withColumn("reasoning", F.array_join("reasoning", "|"))
+    """Three layers, long evidence: every URL of the corpus gets a verdict."""
+    return U.fuse(evidence(spark, sf), fx.corpus(spark, sf)).withColumn("reasoning", F.array_join("reasoning", "|"))
+
+
+@query("full_analysis")
+def _full(spark, sf):
+    """All ten layers; the model is a stand-in (digit share), overridden by the pattern score."""
+    from lurewatch.operators.analysis import full_analysis
+    from lurewatch.plans import enrichment as E
+
+    parts = materialize(corpus_parts(spark, sf))
+    p = F.expr("CAST(length(regexp_replace(url, '[^0-9]', '')) * 100 div length(url) AS DOUBLE) / 100")
+    model = parts.select("url_id", (p >= 0.3).cast("int").alias("prediction"), p.alias("confidence"))
+    bad = parts.where("url_id % 50 = 0").select(R.url_hash(F.col("url")).alias("url_hash"))
+    # the DNS days are numbered; the domain age counts up to a date
+    out = full_analysis(parts, fx.brands(spark, sf), latest_facts(E.dns_snapshot(spark, sf)), E.whois_snapshot(spark, sf), F.lit(E.AS_OF).cast("date"), E.reputation(spark, sf), model, bad)
+    return out.withColumn("reasoning", F.array_join("reasoning", "|"))
 
 
 @query("verdict_report")
 def _json(spark, sf):
-    return verdict_json(U.fuse(evidence(spark, sf)))
+    """Verdicts written as JSON lines and read back."""
+    path = scratch_path(spark, "verdicts")
+    write_verdict_report(U.fuse(evidence(spark, sf), fx.corpus(spark, sf)), path)
+    back = spark.read.schema("url_id long, threat_level int, confidence double, is_phishing boolean, verdict string, reasoning array<string>").json(path)
+    return back.withColumn("n_reasons", F.size("reasoning")).withColumn("reasoning", F.array_join("reasoning", "|"))
 
 
 @query("weighted_threat_score")
@@ -176,7 +198,7 @@ def _weighted(spark, sf):
     ind = R.threat_indicators(parts).select("url_id", F.lit("indicators").alias("layer"), F.col("risk_score").cast("double").alias("score"))
     mod = parts.select("url_id", F.lit("model").alias("layer"), (F.length("url") % 101).cast("double").alias("score"))
     srv = parts.where("url_id % 3 = 0").select("url_id", F.lit("services").alias("layer"), (F.length("host") * 7 % 101).cast("double").alias("score"))
-    return U.weighted_threat(ind.unionByName(mod).unionByName(srv))
+    return U.weighted_threat(ind.unionByName(mod).unionByName(srv), parts)
 
 
 @query("pair_comparison")

@@ -112,8 +112,10 @@ SELECT CASE WHEN l_linenumber % 2 = 0 THEN upper(url) ELSE ' ' || url || ' ' END
 FROM {lineitem} l JOIN (""" + KNOWN_SQL + """) kn ON l.l_partkey = kn.url_id
 """
 # two labelled feeds over URL occurrences: mixed case, blanks, conflicting, missing and invalid labels
+# every line item is in a feed: even orders in A, odd ones and every third in B; every fourth order's URLs are new in B
 FEED_A_SQL = f"SELECT url, label, ord, f1 FROM ({_FEED}) fe WHERE ord % 20 < 10"
-FEED_B_SQL = f"SELECT url, label, ord, f1 FROM ({_FEED}) fe WHERE ord % 30 < 10 AND l_partkey % 5 <> 0"
+FEED_B_SQL = f"""SELECT CASE WHEN ord % 40 BETWEEN 10 AND 19 THEN replace(replace(url, '/p/', '/q/'), '/P/', '/Q/') ELSE url END AS url, label, ord, f1
+ FROM ({_FEED}) fe WHERE ord % 20 >= 10 OR ord % 30 < 10"""
 
 
 def _feed(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
@@ -162,21 +164,23 @@ def scan_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # snapshots over the registered domains of the known URLs
+# DNS facts of two days; on the first day the mail and name server flags were the other way round
 DNS_SQL = f"""
-SELECT domain, k % 2 = 0 AS has_a, k % 5 = 0 AS has_mx, k % 7 = 0 AS has_ns,
+SELECT domain, day AS as_of, k % 2 = 0 AS has_a, (k % 5 = 0) = (day = 2) AS has_mx, (k % 7 = 0) = (day = 2) AS has_ns,
  array('8.8.' || CAST(k % 256 AS STRING) || '.1', CASE CAST(k % 6 AS INT) WHEN 0 THEN '10.1.2.3' WHEN 1 THEN '172.' || CAST(k % 40 AS STRING) || '.0.9'
   WHEN 2 THEN '192.168.0.7' WHEN 3 THEN '127.0.0.1' WHEN 4 THEN '300.1.1.1' ELSE 'bad' END) AS ips
 FROM (SELECT {BRAND} || '.com' AS domain, min(p_partkey) AS k FROM {{part}} GROUP BY {BRAND}
-      UNION ALL SELECT {BRAND} || '-login.com' AS domain, min(p_partkey) + 1 AS k FROM {{part}} GROUP BY {BRAND}) x WHERE k % 3 <> 0
+      UNION ALL SELECT {BRAND} || '-login.com' AS domain, min(p_partkey) + 1 AS k FROM {{part}} GROUP BY {BRAND}) x
+ CROSS JOIN (SELECT 1 AS day UNION ALL SELECT 2 AS day) d WHERE k % 3 <> 0
 """
 WHOIS_SQL = f"""
 SELECT domain, min(o_orderdate) AS created FROM (SELECT {BRAND} || '.com' AS domain, p_partkey AS k FROM {{part}}) x
-JOIN {{orders}} o ON o.o_orderkey = k AND k % 50 = 0 GROUP BY domain
+JOIN {{orders}} o ON o.o_orderkey = k GROUP BY domain
 """
 REPUTATION_SQL = f"""
 SELECT sha2(regexp_replace(lower(trim(url)), '/$', ''), 256) AS url_hash,
  CASE CAST(l_linenumber % 4 AS INT) WHEN 0 THEN 'safe_browsing' WHEN 1 THEN 'scanners' WHEN 2 THEN 'sandbox' ELSE 'community' END AS service,
  CASE WHEN l_orderkey % 5 = 0 THEN 'error' ELSE 'checked' END AS status, l_orderkey % 3 = 0 AS flagged,
  CAST(l_orderkey % 7 AS INT) AS malicious, CAST(l_quantity AS INT) AS score
-FROM {{lineitem}} l JOIN ({KNOWN_SQL}) kn ON l.l_partkey = kn.url_id WHERE l_suppkey % 4 = 0
+FROM {{lineitem}} l JOIN ({KNOWN_SQL}) kn ON l.l_partkey = kn.url_id
 """

@@ -28,8 +28,8 @@ def read_line_feed(spark: SparkSession, path: str, label: int | None = 1, source
     return _tagged(df, label, source)
 
 
-def read_json_feed(spark: SparkSession, path: str, source: str = "json", multi_line: bool = True) -> DataFrame:
-    """JSON array (or JSON lines with ``multi_line=False``, which splits): entries that have a URL."""
+def read_json_feed(spark: SparkSession, path: str, source: str = "json", multi_line: bool = False) -> DataFrame:
+    """JSON lines, which split (or a JSON array with ``multi_line=True``, one task per file): entries that have a URL."""
     df = spark.read.schema("url string").option("multiLine", multi_line).json(path)
     return _tagged(df.where(F.col("url").isNotNull() & (F.col("url") != "")), 1, source)
 
@@ -42,22 +42,24 @@ def read_commented_csv(spark: SparkSession, path: str, schema: str, source: str
     return _tagged(urls, 1, source)
 
 
-def read_ranked_domains(spark: SparkSession, path: str, n: int = 10_000, source: str = "ranked") -> DataFrame:
-    """``rank,domain`` without header: the first ``n`` by rank as ``https://domain``, label 0."""
+def read_ranked_domains(spark: SparkSession, path: str, source: str = "ranked") -> DataFrame:
+    """``rank,domain`` without header: every domain as ``https://domain`` with its rank, label 0."""
     df = spark.read.schema("rank int, domain string").csv(path).where(F.col("rank").isNotNull())
-    top = df.orderBy("rank", "domain").limit(n)
-    return _tagged(top.select(F.concat(F.lit("https://"), "domain").alias("url"), "rank"), 0, source)
+    return _tagged(df.select(F.concat(F.lit("https://"), "domain").alias("url"), "rank"), 0, source)
+
+
+def first_ranked(ranked: DataFrame, n: int) -> DataFrame:
+    """The ``n`` best ranked rows (ties by URL)."""
+    return ranked.orderBy("rank", "url").limit(n)
 
 
 LIFECYCLE = ("phish_id string, url string, phish_detail_url string, submission_time string, verified string, "
              "verification_time string, online string, target string")
 
 
-def read_lifecycle_feed(spark: SparkSession, path: str, max_urls: int | None = None) -> DataFrame:
+def read_lifecycle_feed(spark: SparkSession, path: str) -> DataFrame:
     """Phishing feed with verification life cycle: flags typed, times parsed, label 1, empty URLs dropped."""
     df = spark.read.schema(LIFECYCLE).csv(path, header=True, escape='"')
-    if max_urls is not None:
-        df = df.limit(max_urls)  # the reader's own row cap, a parameter of the feed
     when = lambda c: F.try_to_timestamp(F.col(c), F.lit("yyyy-MM-dd'T'HH:mm:ssXXX"))
     return df.where(F.col("url").isNotNull() & (F.col("url") != "")).select(
         "url", "phish_id", "phish_detail_url", when("submission_time").alias("submission_time"),
@@ -76,9 +78,9 @@ def latest_snapshot(spark: SparkSession, pattern: str) -> tuple[str, list[str]]:
     return newest, sorted(r[0] for r in files.where(F.col("date") == newest).select("path").collect())
 
 
-def read_latest_lifecycle(spark: SparkSession, pattern: str, max_urls: int | None = None) -> DataFrame:
+def read_latest_lifecycle(spark: SparkSession, pattern: str) -> DataFrame:
     date, paths = latest_snapshot(spark, pattern)
-    return read_lifecycle_feed(spark, paths, max_urls).withColumn("snapshot_date", F.lit(date))
+    return read_lifecycle_feed(spark, paths).withColumn("snapshot_date", F.lit(date))
 
 
 def read_partitioned_latest(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:

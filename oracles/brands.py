@@ -73,13 +73,13 @@ ORACLES = {
 seen AS (SELECT host, count(*) AS n_urls, sum(n_seen) AS n_seen FROM p GROUP BY host)
 SELECT technique, brand, CAST(sum(n_urls) AS BIGINT) AS n_urls, CAST(sum(n_seen) AS BIGINT) AS n_seen FROM look JOIN seen USING (host) WHERE brand IS NOT NULL GROUP BY ALL""",
     "brand_watch": f"""WITH {parts_cte()}, brand AS ({BRANDS}), labels AS (SELECT DISTINCT host_label AS label FROM p WHERE NOT is_ip AND host_label <> '' AND n_labels >= 2), {VARIANTS}
-SELECT label, brand, kind, position FROM names JOIN labels ON variant = label WHERE rn <= 1000""",
-    "brand_variants": f"WITH brand AS ({BRANDS}), {VARIANTS} SELECT brand, kind, position, variant FROM names WHERE rn <= 100",
+SELECT label, brand, kind, position FROM names JOIN labels ON variant = label""",
+    "brand_variants": f"WITH brand AS ({BRANDS}), {VARIANTS} SELECT brand, kind, position, variant FROM names",
     "bitflip_neighbours": f"""WITH brand AS ({BRANDS}), used AS (SELECT c AS src, count(*) AS n_used FROM (SELECT unnest(string_split(brand, '')) AS c FROM brand) x GROUP BY c),
 flips AS (SELECT src, bit, n_used, chr(CAST(xor(unicode(src), CAST(power(2, bit) AS INTEGER)) AS INTEGER)) AS dst FROM used, range(0, 8) r(bit))
 SELECT src, bit, dst, n_used FROM flips WHERE regexp_matches(dst, '^([\\p{{L}}\\p{{N}}]|-)$')""",
     "sql_functions": f"""WITH brand AS ({BRANDS}), {VARIANTS}
-SELECT b AS brand, ['omission', 'keyboard', 'doubling', 'swap', 'lookalike'][kind] AS kind, i AS position, v AS variant, round(jaro_winkler_similarity(b, v), 6) AS similarity, sha256(v) AS hash FROM raw WHERE v <> b""",
+SELECT b AS brand, ['omission', 'keyboard', 'doubling', 'swap', 'lookalike'][kind] AS kind, i AS position, v AS variant, round(jaro_winkler_similarity(b, v), 6) AS similarity, sha256(v) AS hash FROM firsts""",
     "jaro_winkler_pairs": f"""WITH {parts_cte()}, brand AS ({BRANDS}), labels AS (SELECT DISTINCT host_label AS l FROM p WHERE NOT is_ip AND n_labels >= 2 AND regexp_full_match(host_label, '[a-z0-9-]+'))
 SELECT l AS label, brand, round(jaro_winkler_similarity(l, brand), 6) AS score FROM labels CROSS JOIN brand
 WHERE levenshtein(l, brand) > 2 AND jaro_winkler_similarity(l, brand) >= 0.9333333334""",

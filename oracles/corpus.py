@@ -36,16 +36,16 @@ QUALIFY row_number() OVER (PARTITION BY {NORM} ORDER BY ord, f1, label NULLS FIR
     "merged_corpus": f"WITH {MERGE} SELECT * FROM merged",
     "common_urls": f"WITH {FEEDS} SELECT count(*) AS n_common FROM (SELECT {NORM} FROM a INTERSECT SELECT {NORM} FROM b) x",
     "common_url_set": f"WITH {FEEDS} SELECT {NORM} AS url_normalized FROM a INTERSECT SELECT {NORM} FROM b",
-    "supplemented_corpus": f"""WITH {FEEDS}, s AS (SELECT url, label FROM a WHERE ord % 400 < 10), u AS (SELECT * FROM s UNION ALL SELECT url, label FROM b WHERE {NORM} NOT IN (SELECT {NORM} FROM s))
+    "supplemented_corpus": f"""WITH {FEEDS}, s AS (SELECT url, label FROM a), u AS (SELECT * FROM s UNION ALL SELECT url, label FROM b WHERE {NORM} NOT IN (SELECT {NORM} FROM s))
 SELECT url, CAST(label AS BIGINT) AS label, count(*) AS n FROM u GROUP BY ALL""",
-    "urls_not_held": f"WITH {FEEDS} SELECT DISTINCT url FROM b WHERE {NORM} NOT IN (SELECT {NORM} FROM a WHERE ord % 400 < 10)",
+    "urls_not_held": f"WITH {FEEDS} SELECT DISTINCT url FROM b WHERE {NORM} NOT IN (SELECT {NORM} FROM a)",
     "cleaned_corpus": f"""WITH {FEEDS} SELECT url, CAST(label AS BIGINT) AS label, CAST(ord AS BIGINT) AS ord, round(f1, 6) AS f1 FROM b WHERE label IN (0, 1)
 QUALIFY row_number() OVER (PARTITION BY url ORDER BY ord, f1, label) = 1""",
     "feed_union": f"""WITH {FEEDS}, u AS (SELECT 'a' AS source, label, url FROM a UNION ALL SELECT 'pages', NULL, url FROM pages)
 SELECT source, CAST(label AS BIGINT) AS label, count(*) AS n, count(DISTINCT url) AS n_urls FROM u GROUP BY source, label""",
     "first_source_union": f"""WITH {FEEDS}, u AS (SELECT url, 1 AS label, 0 AS p FROM b UNION ALL SELECT url, coalesce(label, 0), 1 FROM a UNION ALL SELECT url, 0, 2 FROM pages)
 SELECT url, CAST(label AS BIGINT) AS label FROM u WHERE url <> '' QUALIFY row_number() OVER (PARTITION BY url ORDER BY p, label) = 1""",
-    "www_variants": f"""WITH s AS (SELECT url, url_id AS rank FROM ({KNOWN}) k WHERE technique_id IN (0, 7)), h AS (SELECT url FROM s ORDER BY rank LIMIT 50)
+    "www_variants": f"""WITH s AS (SELECT url, url_id AS rank FROM ({KNOWN}) k), h AS (SELECT url FROM s)
 SELECT url, false AS generated FROM s UNION ALL SELECT CASE WHEN contains(url, 'www.') THEN replace(url, 'www.', '') ELSE 'https://www.' || replace(url, 'https://', '') END, true FROM h""",
     "seeded_sample": f"SELECT url_id, url FROM ({CORPUS}) c ORDER BY {HASH}, url LIMIT 1000",
     "balanced_classes": f"""WITH d AS (SELECT url, CAST(CASE WHEN technique_id IN (1, 2, 3) THEN 1 ELSE 0 END AS BIGINT) AS label FROM ({KNOWN}) k),

@@ -8,7 +8,7 @@ from oracles import rules as OR
 from oracles.common import KNOWN, has_any, parts_cte
 from lurewatch import refdata as R
 
-DNS = fx.DNS_SQL.format(part="part").replace("array(", "list_value(")
+DNS = "SELECT * FROM (" + fx.DNS_SQL.format(part="part").replace("array(", "list_value(") + ") dd QUALIFY row_number() OVER (PARTITION BY domain ORDER BY as_of DESC) = 1"
 WHOIS = fx.WHOIS_SQL.format(part="part", orders="orders")
 REP = fx.REPUTATION_SQL.format(part="part", lineitem="lineitem").replace("sha2(regexp_replace(lower(trim(url)), '/$', ''), 256)", OR.URLHASH)
 KP = parts_cte(f"SELECT url_id, url FROM ({KNOWN}) k")
@@ -16,16 +16,17 @@ AGE = f"date_diff('day', CAST(created AS DATE), DATE '{AS_OF}')"
 IPN = "regexp_full_match(ip, '[0-9]{1,3}([.][0-9]{1,3}){3}') AND len(list_filter(string_split(ip, '.'), lambda o: CAST(o AS INTEGER) <= 255)) = 4"
 SERVICES = ["safe_browsing", "scanners", "sandbox", "community"]
 PIVOT = ", ".join(f"bool_or(flagged) FILTER (service = '{s}') AS {s}_flagged, CAST(max(malicious) FILTER (service = '{s}') AS BIGINT) AS {s}_malicious, CAST(max(score) FILTER (service = '{s}') AS BIGINT) AS {s}_score" for s in SERVICES)
-CLASS = f"""WITH {parts_cte()}, {OR.GARBAGE_SQL}, dns AS ({DNS}), who AS ({WHOIS}),
+CLASS_CTE = f"""{parts_cte()}, {OR.GARBAGE_SQL}, dns AS ({DNS}), who AS ({WHOIS}),
 d AS (SELECT g.*, garbage_score >= 50 AS gb, coalesce(has_a OR has_mx OR has_ns, false) AS ex, {AGE} AS age, {has_any('domain_label', R.ABSENT_DOMAIN_BRANDS)} AS br FROM g LEFT JOIN dns ON g.registered_domain = dns.domain LEFT JOIN who ON g.registered_domain = who.domain),
-c AS (SELECT CASE WHEN NOT tld_valid THEN 'INVALID_TLD' WHEN gb AND NOT ex THEN 'RANDOM_GARBAGE_NOT_ON_INTERNET' WHEN NOT ex THEN 'NOT_ON_INTERNET' WHEN gb THEN 'EXISTS_BUT_SUSPICIOUS' ELSE 'REAL_DOMAIN_EXISTS' END AS classification,
+c AS (SELECT url_id, CASE WHEN NOT tld_valid THEN 'INVALID_TLD' WHEN gb AND NOT ex THEN 'RANDOM_GARBAGE_NOT_ON_INTERNET' WHEN NOT ex THEN 'NOT_ON_INTERNET' WHEN gb THEN 'EXISTS_BUT_SUSPICIOUS' ELSE 'REAL_DOMAIN_EXISTS' END AS classification,
  CASE WHEN NOT tld_valid THEN 5 WHEN gb AND NOT ex THEN 10 WHEN NOT ex AND br THEN 90 WHEN NOT ex THEN 60 WHEN gb THEN 70 WHEN age < 30 THEN 40 WHEN age < 180 THEN 20 ELSE 0 END AS threat_level,
- CASE WHEN NOT tld_valid THEN 0.0 WHEN gb AND NOT ex THEN 0.95 WHEN NOT ex THEN 0.90 WHEN gb THEN 0.75 ELSE 0.85 END AS conf FROM d)
+ CASE WHEN NOT tld_valid THEN 0.0 WHEN gb AND NOT ex THEN 0.95 WHEN NOT ex THEN 0.90 WHEN gb THEN 0.75 ELSE 0.85 END AS conf FROM d)"""
+CLASS = f"""WITH {CLASS_CTE}
 SELECT classification, CAST(threat_level AS BIGINT) AS threat_level, count(*) AS n, round(CAST(max(conf) AS DOUBLE), 6) AS confidence FROM c GROUP BY ALL"""
 
 ORACLES = {
     "asof_cached_verdicts": """WITH e AS (SELECT user_id AS k, epoch_us(ts) AS us, event_id, event_type, value FROM events),
-r AS (SELECT * FROM e WHERE event_type IN ('click', 'view')), c AS (SELECT k, us AS cu, CASE WHEN value > 50 THEN 'phishing' ELSE 'clean' END AS verdict FROM e WHERE event_type = 'signup'),
+r AS (SELECT * FROM e WHERE event_type <> 'signup'), c AS (SELECT k, us AS cu, CASE WHEN value > 50 THEN 'phishing' ELSE 'clean' END AS verdict FROM e WHERE event_type = 'signup'),
 j AS (SELECT event_id, us, cu, verdict FROM r ASOF LEFT JOIN c ON r.k = c.k AND r.us >= c.cu)
 SELECT event_id, CASE WHEN us - cu < 86400000000 THEN verdict END AS verdict, CASE WHEN us - cu < 86400000000 THEN cu END AS checked_us, coalesce(us - cu < 86400000000, false) AS is_hit FROM j""",
     "dns_existence": f"""WITH {KP}, dns AS ({DNS}) SELECT url_id, registered_domain, coalesce(has_a, false) AS has_a, coalesce(has_mx, false) AS has_mx, coalesce(has_ns, false) AS has_ns,

@@ -6,6 +6,8 @@ from lurewatch.operators.fusion import EVIDENCE, LAYER_WEIGHTS, LAYERS
 from lurewatch.plans import fixtures as fx
 from lurewatch.plans.evaluation import FEATURES
 from oracles import brands as OB
+from oracles import enrichment as OE
+from oracles import ultra as UL
 from oracles import rules as OR
 from oracles.common import CORPUS, KNOWN, parts_cte
 from oracles.features import LEXICAL
@@ -45,6 +47,10 @@ ev(layer, outcome, points, conf, pos) AS (VALUES {EV}),
 e AS (SELECT url_id, layer, outcome, points, coalesce(conf, own) AS conf, pos FROM (SELECT * FROM pt UNION ALL SELECT * FROM sg UNION ALL SELECT * FROM lk) u JOIN ev USING (layer, outcome)),
 fused AS (SELECT url_id, sum(points) AS s, avg(conf) AS c, string_agg(layer || ':' || outcome, '|' ORDER BY pos) AS reasoning FROM e GROUP BY url_id)"""
 
+FUSED_ROWS = f"""SELECT url_id, CAST(least(coalesce(s, 0), 100) AS BIGINT) AS threat_level, round(coalesce(c, 0.5), 6) AS confidence, CASE WHEN s >= 25 THEN true WHEN s >= 15 THEN NULL ELSE false END AS is_phishing,
+ CASE WHEN s >= 60 THEN 'PHISHING_DETECTED' WHEN s >= 40 THEN 'LIKELY_PHISHING' WHEN s >= 25 THEN 'SUSPICIOUS' WHEN s >= 15 THEN 'QUESTIONABLE' ELSE 'APPEARS_SAFE' END AS verdict,
+ coalesce(reasoning, '') AS reasoning FROM (SELECT url_id FROM ({CORPUS}) ac) au LEFT JOIN fused USING (url_id)"""
+
 ORACLES = {
     "confusion_matrix": f"WITH s AS ({S}) SELECT CAST(label AS BIGINT) AS label, CAST(prediction AS BIGINT) AS prediction, count(*) AS n FROM s GROUP BY ALL",
     "class_metrics": f"WITH s AS ({S}), m AS (SELECT count(*) AS n, {CM} FROM s) SELECT n, tp, fp, fn, tn, {METRICS} FROM m",
@@ -72,8 +78,22 @@ SELECT feature, CAST(label AS BIGINT) AS label, CAST(CASE WHEN hi > lo THEN leas
 SELECT doc_id, CAST(v * 2 > n AS BIGINT) AS prediction, v AS n_votes, round(mx, 6) AS max_probability, round(CASE WHEN v * 2 > n THEN m ELSE 1 - m END, 6) AS winner_mean FROM g""",
     "pattern_override": f"""WITH {PATTERN_ONLY}, m AS (SELECT url_id, round(CAST(length(regexp_replace(url, '[^0-9]', '', 'g')) AS DOUBLE) / length(url), 6) AS c FROM p)
 SELECT url_id, CASE WHEN risk_score >= 30 THEN 1 ELSE CAST(c >= 0.3 AS BIGINT) END AS prediction, CASE WHEN risk_score >= 30 THEN confidence ELSE c END AS confidence, risk_score >= 30 AS overridden FROM m JOIN pat USING (url_id)""",
-    "fused_verdicts": f"""WITH {EVIDENCE_CTE} SELECT url_id, CAST(least(s, 100) AS BIGINT) AS threat_level, round(c, 6) AS confidence, CASE WHEN s >= 25 THEN true WHEN s < 15 THEN false END AS is_phishing,
- CASE WHEN s >= 60 THEN 'PHISHING_DETECTED' WHEN s >= 40 THEN 'LIKELY_PHISHING' WHEN s >= 25 THEN 'SUSPICIOUS' WHEN s >= 15 THEN 'QUESTIONABLE' ELSE 'APPEARS_SAFE' END AS verdict, reasoning FROM fused""",
+    "fused_verdicts": f"WITH {EVIDENCE_CTE} {FUSED_ROWS}",
+    "verdict_report": f"SELECT *, CAST(CASE WHEN reasoning = '' THEN 0 ELSE len(string_split(reasoning, '|')) END AS BIGINT) AS n_reasons FROM (WITH {EVIDENCE_CTE} {FUSED_ROWS}) f",
+    "full_analysis": f"""WITH {EVIDENCE_CTE.split("ev(layer")[0].rstrip().rstrip(",").replace(SIGNATURE_ONLY, OR.SIGNATURE_CTE)},
+md AS (WITH {PATTERN_ONLY}, m AS (SELECT url_id, CAST(length(regexp_replace(url, '[^0-9]', '', 'g')) * 100 // length(url) AS DOUBLE) / 100 AS c FROM p)
+  SELECT url_id, 'model' AS layer, CASE WHEN risk_score >= 30 OR c >= 0.3 THEN 'phishing' ELSE 'legitimate' END AS outcome, CASE WHEN risk_score >= 30 THEN confidence ELSE c END AS own FROM m JOIN pat USING (url_id)),
+dm AS (WITH {OE.CLASS_CTE} SELECT url_id, 'domain' AS layer, CASE classification WHEN 'NOT_ON_INTERNET' THEN CASE WHEN threat_level >= 80 THEN 'absent_brand' ELSE 'absent' END
+  WHEN 'EXISTS_BUT_SUSPICIOUS' THEN 'exists_suspicious' WHEN 'REAL_DOMAIN_EXISTS' THEN 'exists' END AS outcome, CAST(NULL AS DOUBLE) AS own FROM c),
+ft AS (WITH {UL.LOW} SELECT url_id, 'features' AS layer, CASE WHEN ({OR.BEH}) >= 4 OR {UL.MIN} BETWEEN 1 AND 2 THEN 'high' WHEN ({OR.BEH}) >= 3 THEN 'elevated' END AS outcome, CAST(NULL AS DOUBLE) AS own FROM q),
+rp AS (SELECT c.url_id, v.* FROM (SELECT url_id, {OR.URLHASH} AS h FROM ({CORPUS}) c0) c JOIN (SELECT url_hash, {OE.PIVOT} FROM ({OE.REP}) r WHERE status = 'checked' GROUP BY url_hash) v ON c.h = v.url_hash),
+rs AS (SELECT url_id, 'community' AS layer, CASE WHEN community_flagged THEN 'confirmed' WHEN community_flagged IS NOT NULL THEN 'listed' END AS outcome, CAST(NULL AS DOUBLE) AS own FROM rp
+  UNION ALL SELECT url_id, 'safe_browsing', CASE WHEN safe_browsing_flagged THEN 'threat' WHEN safe_browsing_flagged IS NOT NULL THEN 'clean' END, NULL FROM rp
+  UNION ALL SELECT url_id, 'scanners', CASE WHEN scanners_malicious >= 5 THEN 'many' WHEN scanners_malicious >= 2 THEN 'several' WHEN scanners_malicious >= 1 THEN 'some' WHEN scanners_flagged IS NOT NULL THEN 'clean' END, NULL FROM rp
+  UNION ALL SELECT url_id, 'sandbox', CASE WHEN sandbox_flagged THEN 'malicious' WHEN sandbox_score >= 50 THEN 'high_score' END, NULL FROM rp),
+ev(layer, outcome, points, conf, pos) AS (VALUES {EV}),
+e AS (SELECT url_id, layer, outcome, points, coalesce(conf, own) AS conf, pos FROM (SELECT * FROM pt UNION ALL SELECT * FROM sg UNION ALL SELECT * FROM lk UNION ALL SELECT * FROM md UNION ALL SELECT * FROM dm UNION ALL SELECT * FROM ft UNION ALL SELECT * FROM rs) u JOIN ev USING (layer, outcome)),
+fused AS (SELECT url_id, sum(points) AS s, avg(conf) AS c, string_agg(layer || ':' || outcome, '|' ORDER BY pos) AS reasoning FROM e GROUP BY url_id) {FUSED_ROWS}""",
     "weighted_threat_score": f"""WITH {parts_cte()}, w(layer, w) AS (VALUES {", ".join(f"('{k}', CAST({v} AS DOUBLE))" for k, v in LAYER_WEIGHTS.items())}),
 l AS (SELECT url_id, 'indicators' AS layer, CAST({OR.points(*[(c, x) for c, x, _ in OR.IND])} AS DOUBLE) AS score FROM p UNION ALL SELECT url_id, 'model', CAST(length(url) % 101 AS DOUBLE) FROM p
   UNION ALL SELECT url_id, 'services', CAST(length(host) * 7 % 101 AS DOUBLE) FROM p WHERE url_id % 3 = 0),

@@ -84,7 +84,7 @@ s4 AS (SELECT *, br + kw + CASE WHEN n_kw >= 3 THEN 10 ELSE 0 END + CASE WHEN hy
     ("pw AND brand IS NOT NULL", "sensitive_path"), ("dd", "many_extensions"), ("rnd", "random_path"), ("c1", "brand_keywords_bad_tld"), ("c2", "brand_auth"),
     ("c3", "urgency_and_sensitive")))}], lambda x: x IS NOT NULL) AS rs FROM s3),
 pat AS (SELECT url_id, brand, CAST(n_kw AS BIGINT) AS n_keywords, CAST(least(s, 100) AS BIGINT) AS risk_score, s >= 15 AS is_suspicious, round(least(s / 50.0, 1.0), 6) AS confidence,
-  array_to_string(rs[1:5], '|') AS reasons, rs, CASE WHEN s >= 50 THEN 'EXTREMELY_SUSPICIOUS' WHEN s >= 30 THEN 'HIGHLY_SUSPICIOUS' WHEN s >= 15 THEN 'SUSPICIOUS' WHEN s >= 10 THEN 'QUESTIONABLE' ELSE 'LOW_RISK' END AS verdict FROM s4)"""
+  array_to_string(rs, '|') AS reasons, rs, CASE WHEN s >= 50 THEN 'EXTREMELY_SUSPICIOUS' WHEN s >= 30 THEN 'HIGHLY_SUSPICIOUS' WHEN s >= 15 THEN 'SUSPICIOUS' WHEN s >= 10 THEN 'QUESTIONABLE' ELSE 'LOW_RISK' END AS verdict FROM s4)"""
 
 SKW = [(k, round(w * 100)) for k, w in R.SIGNATURE_KEYWORDS]
 URLHASH = "sha256(regexp_replace(lower(trim(url, ' ')), '/$', ''))"
@@ -160,7 +160,7 @@ ORACLES = {
     "signature_score": f"WITH {SIGNATURE_CTE} SELECT * FROM sig",
     "threat_indicators": f"WITH {parts_cte()} SELECT url_id, CAST({points(*[(c, w) for c, w, _ in IND])} AS BIGINT) AS risk_score, {codes(*[(c, k) for c, _, k in IND])} AS indicators FROM p",
     "merged_reasons": f"""WITH {PATTERN_CTE}, i AS (SELECT url_id, list_filter([{", ".join(f"CASE WHEN {c} THEN '{'plain_http' if k == 'no_https' else k}' END" for c, _, k in IND)}], lambda x: x IS NOT NULL) AS ind FROM p)
-SELECT url_id, array_to_string(list_concat(list_reverse(list_filter(rs[1:5], lambda r: NOT list_contains(ind, r))), ind), '|') AS reasons FROM pat JOIN i USING (url_id)""",
+SELECT url_id, array_to_string(list_concat(list_reverse(list_filter(rs, lambda r: NOT list_contains(ind, r))), ind), '|') AS reasons FROM pat JOIN i USING (url_id)""",
     "lexicon_score": f"""WITH {parts_cte()}, lex(term, w) AS (VALUES {", ".join(f"('{t}', CAST({w} AS DOUBLE))" for _, t, w in LEX)})
 SELECT url_id, count(term) AS n_terms, round(coalesce(sum(w), 0.0), 6) AS sum_weight, round(coalesce(max(w), 0.0), 6) AS max_weight FROM p LEFT JOIN lex ON contains(lower(url), term) GROUP BY url_id""",
     "lexicon_usage": f"""WITH corpus AS ({CORPUS}), lex(family, term) AS (VALUES {", ".join(f"('{f}', '{t}')" for f, t in FULL_LEX)}),

@@ -154,7 +154,7 @@ COMPLEXITY = {
     "suspicious_file_ext": ("i", flag(rx("path", r"\.(php|asp|jsp|cgi|exe|zip)$"))),
     "balanced_structure": ("i", flag(f"{ND} > 0 AND length(path) < {ND} * 3 AND length(query) < {ND} * 2")),
     "component_count": ("i", "len(list_filter([scheme, netloc, path, query, fragment], lambda s: s <> ''))"),
-    "component_diversity": ("i", "len(list_distinct([scheme, netloc, path[1:20], query[1:20]]))"),
+    "component_diversity": ("i", "len(list_distinct([scheme, netloc, path, query]))"),
 }
 
 
