@@ -3,8 +3,8 @@
 No label is compared with every brand.  Edit-1 techniques meet through
 exploded neighbourhood keys (equi join with a table of brand variants);
 similarity candidates meet through the prefix-filter principle: a pair that can
-reach the score shares at least two thirds of its characters, hence at least
-one of its rarest ones.
+reach the score shares two thirds of its characters and the first one, or four
+fifths of them, hence a pair of its rarest ones.
 """
 
 from __future__ import annotations
@@ -41,12 +41,26 @@ def _keyed(kt: str, arr: Column) -> Column:
     return F.transform(arr, lambda k: F.struct(F.lit(kt).alias("kt"), k.alias("key")))
 
 
-def _rare_tokens(s: Column, sorted_chars: Column) -> Column:
-    """The rarest third of the characters, numbered per repetition (prefix of the ordered token set)."""
+def _rare_pairs(s: Column, sorted_chars: Column, tenths: Column | int) -> Column:
+    """Pairs of the rarest characters (numbered per repetition): names that share at least ``tenths``/30 of each name's
+    characters share two of each one's rarest ``n - needed + 2`` (prefix filter for two common tokens)."""
     n = F.length(s)
-    keep = n - F.floor((n * 2 + 2) / 3).cast("int") + 1
-    return F.transform(V.positions(s, keep), lambda i: F.concat(
+    keep = F.least(n, n - F.ceil(n * tenths / 30).cast("int") + 2)
+    tokens = F.transform(V.positions(s, keep), lambda i: F.concat(
         F.get(sorted_chars, i - 1), (i - F.array_position(sorted_chars, F.get(sorted_chars, i - 1)).cast("int")).cast("string")))
+    # the list is needed twice: bound once as the only element of an array
+    return F.flatten(F.flatten(F.transform(F.array(tokens), lambda t: F.transform(t, lambda x, i: F.transform(
+        F.slice(t, i + 2, F.lit(64)), lambda y: F.concat(x, y))))))
+
+
+def _similarity_keys(s: Column, sorted_chars: Column) -> list[tuple[str, Column]]:
+    """Keys under which two names meet if their Jaro-Winkler similarity can reach 14/15.
+
+    ``A``: the first characters agree, which allows a Jaro similarity down to 8/9, so two thirds of the characters are
+    common.  ``B``: without a common prefix the Jaro similarity itself is 14/15, so four fifths are.
+    """
+    first = F.substr(s, F.lit(1), F.lit(1))
+    return [("A", F.transform(_rare_pairs(s, sorted_chars, 20), lambda k: F.concat(first, F.lit(":"), k))), ("B", _rare_pairs(s, sorted_chars, 24))]
 
 
 def _sorted_chars(s: Column) -> Column:
@@ -54,12 +68,12 @@ def _sorted_chars(s: Column) -> Column:
     return F.transform(ranked, lambda x: x["c"])
 
 
-def brand_keys(brands: DataFrame) -> DataFrame:
+def brand_keys(brands: DataFrame, similar: bool = True) -> DataFrame:
     """Brand side of the key join: ``kt, key, technique, brand``.
 
     Key types: ``S`` a string the label must equal, ``D`` a string one of the
-    label's deletions must equal, ``W`` a one-position wildcard, ``T`` a rare
-    character both names contain, ``G`` a substring of the label.
+    label's deletions must equal, ``W`` a one-position wildcard, ``G`` a substring
+    of the label; ``A`` and ``B`` (left out unless ``similar``) pairs of rare characters.
     """
     b = F.col("brand")
     rules = [(s, d) for s, ds in refdata.HOMOPHONES.items() for d in ds.split()]
@@ -72,12 +86,12 @@ def brand_keys(brands: DataFrame) -> DataFrame:
     every = F.concat(keys("S", "omission", V.deletions(b)), keys("S", "transposition", V.swaps(b)),
                      keys("S", "homophone", sounds), keys("D", "insertion", F.array(b)),
                      keys("W", "substitution", V.wildcards(b)), keys("G", "combosquatting", F.array(b)),
-                     keys("T", "candidate", _rare_tokens(b, F.col("cs"))))
+                     *[keys(kt, "candidate", arr) for kt, arr in (_similarity_keys(b, F.col("cs")) if similar else [])])
     return (brands.select("brand", _sorted_chars(b).alias("cs")).select("brand", F.explode(every).alias("k"))
             .select("k.*", "brand").distinct())
 
 
-def label_keys(labels: DataFrame, brands: DataFrame) -> DataFrame:
+def label_keys(labels: DataFrame, brands: DataFrame, similar: bool = True) -> DataFrame:
     """Label side of the key join, one pass: ``label, kt, key``."""
     s = F.col("label")
     listed = bounded_values(brands, "brand")
@@ -86,19 +100,34 @@ def label_keys(labels: DataFrame, brands: DataFrame) -> DataFrame:
     else:
         inside = substrings(s, term_lengths(brands, "brand"))
     every = F.concat(_keyed("S", F.array(s)), _keyed("D", V.deletions(s)), _keyed("W", V.wildcards(s)),
-                     _keyed("T", _rare_tokens(s, F.col("cs"))), _keyed("G", inside))
+                     _keyed("G", inside), *[_keyed(kt, arr) for kt, arr in (_similarity_keys(s, F.col("cs")) if similar else [])])
     return (labels.select("label", _sorted_chars(s).alias("cs")).select("label", F.explode(every).alias("k"))
             .select("label", "k.*"))
 
 
-def compare_labels(labels: DataFrame, brands: DataFrame, keywords: list[str] = refdata.COMBO_KEYWORDS) -> DataFrame:
+def _best_possible(a: Column, b: Column) -> Column:
+    """Jaro-Winkler similarity if all common characters matched in order: an upper bound of the real one."""
+    one = F.lit(1)
+
+    def numbered(s: Column) -> Column:
+        nth = lambda i: i - F.length(F.replace(F.substr(s, one, i), F.substr(s, i, one), F.lit("")))
+        return F.transform(V.positions(s), lambda i: F.concat(F.substr(s, i, one), nth(i).cast("string")))
+
+    common = F.size(F.array_intersect(numbered(a), numbered(b)))
+    n, m = F.length(a), F.length(b)
+    prefix = sum((F.when((F.substr(a, one, F.lit(k)) == F.substr(b, one, F.lit(k))) & (F.least(n, m) >= k), 1).otherwise(0) for k in range(1, 5)), F.lit(0))
+    jaro = (common / n + common / m + 1) / 3
+    return jaro + prefix * 0.1 * (1 - jaro)
+
+
+def compare_labels(labels: DataFrame, brands: DataFrame, keywords: list[str] = refdata.COMBO_KEYWORDS, similar: bool = True) -> DataFrame:
     """All label/brand pairs worth a look: ``label, brand, technique, score``.
 
     One scan of the labels, one key join, one aggregation.  Pairs without an
-    edit technique that share a rare token stay with a NULL technique: they are
-    the (exact, pruned) similarity candidates.
+    edit technique that share a pair of rare characters stay with a NULL technique:
+    they are the (exact, pruned) similarity candidates; without ``similar`` none are made.
     """
-    hits = label_keys(labels, brands).join(sized_broadcast(brand_keys(brands)), ["kt", "key"])
+    hits = label_keys(labels, brands, similar).join(sized_broadcast(brand_keys(brands, similar)), ["kt", "key"])
     hits = hits.where(F.col("label") != F.col("brand"))
     at = F.substring_index("key", ":", 1).try_cast("int")
     mine, theirs = F.substr(F.col("label"), at, F.lit(1)), F.substr(F.col("brand"), at, F.lit(1))
@@ -109,8 +138,9 @@ def compare_labels(labels: DataFrame, brands: DataFrame, keywords: list[str] = r
     kt = F.col("kt")
     technique = (F.when((kt == "W") & flips, F.lit("bitsquatting"))
                  .when(kt == "G", F.when(X.any_of("replace(label, brand, '')", keywords), F.col("technique")))
-                 .when(kt == "T", F.lit(None)).otherwise(F.col("technique")))
-    near = (kt == "T") & (F.least(n, m) * 3 >= F.greatest(n, m) * 2) & (F.levenshtein("label", "brand", 2) == -1)
+                 .when(kt.isin("A", "B"), F.lit(None)).otherwise(F.col("technique")))
+    near = kt.isin("A", "B") & (F.least(n, m) * 3 >= F.greatest(n, m) * 2) & (F.levenshtein("label", "brand", 2) == -1)
+    near = near & (_best_possible(F.col("label"), F.col("brand")) * SIMILARITY_WEIGHT >= DETECTION - 1e-9)
     hits = hits.select("label", "brand", technique.alias("technique"), near.alias("near")).where(
         F.col("technique").isNotNull() | F.col("near"))
     return hits.withColumn("score", _score(F.col("technique"))).groupBy("label", "brand").agg(
@@ -119,7 +149,7 @@ def compare_labels(labels: DataFrame, brands: DataFrame, keywords: list[str] = r
 
 def technique_matches(labels: DataFrame, brands: DataFrame) -> DataFrame:
     """Pairs explained by a technique, best technique per (label, brand)."""
-    return compare_labels(labels, brands).where(F.col("technique").isNotNull())
+    return compare_labels(labels, brands, similar=False).where(F.col("technique").isNotNull())
 
 
 def similarity_candidates(labels: DataFrame, brands: DataFrame) -> DataFrame:

@@ -117,3 +117,26 @@ def test_idn_host(spark):
     r = B.lookalike_hosts(url_parts(df), spark.createDataFrame([("paypal",)], "brand string")).first()
     assert (r.brand, r.technique, r.severity) == ("paypal", "idn_homograph", "critical")
     assert F is not None
+
+
+def test_similarity_candidates_are_few(spark):
+    """Fewer than one in a hundred of all pairs of unrelated names is compared; every pair that scores is."""
+    rng = random.Random(11)
+    name = lambda: "".join(rng.choice("etaoinsrhldcumfpgwybvkxjqz"[: rng.randint(12, 26)]) for _ in range(rng.randint(5, 14)))
+    names, brands = sorted({name() for _ in range(400)}), sorted({name() for _ in range(80)})
+    near = [b[:3] + "q" + b[3:-1] + "zz" for b in brands[:20]]
+    ldf = spark.createDataFrame([(x,) for x in names + near], "label string")
+    bdf = spark.createDataFrame([(b,) for b in brands], "brand string")
+    pairs = {(r.label, r.brand) for r in B.similarity_candidates(ldf, bdf).collect()}
+    assert len(pairs) < 0.01 * len(names) * len(brands)
+    _, jw = jaro_batch([x for x in names + near for _ in brands], brands * len(names + near))
+    every = [(x, b) for x in names + near for b in brands]
+    assert {p for p, s in zip(every, jw) if s >= 14 / 15 and distance(*p) > 2 and p[0] not in brands} <= pairs
+
+
+def test_brand_table_beyond_the_broadcast_bound(spark, labels, monkeypatch):
+    ldf = spark.createDataFrame([(x,) for x in labels], "label string")
+    bdf = spark.createDataFrame([(b,) for b in BRANDS], "brand string")
+    want = sorted(map(tuple, B.scored_pairs(ldf, bdf).collect()))
+    monkeypatch.setattr(B, "sized_broadcast", lambda df, *a: df)
+    assert sorted(map(tuple, B.scored_pairs(ldf, bdf).collect())) == want
