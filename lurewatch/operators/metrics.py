@@ -119,11 +119,14 @@ def top_features(corr: DataFrame, k: int = 20) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, features: list[str]) -> DataFrame:
-    """Feature correlation matrix as rows ``f1, f2, r`` (one distributed pass; the matrix itself is features x features)."""
+    """Feature correlation matrix as rows ``f1, f2, r`` (one distributed pass; the matrix itself is features x features).
+
+    A missing value counts as 0, as where features are aligned to a model; no row is dropped.
+    """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.stat import Correlation
 
-    vec = VectorAssembler(inputCols=features, outputCol="v", handleInvalid="skip").transform(df.select(*[F.col(f).cast("double") for f in features]))
+    vec = VectorAssembler(inputCols=features, outputCol="v").transform(df.select(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features]))
     m = Correlation.corr(vec, "v").first()[0].toArray()
     rows = [(a, b, float(m[i, j])) for i, a in enumerate(features) for j, b in enumerate(features)]
     return df.sparkSession.createDataFrame(rows, "f1 string, f2 string, r double")

@@ -24,8 +24,12 @@ from lurewatch.session import materialize
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def step_function(secs: np.ndarray, ttl: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(upto, exit)``: an entry threshold ``t <= upto[i]`` (first such i) leaves the chunk with threshold ``exit[i]``."""
+def step_function(secs: np.ndarray, ttl: int, start: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """``(upto, exit)``: an entry threshold ``t <= upto[i]`` (first such i) leaves the chunk with threshold ``exit[i]``.
+
+    A check kept before the chunk's ``start`` allows the next one before ``start + ttl``; steps beyond that can never be
+    entered and are left out.
+    """
     after = np.searchsorted(secs, secs + ttl)
     last = np.arange(len(secs))
     nxt = np.append(after, len(secs))
@@ -39,7 +43,9 @@ def step_function(secs: np.ndarray, ttl: int) -> tuple[np.ndarray, np.ndarray]:
         nxt[:-1][jump] = nxt[nxt[:-1][jump]]
     exits = secs[last[:-1]] + ttl
     keep = np.append(exits[1:] != exits[:-1], True)
-    return secs[keep], exits[keep]
+    upto, exits = secs[keep], exits[keep]
+    most = len(upto) if start is None else int(np.searchsorted(upto, start + ttl)) + 1
+    return upto[:most], exits[:most]
 
 
 def kept_seconds(secs: np.ndarray, ttl: int, entry: int) -> np.ndarray:
@@ -57,8 +63,8 @@ def suppress_checks(checks: DataFrame, ttl: int, chunk: int | None = None) -> Da
     chunk = chunk or max(8 * 86_400, 8 * ttl)  # bounds the seconds of one (key, chunk), some 5 MB at the default
 
     @F.pandas_udf("upto array<bigint>, exits array<bigint>")
-    def summarise(secs: pd.Series) -> pd.DataFrame:
-        both = [step_function(np.asarray(s), ttl) for s in secs]
+    def summarise(secs: pd.Series, at: pd.Series) -> pd.DataFrame:
+        both = [step_function(np.asarray(s), ttl, int(c) * chunk) for s, c in zip(secs, at)]
         return pd.DataFrame({"upto": [u for u, _ in both], "exits": [e for _, e in both]})
 
     @F.pandas_udf("array<bigint>")
@@ -81,7 +87,7 @@ def suppress_checks(checks: DataFrame, ttl: int, chunk: int | None = None) -> Da
     distinct = checks.select("key", F.col("sec").cast("bigint").alias("sec")).distinct()
     chunks = materialize(distinct.groupBy("key", F.floor(F.col("sec") / chunk).alias("chunk")).agg(
         F.sort_array(F.collect_list("sec")).alias("secs")))
-    steps = chunks.select("key", "chunk", summarise("secs").alias("f")).groupBy("key").agg(
+    steps = chunks.select("key", "chunk", summarise("secs", "chunk").alias("f")).groupBy("key").agg(
         F.sort_array(F.collect_list(F.struct("chunk", "f.upto", "f.exits"))).alias("fs"))
     entry = steps.select("key", F.col("fs.chunk").alias("chunk"), compose("fs.upto", "fs.exits").alias("entry")).select(
         "key", F.explode(F.arrays_zip("chunk", "entry")).alias("e")).select("key", "e.chunk", "e.entry")

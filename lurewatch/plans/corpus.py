@@ -47,6 +47,26 @@ def _json(spark, sf):
     return feeds.read_json_feed(spark, path, "json_feed", multi_line=False)
 
 
+@query("json_array_feed")
+def _json_array(spark, sf):
+    """The array form: one document per file, here one file per brand."""
+    path = scratch_path(spark, "json-array")
+    rows = fx.known_urls(spark, sf).groupBy("brand").agg(F.to_json(F.collect_list(F.struct(F.when(F.col("url_id") % 7 > 0, F.col("url")).alias("url"))),
+                                                                   {"ignoreNullFields": "false"}).alias("value"))
+    rows.repartition("brand").write.option("maxRecordsPerFile", 1).partitionBy("brand").text(path)
+    return feeds.read_json_feed(spark, path, "json_array", multi_line=True).select("url", "label", "source")
+
+
+@query("partitioned_feed")
+def _partitioned(spark, sf):
+    """Newest partition of a feed that is partitioned by day."""
+    path = scratch_path(spark, "partitioned")
+    rows = fx.known_urls(spark, sf).select("url_id", "url", F.when(F.col("url_id") % 3 == 0, "2024-03-15").otherwise("2024-01-01").alias("snapshot_date"))
+    rows.write.partitionBy("snapshot_date").parquet(path)
+    out = feeds.read_partitioned_latest(spark, path, "url_id bigint, url string, snapshot_date string")
+    return out.select("url_id", "url", "snapshot_date")
+
+
 @query("commented_csv_feed")
 def _commented(spark, sf):
     path = scratch_path(spark, "commented")

@@ -10,6 +10,7 @@ from lurewatch.operators.parts import url_parts
 from lurewatch.plans import fixtures as fx
 from lurewatch.plans.features import corpus_parts
 from lurewatch.plans.registry import query
+from lurewatch.session import materialize
 
 AS_OF = "1998-06-30"
 
@@ -77,7 +78,8 @@ def _classes(spark, sf):
 @query("gated_enrichment")
 def _gated(spark, sf):
     """DNS join only for URLs with a pattern risk of 15 or more."""
-    parts = corpus_parts(spark, sf)
+    parts = materialize(corpus_parts(spark, sf))
     scored = R.pattern_score(parts).select("url_id", "risk_score").join(parts.select("url_id", "registered_domain"), "url_id")
+    scored = materialize(scored)  # both branches of the gate read it
     out = E.gated(scored, lambda d: E.with_dns(d, dns_snapshot(spark, sf)))
     return out.select("url_id", "risk_score", "enriched", "exists_in_dns")

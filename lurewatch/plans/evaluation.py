@@ -149,8 +149,8 @@ def _override(spark, sf):
 
 
 def evidence(spark, sf):
-    """Pattern, signature and look-alike evidence of the corpus."""
-    parts = corpus_parts(spark, sf)
+    """Pattern, signature and look-alike evidence of the corpus, parsed once."""
+    parts = materialize(corpus_parts(spark, sf))
     pat = R.pattern_score(parts).select("url_id", F.lit("pattern").alias("layer"), U.pattern_outcome(F.col("risk_score")).alias("outcome"),
                                         F.lit(None).cast("double").alias("own_confidence"))
     sig = R.signature_score(parts).select("url_id", F.lit("signatures").alias("layer"),
@@ -204,7 +204,7 @@ def _weighted(spark, sf):
 @query("pair_comparison")
 def _pairs(spark, sf):
     """Neighbouring URLs compared by their pattern risk: the safer one of each pair."""
-    s = R.pattern_score(corpus_parts(spark, sf)).select("url_id", "risk_score", "verdict")
+    s = materialize(R.pattern_score(corpus_parts(spark, sf)).select("url_id", "risk_score", "verdict"))
     pairs = fx.corpus(spark, sf).where("url_id % 2 = 0").select(F.col("url_id").alias("left_id"), (F.col("url_id") + 1).alias("right_id"))
     left = s.select(F.col("url_id").alias("left_id"), F.col("risk_score").alias("left_risk"), F.col("verdict").alias("left_verdict"))
     right = s.select(F.col("url_id").alias("right_id"), F.col("risk_score").alias("right_risk"), F.col("verdict").alias("right_verdict"))

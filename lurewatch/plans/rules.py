@@ -12,6 +12,7 @@ from lurewatch.operators.parts import url_parts
 from lurewatch.plans import fixtures as fx
 from lurewatch.plans.features import corpus_parts
 from lurewatch.plans.registry import query
+from lurewatch.session import materialize, sized_broadcast
 from lurewatch.sources.reference import read_reference
 
 
@@ -70,7 +71,7 @@ def _risk(spark, sf):
 @query("merged_reasons")
 def _merged(spark, sf):
     """Pattern reasons in front of the indicator codes, without repeats."""
-    parts = corpus_parts(spark, sf)
+    parts = materialize(corpus_parts(spark, sf))
     pat = R.pattern_score(parts).select("url_id", "reasons")
     ind = R.threat_indicators(parts).select("url_id", F.transform("indicators", lambda x: F.when(
         x == "no_https", F.lit("plain_http")).otherwise(x)).alias("indicators"))
@@ -91,7 +92,7 @@ def _usage(spark, sf):
     lex = read_reference(spark, "lexicon").select("family", "term")
     urls = fx.corpus(spark, sf).select("url_id", F.lower("url").alias("u"))
     hits = containment_hits(urls, "u", lex.select("term"), "term").select("url_id", "term")
-    used = hits.join(F.broadcast(lex), "term").groupBy("family").agg(
+    used = hits.join(sized_broadcast(lex), "term").groupBy("family").agg(
         F.countDistinct("term").alias("n_used"), F.countDistinct("url_id").alias("n_urls"))
     return lex.groupBy("family").agg(F.count(F.lit(1)).alias("n_terms")).join(used, "family", "left").select(
         "family", "n_terms", F.coalesce("n_used", F.lit(0)).alias("n_used"), F.coalesce("n_urls", F.lit(0)).alias("n_urls"))

@@ -13,10 +13,24 @@ from lurewatch.session import scratch_path
 from lurewatch.streaming import jobs as J
 
 
-def _landed(spark, df, name, files=3):
-    """The frame as files in the shared folder, for a file stream."""
+# the events span less than this, so no row of the given tables is late
+LATE = "400 days"
+
+
+def _landed(spark, df, name, rows=4000):
+    """The frame as files of at most ``rows`` rows in the shared folder, for a file stream."""
+    path = scratch_path(spark, name)
+    df.write.option("maxRecordsPerFile", rows).parquet(path)
+    return path
+
+
+def _landed_in_order(spark, df, name, slices=4):
+    """Slices of the time range, written one after the other (file streams take older files first)."""
     path = scratch_path(spark, name)
-    df.repartition(files).write.parquet(path)
+    lo, hi = df.agg(F.min("sec"), F.max("sec")).first()
+    for i in range(slices):
+        a, b = (lo + (hi + 1 - lo) * k // slices for k in (i, i + 1))
+        df.where((F.col("sec") >= a) & (F.col("sec") < b)).write.mode("append").parquet(path)
     return path
 
 
@@ -24,7 +38,7 @@ def _landed(spark, df, name, files=3):
 def _ingest(spark, sf):
     df = fx.feed_a(spark, sf)
     src, held = _landed(spark, df, "incoming"), scratch_path(spark, "held")
-    J.ingest_new_urls(J.file_stream(spark, src, df.schema, 2), held, scratch_path(spark, "ck"), ["ord", "f1"])
+    J.ingest_new_urls(J.file_stream(spark, src, df.schema, 2), held, scratch_path(spark, "ck"), ["ord", "f1"], digits=1)
     return spark.read.parquet(held).groupBy("url_normalized").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -50,8 +64,8 @@ def _counters(spark, sf):
 def _stream_counters(spark, sf):
     df = fx.scan_log(spark, sf).select("ts", "is_phishing", "error")
     src, out = _landed(spark, df, "log"), scratch_path(spark, "counters")
-    J.write_complete(J.scan_counters(J.file_stream(spark, src, df.schema, 2), "6 hours", "1 day"), out, scratch_path(spark, "ck"))
-    return _show(spark.read.parquet(out))
+    J.write_updates(J.scan_counters(J.file_stream(spark, src, df.schema, 2), "6 hours", LATE), out, scratch_path(spark, "ck"))
+    return _show(J.read_updates(spark, out, ["start"]))
 
 
 @query("rate_audit")
@@ -63,8 +77,8 @@ def _audit(spark, sf):
 def _stream_audit(spark, sf):
     df = fx.table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
     src, out = _landed(spark, df, "requests"), scratch_path(spark, "audit")
-    J.write_complete(J.rate_audit(J.file_stream(spark, src, df.schema, 2), "event_type", 20, "6 hours", "1 day"), out, scratch_path(spark, "ck"))
-    return _show(spark.read.parquet(out))
+    J.write_updates(J.rate_audit(J.file_stream(spark, src, df.schema, 2), "event_type", 20, "6 hours", LATE), out, scratch_path(spark, "ck"))
+    return _show(J.read_updates(spark, out, ["start", "event_type"]))
 
 
 def _checks(spark, sf):
@@ -79,6 +93,7 @@ def _suppress(spark, sf):
 @query("stream_suppressed_checks")
 def _stream_suppress(spark, sf):
     df = _checks(spark, sf)
-    src, out = _landed(spark, df, "checks", 1), scratch_path(spark, "kept")
-    J.suppress_stream(J.file_stream(spark, src, df.schema), 24 * 3600, out, scratch_path(spark, "ck"))
+    # landed in order of time: the job wants each key's checks in event-time order
+    src, out = _landed_in_order(spark, df, "checks"), scratch_path(spark, "kept")
+    J.suppress_stream(J.file_stream(spark, src, df.schema, 1), 24 * 3600, out, scratch_path(spark, "ck"))
     return spark.read.parquet(out)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from lurewatch.operators import base_features as B
 from lurewatch.operators import ultra_features as U
 from lurewatch.plans.features import corpus_parts
 from lurewatch.plans.registry import query
+from lurewatch.session import materialize
 
 
 @query("ultra_basic_lexical")
@@ -12,6 +14,20 @@ def _basic(spark, sf):
     return U.family(corpus_parts(spark, sf), "basic", "lexical")
 
 
+@query("base_feature_table")
+def _base_table(spark, sf):
+    """The base features, one row per URL."""
+    df = B.base_features(materialize(corpus_parts(spark, sf)))
+    return df.select("url_id", *[c for c in df.columns if c not in ("url_id", "url")])
+
+
+@query("wide_feature_table")
+def _wide_table(spark, sf):
+    """All wide families, one row per URL."""
+    df = U.ultra_features(materialize(corpus_parts(spark, sf)))
+    return df.select("url_id", *[c for c in df.columns if c not in ("url_id", "url")])
+
+
 @query("ultra_domain")
 def _domain(spark, sf):
     return U.family(corpus_parts(spark, sf), "domain")

@@ -86,5 +86,5 @@ def read_latest_lifecycle(spark: SparkSession, pattern: str) -> DataFrame:
 def read_partitioned_latest(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Newest ``snapshot_date=`` partition of a Parquet feed; the filter prunes the other partitions."""
     df = spark.read.schema(schema).parquet(path)
-    newest = df.agg(F.max("snapshot_date")).first()[0]
+    newest = df.select("snapshot_date").agg(F.max("snapshot_date")).first()[0]  # no data column is read
     return df.where(F.col("snapshot_date") == F.lit(newest))

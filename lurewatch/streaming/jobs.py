@@ -29,22 +29,21 @@ def run_available(writer, checkpoint: str) -> None:
     q.awaitTermination()
 
 
-def ingest_new_urls(stream: DataFrame, held_path: str, checkpoint: str, order: list[str]) -> None:
+def ingest_new_urls(stream: DataFrame, held_path: str, checkpoint: str, order: list[str], digits: int = 2) -> None:
     """Append URLs not held yet.
 
-    A re-run batch is harmless: what it already appended is found by the anti
-    join.  Within a batch the first row (``order``) per normalised URL is kept.
+    The held table is partitioned by the first ``digits`` of the URL's hash (16 ** digits partitions); a batch reads the
+    partitions that its own URLs fall into and no others.  A re-run batch is harmless: what it already appended is found
+    by the anti join.  Within a batch the first row (``order``) per normalised URL is kept.
     """
     def append(batch: DataFrame, _batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = keep_first(batch.withColumn("url_normalized", normalized_url(F.col("url"))), ["url_normalized"], order)
-        try:
-            held = spark.read.parquet(held_path).select("url_normalized")
-            fresh = fresh.join(held, "url_normalized", "left_anti")
-        except Exception as e:  # nothing held yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        fresh.write.mode("append").parquet(held_path)
+        named = batch.withColumn("url_normalized", normalized_url(F.col("url")))
+        fresh = keep_first(named, ["url_normalized"], order).withColumn("part", F.substring(F.md5("url_normalized"), 1, digits))
+        fresh.limit(0).write.mode("append").partitionBy("part").parquet(held_path)  # the table exists from now on
+        parts = [r[0] for r in fresh.select("part").distinct().collect()]  # 16 ** digits values at most
+        held = spark.read.schema(fresh.schema).parquet(held_path).where(F.col("part").isin(parts)).select("part", "url_normalized")
+        fresh.join(held, ["part", "url_normalized"], "left_anti").repartition("part").write.mode("append").partitionBy("part").parquet(held_path)
 
     run_available(stream.writeStream.foreachBatch(append), checkpoint)
 
@@ -72,10 +71,20 @@ def rate_audit(requests: DataFrame, key: str, limit: int = 10, window: str = "60
     return g.where(F.col("n_requests") > limit).select(F.col("window.start").alias("start"), key, "n_requests")
 
 
-def write_complete(df: DataFrame, out_path: str, checkpoint: str) -> None:
-    """Keep the full result of a windowed aggregate at ``out_path`` (open windows included)."""
-    run_available(df.writeStream.outputMode("complete").foreachBatch(
-        lambda batch, _i: batch.write.mode("overwrite").parquet(out_path)), checkpoint)
+def write_updates(df: DataFrame, out_path: str, checkpoint: str) -> None:
+    """Append the windows that each batch changed, open ones included, with the batch's number.
+
+    The watermark closes old windows and drops their state; nothing written is written again.  ``read_updates`` gives
+    the newest row of each window.  A batch that is run again appends the same rows under the same number.
+    """
+    run_available(df.writeStream.outputMode("update").foreachBatch(
+        lambda batch, i: batch.withColumn("batch", F.lit(i)).write.mode("append").parquet(out_path)), checkpoint)
+
+
+def read_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    df = spark.read.parquet(path)
+    rest = [c for c in df.columns if c not in (*keys, "batch")]
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
 
 
 class Suppressor(StatefulProcessor):

@@ -25,6 +25,8 @@ ORACLES = {
     "line_feed": f"SELECT trim(url, ' ') AS url, 1::BIGINT AS label, 'open_list' AS source FROM ({CORPUS}) c WHERE url_id % 10 <> 0 AND trim(url, ' ') <> ''",
     "url_list": f"SELECT url FROM ({KNOWN}) k",
     "json_feed": f"SELECT url, 1::BIGINT AS label, 'json_feed' AS source FROM ({KNOWN}) k WHERE url_id % 7 > 0",
+    "json_array_feed": f"SELECT url, 1::BIGINT AS label, 'json_array' AS source FROM ({KNOWN}) k WHERE url_id % 7 > 0",
+    "partitioned_feed": f"SELECT url_id, url, '2024-03-15' AS snapshot_date FROM ({KNOWN}) k WHERE url_id % 3 = 0",
     "commented_csv_feed": f"SELECT url, 1::BIGINT AS label, 'commented' AS source FROM ({KNOWN}) k WHERE url_id % 5 <> 0 AND url_id % 7 <> 0",
     "ranked_domains": "SELECT 'https://site' || CAST(o_custkey AS VARCHAR) || '.com' AS url, CAST(o_orderkey + 1 AS BIGINT) AS rank, 0::BIGINT AS label, 'ranked' AS source FROM orders ORDER BY o_orderkey LIMIT 10000",
     "lifecycle_feed": f"WITH {LIFE} SELECT * FROM life WHERE url IS NOT NULL",

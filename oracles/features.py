@@ -131,3 +131,7 @@ SELECT url_id, CAST(length(url) AS VARCHAR) || ' characters' AS url_length_text,
  CAST({hits('lower(url)', R.BASE_KEYWORDS)} AS BIGINT) AS suspicious_keywords, round(ent, 2) AS url_entropy,
  CASE WHEN {STRUCTURAL['has_ip_address'][1]} = 1 THEN 'Yes' ELSE 'No' END AS has_ip FROM e""",
 }
+
+ORACLES["base_feature_table"] = f"""SELECT * EXCLUDE (confusable_count, skeleton, homograph_similarity), 0::BIGINT AS punycode_length_diff, 0.0::DOUBLE AS punycode_brand_similarity FROM """ + " JOIN ".join(
+    f"({ORACLES[n]}) t{i}" + (" USING (url_id)" if i else "") for i, n in enumerate((
+        "lexical_features", "structural_features", "obfuscation_base_features", "statistical_features", "pattern_table_flags", "brand_impersonation_defaults", "homograph_features")))

@@ -231,3 +231,6 @@ ORACLES = {
     "ultra_obfuscation_complexity": select_features(_prefixed(OBFUSCATION, COMPLEXITY), LOW, "q"),
     "ultra_statistics": select_features(_prefixed(STATISTICS), LOW, "q"),
 }
+ORACLES["wide_feature_table"] = "SELECT * FROM " + " JOIN ".join(
+    f"({select_features(_prefixed(*specs), LOW, 'q')}) t{i}" + (" USING (url_id)" if i else "") for i, specs in enumerate((
+        (BASIC, LEXICAL), (DOMAIN, PATH_QUERY), (LINGUISTIC, BEHAVIOUR), (OBFUSCATION, COMPLEXITY), (STATISTICS,), (LOOKALIKE,))))
