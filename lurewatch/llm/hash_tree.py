@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 from lurewatch.llm.common import stored
 
 Tree = list[tuple[str, float, list[tuple[str, float, list[tuple[int, float]]]]]]
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 5_000
 SHARDS, PER_RACK, PER_REGION = 8, 2, 4
 
 
