@@ -15,7 +15,7 @@ from lurewatch import refdata
 from lurewatch.functions import text as X
 from lurewatch.functions.urlparts import IPV4_RE
 from lurewatch.operators.containment import containment_weights
-from lurewatch.session import settle, sized_broadcast
+from lurewatch.session import LITERAL_LIST_MAX, settle, sized_broadcast
 
 
 def codes(*pairs: tuple[Column, str]) -> Column:
@@ -90,20 +90,41 @@ def garbage_score(parts: DataFrame) -> DataFrame:
 
 # --- pattern score ----------------------------------------------------------
 
-def pattern_score(parts: DataFrame) -> DataFrame:
-    """Ten additive rule groups, capped at 100, with bands 10/15/30/50 and ordered reason codes."""
+def with_keywords(base: DataFrame, lexicon: DataFrame | None, default: list[tuple[str, float]], scale: int = 1,
+                  literal_max: int = LITERAL_LIST_MAX) -> DataFrame:
+    """Add ``n_kw, kw, kw_max``: number, sum and maximum of the weights (times ``scale``, whole) of the terms in ``u``.
+
+    ``lexicon``: a user table ``term, weight``.  Up to ``literal_max`` terms enter as literals, more meet the URLs in a
+    containment join.
+    """
+    pairs = [(t, int(round(w * scale))) for t, w in default]
+    if lexicon is not None:
+        whole = lexicon.groupBy("term").agg(F.max(F.round(F.col("weight") * scale).cast("int")).alias("weight"))
+        rows = whole.limit(literal_max + 1).collect()
+        if len(rows) > literal_max:
+            hits = containment_weights(base, "url_id", "u", whole).select(
+                "url_id", F.col("n_terms").cast("int").alias("n_kw"), F.col("sum_weight").cast("int").alias("kw"), F.col("max_weight").cast("int").alias("kw_max"))
+            return base.join(hits, "url_id", "left").fillna(0, ["n_kw", "kw", "kw_max"])
+        pairs = sorted((r.term, r.weight) for r in rows)
+    return base.withColumns({"n_kw": X.hits_of("u", [t for t, _ in pairs]), "kw": X.weight_of("u", pairs), "kw_max": X.max_weight_of("u", [*pairs, ("", 0), ("", 0)])})
+
+
+def pattern_score(parts: DataFrame, lexicon: DataFrame | None = None, literal_max: int = LITERAL_LIST_MAX) -> DataFrame:
+    """Ten additive rule groups, capped at 100, with bands 10/15/30/50 and ordered reason codes.
+
+    ``lexicon`` (``term, weight``) replaces the default keywords.
+    """
     base = parts.select("url_id", "url", "scheme", F.lower("netloc").alias("d"), F.lower("path").alias("p"),
                         F.lower("url").alias("u"))
     d, p, u = F.col("d"), F.col("p"), F.col("u")
-    keywords = refdata.PATTERN_KEYWORDS
     tlds = refdata.PATTERN_TLDS
     base = base.withColumns({
         "first": F.substring_index(d, ".", 1), "n_lab": X.count_of(d, ".") + 1, "hyphens": X.count_of(d, "-"),
         "brand": first_of({b: f"contains(d, '{b}') OR contains(p, '{b}')" for b in refdata.PATTERN_BRANDS}),
-        "n_kw": X.hits_of("u", [k for k, _ in keywords]), "kw": X.weight_of("u", keywords),
         "tld_risk": X.points_by("substring_index(d, '.', -1)", tlds),
         "sub": F.expr("CASE WHEN length(d) - length(replace(d, '.', '')) >= 2 THEN left(d, length(d) - length(substring_index(d, '.', -2)) - 1) ELSE '' END"),
     })
+    base = with_keywords(base, lexicon, refdata.PATTERN_KEYWORDS, literal_max=literal_max)
     base = settle(base, ["d", "p", "u", "first", "n_lab", "hyphens", "brand", "n_kw", "kw", "tld_risk", "sub"])
     first, brand, n_lab, hyphens, sub = (F.col(c) for c in ("first", "brand", "n_lab", "hyphens", "sub"))
     has_brand = brand.isNotNull()
@@ -176,19 +197,18 @@ def signature_brand(d: str = "d") -> Column:
     return first_of({b: hit(b) for b in refdata.SIGNATURE_BRAND_VARIANTS})
 
 
-def signature_score(parts: DataFrame, known_bad: DataFrame | None = None) -> DataFrame:
+def signature_score(parts: DataFrame, known_bad: DataFrame | None = None, lexicon: DataFrame | None = None, literal_max: int = LITERAL_LIST_MAX) -> DataFrame:
     """Signature tables: 30 per regex, 40 per bad substring, TLD, brand, keywords, structure; known hash -> 100.
 
     The keyword part is computed in hundredths (integer arithmetic), so its
-    truncation does not depend on floating-point order.
+    truncation does not depend on floating-point order.  ``lexicon`` (``term, weight``) replaces the default keywords.
     """
     base = parts.select("url_id", "url", F.lower("netloc").alias("d"), F.lower("path").alias("p"), F.lower("url").alias("u"))
     d, p, u = F.col("d"), F.col("p"), F.col("u")
-    kws = [(k, int(round(w * 100))) for k, w in refdata.SIGNATURE_KEYWORDS]
     base = base.withColumns({
         "n_rules": reduce(lambda a, b: a + b, [X.flag(u.rlike(r)) for _, r in refdata.SIGNATURE_REGEXES]),
-        "n_substrings": X.hits_of("u", refdata.SIGNATURE_SUBSTRINGS), "brand": signature_brand("d"),
-        "kw_sum": X.weight_of("u", kws), "kw_max": X.max_weight_of("u", kws)})
+        "n_substrings": X.hits_of("u", refdata.SIGNATURE_SUBSTRINGS), "brand": signature_brand("d")})
+    base = with_keywords(base, lexicon, refdata.SIGNATURE_KEYWORDS, 100, literal_max).withColumnRenamed("kw", "kw_sum").drop("n_kw")
     base = settle(base, ["d", "p", "u", "n_rules", "n_substrings", "brand", "kw_sum", "kw_max"])
     kw = F.floor(F.least(F.lit(10000), F.col("kw_sum") * 30 + F.col("kw_max") * 70) * 20 / 10000).cast("int")
     structure = points(

@@ -43,6 +43,31 @@ def _pattern(spark, sf):
     return joined(R.pattern_score(corpus_parts(spark, sf)), "reasons")
 
 
+def user_lexicon(spark, sf):
+    """A lexicon of the user: words of the part names (at least three letters), weighed by the size of the parts."""
+    w = fx.table(spark, sf, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("term"), (F.col("p_size") % 5 + 1).alias("weight"))
+    return w.where(F.length("term") >= 3).groupBy("term").agg(F.max("weight").cast("double").alias("weight"))
+
+
+@query("pattern_score_user_lexicon")
+def _pattern_user(spark, sf):
+    """Pattern score with a user's keywords, as literals."""
+    return joined(R.pattern_score(corpus_parts(spark, sf), user_lexicon(spark, sf)), "reasons")
+
+
+@query("pattern_score_joined_lexicon")
+def _pattern_joined(spark, sf):
+    """The same by the containment join, as for a lexicon beyond the literal bound."""
+    return joined(R.pattern_score(materialize(corpus_parts(spark, sf)), user_lexicon(spark, sf), literal_max=0), "reasons")
+
+
+@query("signature_score_user_lexicon")
+def _signature_user(spark, sf):
+    """Signature score with a user's keywords, tenths as weights."""
+    lex = user_lexicon(spark, sf).withColumn("weight", F.col("weight") / 10)
+    return R.signature_score(corpus_parts(spark, sf), lexicon=lex)
+
+
 @query("top_reasons")
 def _reasons(spark, sf):
     """First three pattern reasons per suspicious URL."""

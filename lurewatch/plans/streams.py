@@ -81,6 +81,25 @@ def _stream_audit(spark, sf):
     return _show(J.read_updates(spark, out, ["start", "event_type"]))
 
 
+def _requests(spark, sf):
+    """The events as requests of their users, time running 8,640 times as fast (six days in a minute)."""
+    fast = F.timestamp_seconds(F.expr("unix_seconds(CAST(ts AS TIMESTAMP)) div 8640"))
+    return fx.table(spark, sf, "events").select(fast.alias("ts"), "user_id")
+
+
+@query("rate_audit_per_user")
+def _audit_user(spark, sf):
+    return _show(J.rate_audit(_requests(spark, sf), "user_id", 10))
+
+
+@query("stream_rate_audit_per_user")
+def _stream_audit_user(spark, sf):
+    df = _requests(spark, sf)
+    src, out = _landed(spark, df, "requests"), scratch_path(spark, "audit")
+    J.write_updates(J.rate_audit(J.file_stream(spark, src, df.schema, 2), "user_id", 20, watermark="1 hour"), out, scratch_path(spark, "ck"))
+    return _show(J.read_updates(spark, out, ["start", "user_id"]))
+
+
 def _checks(spark, sf):
     return fx.table(spark, sf, "events").select(F.col("user_id").alias("key"), J.event_seconds(F.col("ts")).alias("sec"))
 

@@ -172,6 +172,11 @@ SELECT url_id, host, p.tld AS tld, cat AS tld_category, CAST(coalesce(w, 0) AS B
     "known_bad_matches": f"""WITH u AS (SELECT url_id, CASE WHEN url_id % 2 = 0 THEN upper(url) ELSE ' ' || url || '/' END AS url FROM ({CORPUS}) c), bad AS (SELECT {URLHASH} AS h FROM ({CORPUS}) c WHERE url_id % 3 = 0)
 SELECT url_id, {URLHASH} AS url_hash FROM u WHERE {URLHASH} IN (SELECT h FROM bad)""",
 }
+USER_LEX = """lex AS (SELECT term, CAST(max(w) AS INTEGER) AS w FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS term, p_size % 5 + 1 AS w FROM part) x WHERE length(term) >= 3 GROUP BY term)"""
+for _name in ("pattern_score_user_lexicon", "pattern_score_joined_lexicon"):
+    ORACLES[_name] = f"WITH {USER_LEX}, {PATTERN_CTE.replace(_struct_list(KW), '(SELECT list({t: term, w: w}) FROM lex)')} SELECT * EXCLUDE (rs) FROM pat".replace("{t: term, w: w}", "{'t': term, 'w': w}")
+ORACLES["signature_score_user_lexicon"] = f"WITH {USER_LEX}, {SIGNATURE_CTE.replace(_struct_list(SKW), '(SELECT list({t: term, w: w * 10}) FROM lex)')} SELECT * FROM sig".replace(
+    "{t: term, w: w * 10}", "{'t': term, 'w': w * 10}").replace(f"CASE WHEN {URLHASH} IN (SELECT h FROM bad) THEN 100 ELSE", "CASE WHEN false THEN 100 ELSE")
 ORACLES["risk_factors"] = f"""WITH im AS (SELECT url_id AS i1, likely_brand_impersonation AS imp, brand_in_subdomain AS imp_sub, brand_with_hyphens AS imp_hyp FROM ({IMP}) z1),
 ho AS (SELECT url_id AS i2, is_idn_homograph AS h_idn FROM ({HOM}) z2),
 pp AS (WITH {parts_cte()} SELECT p.*, imp, imp_sub, imp_hyp, h_idn FROM p JOIN im ON p.url_id = i1 JOIN ho ON p.url_id = i2),

@@ -15,7 +15,10 @@ SUPPRESS = """WITH RECURSIVE e AS (SELECT DISTINCT user_id AS key, CAST(floor(ep
 k AS (SELECT key, min(sec) AS sec FROM e GROUP BY key
   UNION ALL SELECT k.key, (SELECT min(e.sec) FROM e WHERE e.key = k.key AND e.sec >= k.sec + 86400) AS sec FROM k WHERE k.sec IS NOT NULL)
 SELECT key, sec FROM k WHERE sec IS NOT NULL"""
+PER_USER = """WITH g AS (SELECT time_bucket(INTERVAL 60 SECONDS, make_timestamp(CAST(floor(epoch(ts)) AS BIGINT) // 8640 * 1000000)) AS s, user_id, count(*) AS n_requests FROM events GROUP BY ALL)
+SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, user_id, n_requests FROM g WHERE n_requests > {}"""
 ORACLES = {
+    "rate_audit_per_user": PER_USER.format(10), "stream_rate_audit_per_user": PER_USER.format(20),
     "stream_ingest_new_urls": f"WITH {FEEDS} SELECT {NORM} AS url_normalized, 1::BIGINT AS n FROM a GROUP BY 1",
     "stream_scored_urls": f"WITH {PATTERN_CTE} SELECT url_id, risk_score, verdict FROM pat",
     "scan_counters": COUNTERS, "stream_scan_counters": COUNTERS, "rate_audit": AUDIT, "stream_rate_audit": AUDIT,
