@@ -5,9 +5,11 @@ Exact: two documents link when ``100 * |intersection| >= pct * |union|``.  Four
 1. *Classes.*  Documents with the same set (128-bit fingerprint) are one class; its smallest doc_id stands for it.  All
    later steps see one row per class, so copies cost nothing.
 2. *Meeting places.*  Sets that link differ in at most ``k`` tokens, ``k`` following from the larger set's size band.  A
-   set's tokens are dealt by hash into ``k + 1 + 2d`` parts; some part is then equal in both sets, even if each set keeps
-   back its ``d`` smallest parts.  Sets that hold an equal part meet; each meeting is joined to its smallest member only
-   (a star), so a meeting of m sets yields m - 1 rows.  Tasks combine equal parts before the shuffle.
+   set's tokens are dealt by hash into ``k + 1 + e`` parts, of which at least ``1 + e`` are then equal in both sets.  A
+   first pass over all sets counts how many of a set's parts some other set has too; a set that shares fewer than it must
+   cannot link with any and is left (so a passage or line that many documents hold keeps none of them).  Sets that remain
+   meet by their equal parts; each meeting is joined to its smallest member only (a star), so a meeting of m sets yields
+   m - 1 rows.  Tasks combine equal parts before the shuffle, so a part that a third of all sets have costs a row a task.
 3. *Signature trees.*  Sets connected by meetings form a group.  A tree over the group holds, in each node, the OR of
    token bitmaps and the range of sizes.  A dual traversal drops node pairs whose largest possible overlap is below what
    their sizes need, and node pairs that are connected already; remaining leaves are compared exactly.  A group beyond
@@ -64,85 +66,127 @@ def _bands(most: int) -> np.ndarray:
     return np.array(out)
 
 
-def part_keys(s: np.ndarray, pct: int, bands: np.ndarray) -> np.ndarray:
-    """Keys of the parts under which a set can meet every set that it may link with."""
+def part_keys(s: np.ndarray, pct: int, bands: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+    """For each size band in which a set can link: the band, how many of its keys it must share with a partner there, and
+    the keys of its parts.
+
+    Empty parts are equal in both sets but have no key, so they lower what must be shared; a set with so many of them
+    that nothing need be shared gets keys for its empty parts too.
+    """
     size, out = len(s), []
     g = int(np.searchsorted(bands, size, "right")) - 1
     mixed, high = mix(s + _C), s >> np.uint64(32)
     while bands[g] <= 100 * size // pct:
         k = 2 * (int(bands[g + 1]) - 1) * (100 - pct) // (100 + pct)
-        d = k // 8
-        m = k + 1 + 2 * d
+        e = min(k, max(2, k // 4))
+        m = k + 1 + e
         part = (high * np.uint64(m)) >> np.uint64(32)  # not decreasing, as the set is sorted
         starts = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1))
-        counts, sums, which = np.diff(starts, append=size), np.add.reduceat(mixed, starts), part[starts]
-        empty = m - len(starts)
-        if empty <= d:
-            keep = np.sort(np.argsort(counts, kind="stable")[: d - empty][counts[np.argsort(counts, kind="stable")[: d - empty]] < 3])
-            sums, which = np.delete(sums, keep), np.delete(which, keep)
-        else:
-            free = np.setdiff1d(np.arange(m, dtype=np.uint64), which)[d:]
-            sums, which = np.concatenate((sums, np.zeros(len(free), np.uint64))), np.concatenate((which, free))
-        out.append(mix(sums ^ mix(which * _C + np.uint64(g + 1))))
+        sums, which = np.add.reduceat(mixed, starts), part[starts]
+        need = 1 + e - (m - len(starts))
+        if need < 1:
+            free = np.setdiff1d(np.arange(m, dtype=np.uint64), which)
+            sums, which, need = np.concatenate((sums, np.zeros(len(free), np.uint64))), np.concatenate((which, free)), 1
+        out.append((g, need, mix(sums ^ mix(which * _C + np.uint64(g + 1)))))
         g += 1
-    return np.concatenate(out)
+    return out
 
 
+SLICE, HELD_KEYS = 512, 300_000
 SKETCH = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "lo", "hi", "n", "doc_id")])
-_PART, _STAR = -1, -2
+_PART, _COUNT = -1, -2
+
+
+def _rows(*cols) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(np.asarray(c, np.int64)) for c in cols], names=SKETCH.names)
 
 
 def _sketch(n: int, pct: int):
+    """Texts -> member rows (random, lo, hi, size, doc_id); key rows (key, lo, band or -1 - band, _PART); count rows
+    (random, lo, what must be shared, _COUNT, keys shared within the task).
+
+    A task forwards each key once, for the smallest set that has it; where several sets of the task have it, their counts
+    are settled here and the forwarded row says so by its negative band.
+    """
+
     def run(batches):
         memo, spread = WordHashes(), np.random.default_rng(TaskContext.get().partitionId())
         bands = _bands(1 << 12)
-        keys, owners, seen, held = [], [], set(), 0
+        keys, needs, seen, held = [], [], set(), 0
 
         def flush():
-            key, lo = np.concatenate(keys), np.concatenate(owners)
-            order = np.lexsort((lo, key))
-            key, lo = key[order], lo[order]
-            new = np.concatenate(([True], (key[1:] != key[:-1]) | (lo[1:] != lo[:-1])))
-            key, lo = key[new], lo[new]
+            key, owner = np.concatenate(keys), np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+            lo, band, need = (np.array(c, np.int64) for c in zip(*needs, strict=True))
+            order = np.lexsort((lo[owner], key))
+            key, owner = key[order], owner[order]
             first = np.concatenate(([True], key[1:] != key[:-1]))
-            low = lo[np.flatnonzero(first)][np.cumsum(first) - 1]
-            star = np.unique(np.stack((lo[~first], low[~first])), axis=1)
-            for at in range(0, int(first.sum()), 200_000):
-                a, b = key[first][at : at + 200_000], lo[first][at : at + 200_000]
-                yield rows(a, b, np.zeros(len(a), np.int64), np.full(len(a), _PART), None)
-            if star.size:
-                yield rows(spread.integers(-(2**62), 2**62, star.shape[1]), star[0], star[1], np.full(star.shape[1], _STAR), None)
-
-        def rows(key, lo, hi, size, ids):
-            ids = pa.nulls(len(key), pa.int64()) if ids is None else pa.array(ids, pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in (key, lo, hi, size)] + [ids], names=SKETCH.names)
-
-        for b in batches:
-            ids, member = b.column(0).to_pylist(), []
-            for doc_id, text in zip(ids, b.column(1).to_pylist(), strict=True):
-                s = shingles(text, n, memo)
-                hi, lo = fingerprint(s)
-                member.append((lo, hi, len(s)))
-                if len(s) and doc_id is not None and lo not in seen:
-                    seen.add(lo)
-                    if 2 * len(s) >= bands[-1]:
-                        bands = _bands(4 * len(s))
-                    keys.append(part_keys(s, pct, bands).view(np.int64))
-                    owners.append(np.full(len(keys[-1]), lo))
-                    held += len(keys[-1])
-                    if held > 500_000:
-                        yield from flush()
-                        keys, owners, seen, held = [], [], set(), 0
-            if member:
+            starts = np.flatnonzero(first)
+            shared = np.diff(starts, append=len(key)) > 1
+            inside = np.bincount(owner[np.repeat(shared, np.diff(starts, append=len(key)))], minlength=len(keys))
+            yield _rows(spread.integers(-(2**62), 2**62, len(lo)), lo, need, np.full(len(lo), _COUNT), inside)
+            own = owner[starts]
+            mark = np.where(shared, -1 - band[own], band[own])
+            for at in range(0, len(starts), 100_000):
+                to = slice(at, at + 100_000)
+                yield _rows(key[starts][to], lo[own][to], mark[to], np.full(len(mark[to]), _PART), pa.nulls(len(mark[to]), pa.int64()))
+
+        for whole in batches:
+            for b in (whole.slice(at, SLICE) for at in range(0, whole.num_rows, SLICE)):
+                member = []
+                ids = b.column(0).to_pylist()
+                for doc_id, text in zip(ids, b.column(1).to_pylist(), strict=True):
+                    s = shingles(text, n, memo)
+                    hi, lo = fingerprint(s)
+                    member.append((lo, hi, len(s)))
+                    if len(s) and doc_id is not None and lo not in seen:
+                        seen.add(lo)
+                        if 2 * len(s) >= bands[-1]:
+                            bands = _bands(4 * len(s))
+                        for g, need, k in part_keys(s, pct, bands):
+                            keys.append(k.view(np.int64))
+                            needs.append((lo, g, need))
+                            held += len(k)
                 m = np.array(member, np.int64)
-                yield rows(spread.integers(-(2**62), 2**62, len(m)), m[:, 0], m[:, 1], m[:, 2], ids)
+                yield _rows(spread.integers(-(2**62), 2**62, len(m)), m[:, 0], m[:, 1], m[:, 2], pa.array(ids, pa.int64()))
+                if held > HELD_KEYS:
+                    yield from flush()
+                    keys, needs, seen, held = [], [], set(), 0
         if keys:
             yield from flush()
 
     return run
 
 
-SETS = T.StructType([T.StructField(c, T.LongType()) for c in ("grp", "id", "hi", "lo", "n", "bits")] + [T.StructField("tokens", T.BinaryType())] + [T.StructField(f"b{i}", T.LongType()) for i in range(WORDS64)])
+def _meetings(pct: int):
+    """Sets (id, tokens) -> (key, id, least id of the task with that key); stars within the task have a key of their own."""
+
+    def run(batches):
+        spread, bands = np.random.default_rng(TaskContext.get().partitionId()), _bands(1 << 12)
+        names = ["key", "u", "v"]
+        for whole in batches:
+            for b in (whole.slice(at, SLICE) for at in range(0, whole.num_rows, SLICE)):
+                keys, owners = [], []
+                for i, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    s = np.frombuffer(raw, np.uint64)
+                    if 2 * len(s) >= bands[-1]:
+                        bands = _bands(4 * len(s))
+                    keys += [k.view(np.int64) for _, _, k in part_keys(s, pct, bands)]
+                    owners += [i] * (len(keys) - len(owners))
+                key, owner = np.concatenate(keys), np.repeat(np.array(owners, np.int64), [len(k) for k in keys])
+                order = np.lexsort((owner, key))
+                key, owner = key[order], owner[order]
+                first = np.concatenate(([True], key[1:] != key[:-1]))
+                least = owner[np.flatnonzero(first)][np.cumsum(first) - 1]
+                star = np.unique(np.stack((owner[~first], least[~first])), axis=1)
+                star = star[:, star[0] != star[1]]
+                yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(owner[first]), pa.array(owner[first])], names=names)
+                if star.size:
+                    yield pa.RecordBatch.from_arrays([pa.array(spread.integers(-(2**62), 2**62, star.shape[1])), pa.array(star[0]), pa.array(star[1])], names=names)
+
+    return run
+
+
+SETS = T.StructType([T.StructField(c, T.LongType()) for c in ("id", "hi", "lo", "n", "bits")] + [T.StructField("tokens", T.BinaryType())] + [T.StructField(f"b{i}", T.LongType()) for i in range(WORDS64)])
 
 
 def bitmap(s: np.ndarray) -> tuple[np.ndarray, int]:
@@ -152,19 +196,20 @@ def bitmap(s: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def _fetch(n: int):
-    """(doc_id, text, grp, hi, lo) -> sets of the rows whose fingerprint is the asked one."""
+    """(doc_id, text, hi, lo) -> sets of the rows whose fingerprint is the asked one."""
 
     def run(batches):
         memo = WordHashes()
-        for b in batches:
-            out = []
-            for doc_id, text, grp, hi, lo in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                s = shingles(text, n, memo)
-                if fingerprint(s) == (hi, lo):
-                    bits, on = bitmap(s)
-                    out.append((grp, doc_id, hi, lo, len(s), on, s.tobytes(), *bits.tolist()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 6 else pa.int64()) for i, c in enumerate(zip(*out, strict=True))], names=SETS.names)
+        for whole in batches:
+            for b in (whole.slice(at, SLICE) for at in range(0, whole.num_rows, SLICE)):
+                out = []
+                for doc_id, text, hi, lo in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    s = shingles(text, n, memo)
+                    if fingerprint(s) == (hi, lo):
+                        bits, on = bitmap(s)
+                        out.append((doc_id, hi, lo, len(s), on, s.tobytes(), *bits.tolist()))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 5 else pa.int64()) for i, c in enumerate(zip(*out, strict=True))], names=SETS.names)
 
     return run
 
@@ -303,16 +348,21 @@ def signature_components(df: DataFrame, n: int = 5, pct: int = 80, id_col: str =
     """One row per input row: ``doc_id, n_shingles, component_id`` (smallest doc_id reachable by links)."""
     docs = id_text(df, id_col, text_col)
     rows = docs.mapInArrow(_sketch(n, pct), SKETCH)
-    low = F.min("lo").over(Window.partitionBy("key", "n"))
-    found = rows.withColumn("low", F.when(F.col("n") == _PART, low)).where((F.col("n") != _PART) | (F.col("lo") != F.col("low")))
-    found = stored(found.select("n", "lo", F.coalesce("low", "hi").alias("hi"), "doc_id"), "sketch")
+    same_key = Window.partitionBy("key", "n")
+    rows = rows.withColumn("met", F.min("lo").over(same_key) < F.max("lo").over(same_key))
+    found = stored(rows.where((F.col("n") != _PART) | (F.col("met") & (F.col("hi") >= 0))).select("n", "lo", "hi", "doc_id"), "sketch")
     members = found.where("n >= 0")
-    meets = found.where("n < 0").select(F.col("lo").alias("u"), F.col("hi").alias("v")).distinct()
-    groups = components(meets).select(F.col("id").alias("lo"), F.col("component").alias("grp"))
     classes = members.where("n > 0 AND doc_id IS NOT NULL").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"))
-    asked = stored(classes.join(groups, "lo").select(F.col("rep").alias("doc_id"), "grp", "hi", "lo"), "asked")
-    sets = docs.join(sized_broadcast(asked, 500_000), "doc_id").select("doc_id", "text", "grp", "hi", "lo").mapInArrow(_fetch(n), SETS)
+    # what a set must share is the least over its bands; what it shares is counted over all of them, which keeps too much rather than too little
+    sharing = found.where("n < 0").groupBy("lo").agg(F.sum(F.when(F.col("n") == _PART, 1).otherwise(F.col("doc_id"))).alias("shared"), F.min(F.when(F.col("n") == _COUNT, F.col("hi"))).alias("need"))
+    asked = classes.join(sharing.where("shared >= need").select("lo"), "lo")
+    asked = stored(asked.select(F.col("rep").alias("doc_id"), "hi", "lo"), "asked")
+    sets = docs.join(sized_broadcast(asked, 500_000), "doc_id").select("doc_id", "text", "hi", "lo").mapInArrow(_fetch(n), SETS)
     sets = stored(sets, "sets")
+    meets = sets.select("id", "tokens").mapInArrow(_meetings(pct), "key long, u long, v long")
+    meets = meets.select("u", F.least("v", F.min("u").over(Window.partitionBy("key"))).alias("v")).where("u <> v").distinct()
+    groups = components(meets).select("id", F.col("component").alias("grp"))
+    sets = stored(sets.join(groups, "id"), "grouped-sets")
     sums = sets.groupBy("grp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t"))
     large = stored(sums.where((F.col("c") > block_sets) | (F.col("t") > block_tokens)).select("grp"), "large")
     linked = _links_by(sets.join(large, "grp", "left_anti"), pct, whole=True).toDF("id", "component")
