@@ -41,6 +41,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Longer words are not remembered by tasks, so what a number of words takes is bounded.
+LONG_WORD = 256
+
+
 class WordHashes(dict):
     """Word -> 64-bit hash; forgets everything after ``most`` words, so its memory is bounded."""
 
@@ -49,7 +53,9 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
             self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= LONG_WORD:
+            self[word] = h
         return h
 
 

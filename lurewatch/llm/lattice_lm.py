@@ -7,8 +7,8 @@ its characters; a character outside the vocabulary is spelled in byte pieces.  N
 probability is the sum over its words and one end piece.
 
 Word counts of the training documents are gathered whole (counted per task before the shuffle).  Scoring needs a count
-for every word of every document: the ``HOT_WORDS`` most frequent words (a bounded table) go to all tasks, so frequent
-words are never shuffled; every other word of a document is one row that meets its count in a join on the word.
+for every word of every document: the ``HOT_WORDS`` most frequent words of at most ``HOT_BYTES`` bytes (so the table is
+bounded) go to all tasks, so frequent words are never shuffled; every other word of a document is one row that meets its count in a join on the word.
 
 Edge cases: a null text is empty and holds the end token only; a null doc_id trains; repeated rows count and are scored
 each; without training documents all counts are 0 and the piece scores are uniform; an empty table gives no rows.
@@ -25,9 +25,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lurewatch.llm.common import id_text, stored
+from lurewatch.llm.common import LONG_WORD, id_text, stored
 
-HOT_WORDS, HELD_WORDS, FOLDS, HELD_FOLD = 200_000, 400_000, 7, 2
+HOT_WORDS, HOT_BYTES, HELD_WORDS, HELD_BYTES, FOLDS, HELD_FOLD = 200_000, 64, 400_000, 1 << 27, 7, 2
 END = b"\n"  # no word holds a line end
 SPACE = "▁"
 
@@ -41,6 +41,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         seen: Counter = Counter()
+        size = 0  # of the texts whose words are held
 
         def out():
             return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
@@ -49,9 +50,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
             for text in b.column(0).to_pylist():
                 seen.update(text.lower().split())
                 seen[END] += 1
-                if len(seen) > HELD_WORDS:
+                size += len(text)
+                if len(seen) > HELD_WORDS or size > HELD_BYTES:
                     yield out()
                     seen.clear()
+                    size = 0
         if seen:
             yield out()
 
@@ -95,7 +98,9 @@ class Lattice:
         if known is None:
             if len(self.memo) >= self.most:
                 self.memo.clear()
-            known = self.memo[word] = self.forward(SPACE + word.decode("utf-8", "replace"))
+            known = self.forward(SPACE + word.decode("utf-8", "replace"))
+            if len(word) <= LONG_WORD:
+                self.memo[word] = known
         return known
 
     def forward(self, s: str) -> float:
@@ -146,7 +151,7 @@ def score_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", te
     counts = stored(word_counts(docs), "word-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     used = {r.piece: r.c for r in piece_counts(counts, model_file).collect()}  # at most one row per piece of the vocabulary
-    top = counts.orderBy(F.desc("c"), "word").limit(hot_words).toArrow()
+    top = counts.where(F.octet_length("word") <= HOT_BYTES).orderBy(F.desc("c"), "word").limit(hot_words).toArrow()
     hot = dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True))
     ends = next((r.c for r in counts.where(F.col("word") == F.lit(END)).collect()), 0)
     hot |= {END: ends} if ends else {}

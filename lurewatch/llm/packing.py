@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lurewatch.llm.common import id_text, stored
+from lurewatch.llm.common import LONG_WORD, id_text, stored
 
 MAX_TOKENS, MAX_PIECES, MAX_COST, END_ID = 4096, 1024, 4096 * 4096, 1
 WEIGHTS = (1.0, 0.01, 0.01)
@@ -40,7 +40,7 @@ class WordIds:
 
     Most words are letters with marks behind them.  The tokenizer cuts between the two and lower-cases, so such a word's
     ids are those of its lower-cased letters and those of its marks; only parts not met before are encoded.  Both
-    memories forget all words once they hold ``most``.
+    memories forget all words once they hold ``most``, and long ones at once.
     """
 
     def __init__(self, tokenizer_file: str, most: int = HELD_WORDS):
@@ -76,7 +76,8 @@ class WordIds:
                 cut.append((w, m[1].lower(), m[2]))
             else:
                 whole.append(w)
-        if missing := list({p for c in cut for p in c[1:] if p and p not in parts}):
+        missing = list({p for c in cut for p in c[1:] if p and p not in parts})
+        if missing:
             self.encode(missing, True)
         if whole:
             self.encode(whole, False)
@@ -84,6 +85,8 @@ class WordIds:
             self.words[w] = parts[letters] + parts[marks] if marks else parts[letters]
         for w in whole:
             self.words[w] = parts[w]
+        for p in [p for some in (missing, whole) for p in some if len(p) > LONG_WORD]:
+            parts.pop(p, None)
 
     def texts(self, texts: list[bytes]):
         get = self.words.get
@@ -96,6 +99,8 @@ class WordIds:
                 self.learn(new)
             for words, ids in zip(split, found, strict=True):
                 yield b"".join([get(w) if i is None else i for w, i in zip(words, ids, strict=True)] if None in ids else ids)
+            for w in [w for w in new if len(w) > LONG_WORD]:
+                self.words.pop(w, None)
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
