@@ -28,8 +28,8 @@ def test_asof_equals_scan(spark, slot):
     assert len(rows) == len(req) and {r.rid: r.verdict for r in rows} == want
 
 
-@pytest.mark.parametrize("ttl,chunk", [(10, 40), (10, 15), (300, 350), (3, 1000)])
-def test_suppression_equals_scan(spark, ttl, chunk):
+@pytest.mark.parametrize("ttl,chunk,block", [(10, 40, 64), (10, 15, 3), (300, 350, 2), (3, 1000, 1)])
+def test_suppression_equals_scan(spark, ttl, chunk, block):
     rng = random.Random(ttl)
     rows = [("hot" if rng.random() < 0.5 else f"k{rng.randrange(3)}", rng.randrange(1200)) for _ in range(900)]
     want = []
@@ -39,7 +39,7 @@ def test_suppression_equals_scan(spark, ttl, chunk):
             if allowed is None or t >= allowed:
                 want.append((k, t))
                 allowed = t + ttl
-    got = suppress_checks(spark.createDataFrame(rows, "key string, sec long"), ttl, chunk)
+    got = suppress_checks(spark.createDataFrame(rows, "key string, sec long"), ttl, chunk, block)
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
