@@ -18,7 +18,8 @@ Exact: two documents link when ``100 * |intersection| >= pct * |union|``.  Four
 4. *Components* of the verified links (large-star/small-star).
 
 Edge cases: a null or blank text has the empty set and links with nothing; fewer than n words make one shingle of the
-whole sequence; repeated rows share a class; a null doc_id stays alone with a null component; an empty table gives none.
+whole sequence; repeated rows share a class; where different texts share a doc_id, one of them is compared for it; a null
+doc_id stays alone with a null component; an empty table gives none.
 """
 
 from __future__ import annotations
