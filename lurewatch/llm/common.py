@@ -28,8 +28,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts can be long: Arrow batches of few rows keep what the JVM and Python hold of a task small (a session setting)."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two needed columns only, so other columns of any name cannot clash; a null text is empty."""
+    small_batches(df.sparkSession)
     text = F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b""))
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"))
 
@@ -43,6 +49,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 #: Longer words are not remembered by tasks, so what a number of words takes is bounded.
 LONG_WORD = 256
+#: Rows of an Arrow batch that holds whole texts.
+BATCH_ROWS = 512
 
 
 class WordHashes(dict):

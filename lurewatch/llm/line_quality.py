@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lurewatch.llm.common import id_text
+from lurewatch.llm.common import id_text, small_batches
 
 FIT_DOCS, CHAIN, STEPS = 2000, 256, 120
 MIN_WORDS, MAX_REPEAT_PCT, WINDOW, MIN_SHARE = 20, 30, 8, 0.5
@@ -228,4 +228,5 @@ def keep_good(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text
         judged = _judge(weights)([pa.RecordBatch.from_arrays([pa.array([0] * len(texts), pa.int64()), pa.array(texts.tolist(), pa.binary())], names=["doc_id", "text"])])
         return pd.Series([x for b in judged for x in b.column(7).to_pylist()])
 
+    small_batches(docs.sparkSession)
     return docs.where(passes(F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b""))))
