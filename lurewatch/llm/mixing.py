@@ -10,7 +10,7 @@ Targets: sources in code point order (null last) weigh 5, 2, 1, repeating, and s
 more than ``MAX_EPOCHS`` times its own size, and what is cut off goes to the others by weight.  With sources sorted by
 cap over weight this is one pass of prefix sums over the table of sources.
 
-Edge cases: null and blank texts have size 0 and are taken 0 times; null sources are one source; rows that share id,
+Edge cases: null and blank texts have size 0 and are taken 0 times, also where a source has no others; null sources are one source; rows that share id,
 source and size are interchangeable; an empty table gives no rows.
 """
 
@@ -66,7 +66,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     before = sums.select("name", "range", (F.sum("s").over(Window.partitionBy("name").orderBy("range")) - F.col("s")).alias("offset"))
     within = Window.partitionBy("name", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = rows.withColumn("upto", F.sum("size").over(within)).join(before, ["name", "range"])
-    taken = F.expr("coalesce((budget div source_size) * size + greatest(0L, least(size, budget % source_size - (offset + upto - size))), 0L)")
+    # division by zero is an error in ANSI mode, not NULL
+    taken = F.expr("CASE WHEN source_size = 0 THEN 0L ELSE (budget div source_size) * size + greatest(0L, least(size, budget % source_size - (offset + upto - size))) END")
     return out.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), F.col("name").alias("source_name"))
 
 

@@ -259,6 +259,20 @@ def test_mixing(docs, none):
     assert mix_sources(none).count() == 0 and mixed_documents(none).count() == 0
 
 
+def test_mixing_of_a_source_without_words(spark):
+    from lurewatch.llm.mixing import mix_sources, mixed_documents
+
+    texts = [(1, "one two three", "a"), (2, "four", "b"), (3, None, "c"), (4, "", "c"), (5, " \t\n", "c"), (6, "five six", None)]
+    table = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in mix_sources(table).collect()}
+    assert len(got) == 6 and all((got[d].source_size, got[d].target, got[d].taken) == (0, 0.0, 0) for d in (3, 4, 5))
+    taken = sum(r.taken for r in got.values())
+    assert taken == sum(math.floor(t + 1e-9) for t in slow_targets({"a": 3, "b": 1, "c": 0, None: 2}).values()) > 0
+    assert sum(len(words(r.text)) for r in mixed_documents(table).collect()) == taken
+    blank = table.where("source = 'c'")
+    assert [r.taken for r in mix_sources(blank).collect()] == [0, 0, 0] and mixed_documents(blank).count() == 0
+
+
 # 5 top-k -------------------------------------------------------------------------------------------------------------
 
 

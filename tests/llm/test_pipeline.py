@@ -67,6 +67,18 @@ def test_stages(spark):
     assert rows(cp.run(spark, SF), *last.columns) == rows(last, *last.columns)
 
 
+def test_mix_stage_keeps_on_where_a_source_has_only_blank_texts(spark):
+    import corpus_pipeline as cp
+    from lurewatch.llm.common import stored
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    blank = docs.limit(3).selectExpr(*[{"doc_id": "-doc_id - 1 AS doc_id", "text": "IF(doc_id % 2 = 0, NULL, ' \\n') AS text", "source": "'blank' AS source"}.get(c, c) for c in docs.columns])
+    both = stored(docs.unionByName(blank), "t")
+    out = stored(dict(cp.STAGES)["source_mix"](spark, both, SF), "t")
+    assert out.count() > 0 and out.where("source = 'blank'").count() == 0
+    assert dict(cp.STAGES)["packing"](spark, out, SF).where("piece = 0").count() == out.count()
+
+
 NAMES = ["pipeline", *(f"op{n}_" for n in range(1, 11))]
 
 
