@@ -147,6 +147,28 @@ def compare_labels(labels: DataFrame, brands: DataFrame, keywords: list[str] = r
         F.max_by("technique", "score").alias("technique"), F.max("score").alias("score"))
 
 
+def ratio_candidates(labels: DataFrame, brands: DataFrame) -> DataFrame:
+    """All pairs of unequal names whose Ratcliff-Obershelp ratio can exceed 7/10: ``label, brand``.
+
+    The ratio is 2M / (n + m) with M at most the number of common characters c (counted with repetition), and c is at
+    most either length.  So c exceeds 7/13 of both lengths, hence two names of such a pair have at least two characters
+    in common and, by the prefix filter, share two of each one's rarest ``n - ceil(8 n / 15) + 2``; 2c / (n + m) is then
+    held against the bound before any ratio is computed.
+    """
+    def pruning(df: DataFrame, name: str) -> DataFrame:
+        c, n = F.col("cs"), F.length(name)
+        token = lambda i: F.concat(F.get(c, i - 1), (i - F.array_position(c, F.get(c, i - 1)).cast("int")).cast("string"))
+        tokens = df.select(name, _sorted_chars(F.col(name)).alias("cs")).select(name, F.transform(V.positions(F.col(name)), token).alias("tokens"))
+        rare = tokens.select(name, "tokens", F.slice("tokens", F.lit(1), F.least(n, n - F.ceil(n * 8 / 15).cast("int") + 2)).alias("rare"))
+        keys = F.flatten(F.transform("rare", lambda x, i: F.transform(F.slice("rare", i + 2, F.greatest(F.size("rare"), F.lit(1))), lambda y: F.concat(x, y))))
+        return rare.select(name, F.col("tokens").alias(f"{name}_tokens"), F.explode(keys).alias("key"))
+
+    n, m = F.length("label"), F.length("brand")
+    hits = pruning(labels.select("label").distinct(), "label").join(sized_broadcast(pruning(brands.select("brand").distinct(), "brand")), "key")
+    hits = hits.where((F.col("label") != F.col("brand")) & (20 * F.least(n, m) > 7 * (n + m)))
+    return hits.where(20 * F.size(F.array_intersect("label_tokens", "brand_tokens")) > 7 * (n + m)).select("label", "brand").distinct()
+
+
 def technique_matches(labels: DataFrame, brands: DataFrame) -> DataFrame:
     """Pairs explained by a technique, best technique per (label, brand)."""
     return compare_labels(labels, brands, similar=False).where(F.col("technique").isNotNull())

@@ -64,7 +64,7 @@ def _bits(spark, sf):
 
 
 def _name_pairs(spark, sf):
-    """Distinct (label, brand) pairs that share a deletion key, the pruned input of the similarity functions."""
+    """Distinct (label, brand) pairs without an edit technique that may reach the Jaro-Winkler score of the query."""
     return B.similarity_candidates(corpus_labels(spark, sf).where(F.col("label").rlike("^[a-z0-9-]+$")), fx.brands(spark, sf))
 
 
@@ -76,8 +76,9 @@ def _jw(spark, sf):
 
 @query("sequence_ratio_pairs")
 def _ratio(spark, sf):
-    pairs = _name_pairs(spark, sf)
-    return pairs.withColumn("ratio", S.sequence_ratio(F.col("label"), F.col("brand")))
+    """Pairs of unequal names with a ratio above 0.7, those within two edits included."""
+    pairs = B.ratio_candidates(corpus_labels(spark, sf), fx.brands(spark, sf))
+    return pairs.withColumn("ratio", S.sequence_ratio(F.col("label"), F.col("brand"))).where("ratio > 0.7")
 
 
 @query("sql_functions")

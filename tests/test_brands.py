@@ -140,3 +140,20 @@ def test_brand_table_beyond_the_broadcast_bound(spark, labels, monkeypatch):
     want = sorted(map(tuple, B.scored_pairs(ldf, bdf).collect()))
     monkeypatch.setattr(B, "sized_broadcast", lambda df, *a: df)
     assert sorted(map(tuple, B.scored_pairs(ldf, bdf).collect())) == want
+
+
+def test_ratio_pairs_equal_brute_force(spark, labels, monkeypatch):
+    from difflib import SequenceMatcher
+
+    from lurewatch.plans import brands as P
+
+    rng = random.Random(5)
+    name = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 12)))
+    names = [*labels, "thefacebook", "faceboook", "b", "ob", "x" * 90 + "paypal", *(name() for _ in range(150))]
+    brands = sorted({*BRANDS, "facebook", "y" * 20 + "x" * 80, *(name() for _ in range(30))})
+    monkeypatch.setattr(P, "corpus_labels", lambda *a: spark.createDataFrame([(x,) for x in names], "label string"))
+    monkeypatch.setattr(P.fx, "brands", lambda *a: spark.createDataFrame([(b,) for b in brands], "brand string"))
+    got = {(r.label, r.brand): r.ratio for r in P._ratio(spark, "").collect()}
+    every = {(x, b): SequenceMatcher(None, x, b).ratio() for x in names for b in brands if x != b}
+    assert got == {p: r for p, r in every.items() if r > 0.7}
+    assert ("thefacebook", "facebook") in got and ("faceboook", "facebook") in got
