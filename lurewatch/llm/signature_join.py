@@ -2,8 +2,8 @@
 
 Exact: two documents link when ``100 * |intersection| >= pct * |union|``.  Four steps:
 
-1. *Classes.*  Documents with the same set (128-bit fingerprint) are one class; its smallest doc_id stands for it.  All
-   later steps see one row per class, so copies cost nothing.
+1. *Classes.*  Rows with the same set (128-bit fingerprint) are one class with a number of its own; the row with its
+   smallest doc_id stands for it.  All later steps see one row per class, so copies cost nothing.
 2. *Meeting places.*  Sets that link differ in at most ``k`` tokens, ``k`` following from the larger set's size band.  A
    set's tokens are dealt by hash into ``k + 1 + e`` parts, of which at least ``1 + e`` are then equal in both sets.  A
    first pass over all sets counts how many of a set's parts some other set has too; a set that shares fewer than it must
@@ -18,8 +18,9 @@ Exact: two documents link when ``100 * |intersection| >= pct * |union|``.  Four
 4. *Components* of the verified links (large-star/small-star).
 
 Edge cases: a null or blank text has the empty set and links with nothing; fewer than n words make one shingle of the
-whole sequence; repeated rows share a class; where different texts share a doc_id, one of them is compared for it; a null
-doc_id stays alone with a null component; an empty table gives none.
+whole sequence; repeated rows share a class; different texts that share a doc_id are compared each for itself; rows with a
+null doc_id are compared like others, and their component is null only if no linked row has a doc_id; an empty table
+gives none.
 """
 
 from __future__ import annotations
@@ -96,6 +97,8 @@ def part_keys(s: np.ndarray, pct: int, bands: np.ndarray) -> list[tuple[int, int
 SLICE, HELD_KEYS = 512, 300_000
 SKETCH = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "lo", "hi", "n", "doc_id")])
 _PART, _COUNT = -1, -2
+# member rows have the size in the low bits of n and a random number above it, which keeps copies apart in the shuffle by (key, n)
+SIZE_BITS = 32
 
 
 def _rows(*cols) -> pa.RecordBatch:
@@ -103,7 +106,7 @@ def _rows(*cols) -> pa.RecordBatch:
 
 
 def _sketch(n: int, pct: int):
-    """Texts -> member rows (random, lo, hi, size, doc_id); key rows (key, lo, band or -1 - band, _PART); count rows
+    """Texts -> member rows (hash of the text, lo, hi, size and random bits, doc_id); key rows (key, lo, band or -1 - band, _PART); count rows
     (random, lo, what must be shared, _COUNT, keys shared within the task).
 
     A task forwards each key once, for the smallest set that has it; where several sets of the task have it, their counts
@@ -135,11 +138,11 @@ def _sketch(n: int, pct: int):
             for b in (whole.slice(at, SLICE) for at in range(0, whole.num_rows, SLICE)):
                 member = []
                 ids = b.column(0).to_pylist()
-                for doc_id, text in zip(ids, b.column(1).to_pylist(), strict=True):
+                for text in b.column(1).to_pylist():
                     s = shingles(text, n, memo)
                     hi, lo = fingerprint(s)
                     member.append((lo, hi, len(s)))
-                    if len(s) and doc_id is not None and lo not in seen:
+                    if len(s) and lo not in seen:
                         seen.add(lo)
                         if 2 * len(s) >= bands[-1]:
                             bands = _bands(4 * len(s))
@@ -148,7 +151,8 @@ def _sketch(n: int, pct: int):
                             needs.append((lo, g, need))
                             held += len(k)
                 m = np.array(member, np.int64)
-                yield _rows(spread.integers(-(2**62), 2**62, len(m)), m[:, 0], m[:, 1], m[:, 2], pa.array(ids, pa.int64()))
+                salted = m[:, 2] | (spread.integers(0, 2**30, len(m)) << SIZE_BITS)
+                yield _rows(b.column(2), m[:, 0], m[:, 1], salted, pa.array(ids, pa.int64()))
                 if held > HELD_KEYS:
                     yield from flush()
                     keys, needs, seen, held = [], [], set(), 0
@@ -197,18 +201,21 @@ def bitmap(s: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def _fetch(n: int):
-    """(doc_id, text, hi, lo) -> sets of the rows whose fingerprint is the asked one."""
+    """(class, text, hi, lo) -> sets of the rows whose fingerprint is the asked one, once a class within the task."""
 
     def run(batches):
-        memo = WordHashes()
+        memo, had = WordHashes(), set()
         for whole in batches:
             for b in (whole.slice(at, SLICE) for at in range(0, whole.num_rows, SLICE)):
                 out = []
-                for doc_id, text, hi, lo in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for node, text, hi, lo in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if node in had:
+                        continue
                     s = shingles(text, n, memo)
                     if fingerprint(s) == (hi, lo):
+                        had.add(node)
                         bits, on = bitmap(s)
-                        out.append((doc_id, hi, lo, len(s), on, s.tobytes(), *bits.tolist()))
+                        out.append((node, hi, lo, len(s), on, s.tobytes(), *bits.tolist()))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 5 else pa.int64()) for i, c in enumerate(zip(*out, strict=True))], names=SETS.names)
 
@@ -344,21 +351,37 @@ def _large_group_links(sets: DataFrame, pct: int, block_sets: int, block_tokens:
     return links.unionByName(_links_by(sets.drop("grp").join(sides, "block"), pct, labelled=True))
 
 
-def signature_components(df: DataFrame, n: int = 5, pct: int = 80, id_col: str = "doc_id", text_col: str = "text",
-                         block_sets: int = BLOCK_SETS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """One row per input row: ``doc_id, n_shingles, component_id`` (smallest doc_id reachable by links)."""
-    docs = id_text(df, id_col, text_col)
+def _with_row(docs: DataFrame) -> DataFrame:
+    """``row``: a hash of the text; with the doc_id it names a row, but for repeated ones."""
+    return docs.withColumn("row", F.xxhash64("text"))
+
+
+def _same_row(a: DataFrame, b: DataFrame):
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["row"] == b["row"])
+
+
+def _linked_classes(df: DataFrame, n: int, pct: int, id_col: str, text_col: str, block_sets: int, block_tokens: int) -> tuple[DataFrame, DataFrame]:
+    """Members (doc_id, row, n, hi, lo), one per input row; and classes (hi, lo, rep, rep_row, first, component_id).
+
+    ``rep, rep_row`` is the row that stands for a class; ``first`` says whether it also stands for its component.
+    """
+    docs = _with_row(id_text(df, id_col, text_col))
     rows = docs.mapInArrow(_sketch(n, pct), SKETCH)
     same_key = Window.partitionBy("key", "n")
     rows = rows.withColumn("met", F.min("lo").over(same_key) < F.max("lo").over(same_key))
-    found = stored(rows.where((F.col("n") != _PART) | (F.col("met") & (F.col("hi") >= 0))).select("n", "lo", "hi", "doc_id"), "sketch")
+    size = F.when(F.col("n") >= 0, F.col("n").bitwiseAND(F.lit(2**SIZE_BITS - 1))).otherwise(F.col("n"))
+    found = stored(rows.where((F.col("n") != _PART) | (F.col("met") & (F.col("hi") >= 0))).select(
+        size.alias("n"), "lo", "hi", "doc_id", F.when(F.col("n") >= 0, F.col("key")).alias("row")), "sketch")
     members = found.where("n >= 0")
-    classes = members.where("n > 0 AND doc_id IS NOT NULL").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"))
+    classes = members.where("n > 0").groupBy("hi", "lo").agg(
+        F.min("doc_id").alias("rep"), F.min_by("row", "doc_id").alias("__row"), F.min(F.when(F.col("doc_id").isNull(), F.col("row"))).alias("__null_row"))
+    classes = classes.select(F.monotonically_increasing_id().alias("node"), "hi", "lo", "rep", F.coalesce("__row", "__null_row").alias("rep_row"))
+    classes = stored(classes, "classes")
     # what a set must share is the least over its bands; what it shares is counted over all of them, which keeps too much rather than too little
     sharing = found.where("n < 0").groupBy("lo").agg(F.sum(F.when(F.col("n") == _PART, 1).otherwise(F.col("doc_id"))).alias("shared"), F.min(F.when(F.col("n") == _COUNT, F.col("hi"))).alias("need"))
     asked = classes.join(sharing.where("shared >= need").select("lo"), "lo")
-    asked = stored(asked.select(F.col("rep").alias("doc_id"), "hi", "lo"), "asked")
-    sets = docs.join(sized_broadcast(asked, 500_000), "doc_id").select("doc_id", "text", "hi", "lo").mapInArrow(_fetch(n), SETS)
+    asked = stored(asked.select("node", F.col("rep").alias("doc_id"), F.col("rep_row").alias("row"), "hi", "lo"), "asked")
+    sets = docs.join(sized_broadcast(asked, 500_000), _same_row(docs, asked)).select("node", "text", "hi", "lo").mapInArrow(_fetch(n), SETS)
     sets = stored(sets, "sets")
     meets = sets.select("id", "tokens").mapInArrow(_meetings(pct), "key long, u long, v long")
     meets = meets.select("u", F.least("v", F.min("u").over(Window.partitionBy("key"))).alias("v")).where("u <> v").distinct()
@@ -366,17 +389,43 @@ def signature_components(df: DataFrame, n: int = 5, pct: int = 80, id_col: str =
     sets = stored(sets.join(groups, "id"), "grouped-sets")
     sums = sets.groupBy("grp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t"))
     large = stored(sums.where((F.col("c") > block_sets) | (F.col("t") > block_tokens)).select("grp"), "large")
-    linked = _links_by(sets.join(large, "grp", "left_anti"), pct, whole=True).toDF("id", "component")
+    linked = _links_by(sets.join(large, "grp", "left_anti"), pct, whole=True).toDF("node", "component")
     if not large.isEmpty():
-        linked = linked.unionByName(components(_large_group_links(sets.join(large, "grp"), pct, block_sets, block_tokens)))
-    named = classes.join(linked, classes.rep == linked.id, "left").select("hi", "lo", F.coalesce("component", "rep").alias("component_id"))
-    out = members.join(named, ["hi", "lo"], "left")
+        linked = linked.unionByName(components(_large_group_links(sets.join(large, "grp"), pct, block_sets, block_tokens)).toDF("node", "component"))
+    # links of whole groups leave out each component's first class
+    linked = linked.unionByName(linked.select(F.col("component").alias("node"), "component")).distinct()
+    linked = stored(classes.join(linked, "node").select("node", "component", "rep", "rep_row"), "linked")
+    firsts = linked.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "rep_row", F.col("node").alias("first_node"))).alias("f"))
+    linked = linked.join(firsts, "component").select("node", F.col("f.rep").alias("least"), "f.first_node")
+    named = classes.join(linked, "node", "left").select(
+        "hi", "lo", "rep", "rep_row", F.coalesce(F.col("first_node") == F.col("node"), F.lit(True)).alias("first"), F.coalesce("least", "rep").alias("component_id"))
+    return members, named
+
+
+def signature_components(df: DataFrame, n: int = 5, pct: int = 80, id_col: str = "doc_id", text_col: str = "text",
+                         block_sets: int = BLOCK_SETS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """One row per input row: ``doc_id, n_shingles, component_id`` (smallest doc_id reachable by links)."""
+    members, named = _linked_classes(df, n, pct, id_col, text_col, block_sets, block_tokens)
+    out = members.join(named.select("hi", "lo", "component_id"), ["hi", "lo"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_first_of_groups(df: DataFrame, n: int = 5, pct: int = 80) -> DataFrame:
-    """The rows of ``df`` without near copies: of each component the document with the smallest doc_id stays, once."""
-    comps = signature_components(df, n, pct)
-    drop = comps.where("component_id < doc_id").select(F.col("doc_id").alias("__llm_id")).distinct()
-    out = df.join(sized_broadcast(stored(drop, "near-copies"), 500_000), F.col("doc_id") == F.col("__llm_id"), "left_anti")
-    return out
+    """The rows of ``df`` without near copies: of each component one row stays, with the smallest doc_id (null last).
+
+    Texts without words are no copies of each other and all stay.
+    """
+    members, named = _linked_classes(df, n, pct, "doc_id", "text", BLOCK_SETS, BLOCK_TOKENS)
+    stays = F.col("first") & F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("row") == F.col("rep_row"))
+    judged = members.where("n > 0").join(named, ["hi", "lo"]).groupBy("doc_id", "row").agg(F.max(stays).alias("stays"), F.count(F.lit(1)).alias("times"))
+    judged = stored(judged.where("NOT stays OR times > 1").select(F.col("doc_id").alias("__llm_id"), F.col("row").alias("__llm_row"), "stays"), "near-copies")
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    rows = df.withColumn("__llm_key", F.xxhash64(text))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__llm_id")) & (F.col("__llm_key") == F.col("__llm_row"))
+    # rows that go, and those of which one of several stays
+    out = rows.join(sized_broadcast(judged.drop("stays"), 500_000), same, "left_anti").select(*df.columns)
+    repeated = judged.where("stays").drop("stays")
+    if repeated.isEmpty():
+        return out
+    again = rows.join(sized_broadcast(repeated, 500_000), same).groupBy("__llm_id", "__llm_row").agg(F.min(F.struct(*df.columns)).alias("r"))
+    return out.unionByName(again.select("r.*"))

@@ -160,6 +160,25 @@ def test_components(spark, docs, none, n, pct, block):
     assert signature_components(none, n, pct).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    from lurewatch.llm.signature_join import keep_first_of_groups, signature_components
+
+    rng = random.Random(9)
+    prose = lambda n: [f"w{rng.randint(0, 900)}" for _ in range(n)]
+    near = lambda w: [*w[:20], "changed", *w[21:]]
+    a, b, c, d, e = (prose(80) for _ in range(5))
+    texts = [(1, a), (1, a), (2, near(a)), (2, b), (3, b), (4, c), (4, d), (6, near(d)), (7, near(c)), (None, e), (None, e), (None, near(e)), (None, prose(60)), (None, near(b)), (9, []), (9, [])]
+    table = spark.createDataFrame([(i, " ".join(w), n % 2) for n, (i, w) in enumerate(texts)], "doc_id long, text string, size int").repartition(3)
+    comps = rows(signature_components(table, 5, 80), "doc_id", "component_id")
+    assert comps == expect([(1, 1), (1, 1), (2, 1), (2, 2), (3, 2), (4, 4), (4, 4), (6, 4), (7, 4), (None, None), (None, None), (None, None), (None, None), (None, 2), (9, 9), (9, 9)])
+    kept = keep_first_of_groups(table, 5, 80)
+    assert kept.columns == table.columns
+    got = rows(kept, "doc_id", "text")
+    alone = expect((i, " ".join(w)) for i, w in [(1, a), (2, b), (4, c), (4, d), (None, texts[12][1]), (9, []), (9, [])])
+    of_e = [x for x in got if x in [(None, " ".join(e)), (None, " ".join(near(e)))]]
+    assert len(of_e) == 1 and [x for x in got if x not in of_e] == alone
+
+
 def test_part_keys_meet_whatever_links():
     from lurewatch.llm.signature_join import _bands, part_keys
 
