@@ -2,8 +2,9 @@
 
 Three fixed kinds of match (``assign``, ``access``, ``hex``) are always reported.  On top, a lexer parses name-literal
 pairs from the common shapes of code and configuration (``name = "x"``, ``name: x``, ``"name": "x"``, ``export NAME=x``,
-``name := 'x' + 'y'``), remembers each name's literal, and follows names assigned to names: in ``a = "x"`` and
-``db_password = a`` the literal of ``a`` ends in ``db_password``.  A literal scores by the most sensitive name that it
+``name := 'x' + 'y'``, ``name: type = "x"``, ``label: name = "x"``, ``name: Bearer x``), reads unquoted values to the next
+blank, and follows names assigned to names: with ``a = "x"`` and ``db_password = a``, in either order, the literal of
+``a`` ends in ``db_password``.  A literal scores by the most sensitive name that it
 reaches times how much it looks like a secret (length, character kinds, entropy; placeholders score nothing); literals of
 at least ``MIN_SCORE`` become spans of kind ``literal``.
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import pyarrow as pa
@@ -33,15 +35,21 @@ LEAST_VALUE, LEAST_ACCESS = 6, 20
 SENSITIVE = {b"password": 1.0, b"passwd": 1.0, b"passphrase": 1.0, b"pwd": 0.9, b"secret": 1.0, b"private_key": 1.0, b"api_key": 1.0, b"apikey": 1.0, b"access_key": 1.0,
              b"token": 0.9, b"credential": 0.9, b"auth": 0.7, b"bearer": 0.9, b"signing_key": 1.0, b"encryption_key": 1.0, b"connection_string": 0.8, b"conn_str": 0.8}
 PLACEHOLDERS = (b"example", b"changeme", b"your", b"placeholder", b"xxxx", b"none", b"null", b"true", b"false", b"dummy", b"todo", b"****", b"<")
-MIN_SCORE, MAX_HOPS = 0.45, 16
+MIN_SCORE = 0.45
 _WORDS = (b"pass", b"secret", b"token", b"key", b"pwd", b"credential", b"auth", b"bearer", b"conn")
 _HEX_RUN = bytes(120 if 48 <= b <= 57 or 97 <= b <= 102 else 32 for b in range(256))
-_PAIR = re.compile(
-    rb"""(?:\b(?:export|set|const|let|var|final|static|string|val)[ \t]+)?           # declaration
-         ["']?(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{0,63})["']?[ \t]*(?::[ \t]*(?:str|string|String)[ \t]*)?(?::=|=>|=|:)[ \t]*
-         (?P<value>"(?:[^"\\\n]|\\.)*"(?:[ \t]*\+[ \t]*"(?:[^"\\\n]|\\.)*")*|'(?:[^'\\\n]|\\.)*'(?:[ \t]*\+[ \t]*'(?:[^'\\\n]|\\.)*')*
-         |\$?\{?[A-Za-z0-9+/_.=\-]+\}?)""", re.X)
-_NAME = re.compile(rb"\$?\{?([A-Za-z_][A-Za-z0-9_.\-]{0,63})\}?\Z")
+# a name and its separator; names start at a word's first letter and have no length limit, so each word is read once
+_TARGET = re.compile(rb"""(?<![A-Za-z0-9_.\-])[0-9.\-]*+(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*+)(?:["']\]?)?+[ \t]*+(?P<sep>:=|=>|=(?!=)|:(?![:=]))[ \t]*+""")
+_QUOTED = re.compile(
+    rb"""[bBrRuUfF]{0,2}(?P<value>"(?:[^"\\\n]|\\.)*+"(?:[ \t]*+\+[ \t]*+"(?:[^"\\\n]|\\.)*+")*+|'(?:[^'\\\n]|\\.)*+'(?:[ \t]*+\+[ \t]*+'(?:[^'\\\n]|\\.)*+')*+)""")
+# an unquoted value goes to the next blank, or to a mark behind which a further pair starts
+_RUN = re.compile(rb"""(?:[^\x20\t\r\n\x0b\x0c;,&]|[;,&](?!["']?[A-Za-z_][A-Za-z0-9_.\-]*+["']?(?::=|=>|[:=])))++""")
+_ONE_TYPE = rb"(?:&(?:'[a-z]\w*+[ \t]++)?)?[A-Za-z_][A-Za-z0-9_.]*+(?:\[[^\[\]\n=]*+(?:\[[^\[\]\n=]*+\][^\[\]\n=]*+)*+\]|<[^<>\n=]*+>)?"
+# what stands between a colon and the assignment that follows: a type, or a name that the colon labels
+_TYPE = re.compile(rb"(?P<type>" + _ONE_TYPE + rb"(?:[ \t]*+\|[ \t]*+" + _ONE_TYPE + rb")*+\??)(?P<gap>[ \t]*+)(?::=|=(?![=>]))(?P<after>[ \t]*+)(?=[^\x20\t\r\n\x0b\x0c])")
+_TYPES = {b"str", b"string", b"String", b"bytes", b"SecretStr", b"SecretBytes", b"any", b"Any", b"char", b"text"}
+_SCHEME = re.compile(rb"(?i)(?P<scheme>bearer|basic|token|digest|apikey)[ \t]++(?=[^\x20\t\r\n\x0b\x0c])")
+_NAME = re.compile(rb"\$?\{?([A-Za-z_][A-Za-z0-9_.\-]*+)\}?\Z")
 _JOIN = re.compile(rb"""["'][ \t]*\+[ \t]*["']""")
 
 
@@ -62,34 +70,102 @@ def literal_weight(value: bytes) -> float:
     return min(1.0, 0.2 * min(kinds, 3) + 0.1 * min(entropy, 4.0) + (0.1 if len(value) >= 16 else 0.0))
 
 
+class _Run:
+    """An unquoted stretch of the text; values inside end before the marks that close what is around them."""
+
+    def __init__(self, text: bytes = b"", start: int = 0, end: int = 0):
+        self.text, self.start, self.end = text, start, end
+        self.last = [(text.rfind(o, start, end), c) for o, c in ((b"(", b")"), (b"{", b"}"), (b"[", b"]"))]
+        self.ends: dict[bytes, int] = {}
+
+    def end_from(self, at: int) -> int:
+        closing = b",;'\"`" + b"".join(c for i, c in self.last if i < at)
+        if closing not in self.ends:
+            self.ends[closing] = self.start + len(self.text[self.start : self.end].rstrip(closing))
+        return self.ends[closing]
+
+
+def _pairs(text: bytes) -> list[tuple[bytes, tuple[int, int], bool]]:
+    """Names with the spans of their values, in text order, and whether the value is quoted.
+
+    A quoted value is passed over.  An unquoted one is passed over if its name is sensitive; otherwise further pairs may
+    start inside (``env: DB_PWD=x``).  A name in front of a colon and a type or name with an assignment of its own gets
+    the value of that assignment (``db_pwd: SecretStr = "x"``); so does a name in front of ``Bearer`` and the like.
+    """
+    out: list[tuple[bytes, tuple[int, int], bool]] = []
+    pos, types, run = 0, -1, _Run()
+    while m := _TARGET.search(text, pos):
+        pos, name, at = m.end("sep"), m["name"], m.end()
+        if m.start("name") == types:  # the type of the name before, which has the value already
+            if q := _QUOTED.match(text, at):
+                pos = q.end()
+            continue
+        after = None
+        if m["sep"] == b":" and (t := _TYPE.match(text, at)) and (t["gap"] or not t["after"]) and (m.end("sep") < at or t["gap"] or text[t.end() : t.end() + 1] in (b'"', b"'")):
+            after, at = t, t.end()
+            if t["type"] in _TYPES:
+                types = t.start("type")
+        if q := _QUOTED.match(text, at):
+            start, end = q.start("value") + 1, q.end("value") - 1
+            names = [name]
+            if s := _SCHEME.match(text, start, end):
+                names.append(s["scheme"])
+                start = s.end()
+            out += [(x, (start, end), True) for x in names]
+            # behind a simple type, that name's own pair comes next
+            if after is None or not _NAME.match(after["type"]):
+                pos = q.end()
+            continue
+        names = [name]
+        if s := _SCHEME.match(text, at):
+            names.append(s["scheme"])
+            at = s.end()
+        if not run.start <= at < run.end:
+            r = _RUN.match(text, at)
+            if r is None or text[at : at + 1] in (b'"', b"'"):
+                continue
+            run = _Run(text, *r.span())
+        passed = after is None and max(map(name_weight, names)) > 0
+        end = run.end_from(at)
+        if end > at:
+            out += [(x, (at, end), False) for x in names]
+            if passed:
+                pos = max(pos, end)
+    return out
+
+
 def lexed_literals(text: bytes) -> list[tuple[int, int, float, bytes]]:
     """Literals with a score of at least MIN_SCORE: start, end (bytes), score, most sensitive name reached."""
-    literals: dict[tuple[int, int], bytes] = {}
-    bound: dict[bytes, tuple] = {}
-    flows: list[tuple[bytes, tuple]] = []
-    for m in _PAIR.finditer(text):
-        name, raw = m["name"], m["value"]
-        if raw[:1] in b"\"'":
-            at = (m.start("value") + 1, m.end("value") - 1)
-            literals[at] = _JOIN.sub(b"", raw)[1:-1]
-            source: tuple = ("literal", at)
+    pairs = _pairs(text)
+    defined: dict[bytes, list[int]] = {}
+    for i, (name, _, _) in enumerate(pairs):
+        defined.setdefault(name, []).append(i)
+    # a value that is a name means that name's last definition before, or the first one behind
+    refers: list[int | None] = []
+    for i, (name, (start, end), quoted) in enumerate(pairs):
+        other = None if quoted else _NAME.match(text, start, end)
+        known = defined.get(other[1]) if other else None
+        k = bisect_left(known, i) if known else 0
+        if known and (other[1] != name or k):
+            refers.append(known[k - 1] if k else known[0])
         else:
-            other = _NAME.match(raw)
-            if other and other[1] in bound and other[1] != name:
-                source = bound[other[1]]  # constants propagate in text order
-            elif raw[:1] == b"$":
-                continue
-            else:
-                at = m.span("value")
-                literals[at] = raw
-                source = ("literal", at)
-        bound[name] = source
-        flows.append((name, source))
+            refers.append(-1 if quoted or text[start : start + 1] != b"$" else None)
+    ends: list[int | None] = [None] * len(pairs)
+    state = bytearray(len(pairs))  # 1: on the path, 2: settled
+    for i in range(len(pairs)):
+        path, at = [], i
+        while at is not None and at >= 0 and not state[at]:
+            state[at] = 1
+            path.append(at)
+            at = refers[at]
+        end = None if at is None or (at >= 0 and state[at] == 1) else path[-1] if at < 0 else ends[at]
+        for x in path:
+            ends[x], state[x] = end, 2
     best: dict[tuple[int, int], tuple[float, bytes]] = {}
-    for name, (_, at) in flows:
-        if (w := name_weight(name)) > best.get(at, (0.0, b""))[0]:
-            best[at] = (w, name)
-    found = [(*at, w * literal_weight(literals[at]), name) for at, (w, name) in best.items()]
+    for (name, _, _), end in zip(pairs, ends, strict=True):
+        if end is not None and (w := name_weight(name)) > best.get(pairs[end][1], (0.0, b""))[0]:
+            best[pairs[end][1]] = (w, name)
+    found = [(*at, w * literal_weight(_JOIN.sub(b"", text[at[0] : at[1]])), name) for at, (w, name) in best.items()]
     return sorted(x for x in found if x[2] >= MIN_SCORE)
 
 

@@ -477,3 +477,30 @@ def test_secret_lexing():
     assert hit(b'colour = "Zx81kQ77pLm2"') == [] and hit(b'password = "changeme"') == [] and hit(b"a = b\nb = a\n") == []
     assert find_secrets("é pwd = 'Zx81kQ77pLm2'".encode())[4] == "literal:9:21"
     assert find_secrets(b"password:token:abcdef")[0] == 0  # a failing match is dropped, the search goes on behind it
+
+
+def test_secret_lexing_of_ordinary_assignments():
+    import time
+
+    from lurewatch.llm.secret_scan import lexed_literals
+
+    hit = lambda s: [(s[i:j], name) for i, j, _, name in lexed_literals(s)]
+    x = b"Zx81kQ77pLm2"
+    long = b"db_password_" + b"of_a_service_" * 8
+    assert hit(long + b' = "' + x + b'"') == [(x, long)]
+    seed = b"s" * 90
+    assert hit(seed + b" = '" + x + b"'\ndb_pwd = " + seed) == [(x, b"db_pwd")]
+    for shape in (b'db_pwd: SecretStr = "%s"', b'Note: db_pwd = "%s"', b'db_pwd:SecretStr="%s"', b'db_pwd: Optional[str] = "%s"', b"db_pwd: str | None = '%s'", b'x: Dict[str, str] = {"db_pwd": "%s"}', b'c["db_pwd"] = b"%s"'):
+        assert hit(shape % x) == [(x, b"db_pwd")]
+    assert hit(b"env: DB_PWD=" + x) == [(x, b"DB_PWD")] and hit(b"docker run -e 'DB_PWD=" + x + b"' --name y") == [(x, b"DB_PWD")]
+    assert hit(b"Authorization: Bearer " + x) == [(x, b"Bearer")] and hit(b'{"Authorization": "Bearer ' + x + b'"}') == [(x, b"Bearer")]
+    assert hit(b"DB_PWD=p@ss!w0rd#1$&*z\nnext") == [(b"p@ss!w0rd#1$&*z", b"DB_PWD")] and hit(b"--db-password=p@ss!w0rd") == [(b"p@ss!w0rd", b"db-password")]
+    assert hit(b"Server=s1;Pwd=p@ss!w0rd;Db=x") == [(b"p@ss!w0rd", b"Pwd")] and hit(b"password: Zx81kQ77pLm2=") == [(b"Zx81kQ77pLm2=", b"password")]
+    assert hit(b"db_password = seed\nseed = '" + x + b"'\n") == [(x, b"db_password")]
+    chain = b"".join(b"a%d = a%d\n" % (i, i + 1) for i in range(3000))
+    assert hit(b"db_pwd = a0\n" + chain + b"a3000 = '" + x + b"'") == [(x, b"db_pwd")]
+    assert hit(b"db_pwd = $UNKNOWN_NAME1") == [] and hit(b"if password == 'Zx81kQ77pLm2':") == []
+    for hard in (b"x" * 300_000, b"pwd=" * 50_000, b"a=" * 100_000, b"a:" * 100_000, b"a." * 100_000, b"pwd = " + b")" * 200_000, b"a: b|" * 50_000, b"a: " + b"[" * 200_000, b"a=" * 50_000 + b")" * 50_000):
+        start = time.perf_counter()
+        lexed_literals(b"k=v " + hard)
+        assert time.perf_counter() - start < 20
