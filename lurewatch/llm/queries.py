@@ -108,3 +108,33 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lurewatch.llm.secret_scan import scan_secrets
 
     return scan_secrets(documents(spark, sf_dir))
+
+
+@query
+def op13_maximal_pair_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words of every document, in which the contract's rule plants some, and the text without their repeats."""
+    import zlib
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from lurewatch.llm.maximal_pairs import find_runs
+
+    def planted(doc_id, n):
+        h = 1 if doc_id is None else zlib.crc32(b"%d" % doc_id)
+        if h % 10 or not n:
+            return None
+        g = h // 10
+        a = g % n
+        at = np.arange(n)
+        at[a:] = a + (at[a:] - a) % (1 + (n - a) // (3 + g % 8))
+        return at
+
+    out = find_runs(documents(spark, sf_dir), reorder=planted)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    out = out.withColumns({"best": best, "lines": lines})
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"), F.sha2(F.col("lines").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
