@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lurewatch.llm import line_dedup, mixing, topk
+from lurewatch.llm import line_dedup, merkle, mixing, topk
 from lurewatch.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op4_source_mixing": mixing.ORACLE, "op5_uniform_threshold_topk": topk.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op4_source_mixing": mixing.ORACLE, "op5_uniform_threshold_topk": topk.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op11_merkle_intervals": merkle.ORACLE}
 
 
 def tokenizer_path(name: str) -> str:
@@ -138,3 +138,16 @@ def op13_maximal_pair_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
         F.expr("1000 * best.length div -best.period").alias("exponent_milli"), F.sha2(F.col("lines").cast("binary"), 256).alias("runs_sha256"),
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+@query
+def op11_merkle_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and recomputed root of every document; the line ends of every second one are tampered with."""
+    from pyspark.sql import functions as F
+
+    docs = documents(spark, sf_dir)
+    picked = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    m = merkle.build_manifest(docs, altered={"text": F.when(picked, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))})
+    root = F.lit(m.root).cast("string")
+    return merkle.checked(merkle.proofs(m)).withColumns({"root": root, "verified": F.col("folded_root") == root}).select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")

@@ -85,3 +85,81 @@ def test_run_query(spark, docs, none, tmp_path):  # noqa: F811
     assert short == collections.Counter(tuple(r) for r in got if r.doc_id != 13) and any(r[1] for r in want)
     none.write.parquet(f"{tmp_path}/none/documents.parquet")
     assert not QUERIES["op13_maximal_pair_runs"](spark, f"{tmp_path}/none").collect()
+
+
+def sha(s):
+    return hashlib.sha256(s.encode()).hexdigest()
+
+
+def field(v):
+    return "-" if v is None else f"{len(str(v).encode())}:{v}"
+
+
+def slow_merkle(rows):
+    """(doc_id, source, rest, text) -> multiset of result rows, by lists."""
+    leaf = lambda r, text: sha(field(r[0]) + field(r[1]) + r[2] + field(text))
+
+    def levels(bottom):
+        out = [bottom]
+        while len(out[-1]) > 1:
+            out.append([sha("".join(out[-1][i : i + 3])) for i in range(0, len(out[-1]), 3)])
+        return out
+
+    by_source = collections.defaultdict(list)
+    for r in rows:
+        by_source[r[1]].append(r)
+    names = sorted(by_source, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {}
+    for s in names:
+        by_source[s].sort(key=lambda r: (r[0] is not None, r[0] or 0, leaf(r, r[3])))
+        trees[s] = levels([leaf(r, r[3]) for r in by_source[s]])
+    top = levels([trees[s][-1][0] for s in names])
+    out = []
+    for place, s in enumerate(names):
+        for i, r in enumerate(by_source[s]):
+            text = r[3]
+            if text is not None and r[0] is not None and zlib.crc32(str(r[0]).encode()) % 2 == 0:
+                text = text.replace("\n", "")
+            path, cur = [], leaf(r, text)
+            for tree, at in ((trees[s], i), (top, place)):
+                for lv in tree[:-1]:
+                    run = range(at - at % 3, min(at - at % 3 + 3, len(lv)))
+                    path += [lv[k] for k in run if k != at]
+                    cur = sha("".join(cur if k == at else lv[k] for k in run))
+                    at //= 3
+            out.append((r[0], leaf(r, r[3]), trees[s][-1][0], top[-1][0], sha("".join(path)), cur, cur == top[-1][0]))
+    return collections.Counter(out)
+
+
+@pytest.mark.parametrize("band", [7, 1, 2])
+def test_manifest(spark, none, tmp_path, monkeypatch, band):  # noqa: F811
+    from lurewatch.llm import merkle
+    from lurewatch.llm.queries import QUERIES
+
+    monkeypatch.setattr(merkle, "BAND", band)
+    monkeypatch.setattr(merkle, "BLOCK", 3**band)
+    data = [(i, s, "en", len(t or ""), t, 1, 2, "x", "y") for i, t, s in TEXTS] + [(100 + i, f"s{i % 11}", None, i, f"a\nb{i}", 1, 2, "x", "y") for i in range(60)]
+    schema = "doc_id long, source string, lang string, n_chars int, text string, level int, lo long, digest string, tree string"
+    spark.createDataFrame(data, schema).repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op11_merkle_intervals"](spark, str(tmp_path)).collect()
+    want = slow_merkle([(r[0], r[1], field(r[2]) + field(r[3]), r[4]) for r in data])
+    assert collections.Counter(tuple(r) for r in got) == want
+    assert {r.verified for r in got} == {True, False}
+    if band == 7:
+        spark.createDataFrame(data[:1], schema).write.parquet(f"{tmp_path}/one/documents.parquet")
+        one = QUERIES["op11_merkle_intervals"](spark, f"{tmp_path}/one").collect()
+        assert collections.Counter(tuple(r) for r in one) == slow_merkle([(data[0][0], data[0][1], field("en") + field(data[0][3]), data[0][4])])
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/documents.parquet")
+        assert not QUERIES["op11_merkle_intervals"](spark, f"{tmp_path}/none").collect()
+
+
+def test_manifest_intervals_nest(spark):
+    from lurewatch.llm.merkle import build_manifest
+
+    data = [(i, "a" if i % 3 else "b", None, 1, f"t{i}") for i in range(40)]
+    m = build_manifest(spark.createDataFrame(data, "doc_id long, source string, lang string, n_chars long, text string"))
+    nodes = m.nodes.collect()
+    for v in nodes:
+        assert v.hi <= v.n and v.lo % 3**v.level == 0
+        above = [u for u in nodes if u.tree == v.tree and u.level == v.level + 1 and u.lo <= v.lo and v.hi <= u.hi]
+        assert len(above) == (0 if (v.lo, v.hi) == (0, v.n) else 1)
