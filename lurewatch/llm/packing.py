@@ -16,8 +16,6 @@ each; an empty table gives no rows.
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
 
 import numpy as np
@@ -26,82 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lurewatch.llm.common import LONG_WORD, id_text, stored
+from lurewatch.llm.common import id_text, stored
+from lurewatch.llm.word_ids import word_ids
 
 MAX_TOKENS, MAX_PIECES, MAX_COST, END_ID = 4096, 1024, 4096 * 4096, 1
 WEIGHTS = (1.0, 0.01, 0.01)
-HELD_WORDS, ORDER_ROWS = 500_000, 20_000
-# Latin letters, then ASCII marks (no apostrophe, which the tokenizer reads with the letters behind it); \xc3 leads U+00C0 to U+00FF, of which two are signs
-_LETTERS_MARKS = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
-
-
-class WordIds:
-    """Token ids (little-endian 32-bit) of words; a text's ids are those of its words, as no token spans a blank.
-
-    Most words are letters with marks behind them.  The tokenizer cuts between the two and lower-cases, so such a word's
-    ids are those of its lower-cased letters and those of its marks; only parts not met before are encoded.  Both
-    memories forget all words once they hold ``most``, and long ones at once.
-    """
-
-    def __init__(self, tokenizer_file: str, most: int = HELD_WORDS):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.most = Tokenizer.from_file(tokenizer_file), most
-        vocab = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
-
-    def encode(self, parts: list[bytes], single: bool) -> None:
-        """Ids of parts.  Single pieces go in one line, as a piece's last token, and no other, ends a word."""
-        texts = [p.decode("utf-8", "replace") for p in parts]
-        if single:
-            ids = np.array(self.tokenizer.encode(" ".join(texts), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(parts):
-                raw, cuts = ids.tobytes(), (4 * cuts).tolist()
-                self.parts.update(zip(parts, (raw[i:j] for i, j in zip([0, *cuts], cuts, strict=False)), strict=True))
-                return
-        for p, e in zip(parts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            self.parts[p] = np.array(e.ids, "<u4").tobytes()
-
-    def learn(self, new: set[bytes]) -> None:
-        if len(self.parts) > self.most:
-            self.parts.clear()
-        parts, cut, whole = self.parts, [], []
-        for w in new:
-            if m := _LETTERS_MARKS.fullmatch(w):
-                cut.append((w, m[1].lower(), m[2]))
-            else:
-                whole.append(w)
-        missing = list({p for c in cut for p in c[1:] if p and p not in parts})
-        if missing:
-            self.encode(missing, True)
-        if whole:
-            self.encode(whole, False)
-        for w, letters, marks in cut:
-            self.words[w] = parts[letters] + parts[marks] if marks else parts[letters]
-        for w in whole:
-            self.words[w] = parts[w]
-        for p in [p for some in (missing, whole) for p in some if len(p) > LONG_WORD]:
-            parts.pop(p, None)
-
-    def texts(self, texts: list[bytes]):
-        get = self.words.get
-        for at in range(0, len(texts), 256):
-            split = [t.split() for t in texts[at : at + 256]]
-            if len(self.words) > self.most:
-                self.words.clear()
-            found = [list(map(get, words)) for words in split]
-            if new := {w for words, ids in zip(split, found, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None}:
-                self.learn(new)
-            for words, ids in zip(split, found, strict=True):
-                yield b"".join([get(w) if i is None else i for w, i in zip(words, ids, strict=True)] if None in ids else ids)
-            for w in [w for w in new if len(w) > LONG_WORD]:
-                self.words.pop(w, None)
-
+ORDER_ROWS = 20_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -110,7 +38,7 @@ def cut_pieces(docs: DataFrame, tokenizer_file: str, max_tokens: int = MAX_TOKEN
     """Token pieces of every row: only documents beyond ``max_tokens`` are cut."""
 
     def run(batches):
-        ids = WordIds(tokenizer_file)
+        ids = word_ids(tokenizer_file)
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             out = []

@@ -151,3 +151,11 @@ def op11_merkle_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = F.lit(m.root).cast("string")
     return merkle.checked(merkle.proofs(m)).withColumns({"root": root, "verified": F.col("folded_root") == root}).select(
         "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@query
+def op12_deficit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents in windows of 2048 tokens that mirror the sources' shares."""
+    from lurewatch.llm.deficit_packing import pack_by_deficit
+
+    return pack_by_deficit(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json")).drop("source")

@@ -163,3 +163,94 @@ def test_manifest_intervals_nest(spark):
         assert v.hi <= v.n and v.lo % 3**v.level == 0
         above = [u for u in nodes if u.tree == v.tree and u.level == v.level + 1 and u.lo <= v.lo and v.hi <= u.hi]
         assert len(above) == (0 if (v.lo, v.hi) == (0, v.n) else 1)
+
+
+def check_packed(texts, got, window):
+    """Every document's ids lie in exactly one piece each, sequences are gapless, all are full but for powers of two."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    by_doc = collections.defaultdict(list)
+    for r in got:
+        by_doc[r.doc_id].append(r)
+    sets = collections.defaultdict(list)
+    for doc_id, text in texts:
+        sets[doc_id].append([*t.encode(text or "", add_special_tokens=False).ids, 1])
+    assert set(sets) == set(by_doc)
+    for doc_id, docs_ids in sets.items():
+        # repeated doc_ids: each piece fits one of its documents, and lengths add up
+        assert sum(r.length for r in by_doc[doc_id]) == sum(map(len, docs_ids))
+        for r in by_doc[doc_id]:
+            assert any(r.doc_tokens == len(ids) and r.start + r.length <= len(ids) and zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32 for ids in docs_ids)
+        if len(docs_ids) == 1:
+            at = 0
+            for r in sorted(by_doc[doc_id], key=lambda r: r.start):
+                assert r.start == at and r.length > 0
+                at += r.length
+    seqs = collections.defaultdict(list)
+    for r in got:
+        seqs[r.sequence_id].append(r)
+    short = []
+    for rows in seqs.values():
+        at = 0
+        for r in sorted(rows, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= window and at & (at - 1) == 0
+        short += [at] if at < window else []
+    assert len(short) == len(set(short))
+    return seqs
+
+
+@pytest.mark.parametrize(("window", "block", "weights"), [(2048, 1024, None), (64, 16, None), (64, 4, {"a": 1, "b": 7, None: 2}), (16, 4, {"d": 50})])
+def test_deficit_packing(docs, none, window, block, weights):  # noqa: F811
+    from lurewatch.llm.deficit_packing import pack_by_deficit
+    from lurewatch.llm.queries import tokenizer_path
+
+    path = tokenizer_path("word_bpe_49k.json")
+    got = pack_by_deficit(docs, path, weights, window=window, block_windows=block).collect()
+    check_packed([(t[0], t[1]) for t in TEXTS], got, window)
+    assert not pack_by_deficit(none, path).collect()
+
+
+def test_windows_keep_their_proportions(spark):
+    from lurewatch.llm.deficit_packing import SLICE, pack_by_deficit
+    from lurewatch.llm.queries import tokenizer_path
+
+    rng = random.Random(5)
+    data = [(i, " ".join("word" for _ in range(rng.randint(1, 900))), "hot" if i % 3 else f"s{i % 7}") for i in range(600)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(4)
+    got = pack_by_deficit(df, tokenizer_path("word_bpe_49k.json"), window=512, block_windows=32).collect()
+    seqs = check_packed([(d[0], d[1]) for d in data], got, 512)
+    size = collections.Counter()
+    for r in got:
+        size[r.source] += r.length
+    served, total = collections.Counter(), 0
+    for s in sorted(seqs):
+        for r in seqs[s]:
+            served[r.source] += r.length
+            total += r.length
+        for source, n in size.items():  # no source is ever further from its share than its last turns
+            assert abs(served[source] - total * n / sum(size.values())) <= 2 * SLICE, (s, source)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_schedule_adds_up(seed):
+    from lurewatch.llm.deficit_packing import Schedule
+
+    rng = random.Random(seed)
+    sizes = [rng.randint(400, 20_000) for _ in range(rng.randint(1, 8))]
+    weights = sizes if seed % 2 else [rng.randint(1, 9) for _ in sizes]
+    s = Schedule(sizes, list(weights), window=32, block_windows=8)
+    assert s.boundary(s.blocks) == sizes
+    for b in range(s.blocks):
+        takes = s.serve(b)
+        assert (takes >= 0).all() and takes.sum(axis=1).tolist() == s.windows(b)
+        assert takes.sum(axis=0).tolist() == [y - x for x, y in zip(s.boundary(b), s.boundary(b + 1), strict=True)]
+        num, den = s.targets(b * s.block_tokens)
+        assert all(abs(x / den - c) <= 1 for x, c in zip(num, s.boundary(b), strict=True))
+    for q in range(len(sizes)):
+        for at in rng.sample(range(sizes[q]), 20):
+            b = s.block_of(q, at, rng.randrange(s.blocks))
+            assert s.boundary(b)[q] <= at < s.boundary(b + 1)[q]
