@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lurewatch.llm.common import WORD, stored
+from lurewatch.session import sized_broadcast
 
-WEIGHTS, MAX_EPOCHS, SEED, RANGE_ROWS = (5, 2, 1), 3, "mix-1", 20_000
+WEIGHTS, MAX_EPOCHS, SEED, RANGE_ROWS = (5, 2, 1), 3, "mix-1", 2_000
 
 
 def word_count(text: Column) -> Column:
@@ -33,6 +34,15 @@ def _source_name(col: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), col.cast("string")), F.lit("-"))
 
 
+def _key(doc_id: Column, size: Column) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(SEED), F.coalesce(doc_id.cast("string"), F.lit("null")), size.cast("string")).cast("binary"))
+
+
+def _range(key: Column) -> Column:
+    """Which of its source's equal ranges of the key space a key is in."""
+    return F.floor(F.conv(F.substr(key, F.lit(1), F.lit(8)), 16, 10).cast("long") * F.col("ranges") / F.lit(2**32)).cast("long")
+
+
 def source_budgets(rows: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """``name, source_size, target, budget, ranges`` per source of ``rows`` (name, source, size)."""
     src = rows.groupBy("name").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
@@ -58,10 +68,9 @@ def source_budgets(rows: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", range_rows: int = RANGE_ROWS) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` for every row (and ``source_name`` to join back)."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), word_count(F.col(f"`{text_col}`").cast("string")).alias("size"))
-    key = F.md5(F.concat_ws(":", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("size").cast("string")).cast("binary"))
-    rows = stored(rows.withColumns({"key": key, "name": _source_name(F.col("source"))}), "sizes")
+    rows = stored(rows.withColumns({"key": _key(F.col("doc_id"), F.col("size")), "name": _source_name(F.col("source"))}), "sizes")
     budgets = stored(source_budgets(rows, range_rows), "budgets")
-    rows = rows.join(budgets, "name").withColumn("range", F.expr("CAST(conv(substr(key, 1, 8), 16, 10) AS BIGINT) * ranges div 4294967296"))
+    rows = rows.join(budgets, "name").withColumn("range", _range(F.col("key")))
     sums = rows.groupBy("name", "range").agg(F.sum("size").alias("s"))
     before = sums.select("name", "range", (F.sum("s").over(Window.partitionBy("name").orderBy("range")) - F.col("s")).alias("offset"))
     within = Window.partitionBy("name", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -71,22 +80,67 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), F.col("name").alias("source_name"))
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself, with the columns of ``docs``: each document as often as it is taken, the one at a source's cut shortened.
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> dict[str, Column]:
+    """A row's source, size and key; the key goes on with a hash of the whole row (but maps), so that only equal rows share one."""
+    size = word_count(F.col(f"`{text_col}`").cast("string"))
+    whole = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    key = F.concat(_key(F.col(f"`{id_col}`").cast("long"), size), F.lpad(F.hex(F.xxhash64(*whole)), 16, "0"))
+    return {"__name": _source_name(F.col(f"`{source_col}`").cast("string")), "__size": size, "__key": key}
+
 
-    Rows that share id, source and size take the same, the mean of what they take, rounded down.
+def source_cuts(rows: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """For each source of ``rows`` (name, source, size, key): whole epochs, and where the rest ends.
+
+    ``name, epochs, cut, rest, ties``: rows with a key below ``cut`` are taken once more; those with that key (``ties``
+    equal rows) share the ``rest`` words.  Only one range of a source is sorted, by distinct keys.
     """
-    taken = mix_sources(docs, id_col, text_col, source_col)
-    taken = taken.groupBy("doc_id", "source_name", "size").agg((F.sum("taken") / F.count(F.lit(1))).cast("long").alias("__taken"))
-    taken = taken.where("__taken > 0").select(F.col("doc_id").alias("__id"), F.col("source_name").alias("__name"), F.col("size").alias("__size"), "__taken")
+    budgets = source_budgets(rows, range_rows).select("name", "ranges", F.expr("CASE WHEN source_size = 0 THEN 0L ELSE budget div source_size END").alias("epochs"),
+                                                      F.expr("CASE WHEN source_size = 0 THEN 0L ELSE budget % source_size END").alias("left"))
+    budgets = stored(budgets, "cut-budgets")
+    ranged = rows.join(budgets, "name").withColumn("range", _range(F.col("key")))
+    sums = ranged.groupBy("name", "range").agg(F.sum("size").alias("s"))
+    upto = F.sum("s").over(Window.partitionBy("name").orderBy("range"))
+    sums = stored(sums.withColumn("before", upto - F.col("s")), "range-sums")
+    hit = sums.join(budgets, "name").where("left > before AND left <= before + s").select("name", "range", "before", "left")
+    # at most one range per source
+    keys = ranged.drop("left").join(hit, ["name", "range"]).groupBy("name", "key").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("ties"), F.first("before").alias("before"), F.first("left").alias("left"))
+    start = F.col("before") + F.sum("s").over(Window.partitionBy("name").orderBy("key")) - F.col("s")
+    cut = keys.withColumn("start", start).where("left > start AND left <= start + s").select("name", F.col("key").alias("cut"), (F.col("left") - F.col("start")).alias("rest"), "ties")
+    return budgets.select("name", "epochs").join(cut, "name", "left").fillna({"cut": "", "rest": 0, "ties": 0})
+
+
+def _repeated(rows: DataFrame, text_col: str, columns: list[str]) -> DataFrame:
+    """Each row as often as its ``__taken`` words hold its text, the last time shortened to what is left."""
     text = F.col(f"`{text_col}`").cast("string")
-    rows = docs.withColumn("__words", word_count(text))
-    rows = rows.join(stored(taken, "taken"), F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (_source_name(F.col(f"`{source_col}`")) == F.col("__name")) & (F.col("__words") == F.col("__size")))
-    rows = rows.withColumn("__part", F.explode(F.expr("sequence(1L, CAST(ceil(__taken / __size) AS BIGINT))")))
+    rows = rows.where("__taken > 0").withColumn("__part", F.explode(F.expr("sequence(1L, CAST(ceil(__taken / __size) AS BIGINT))")))
     left = F.col("__taken") - (F.col("__part") - 1) * F.col("__size")
     cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), F.lit(0)), F.lit(1), left.cast("int")), "")
     rows = rows.withColumn("__text", F.when(left >= F.col("__size"), text).otherwise(cut))
-    return rows.select(*[F.col("__text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    return rows.select(*[F.col("__text").alias(c) if c == text_col else F.col(f"`{c}`") for c in columns])
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", range_rows: int = RANGE_ROWS) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: each document as often as it is taken, the one at a source's cut shortened.
+
+    Only the table of cuts (a row per source) meets the texts, which stay where they are.  Where equal rows stand at the
+    cut, as many of them as the rest holds are taken whole and one is shortened.
+    """
+    own = _sized(docs, id_col, text_col, source_col)
+    rows = docs.select(own["__name"].alias("name"), F.col(f"`{source_col}`").cast("string").alias("source"), own["__size"].alias("size"), own["__key"].alias("key"))
+    cuts = stored(source_cuts(stored(rows, "mix-keys"), range_rows), "cuts")
+    cuts = cuts.select(*[F.col(c).alias(f"__{c}") for c in ("name", "epochs", "cut", "rest", "ties")])
+    tagged = docs.withColumns({k: v for k, v in own.items() if k != "__name"}).join(sized_broadcast(cuts), own["__name"] == F.col("__name"))
+    at_cut, shared = F.col("__key") == F.col("__cut"), F.col("__ties") > 1
+    once_more = F.when(F.col("__key") < F.col("__cut"), F.col("__size")).when(at_cut & ~shared, F.col("__rest")).otherwise(F.lit(0))
+    out = _repeated(tagged.withColumn("__taken", F.col("__epochs") * F.col("__size") + once_more), text_col, docs.columns)
+    if cuts.where(shared).isEmpty():
+        return out
+    # equal rows at a cut: one of them, as often as the rest takes it, in steps that are dealt to many tasks
+    ties = tagged.where(at_cut & shared).groupBy("__name", "__size", "__rest").agg(*[F.any_value(f"`{c}`").alias(c) for c in docs.columns])
+    step = F.col("__size") * F.lit(range_rows)
+    steps = ties.withColumn("__from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__rest") - 1, step))).repartition("__name", "__from")
+    steps = steps.withColumn("__taken", F.least(step, F.col("__rest") - F.col("__from")))
+    return out.unionByName(_repeated(steps, text_col, docs.columns))
 
 
 ORACLE = r"""

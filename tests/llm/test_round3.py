@@ -254,3 +254,38 @@ def test_schedule_adds_up(seed):
         for at in rng.sample(range(sizes[q]), 20):
             b = s.block_of(q, at, rng.randrange(s.blocks))
             assert s.boundary(b)[q] <= at < s.boundary(b + 1)[q]
+
+
+def test_mix_cuts_between_equal_rows(spark):
+    """A source of many equal rows: whole copies up to the budget and one shortened, nothing rounded down."""
+    from lurewatch.llm.mixing import mix_sources, mixed_documents
+
+    text = "one two  three\nfour five"
+    data = [(None, text, "b", {"k": 1})] * 37 + [(i, f"w{i} " * (i % 9), "a", None) for i in range(60)] + [(500 + i, "solo words here", None, None) for i in range(11)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, extra map<string,int>").repartition(4)
+    want = {r.source_name: r.t for r in mix_sources(docs).groupBy("source_name").agg({"taken": "sum"}).withColumnRenamed("sum(taken)", "t").collect()}
+    for range_rows in (2_000, 3):
+        got = mixed_documents(docs, range_rows=range_rows).collect()
+        size = collections.Counter()
+        for r in got:
+            size["-" if r.source is None else f"s{r.source}"] += len(words(r.text))
+        assert dict(size) == {k: v for k, v in want.items() if v}
+        parts = collections.Counter((r.source, r.doc_id) for r in got if r.text not in {d[1] for d in data})
+        assert all(n == 1 for n in parts.values()) and len({s for s, _ in parts}) == len(parts)  # at most one shortened a source
+        assert all(r.extra == {"k": 1} for r in got if r.source == "b")
+
+
+def test_line_dedup_of_a_text_of_common_lines(spark):
+    import time
+
+    from lurewatch.llm.line_dedup import dedup_lines
+
+    lines = [f"this is the very common line number {i}" for i in range(40_000)]
+    data = [(i, "\n".join(lines[i:] + ["own"]), "x") for i in range(3)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lines string")
+    for limit in (32 << 20, 0):
+        begun = time.time()
+        got = {r.doc_id: (r["__n_lines"], r["__n_dropped"], r.text) for r in dedup_lines(docs, broadcast_bytes=limit).collect()}
+        assert got[2] == (39_999, 0, data[2][1])
+        assert got[0] == (40_001, 39_998, "\n".join([*lines[:2], "own"])) and got[1][1] == 39_998
+        assert time.time() - begun < 20
