@@ -65,28 +65,38 @@ def latest_facts(snapshot: DataFrame, as_of: Column | None = None, key: str = "d
     return rows.groupBy(key).agg(F.max_by(F.struct(*facts), "as_of").alias("_f")).select(key, "_f.*")
 
 
-def _spread(parts: DataFrame) -> DataFrame:
-    """Join key of the registered domain; rows without one (IP and nameless hosts) are dealt over many keys that match nothing."""
+def _spread(parts: DataFrame, asked: Column | None = None) -> DataFrame:
+    """Join key of the registered domain; rows without one (IP and nameless hosts), and rows that are not ``asked``, are
+    dealt over many keys that match nothing."""
     ids = F.col("url_id") if "url_id" in parts.columns else F.lit(0)
     empty = F.concat(F.lit("#"), F.pmod(F.xxhash64(ids), F.lit(1024)).cast("string"))
-    return parts.withColumn("_domain", F.when(F.coalesce("registered_domain", F.lit("")) == "", empty).otherwise(F.col("registered_domain")))
+    none = F.coalesce("registered_domain", F.lit("")) == ""
+    if asked is not None:
+        none = none | ~F.coalesce(asked, F.lit(False))
+    return parts.withColumn("_domain", F.when(none, empty).otherwise(F.col("registered_domain")))
 
 
-def with_dns(parts: DataFrame, dns: DataFrame, as_of: Column | None = None) -> DataFrame:
-    """Left join on the registered domain: ``has_a, has_mx, has_ns, exists_in_dns`` (absent = false); newest snapshot at ``as_of``."""
+def with_dns(parts: DataFrame, dns: DataFrame, as_of: Column | None = None, asked: Column | None = None) -> DataFrame:
+    """Left join on the registered domain: ``has_a, has_mx, has_ns, exists_in_dns`` (absent = false); newest snapshot at ``as_of``.
+
+    Rows that are not ``asked`` look nothing up.
+    """
     d = latest_facts(dns, as_of).select(F.col("domain").alias("_domain"), "has_a", "has_mx", "has_ns")
     f = lambda c: F.coalesce(c, F.lit(False)).alias(c)
-    return _spread(parts).join(d, "_domain", "left").select(
+    return _spread(parts, asked).join(d, "_domain", "left").select(
         *parts.columns, f("has_a"), f("has_mx"), f("has_ns"),
         F.coalesce(F.col("has_a") | F.col("has_mx") | F.col("has_ns"), F.lit(False)).alias("exists_in_dns"))
 
 
-def with_domain_age(parts: DataFrame, whois: DataFrame, as_of: Column) -> DataFrame:
-    """Age in days at ``as_of`` and its threat (under 30 days 40, under 180 days 20); an age of 0 counts."""
+def with_domain_age(parts: DataFrame, whois: DataFrame, as_of: Column, asked: Column | None = None) -> DataFrame:
+    """Age in days at ``as_of`` and its threat (under 30 days 40, under 180 days 20); an age of 0 counts.
+
+    Rows that are not ``asked`` look nothing up.
+    """
     w = latest_facts(whois, as_of).select(F.col("domain").alias("_domain"), "created")
     age = F.datediff(as_of, F.col("created"))
     threat = F.when(age < NEW_DAYS, 40).when(age < YOUNG_DAYS, 20).otherwise(0)
-    return _spread(parts).join(w, "_domain", "left").select(
+    return _spread(parts, asked).join(w, "_domain", "left").select(
         *parts.columns, age.alias("domain_age_days"), F.when(age.isNotNull(), threat).otherwise(0).alias("age_threat"))
 
 
@@ -115,15 +125,61 @@ def private_addresses(resolved: DataFrame, ips: str = "ips") -> DataFrame:
 # --- reputation ------------------------------------------------------------------
 
 SERVICES = ["safe_browsing", "scanners", "sandbox", "community"]
+# Seconds that a service's finding stays valid
+SERVICE_TTL = {"safe_browsing": 3600, "scanners": 3600, "sandbox": 3600, "community": 86400}
+#: What a service reports about a URL; ``status`` is checked, not_found or error.
+FINDING = ["status", "flagged", "malicious", "suspicious", "score", "verified", "valid"]
+
+
+def _finding(reputation: DataFrame) -> Column:
+    """A row's finding, by check time; facts that the table does not have are null (false for the flags)."""
+    empty = {"flagged": False, "verified": False, "valid": False}
+    has = lambda c: F.col(c) if c in reputation.columns else F.lit(empty.get(c)).cast("boolean" if c in empty else "int")
+    return F.struct("checked_at", *[has(c).alias(c) for c in FINDING])
 
 
-def reputation_wide(urls: DataFrame, reputation: DataFrame, services: list[str] = SERVICES) -> DataFrame:
-    """One row per URL hash with each service's flag, malicious count and score (long table pivoted, then joined)."""
-    p = reputation.where(F.col("status") == "checked").groupBy("url_hash").pivot("service", services).agg(
-        F.max("flagged").alias("flagged"), F.max("malicious").alias("malicious"), F.max("score").alias("score"))
+def service_findings(reputation: DataFrame, as_of: Column | None = None, ttl: dict[str, int] = SERVICE_TTL, services: list[str] = SERVICES) -> DataFrame:
+    """``url_hash`` and a struct per service: its newest finding at ``as_of`` that has not expired (null: none).
+
+    Each service has a time to live of its own (seconds).  Failed checks say nothing and hide no older finding; of
+    findings at one time the greater row counts.  Without ``as_of`` the newest finding counts, whatever its age.  One
+    aggregate that combines before its shuffle, so a URL that holds many rows costs one row per task.
+    """
+    rows = reputation.where(F.col("status") != "error")
+    if as_of is not None:
+        alive = F.create_map(*[x for s in services for x in (F.lit(s), F.lit(ttl[s]).cast("long"))])
+        age = F.unix_micros(as_of.cast("timestamp")) - F.unix_micros("checked_at")
+        rows = rows.where((age >= 0) & (age < F.try_element_at(alive, F.col("service")) * F.lit(1_000_000)))
+    found = _finding(reputation)
+    return rows.groupBy("url_hash").agg(*[F.max(F.when(F.col("service") == s, found)).alias(s) for s in services])
+
+
+def reputation_wide(urls: DataFrame, reputation: DataFrame, as_of: Column | None = None, ttl: dict[str, int] = SERVICE_TTL, services: list[str] = SERVICES) -> DataFrame:
+    """``urls`` (with ``url_hash``) and, per service, the facts of its newest valid finding (``<service>_<fact>``)."""
+    p = service_findings(reputation, as_of, ttl, services)
+    p = p.select("url_hash", *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in services for c in FINDING])
     return urls.join(p, "url_hash", "left")
 
 
+def asof_findings(requests: DataFrame, reputation: DataFrame, ttl: dict[str, int] = SERVICE_TTL, services: list[str] = SERVICES) -> DataFrame:
+    """Per request and service, the newest finding at the request's own time that has not expired by then.
+
+    ``requests``: ``url_hash, us`` (microseconds) and any payload; the result has ``service, checked_us`` and the finding's
+    facts besides (null where there is none).  The as-of pass runs once for all services, on (URL, service) and with the
+    longest time to live; each service's own then decides.
+    """
+    payload = [c for c in requests.columns if c not in ("url_hash", "us")]
+    key = F.concat_ws("|", "url_hash", "service")
+    asked = requests.withColumn("service", F.explode(F.array(*map(F.lit, services)))).select(key.alias("key"), "us", "url_hash", "service", *payload)
+    rows = reputation.where((F.col("status") != "error") & F.col("service").isin(services))
+    cache = rows.select(key.alias("key"), F.unix_micros("checked_at").alias("us"), _finding(reputation).alias("verdict"))
+    out = asof_verdicts(asked, cache, max(ttl[s] for s in services))
+    alive = F.create_map(*[x for s in services for x in (F.lit(s), F.lit(ttl[s]).cast("long"))])
+    fresh = F.col("is_hit") & (F.col("us") - F.col("checked_us") < alive[F.col("service")] * F.lit(1_000_000))
+    return out.select("url_hash", "us", *payload, "service", F.when(fresh, F.col("checked_us")).alias("checked_us"),
+                      *[F.when(fresh, F.col(f"verdict.{c}")).alias(c) for c in FINDING])
+
+
 def flag_ratio(reputation: DataFrame) -> DataFrame:
     """Per URL: services checked, services flagging, and their ratio."""
     done = F.col("status") == "checked"

@@ -43,10 +43,11 @@ def _verdict(s: Column, confidence: Column, reasoning: Column) -> list[Column]:
         .when(s >= 15, "QUESTIONABLE").otherwise("APPEARS_SAFE").alias("verdict"), reasoning.alias("reasoning")]
 
 
-def fuse_layers(df: DataFrame) -> DataFrame:
+def fuse_layers(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Fusion of one wide row per URL (a column per layer with its outcome, ``<layer>_confidence`` where it has its own).
 
-    A fixed array over the layers, no shuffle: ``url_id, threat_level, confidence, is_phishing (nullable), verdict, reasoning``.
+    A fixed array over the layers, no shuffle: ``url_id, threat_level, confidence, is_phishing (nullable), verdict, reasoning``
+    and the columns ``keep``.
     """
     found = []
     for layer in [x for x in LAYERS if x in df.columns]:
@@ -57,12 +58,12 @@ def fuse_layers(df: DataFrame) -> DataFrame:
                 hit = F.col(layer) == outcome
                 pts, conf = F.when(hit, F.lit(p)).otherwise(pts), F.when(hit, F.lit(c) if c is not None else own.cast("double")).otherwise(conf)
         found.append(F.struct(pts.alias("p"), conf.alias("c"), F.concat_ws(":", F.lit(layer), F.col(layer)).alias("r")))
-    df = df.select("url_id", F.filter(F.array(*found), lambda e: e["p"].isNotNull()).alias("e"))
+    df = df.select("url_id", *keep, F.filter(F.array(*found), lambda e: e["p"].isNotNull()).alias("e"))
     s = F.aggregate("e", F.lit(0), lambda a, e: a + e["p"])
     sure = F.filter("e", lambda e: e["c"].isNotNull())
     c = F.try_divide(F.aggregate(sure, F.lit(0.0), lambda a, e: a + e["c"]), F.size(sure))
-    df = df.select("url_id", s.alias("s"), c.alias("c"), F.transform("e", lambda e: e["r"]).alias("rs"))
-    return df.select("url_id", *_verdict(F.col("s"), F.col("c"), F.col("rs")))
+    df = df.select("url_id", *keep, s.alias("s"), c.alias("c"), F.transform("e", lambda e: e["r"]).alias("rs"))
+    return df.select("url_id", *_verdict(F.col("s"), F.col("c"), F.col("rs")), *keep)
 
 
 def fuse(evidence: DataFrame, urls: DataFrame | None = None) -> DataFrame:

@@ -109,13 +109,13 @@ def with_keywords(base: DataFrame, lexicon: DataFrame | None, default: list[tupl
     return base.withColumns({"n_kw": X.hits_of("u", [t for t, _ in pairs]), "kw": X.weight_of("u", pairs), "kw_max": X.max_weight_of("u", [*pairs, ("", 0), ("", 0)])})
 
 
-def pattern_score(parts: DataFrame, lexicon: DataFrame | None = None, literal_max: int = LITERAL_LIST_MAX) -> DataFrame:
+def pattern_score(parts: DataFrame, lexicon: DataFrame | None = None, literal_max: int = LITERAL_LIST_MAX, keep: tuple[str, ...] = ()) -> DataFrame:
     """Ten additive rule groups, capped at 100, with bands 10/15/30/50 and ordered reason codes.
 
-    ``lexicon`` (``term, weight``) replaces the default keywords.
+    ``lexicon`` (``term, weight``) replaces the default keywords; the columns ``keep`` of ``parts`` come along.
     """
     base = parts.select("url_id", "url", "scheme", F.lower("netloc").alias("d"), F.lower("path").alias("p"),
-                        F.lower("url").alias("u"))
+                        F.lower("url").alias("u"), *keep)
     d, p, u = F.col("d"), F.col("p"), F.col("u")
     tlds = refdata.PATTERN_TLDS
     base = base.withColumns({
@@ -167,14 +167,14 @@ def pattern_score(parts: DataFrame, lexicon: DataFrame | None = None, literal_ma
         (path_word & has_brand, "sensitive_path"), (dots, "many_extensions"), (random, "random_path"),
         (bad_combo, "brand_keywords_bad_tld"), (auth, "brand_auth"), (urgent, "urgency_and_sensitive"))
     raw = base.select("url_id", brand.alias("brand"), F.col("n_kw").alias("n_keywords"), score.alias("raw_score"),
-                      reasons.alias("all_reasons"))
+                      reasons.alias("all_reasons"), *keep)
     raw = settle(raw, ["n_keywords", "raw_score", "all_reasons"])
     s = F.col("raw_score")
     return raw.select(
         "url_id", "brand", "n_keywords", F.least(s, F.lit(100)).alias("risk_score"), (s >= 15).alias("is_suspicious"),
         F.least(s / 50.0, F.lit(1.0)).alias("confidence"), F.col("all_reasons").alias("reasons"),
         F.when(s >= 50, "EXTREMELY_SUSPICIOUS").when(s >= 30, "HIGHLY_SUSPICIOUS").when(s >= 15, "SUSPICIOUS")
-        .when(s >= 10, "QUESTIONABLE").otherwise("LOW_RISK").alias("verdict"))
+        .when(s >= 10, "QUESTIONABLE").otherwise("LOW_RISK").alias("verdict"), *keep)
 
 
 # --- signature score --------------------------------------------------------
@@ -197,13 +197,15 @@ def signature_brand(d: str = "d") -> Column:
     return first_of({b: hit(b) for b in refdata.SIGNATURE_BRAND_VARIANTS})
 
 
-def signature_score(parts: DataFrame, known_bad: DataFrame | None = None, lexicon: DataFrame | None = None, literal_max: int = LITERAL_LIST_MAX) -> DataFrame:
+def signature_score(parts: DataFrame, known_bad: DataFrame | None = None, lexicon: DataFrame | None = None, literal_max: int = LITERAL_LIST_MAX,
+                    keep: tuple[str, ...] = ()) -> DataFrame:
     """Signature tables: 30 per regex, 40 per bad substring, TLD, brand, keywords, structure; known hash -> 100.
 
     The keyword part is computed in hundredths (integer arithmetic), so its
-    truncation does not depend on floating-point order.  ``lexicon`` (``term, weight``) replaces the default keywords.
+    truncation does not depend on floating-point order.  ``lexicon`` (``term, weight``) replaces the default keywords; the
+    columns ``keep`` of ``parts`` come along.
     """
-    base = parts.select("url_id", "url", F.lower("netloc").alias("d"), F.lower("path").alias("p"), F.lower("url").alias("u"))
+    base = parts.select("url_id", "url", F.lower("netloc").alias("d"), F.lower("path").alias("p"), F.lower("url").alias("u"), *keep)
     d, p, u = F.col("d"), F.col("p"), F.col("u")
     base = base.withColumns({
         "n_rules": reduce(lambda a, b: a + b, [X.flag(u.rlike(r)) for _, r in refdata.SIGNATURE_REGEXES]),
@@ -218,7 +220,7 @@ def signature_score(parts: DataFrame, known_bad: DataFrame | None = None, lexico
         (F.contains(d, F.lit(":")) & ~F.endswith(d, F.lit(":443")) & ~F.endswith(d, F.lit(":80")), 15),
         (d.rlike(r"[^\x00-\x7f]"), 25), (X.any_of("d", refdata.SIGNATURE_SHORTENERS), 10))
     bad_tld = F.contains(d, F.lit(".")) & F.substring_index(d, ".", -1).isin(refdata.SIGNATURE_TLDS)
-    scored = base.select("url_id", "url", "n_rules", "n_substrings", "brand", kw.alias("keyword_points"),
+    scored = base.select("url_id", "url", "n_rules", "n_substrings", "brand", *keep, kw.alias("keyword_points"),
                          structure.alias("structure_points"),
                          (F.col("n_rules") * 30 + F.col("n_substrings") * 40 + points((bad_tld, 15), (F.col("brand").isNotNull(), 35))
                           + kw + structure).alias("score"))
@@ -233,18 +235,23 @@ def signature_score(parts: DataFrame, known_bad: DataFrame | None = None, lexico
         F.least(s / 100.0, F.lit(1.0)).alias("confidence"),
         F.when(s >= 50, F.lit(True)).when(s < 30, F.lit(False)).alias("is_phishing"),
         F.when(s >= 70, "high_confidence_match").when(s >= 50, "medium_confidence_match")
-        .when(s >= 30, "suspicious_indicators").otherwise("no_match").alias("method"))
+        .when(s >= 30, "suspicious_indicators").otherwise("no_match").alias("method"), *keep)
 
 
 # --- threat indicators ------------------------------------------------------
 
+def _indicator_terms() -> list[tuple[Column, int, str]]:
+    return [(~F.startswith("url", F.lit("https://")), 20, "no_https"), (F.col("netloc").rlike(IPV4_RE), 15, "ip_address"),
+            (X.ends_with_any("netloc", [f".{t}" for t in refdata.INDICATOR_TLDS]), 10, "suspicious_tld"), (F.length("url") > 100, 5, "long_url")]
+
+
+def indicator_points() -> Column:
+    return points(*[(c, w) for c, w, _ in _indicator_terms()])
+
+
 def threat_indicators(parts: DataFrame) -> DataFrame:
     """No HTTPS +20, IP host +15, abused TLD +10, more than 100 characters +5."""
-    d = F.col("netloc")
-    terms = [(~F.startswith("url", F.lit("https://")), 20, "no_https"), (d.rlike(IPV4_RE), 15, "ip_address"),
-             (X.ends_with_any("netloc", [f".{t}" for t in refdata.INDICATOR_TLDS]), 10, "suspicious_tld"), (F.length("url") > 100, 5, "long_url")]
-    return parts.select("url_id", points(*[(c, w) for c, w, _ in terms]).alias("risk_score"),
-                        codes(*[(c, r) for c, _, r in terms]).alias("indicators"))
+    return parts.select("url_id", indicator_points().alias("risk_score"), codes(*[(c, r) for c, _, r in _indicator_terms()]).alias("indicators"))
 
 
 # --- risk-factor codes ------------------------------------------------------

@@ -291,10 +291,10 @@ FAMILIES = {
 }
 
 
-def family(parts: DataFrame, *names: str) -> DataFrame:
-    """``url_id`` plus the columns of the named families (prefix ``ultra_``)."""
+def family(parts: DataFrame, *names: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``url_id``, the columns ``keep`` of ``parts``, and the columns of the named families (prefix ``ultra_``)."""
     cols = {n: c for f in names for n, c in FAMILIES[f]().items()}
-    return lowered(parts).select("url_id", *[c.alias(f"ultra_{n}") for n, c in cols.items()])
+    return lowered(parts).select("url_id", *keep, *[c.alias(f"ultra_{n}") for n, c in cols.items()])
 
 
 def ultra_features(parts: DataFrame) -> DataFrame:

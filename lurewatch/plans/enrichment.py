@@ -13,6 +13,10 @@ from lurewatch.plans.registry import query
 from lurewatch.session import materialize
 
 AS_OF = "1998-06-30"
+DAY = 86_400
+# the snapshot's findings are years apart, so they stay valid for years, each service's for another time
+TTL = {"safe_browsing": 900 * DAY, "scanners": 1200 * DAY, "sandbox": 1500 * DAY, "community": 2100 * DAY}
+EVENT_TTL = {"safe_browsing": DAY, "scanners": 2 * DAY, "sandbox": 5 * DAY, "community": 10 * DAY}
 
 
 def known_parts(spark, sf):
@@ -59,7 +63,16 @@ def _private(spark, sf):
 @query("reputation_by_service")
 def _reputation(spark, sf):
     urls = fx.known_urls(spark, sf).select("url_id", R.url_hash(F.col("url")).alias("url_hash"))
-    return E.reputation_wide(urls, reputation(spark, sf)).drop("url_hash")
+    return E.reputation_wide(urls, reputation(spark, sf), F.lit(AS_OF).cast("timestamp"), TTL).drop("url_hash")
+
+
+@query("asof_service_findings")
+def _service_findings(spark, sf):
+    """Each event asks all services; sign-ups and purchases are the findings."""
+    e = spark.sql(fx.SERVICE_EVENTS_SQL, events=fx.table(spark, sf, "events"))
+    found = e.where("event_type IN ('signup', 'purchase')")
+    asked = e.where("event_type NOT IN ('signup', 'purchase')").select("url_hash", F.unix_micros("checked_at").alias("us"), "event_id")
+    return E.asof_findings(asked, found, EVENT_TTL).drop("url_hash", "us")
 
 
 @query("flag_ratio")

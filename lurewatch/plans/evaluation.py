@@ -167,18 +167,23 @@ def _fuse(spark, sf):
     return U.fuse(evidence(spark, sf), fx.corpus(spark, sf)).withColumn("reasoning", F.array_join("reasoning", "|"))
 
 
+def digit_model(rows):
+    """Stand-in for a model: the digits' share of a URL in hundredths, phishing from 30."""
+    p = F.expr("CAST(length(regexp_replace(url, '[^0-9]', '')) * 100 div length(url) AS DOUBLE) / 100")
+    return rows.withColumns({"prediction": (p >= 0.3).cast("int"), "confidence": p})
+
+
 @query("full_analysis")
 def _full(spark, sf):
-    """All ten layers; the model is a stand-in (digit share), overridden by the pattern score."""
+    """Staged routing and all ten layers; the model is a stand-in (digit share), overridden by the pattern score."""
     from lurewatch.operators.analysis import full_analysis
     from lurewatch.plans import enrichment as E
 
-    parts = materialize(corpus_parts(spark, sf))
-    p = F.expr("CAST(length(regexp_replace(url, '[^0-9]', '')) * 100 div length(url) AS DOUBLE) / 100")
-    model = parts.select("url_id", (p >= 0.3).cast("int").alias("prediction"), p.alias("confidence"))
-    bad = parts.where("url_id % 50 = 0").select(R.url_hash(F.col("url")).alias("url_hash"))
-    # the DNS days are numbered; the domain age counts up to a date
-    out = full_analysis(parts, fx.brands(spark, sf), latest_facts(E.dns_snapshot(spark, sf)), E.whois_snapshot(spark, sf), F.lit(E.AS_OF).cast("date"), E.reputation(spark, sf), model, bad)
+    parts = corpus_parts(spark, sf)
+    bad = fx.corpus(spark, sf).where("url_id % 50 = 0").select(R.url_hash(F.col("url")).alias("url_hash"))
+    # the DNS days are numbered; domain age and the findings' freshness count up to a date
+    out = full_analysis(parts, fx.brands(spark, sf), latest_facts(E.dns_snapshot(spark, sf)), E.whois_snapshot(spark, sf), E.reputation(spark, sf),
+                        digit_model, F.lit(E.AS_OF).cast("date"), E.TTL, bad)
     return out.withColumn("reasoning", F.array_join("reasoning", "|"))
 
 
@@ -193,12 +198,12 @@ def _json(spark, sf):
 
 @query("weighted_threat_score")
 def _weighted(spark, sf):
-    """Indicator and model layers; the service layer exists for every third URL only."""
+    """Model, services, safe browsing and indicators, each with the weight it has only where it says something."""
+    from lurewatch.operators.analysis import threat_layers
+    from lurewatch.plans import enrichment as E
+
     parts = corpus_parts(spark, sf)
-    ind = R.threat_indicators(parts).select("url_id", F.lit("indicators").alias("layer"), F.col("risk_score").cast("double").alias("score"))
-    mod = parts.select("url_id", F.lit("model").alias("layer"), (F.length("url") % 101).cast("double").alias("score"))
-    srv = parts.where("url_id % 3 = 0").select("url_id", F.lit("services").alias("layer"), (F.length("host") * 7 % 101).cast("double").alias("score"))
-    return U.weighted_threat(ind.unionByName(mod).unionByName(srv), parts)
+    return U.weighted_threat(threat_layers(digit_model(parts), E.reputation(spark, sf), F.lit(E.AS_OF).cast("timestamp"), E.TTL), parts)
 
 
 @query("pair_comparison")

@@ -36,7 +36,7 @@ FROM (SELECT k, b, CAST(1 + k % length(b) AS INT) AS i, CAST(1 + k % (length(b)-
 # URLs with one obfuscation each: encodings, ports, user-info, non-ASCII, odd hosts, long paths
 HOSTILE_SQL = f"""
 SELECT k AS url_id,
- CASE CAST(k % 27 AS INT)
+ CASE CAST(k % 30 AS INT)
   WHEN 0 THEN 'HTTP://User@' || b || '.com:8080/Path/../x.php?next=http%3A%2F%2Fevil.tk&a=1&a=2&b=#frag'
   WHEN 1 THEN 'https://secure-' || b || '-login.verify-account.tk/login/confirm.php?session=' || md5(b)
   WHEN 2 THEN 'http://xn--' || b || '-9za.com/'
@@ -63,7 +63,10 @@ SELECT k AS url_id,
   WHEN 23 THEN 'http://paypal.com.' || b || '.ml/wp-admin/index.php?url=x'
   WHEN 24 THEN 'https://login-paypa1-' || CAST(k AS STRING) || '.verifyinfo-auth.com/account/suspended'
   WHEN 25 THEN 'https://' || b || 'hub.org/offers'
-  ELSE 'http://pay' || b || '-amaz0n.support/billing/update-payment' END || CASE WHEN k % 27 IN (9, 12, 13, 22) THEN '' ELSE '/q' || CAST(k AS STRING) END AS url
+  WHEN 26 THEN 'http://pay' || b || '-amaz0n.support/billing/update-payment'
+  WHEN 27 THEN 'https://paypal-' || b || CAST(k AS STRING) || '.com/start'
+  WHEN 28 THEN 'https://young' || b || CAST(k AS STRING) || '.com/start'
+  ELSE 'https://amazom.com/a' || CAST(k AS STRING) END || CASE WHEN k % 30 IN (9, 12, 13, 22) THEN '' ELSE '/q' || CAST(k AS STRING) END AS url
 FROM (SELECT p_partkey AS k, {BRAND} AS b FROM {{part}}) x
 """
 
@@ -166,21 +169,36 @@ def scan_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 # snapshots over the registered domains of the known URLs
 # DNS facts of two days; on the first day the mail and name server flags were the other way round
 DNS_SQL = f"""
+WITH named AS (
+ SELECT {BRAND} || '.com' AS domain, min(p_partkey) AS k FROM {{part}} GROUP BY {BRAND}
+ UNION ALL SELECT {BRAND} || '-login.com' AS domain, min(p_partkey) + 1 AS k FROM {{part}} GROUP BY {BRAND}
+ UNION ALL SELECT CASE CAST(p_partkey % 30 AS INT) WHEN 11 THEN 'xkcdqzvxj' || CAST(p_partkey AS STRING) || '.info' WHEN 14 THEN 'asdfqwer' || CAST(p_partkey AS STRING) || 'zxcv.biz'
+  ELSE 'young' || {BRAND} || CAST(p_partkey AS STRING) || '.com' END AS domain, p_partkey AS k FROM {{part}} WHERE p_partkey % 30 IN (11, 14, 28))
 SELECT domain, day AS as_of, k % 2 = 0 AS has_a, (k % 5 = 0) = (day = 2) AS has_mx, (k % 7 = 0) = (day = 2) AS has_ns,
  array('8.8.' || CAST(k % 256 AS STRING) || '.1', CASE CAST(k % 6 AS INT) WHEN 0 THEN '10.1.2.3' WHEN 1 THEN '172.' || CAST(k % 40 AS STRING) || '.0.9'
   WHEN 2 THEN '192.168.0.7' WHEN 3 THEN '127.0.0.1' WHEN 4 THEN '300.1.1.1' ELSE 'bad' END) AS ips
-FROM (SELECT {BRAND} || '.com' AS domain, min(p_partkey) AS k FROM {{part}} GROUP BY {BRAND}
-      UNION ALL SELECT {BRAND} || '-login.com' AS domain, min(p_partkey) + 1 AS k FROM {{part}} GROUP BY {BRAND}) x
- CROSS JOIN (SELECT 1 AS day UNION ALL SELECT 2 AS day) d WHERE k % 3 <> 0
+FROM (SELECT domain, k, 1 AS day FROM named UNION ALL SELECT domain, k, 2 AS day FROM named) x WHERE k % 3 <> 0
 """
+# registrations: known names by the orders of their parts, young ones up to a year old
 WHOIS_SQL = f"""
-SELECT domain, min(o_orderdate) AS created FROM (SELECT {BRAND} || '.com' AS domain, p_partkey AS k FROM {{part}}) x
+SELECT 'young' || {BRAND} || CAST(p_partkey AS STRING) || '.com' AS domain, DATE '1998-06-30' - CAST(p_partkey % 365 AS INT) AS created FROM {{part}} WHERE p_partkey % 30 = 28
+UNION ALL SELECT domain, min(o_orderdate) AS created FROM (SELECT {BRAND} || '.com' AS domain, p_partkey AS k FROM {{part}}) x
 JOIN {{orders}} o ON o.o_orderkey = k GROUP BY domain
 """
 REPUTATION_SQL = f"""
 SELECT sha2(regexp_replace(lower(trim(url)), '/$', ''), 256) AS url_hash,
  CASE CAST(l_linenumber % 4 AS INT) WHEN 0 THEN 'safe_browsing' WHEN 1 THEN 'scanners' WHEN 2 THEN 'sandbox' ELSE 'community' END AS service,
- CASE WHEN l_orderkey % 5 = 0 THEN 'error' ELSE 'checked' END AS status, l_orderkey % 3 = 0 AS flagged,
- CAST(l_orderkey % 7 AS INT) AS malicious, CAST(l_quantity AS INT) AS score
+ CASE WHEN l_orderkey % 5 = 0 THEN 'error' WHEN l_orderkey % 11 = 0 THEN 'not_found' ELSE 'checked' END AS status, l_orderkey % 3 = 0 AS flagged,
+ CAST(CASE WHEN l_orderkey % 2 = 0 THEN 0 ELSE l_orderkey % 7 END AS INT) AS malicious, CAST(l_suppkey % 5 AS INT) AS suspicious, CAST(l_quantity * 2 AS INT) AS score,
+ l_suppkey % 3 = 0 AS verified, l_suppkey % 4 = 0 AS valid, CAST(l_shipdate AS TIMESTAMP) AS checked_at
 FROM {{lineitem}} l JOIN ({KNOWN_SQL}) kn ON l.l_partkey = kn.url_id
 """
+# service findings and requests for them, both events: each key is asked again and again
+SERVICE_EVENTS_SQL = """
+SELECT 'u' || CAST(user_id AS STRING) AS url_hash, CAST(ts AS TIMESTAMP) AS checked_at, event_id, event_type,
+ CASE CAST(event_id % 4 AS INT) WHEN 0 THEN 'safe_browsing' WHEN 1 THEN 'scanners' WHEN 2 THEN 'sandbox' ELSE 'community' END AS service,
+ CASE WHEN event_id % 5 = 0 THEN 'error' WHEN event_id % 7 = 0 THEN 'not_found' ELSE 'checked' END AS status,
+ value > 50 AS flagged, CAST(event_id % 6 AS INT) AS malicious, CAST(event_id % 9 AS INT) AS suspicious, CAST(floor(value) AS INT) AS score,
+ event_id % 3 = 0 AS verified, event_id % 2 = 0 AS valid
+FROM {events} e
+"""

@@ -24,13 +24,17 @@ def _landed(spark, df, name, rows=4000):
     return path
 
 
-def _landed_in_order(spark, df, name, slices=4):
-    """Slices of the time range, written one after the other (file streams take older files first)."""
+def _landed_by_arrival(spark, df, name, slices=4, late_days=2):
+    """Checks ``key, ts`` as files in order of arrival, up to ``late_days`` after their time; then a heartbeat."""
     path = scratch_path(spark, name)
-    lo, hi = df.agg(F.min("sec"), F.max("sec")).first()
+    sec = F.unix_seconds("ts")
+    arrived = df.withColumn("arrival", sec + F.pmod(F.xxhash64("key", "ts"), F.lit(late_days * 86_400)))
+    lo, hi = arrived.agg(F.min("arrival"), F.max("arrival")).first()
     for i in range(slices):
         a, b = (lo + (hi + 1 - lo) * k // slices for k in (i, i + 1))
-        df.where((F.col("sec") >= a) & (F.col("sec") < b)).write.mode("append").parquet(path)
+        arrived.where((F.col("arrival") >= a) & (F.col("arrival") < b)).drop("arrival").write.mode("append").parquet(path)
+    beat = df.agg((F.max("ts") + F.expr(f"INTERVAL {late_days + 1} DAYS")).alias("ts")).select(F.lit(None).cast(df.schema["key"].dataType).alias("key"), "ts")
+    beat.write.mode("append").parquet(path)
     return path
 
 
@@ -111,8 +115,8 @@ def _suppress(spark, sf):
 
 @query("stream_suppressed_checks")
 def _stream_suppress(spark, sf):
-    df = _checks(spark, sf)
-    # landed in order of time: the job wants each key's checks in event-time order
-    src, out = _landed_in_order(spark, df, "checks"), scratch_path(spark, "kept")
-    J.suppress_stream(J.file_stream(spark, src, df.schema, 1), 24 * 3600, out, scratch_path(spark, "ck"))
-    return spark.read.parquet(out)
+    """Checks that arrive out of order by up to two days; the watermark waits for them."""
+    df = fx.table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
+    src, out = _landed_by_arrival(spark, df, "checks"), scratch_path(spark, "kept")
+    J.suppress_stream(J.file_stream(spark, src, df.schema, 1), 24 * 3600, out, scratch_path(spark, "ck"), "2 days")
+    return spark.read.schema("key long, sec long, kind string").parquet(out).where("kind = 'kept'").drop("kind")

@@ -88,36 +88,66 @@ def read_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
 
 
 class Suppressor(StatefulProcessor):
-    """Per key: pass a check when its event time is at least ``ttl`` after the last one passed."""
+    """Per key: pass a check when its event time is at least ``ttl`` after the last one passed, in order of event time.
+
+    Checks wait (list state) until a timer says that the watermark has passed them; then they are decided in order.  A check
+    older than one already passed comes too late to be decided and goes out as such.
+    """
 
     def __init__(self, ttl: int):
         self.ttl = ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", T.StructType([T.StructField("sec", T.LongType())]))
+        second = T.StructType([T.StructField("sec", T.LongType())])
+        self.handle, self.last, self.waiting = handle, handle.getValueState("last", second), handle.getListState("waiting", second)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        times = sorted(set().union(*[set(p["sec"].tolist()) for p in rows]))
+    def _passed(self) -> int | None:
         state = self.last.get()
-        allowed = state[0] + self.ttl if state is not None else None
-        kept = []
-        for t in times:
-            if allowed is None or t >= allowed:
-                kept.append(int(t))
-                allowed = t + self.ttl
+        return None if state is None else state[0]
+
+    def _wait(self, seconds: list[int]) -> None:
+        if seconds:
+            self.waiting.put([(s,) for s in seconds])
+            self.handle.registerTimer(seconds[0] * 1000)
+        else:
+            self.waiting.clear()
+
+    def _out(self, key, found: dict[str, list[int]]) -> Iterator[pd.DataFrame]:
+        rows = [(key[0], s, kind) for kind, secs in found.items() for s in secs]
+        if rows:
+            yield pd.DataFrame(rows, columns=["key", "sec", "kind"])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new, passed = set().union(*[set(p["sec"].tolist()) for p in rows]), self._passed()
+        late = [] if passed is None else sorted(s for s in new if s < passed)
+        waiting = {s for (s,) in self.waiting.get()} if self.waiting.exists() else set()
+        self._wait(sorted(int(s) for s in (waiting | new).difference(late) if s != passed))
+        yield from self._out(key, {"late": late})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        upto, passed = timerValues.getCurrentWatermarkInMs(), self._passed()
+        waiting, kept = sorted(s for (s,) in self.waiting.get()) if self.waiting.exists() else [], []
+        ready = [s for s in waiting if s * 1000 <= upto]
+        for s in ready:
+            if passed is None or s >= passed + self.ttl:
+                kept.append(s)
+                passed = s
         if kept:
-            self.last.update((kept[-1],))
-        yield pd.DataFrame({"key": [key[0]] * len(kept), "sec": pd.Series(kept, dtype="int64")})
+            self.last.update((passed,))
+        if ready:
+            self._wait(waiting[len(ready):])
+        yield from self._out(key, {"kept": kept})
 
     def close(self) -> None:
         pass
 
 
-def suppress_stream(stream: DataFrame, ttl: int, out_path: str, checkpoint: str) -> None:
-    """Streaming look-up suppression over ``key, sec``, input in event-time order per key.
+def suppress_stream(stream: DataFrame, ttl: int, out_path: str, checkpoint: str, delay: str = "1 hour") -> None:
+    """Streaming look-up suppression over ``key, ts``, by event time: rows may come out of order by up to ``delay``.
 
-    State is one number per key; a task holds the distinct seconds of one key
-    in one micro-batch, which the trigger size bounds.
+    Writes ``key, sec`` under ``kind=kept``, and under ``kind=late`` the checks that came after a later one of their key had
+    been passed.  A row without a key only moves the time on (a heartbeat, so that idle streams decide what waits).  State
+    is a number per key and the distinct seconds that wait for the watermark.
     """
     spark = stream.sparkSession
     name = "spark.sql.streaming.stateStore.providerClass"
@@ -125,13 +155,44 @@ def suppress_stream(stream: DataFrame, ttl: int, out_path: str, checkpoint: str)
     spark.conf.set(name, ROCKSDB)
     try:
         key_type = stream.schema["key"].dataType
-        out = stream.groupBy("key").transformWithStateInPandas(
+        # the event time itself is left out below the state, so that late rows reach it and are told apart there
+        # a condition that reads the event time stays above the watermark, which so sees the heartbeats
+        timed = stream.withWatermark("ts", delay).where("CASE WHEN ts IS NOT NULL THEN key IS NOT NULL ELSE false END")
+        timed = timed.select("key", event_seconds(F.col("ts")).alias("sec"))
+        out = timed.groupBy("key").transformWithStateInPandas(
             statefulProcessor=Suppressor(ttl), outputStructType=T.StructType([
-                T.StructField("key", key_type), T.StructField("sec", T.LongType())]), outputMode="Append", timeMode="None")
-        run_available(out.writeStream.format("parquet").outputMode("append").option("path", out_path), checkpoint)
+                T.StructField("key", key_type), T.StructField("sec", T.LongType()), T.StructField("kind", T.StringType())]), outputMode="Append", timeMode="EventTime")
+        run_available(out.writeStream.format("parquet").outputMode("append").partitionBy("kind").option("path", out_path), checkpoint)
     finally:
         spark.conf.set(name, before) if before else spark.conf.unset(name)
 
 
 def event_seconds(ts: Column) -> Column:
     return F.unix_seconds(ts.cast("timestamp"))
+
+
+def newest_version(spark: SparkSession, path: str) -> tuple[int, DataFrame]:
+    """The newest complete version of a snapshot table (folders ``version=N`` with a success marker), read now."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [int(s.getPath().getName().partition("=")[2]) for s in fs.listStatus(fs_path)
+             if s.getPath().getName().startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    if not found:
+        raise ValueError(f"no complete version under {path}")
+    return max(found), spark.read.parquet(f"{path}/version={max(found)}")
+
+
+def score_with_snapshots(stream: DataFrame, score: Callable[..., DataFrame], snapshots: dict[str, str], out_path: str, checkpoint: str) -> None:
+    """Continuous scoring against dimensions that change: known-bad hashes, cached findings, TLDs, DNS facts.
+
+    Each batch reads the newest complete version of every snapshot (``newest_version``) and runs ``score(batch,
+    **snapshots)``, the same job as in batch; the versions used are written with its rows (``<name>_version``).  A batch
+    has a folder of its own, which a re-run replaces, so a failed batch leaves nothing twice.
+    """
+    def run(batch: DataFrame, batch_id: int) -> None:
+        tables = {name: newest_version(batch.sparkSession, path) for name, path in snapshots.items()}
+        out = score(batch, **{name: df for name, (_, df) in tables.items()})
+        out = out.withColumns({f"{name}_version": F.lit(v) for name, (v, _) in tables.items()})
+        out.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+
+    run_available(stream.writeStream.foreachBatch(run), checkpoint)

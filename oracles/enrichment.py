@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lurewatch.plans import fixtures as fx
-from lurewatch.plans.enrichment import AS_OF
+from lurewatch.plans.enrichment import AS_OF, EVENT_TTL, TTL
 from oracles import rules as OR
 from oracles.common import KNOWN, has_any, parts_cte
 from lurewatch import refdata as R
@@ -15,7 +15,15 @@ KP = parts_cte(f"SELECT url_id, url FROM ({KNOWN}) k")
 AGE = f"date_diff('day', CAST(created AS DATE), DATE '{AS_OF}')"
 IPN = "regexp_full_match(ip, '[0-9]{1,3}([.][0-9]{1,3}){3}') AND len(list_filter(string_split(ip, '.'), lambda o: CAST(o AS INTEGER) <= 255)) = 4"
 SERVICES = ["safe_browsing", "scanners", "sandbox", "community"]
-PIVOT = ", ".join(f"bool_or(flagged) FILTER (service = '{s}') AS {s}_flagged, CAST(max(malicious) FILTER (service = '{s}') AS BIGINT) AS {s}_malicious, CAST(max(score) FILTER (service = '{s}') AS BIGINT) AS {s}_score" for s in SERVICES)
+FACTS = {"status": "status", "flagged": "flagged", "malicious": "CAST(malicious AS BIGINT)", "suspicious": "CAST(suspicious AS BIGINT)", "score": "CAST(score AS BIGINT)", "verified": "verified", "valid": "valid"}
+ALIVE = " ".join(f"WHEN '{s}' THEN {t}" for s, t in TTL.items())
+# the newest finding per URL and service that is not older than the service allows
+NEWEST = f"""SELECT * FROM ({REP}) r0 WHERE status <> 'error' AND checked_at <= TIMESTAMP '{AS_OF}' AND epoch(TIMESTAMP '{AS_OF}') - epoch(checked_at) < CASE service {ALIVE} END
+ QUALIFY row_number() OVER (PARTITION BY url_hash, service ORDER BY checked_at DESC, {", ".join(f"{c} DESC" for c in FACTS)}) = 1"""
+PIVOT = ", ".join(f"any_value({e}) FILTER (service = '{s}') AS {s}_{c}" for s in SERVICES for c, e in FACTS.items())
+PIVOTED = f"SELECT url_hash, {PIVOT} FROM ({NEWEST}) r1 GROUP BY url_hash"
+EVENTS = fx.SERVICE_EVENTS_SQL.format(events="events")
+EVENT_ALIVE = " ".join(f"WHEN '{s}' THEN {t}" for s, t in EVENT_TTL.items())
 CLASS_CTE = f"""{parts_cte()}, {OR.GARBAGE_SQL}, dns AS ({DNS}), who AS ({WHOIS}),
 d AS (SELECT g.*, garbage_score >= 50 AS gb, coalesce(has_a OR has_mx OR has_ns, false) AS ex, {AGE} AS age, {has_any('domain_label', R.ABSENT_DOMAIN_BRANDS)} AS br FROM g LEFT JOIN dns ON g.registered_domain = dns.domain LEFT JOIN who ON g.registered_domain = who.domain),
 c AS (SELECT url_id, CASE WHEN NOT tld_valid THEN 'INVALID_TLD' WHEN gb AND NOT ex THEN 'RANDOM_GARBAGE_NOT_ON_INTERNET' WHEN NOT ex THEN 'NOT_ON_INTERNET' WHEN gb THEN 'EXISTS_BUT_SUSPICIOUS' ELSE 'REAL_DOMAIN_EXISTS' END AS classification,
@@ -35,7 +43,13 @@ SELECT event_id, CASE WHEN us - cu < 86400000000 THEN verdict END AS verdict, CA
     "private_addresses": f"""WITH dns AS ({DNS}), i AS (SELECT domain, unnest(ips) AS ip FROM dns), o AS (SELECT domain, ip, list_transform(string_split(ip, '.'), lambda x: CAST(x AS INTEGER)) AS q FROM (SELECT * FROM i WHERE {IPN}) v)
 SELECT domain, ip, CASE WHEN q[1] = 10 THEN '10.0.0.0' WHEN q[1] = 172 THEN '172.16.0.0' WHEN q[1] = 192 THEN '192.168.0.0' ELSE '127.0.0.0' END AS low FROM o
 WHERE q[1] = 10 OR (q[1] = 172 AND q[2] BETWEEN 16 AND 31) OR (q[1] = 192 AND q[2] = 168) OR q[1] = 127""",
-    "reputation_by_service": f"WITH r AS ({REP}), pv AS (SELECT url_hash, {PIVOT} FROM r WHERE status = 'checked' GROUP BY url_hash) SELECT url_id, pv.* EXCLUDE (url_hash) FROM ({KNOWN}) k LEFT JOIN pv ON {OR.URLHASH} = url_hash",
+    "asof_service_findings": f"""WITH e AS ({EVENTS}), f AS (SELECT *, status AS st FROM e WHERE event_type IN ('signup', 'purchase') AND status <> 'error'
+  QUALIFY row_number() OVER (PARTITION BY url_hash, service, checked_at ORDER BY {", ".join(f"{c} DESC" for c in FACTS)}) = 1),
+a AS (SELECT url_hash, checked_at AS ts, event_id, unnest({SERVICES}) AS service FROM e WHERE event_type NOT IN ('signup', 'purchase')),
+j AS (SELECT a.event_id, a.service, a.ts, f.checked_at, {", ".join(f"f.{c}" for c in FACTS)}, epoch_us(a.ts) - epoch_us(f.checked_at) < 1000000 * CAST(CASE a.service {EVENT_ALIVE} END AS BIGINT) AS ok
+  FROM a ASOF LEFT JOIN f ON a.url_hash = f.url_hash AND a.service = f.service AND a.ts >= f.checked_at)
+SELECT event_id, service, CASE WHEN ok THEN epoch_us(checked_at) END AS checked_us, {", ".join(f"CASE WHEN ok THEN {e} END AS {c}" for c, e in FACTS.items())} FROM j""",
+    "reputation_by_service": f"WITH pv AS ({PIVOTED}) SELECT url_id, pv.* EXCLUDE (url_hash) FROM ({KNOWN}) k LEFT JOIN pv ON {OR.URLHASH} = url_hash",
     "flag_ratio": f"""WITH r AS ({REP}) SELECT url_hash, count(*) FILTER (status = 'checked') AS n_checked, count(*) FILTER (status = 'checked' AND flagged) AS n_flagged,
  round(coalesce(count(*) FILTER (status = 'checked' AND flagged) / nullif(count(*) FILTER (status = 'checked'), 0), 0.0), 6) AS flag_ratio FROM r GROUP BY url_hash""",
     "domain_classification": CLASS,

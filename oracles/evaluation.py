@@ -51,6 +51,12 @@ FUSED_ROWS = f"""SELECT url_id, CAST(least(coalesce(s, 0), 100) AS BIGINT) AS th
  CASE WHEN s >= 60 THEN 'PHISHING_DETECTED' WHEN s >= 40 THEN 'LIKELY_PHISHING' WHEN s >= 25 THEN 'SUSPICIOUS' WHEN s >= 15 THEN 'QUESTIONABLE' ELSE 'APPEARS_SAFE' END AS verdict,
  coalesce(reasoning, '') AS reasoning FROM (SELECT url_id FROM ({CORPUS}) ac) au LEFT JOIN fused USING (url_id)"""
 
+EXIT = "classification IN ('INVALID_SYNTAX', 'RANDOM_GARBAGE_NOT_ON_INTERNET')"
+ASKED = ["scanners", "sandbox", "community"]
+ROUTED = f"""vd AS (WITH {OR.VALID_CTE} SELECT url_id, issues = '' AS ok FROM v5),
+rt AS (WITH {OE.CLASS_CTE} SELECT url_id, CASE WHEN ok THEN classification ELSE 'INVALID_SYNTAX' END AS classification, CASE WHEN ok THEN CAST(threat_level AS BIGINT) ELSE 0 END AS domain_threat FROM c JOIN vd USING (url_id))"""
+FOUND = f"rp AS (SELECT c.url_id, v.* FROM (SELECT url_id, {OR.URLHASH} AS h FROM ({CORPUS}) c0) c JOIN ({OE.PIVOTED}) v ON c.h = v.url_hash)"
+
 ORACLES = {
     "confusion_matrix": f"WITH s AS ({S}) SELECT CAST(label AS BIGINT) AS label, CAST(prediction AS BIGINT) AS prediction, count(*) AS n FROM s GROUP BY ALL",
     "class_metrics": f"WITH s AS ({S}), m AS (SELECT count(*) AS n, {CM} FROM s) SELECT n, tp, fp, fn, tn, {METRICS} FROM m",
@@ -85,22 +91,30 @@ SELECT url_id, CASE WHEN risk_score >= 30 THEN 1 ELSE CAST(c >= 0.3 AS BIGINT) E
     "full_analysis": f"""WITH {EVIDENCE_CTE.split("ev(layer")[0].rstrip().rstrip(",").replace(SIGNATURE_ONLY, OR.SIGNATURE_CTE)},
 md AS (WITH {PATTERN_ONLY}, m AS (SELECT url_id, CAST(length(regexp_replace(url, '[^0-9]', '', 'g')) * 100 // length(url) AS DOUBLE) / 100 AS c FROM p)
   SELECT url_id, 'model' AS layer, CASE WHEN risk_score >= 30 OR c >= 0.3 THEN 'phishing' ELSE 'legitimate' END AS outcome, CASE WHEN risk_score >= 30 THEN confidence ELSE c END AS own FROM m JOIN pat USING (url_id)),
-dm AS (WITH {OE.CLASS_CTE} SELECT url_id, 'domain' AS layer, CASE classification WHEN 'NOT_ON_INTERNET' THEN CASE WHEN threat_level >= 80 THEN 'absent_brand' ELSE 'absent' END
-  WHEN 'EXISTS_BUT_SUSPICIOUS' THEN 'exists_suspicious' WHEN 'REAL_DOMAIN_EXISTS' THEN 'exists' END AS outcome, CAST(NULL AS DOUBLE) AS own FROM c),
+{ROUTED},
+dm AS (SELECT url_id, 'domain' AS layer, CASE classification WHEN 'NOT_ON_INTERNET' THEN CASE WHEN domain_threat >= 80 THEN 'absent_brand' ELSE 'absent' END
+  WHEN 'EXISTS_BUT_SUSPICIOUS' THEN 'exists_suspicious' WHEN 'REAL_DOMAIN_EXISTS' THEN 'exists' END AS outcome, CAST(NULL AS DOUBLE) AS own FROM rt),
 ft AS (WITH {UL.LOW} SELECT url_id, 'features' AS layer, CASE WHEN ({OR.BEH}) >= 4 OR {UL.MIN} BETWEEN 1 AND 2 THEN 'high' WHEN ({OR.BEH}) >= 3 THEN 'elevated' END AS outcome, CAST(NULL AS DOUBLE) AS own FROM q),
-rp AS (SELECT c.url_id, v.* FROM (SELECT url_id, {OR.URLHASH} AS h FROM ({CORPUS}) c0) c JOIN (SELECT url_hash, {OE.PIVOT} FROM ({OE.REP}) r WHERE status = 'checked' GROUP BY url_hash) v ON c.h = v.url_hash),
-rs AS (SELECT url_id, 'community' AS layer, CASE WHEN community_flagged THEN 'confirmed' WHEN community_flagged IS NOT NULL THEN 'listed' END AS outcome, CAST(NULL AS DOUBLE) AS own FROM rp
-  UNION ALL SELECT url_id, 'safe_browsing', CASE WHEN safe_browsing_flagged THEN 'threat' WHEN safe_browsing_flagged IS NOT NULL THEN 'clean' END, NULL FROM rp
-  UNION ALL SELECT url_id, 'scanners', CASE WHEN scanners_malicious >= 5 THEN 'many' WHEN scanners_malicious >= 2 THEN 'several' WHEN scanners_malicious >= 1 THEN 'some' WHEN scanners_flagged IS NOT NULL THEN 'clean' END, NULL FROM rp
-  UNION ALL SELECT url_id, 'sandbox', CASE WHEN sandbox_flagged THEN 'malicious' WHEN sandbox_score >= 50 THEN 'high_score' END, NULL FROM rp),
+{FOUND},
+rs AS (SELECT url_id, 'community' AS layer, CASE WHEN community_status = 'checked' AND community_flagged THEN CASE WHEN community_verified OR community_valid THEN 'confirmed' ELSE 'listed' END END AS outcome, CAST(NULL AS DOUBLE) AS own FROM rp
+  UNION ALL SELECT url_id, 'safe_browsing', CASE WHEN safe_browsing_status = 'checked' THEN CASE WHEN safe_browsing_flagged THEN 'threat' ELSE 'clean' END END, NULL FROM rp
+  UNION ALL SELECT url_id, 'scanners', CASE WHEN scanners_status = 'checked' THEN CASE WHEN scanners_malicious >= 5 THEN 'many' WHEN scanners_malicious >= 2 THEN 'several' WHEN scanners_malicious >= 1 OR scanners_suspicious >= 3 THEN 'some' ELSE 'clean' END END, NULL FROM rp
+  UNION ALL SELECT url_id, 'sandbox', CASE WHEN sandbox_status = 'checked' THEN CASE WHEN sandbox_flagged THEN 'malicious' WHEN sandbox_score >= 50 THEN 'high_score' END END, NULL FROM rp),
 ev(layer, outcome, points, conf, pos) AS (VALUES {EV}),
 e AS (SELECT url_id, layer, outcome, points, coalesce(conf, own) AS conf, pos FROM (SELECT * FROM pt UNION ALL SELECT * FROM sg UNION ALL SELECT * FROM lk UNION ALL SELECT * FROM md UNION ALL SELECT * FROM dm UNION ALL SELECT * FROM ft UNION ALL SELECT * FROM rs) u JOIN ev USING (layer, outcome)),
-fused AS (SELECT url_id, sum(points) AS s, avg(conf) AS c, string_agg(layer || ':' || outcome, '|' ORDER BY pos) AS reasoning FROM e GROUP BY url_id) {FUSED_ROWS}""",
-    "weighted_threat_score": f"""WITH {parts_cte()}, w(layer, w) AS (VALUES {", ".join(f"('{k}', CAST({v} AS DOUBLE))" for k, v in LAYER_WEIGHTS.items())}),
-l AS (SELECT url_id, 'indicators' AS layer, CAST({OR.points(*[(c, x) for c, x, _ in OR.IND])} AS DOUBLE) AS score FROM p UNION ALL SELECT url_id, 'model', CAST(length(url) % 101 AS DOUBLE) FROM p
-  UNION ALL SELECT url_id, 'services', CAST(length(host) * 7 % 101 AS DOUBLE) FROM p WHERE url_id % 3 = 0),
+fused AS (SELECT url_id, sum(points) AS s, avg(conf) AS c, string_agg(layer || ':' || outcome, '|' ORDER BY pos) AS reasoning FROM e GROUP BY url_id), fr AS ({FUSED_ROWS})
+SELECT url_id, CASE classification WHEN 'INVALID_SYNTAX' THEN 0 WHEN 'RANDOM_GARBAGE_NOT_ON_INTERNET' THEN 5 ELSE threat_level END::BIGINT AS threat_level,
+ CASE classification WHEN 'INVALID_SYNTAX' THEN 1.0 WHEN 'RANDOM_GARBAGE_NOT_ON_INTERNET' THEN 0.95 ELSE confidence END AS confidence,
+ CASE WHEN {EXIT} THEN false ELSE is_phishing END AS is_phishing,
+ CASE classification WHEN 'INVALID_SYNTAX' THEN 'INVALID_URL' WHEN 'RANDOM_GARBAGE_NOT_ON_INTERNET' THEN 'RANDOM_GARBAGE' ELSE verdict END AS verdict,
+ CASE WHEN {EXIT} THEN '' ELSE reasoning END AS reasoning, classification, domain_threat FROM fr JOIN rt USING (url_id)""",
+    "weighted_threat_score": f"""WITH {parts_cte()}, {FOUND}, w(layer, w) AS (VALUES {", ".join(f"('{k}', CAST({v} AS DOUBLE))" for k, v in LAYER_WEIGHTS.items())}),
+pm AS (SELECT *, CAST(length(regexp_replace(url, '[^0-9]', '', 'g')) * 100 // length(url) AS DOUBLE) / 100 AS c FROM p),
+sv AS (SELECT url_id, {" + ".join(f"coalesce(CAST({s}_status = 'checked' AS INTEGER), 0)" for s in ASKED)} AS n, {" + ".join(f"coalesce(CAST({s}_status = 'checked' AND {s}_flagged AS INTEGER), 0)" for s in ASKED)} AS hits, safe_browsing_status, safe_browsing_flagged FROM rp),
+l AS (SELECT url_id, 'indicators' AS layer, CAST({OR.points(*[(c, x) for c, x, _ in OR.IND])} AS DOUBLE) AS score FROM p UNION ALL SELECT url_id, 'model', CASE WHEN c >= 0.3 THEN c * 100 ELSE 0 END FROM pm
+  UNION ALL SELECT url_id, 'services', hits * 100.0 / n FROM sv WHERE n > 0 UNION ALL SELECT url_id, 'safe_browsing', CASE WHEN safe_browsing_flagged THEN 80.0 ELSE 0.0 END FROM sv WHERE safe_browsing_status = 'checked'),
 g AS (SELECT url_id, sum(w * score) / sum(w) AS t, sum(w) AS w FROM l JOIN w USING (layer) GROUP BY url_id)
-SELECT url_id, round(t, 1) AS threat_score, CAST(least(w / 10, 1.0) AS DOUBLE) AS confidence, CASE WHEN round(t, 6) >= 70 THEN 'dangerous' WHEN round(t, 6) >= 50 THEN 'suspicious' WHEN round(t, 6) >= 30 THEN 'questionable' WHEN round(t, 6) >= 10 THEN 'low_risk' ELSE 'safe' END AS verdict FROM g""",
+SELECT url_id, round(round(t, 6), 1) AS threat_score, CAST(least(w / 10, 1.0) AS DOUBLE) AS confidence, CASE WHEN round(t, 6) >= 70 THEN 'dangerous' WHEN round(t, 6) >= 50 THEN 'suspicious' WHEN round(t, 6) >= 30 THEN 'questionable' WHEN round(t, 6) >= 10 THEN 'low_risk' ELSE 'safe' END AS verdict FROM g""",
     "pair_comparison": f"""WITH {PATTERN_ONLY}, pr AS (SELECT url_id AS left_id, url_id + 1 AS right_id FROM corpus WHERE url_id % 2 = 0)
 SELECT left_id, right_id, a.risk_score AS left_risk, a.verdict AS left_verdict, b.risk_score AS right_risk, b.verdict AS right_verdict,
  CASE WHEN a.risk_score < b.risk_score THEN 'left' WHEN b.risk_score < a.risk_score THEN 'right' ELSE 'same' END AS safer FROM pr JOIN pat a ON a.url_id = left_id JOIN pat b ON b.url_id = right_id""",
