@@ -108,6 +108,9 @@ def average_precision(df: DataFrame, score: str = "score", label: str = "label")
     return c.agg(F.coalesce(F.sum(step), F.lit(0.0)).alias("average_precision"))
 
 
+PAIRS = 500  # feature pairs of one aggregate row
+
+
 def feature_label_correlation(df: DataFrame, features: list[str], label: str = "label") -> DataFrame:
     """Pearson correlation of every feature with the label, in one pass: ``feature, r``."""
     row = df.agg(*[F.corr(F.col(f).cast("double"), F.col(label).cast("double")).alias(f) for f in features])
@@ -119,17 +122,30 @@ def top_features(corr: DataFrame, k: int = 20) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, features: list[str]) -> DataFrame:
-    """Feature correlation matrix as rows ``f1, f2, r`` (one distributed pass; the matrix itself is features x features).
+    """Feature correlation matrix as rows ``f1, f2, r``, pairwise complete: each pair over the rows where both are present.
 
-    A missing value counts as 0, as where features are aligned to a model; no row is dropped.
+    Per pair of the upper triangle, the count, sums and products over its complete rows, taken around the features' means
+    so that no precision is lost; partial sums combine before the one shuffle, of a row per task, in steps of ``PAIRS`` so
+    that no aggregate row grows beyond that.  The matrix is features x features, whatever the rows.  A pair without two
+    different values on both sides has no correlation (null).
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-
-    vec = VectorAssembler(inputCols=features, outputCol="v").transform(df.select(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features]))
-    m = Correlation.corr(vec, "v").first()[0].toArray()
-    rows = [(a, b, float(m[i, j])) for i, a in enumerate(features) for j, b in enumerate(features)]
-    return df.sparkSession.createDataFrame(rows, "f1 string, f2 string, r double")
+    means = df.agg(*[F.avg(F.col(f).cast("double")).alias(f) for f in features]).first()
+    pairs = [(a, b) for i, a in enumerate(features) for b in features[i:]]
+    out = None
+    for at in range(0, len(pairs), PAIRS):
+        some, sums, cells = pairs[at : at + PAIRS], [], []
+        for k, (a, b) in enumerate(some):
+            both = F.col(a).isNotNull() & F.col(b).isNotNull()
+            x, y = (F.when(both, F.col(f).cast("double") - F.lit(means[f] or 0.0)) for f in (a, b))
+            terms = {"n": F.count(x), "x": F.sum(x), "y": F.sum(y), "xy": F.sum(x * y), "xx": F.sum(x * x), "yy": F.sum(y * y)}
+            sums += [v.alias(f"{t}{k}") for t, v in terms.items()]
+            n, x, y, xy, xx, yy = (F.col(f"{t}{k}") for t in terms)
+            spread = F.sqrt(F.greatest(F.lit(0.0), n * xx - x * x)) * F.sqrt(F.greatest(F.lit(0.0), n * yy - y * y))
+            r = F.try_divide(n * xy - x * y, spread)
+            cells += [F.struct(F.lit(f).alias("f1"), F.lit(g).alias("f2"), r.alias("r")) for f, g in dict.fromkeys([(a, b), (b, a)])]
+        part = df.agg(*sums).select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def class_histograms(df: DataFrame, features: list[str], label: str = "label", bins: int = 30) -> DataFrame:

@@ -85,6 +85,14 @@ def _matrix(spark, sf):
     return M.correlation_matrix(labelled_features(spark, sf), FEATURES)
 
 
+@query("pairwise_correlation")
+def _pairwise(spark, sf):
+    """Correlations of features with gaps: each pair over the rows where both are present."""
+    df = labelled_features(spark, sf)
+    gaps = {f: F.when(F.col("url_id") % (i + 3) != 0, F.col(f)) for i, f in enumerate(FEATURES[:6])}
+    return M.correlation_matrix(df.withColumns(gaps), FEATURES[:6])
+
+
 @query("class_histograms")
 def _hist(spark, sf):
     return M.class_histograms(labelled_features(spark, sf), ["url_length", "domain_length", "dot_count", "digit_count"])

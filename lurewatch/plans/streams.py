@@ -55,6 +55,24 @@ def _score(spark, sf):
     return spark.read.parquet(out)
 
 
+@query("stream_scored_with_snapshots")
+def _score_snapshots(spark, sf):
+    """All scores of the URL and its known hash, by a stream; the list of known hashes is replaced between two batches."""
+    from lurewatch.operators.analysis import scored
+
+    urls = fx.corpus(spark, sf).select("url_id", "url")
+    src, bad, out, ck = (scratch_path(spark, n) for n in ("urls", "known-bad", "scores", "ck"))
+
+    def score(batch, known_bad):
+        return scored(url_parts(batch), known_bad).select("url_id", "risk_score", "pattern", "signatures", "behaviour")
+
+    for version, (part, known) in enumerate((("url_id % 2 = 0", "url_id % 50 = 0"), ("url_id % 2 = 1", "url_id % 3 = 0")), 1):
+        urls.where(part).write.mode("append").parquet(src)
+        urls.where(known).select(R.url_hash(F.col("url")).alias("url_hash")).write.parquet(f"{bad}/version={version}")
+        J.score_with_snapshots(J.file_stream(spark, src, urls.schema), score, {"known_bad": bad}, out, ck)
+    return spark.read.parquet(out).drop("batch")
+
+
 def _show(df):
     return df.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
