@@ -137,11 +137,12 @@ def correlation_matrix(df: DataFrame, features: list[str]) -> DataFrame:
         for k, (a, b) in enumerate(some):
             both = F.col(a).isNotNull() & F.col(b).isNotNull()
             x, y = (F.when(both, F.col(f).cast("double") - F.lit(means[f] or 0.0)) for f in (a, b))
-            terms = {"n": F.count(x), "x": F.sum(x), "y": F.sum(y), "xy": F.sum(x * y), "xx": F.sum(x * x), "yy": F.sum(y * y)}
+            terms = {"n": F.count(x), "x": F.sum(x), "y": F.sum(y), "xy": F.sum(x * y), "xx": F.sum(x * x), "yy": F.sum(y * y),
+                     "vary": (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))}
             sums += [v.alias(f"{t}{k}") for t, v in terms.items()]
-            n, x, y, xy, xx, yy = (F.col(f"{t}{k}") for t in terms)
+            n, x, y, xy, xx, yy, vary = (F.col(f"{t}{k}") for t in terms)
             spread = F.sqrt(F.greatest(F.lit(0.0), n * xx - x * x)) * F.sqrt(F.greatest(F.lit(0.0), n * yy - y * y))
-            r = F.try_divide(n * xy - x * y, spread)
+            r = F.when(vary, F.try_divide(n * xy - x * y, spread))
             cells += [F.struct(F.lit(f).alias("f1"), F.lit(g).alias("f2"), r.alias("r")) for f, g in dict.fromkeys([(a, b), (b, a)])]
         part = df.agg(*sums).select(F.explode(F.array(*cells)).alias("c")).select("c.*")
         out = part if out is None else out.unionByName(part)

@@ -72,7 +72,7 @@ a AS (SELECT sum(rk) FILTER (label = 1) AS sr, count(*) FILTER (label = 1) AS p,
     "top_correlated_features": f"WITH {FEAT}, c AS ({CORR}) SELECT * FROM c ORDER BY abs(r) DESC, feature LIMIT 10",
     "feature_correlation_matrix": f"WITH {FEAT} " + " UNION ALL ".join(f"SELECT '{a}' AS f1, '{b}' AS f2, round(corr({a}, {b}), 6) + 0.0 AS r FROM fe" for a in FEATURES for b in FEATURES),
     "pairwise_correlation": f"WITH {FEAT}, ga AS (SELECT {', '.join(f'CASE WHEN url_id % {i + 3} <> 0 THEN {f} END AS {f}' for i, f in enumerate(FEATURES[:6]))} FROM fe) "
-    + " UNION ALL ".join(f"SELECT '{a}' AS f1, '{b}' AS f2, round(corr({a}, {b}), 6) + 0.0 AS r FROM ga" for a in FEATURES[:6] for b in FEATURES[:6]),
+    + " UNION ALL ".join(f"SELECT '{a}' AS f1, '{b}' AS f2, CASE WHEN isfinite(corr({a}, {b})) THEN round(corr({a}, {b}), 6) + 0.0 END AS r FROM ga" for a in FEATURES[:6] for b in FEATURES[:6]),
     "class_histograms": f"""WITH {FEAT}, l AS ({" UNION ALL ".join(f"SELECT '{f}' AS feature, label, {f} AS x FROM fe" for f in HIST)}), r AS (SELECT feature, min(x) AS lo, max(x) AS hi FROM l GROUP BY feature)
 SELECT feature, CAST(label AS BIGINT) AS label, CAST(CASE WHEN hi > lo THEN least(29, floor((x - lo) / (hi - lo) * 30)) ELSE 0 END AS BIGINT) AS bin, count(*) AS n FROM l JOIN r USING (feature) GROUP BY ALL""",
     "standardised_features": f"WITH {FEAT} " + " UNION ALL ".join(
