@@ -5,8 +5,13 @@ all phrases runs once over each whole text; it reports every place, also overlap
 tag, the licence expression after the tag is read from the raw text and evaluated: ``or`` lets the reader choose the
 milder side, ``and`` binds to both, ``with`` adds an exception that softens a licence by one step.
 
-Edge cases: a null text is empty; a broken expression gives the labels of the identifiers read so far and no obligation;
-no phrase found: empty labels, null first_word and last_word, score 0; repeated rows are scanned alike.
+An identifier of no known family has obligation "unknown" and, where it has the shape of an identifier (a digit in it, or
+``LicenseRef-``), its own name as label; other words behind a tag are prose and no label.  ``or`` with an unknown side is
+the known side, ``and`` with one is unknown.
+
+Edge cases: a null text is empty; a broken expression gives the labels of the identifiers read so far, no obligation, and
+half the certainty of a tag; no phrase found: empty labels, null first_word and last_word, score 0; repeated rows are
+scanned alike.
 """
 
 from __future__ import annotations
@@ -34,7 +39,9 @@ BASE_SURE = {"cc-by": 0.8, "gpl": 0.8, "reserved": 0.7}
 TAGS = ("spdx license identifier",)
 # Identifier prefixes, label and obligation (0 none, 1 notice, 2 file-level sharing, 3 sharing, 4 network sharing, 5 closed)
 FAMILIES = {"apache": ("apache", 1), "mit": ("mit", 1), "bsd": ("bsd", 1), "isc": ("isc", 1), "zlib": ("zlib", 1), "mpl": ("mpl", 2), "epl": ("epl", 2), "lgpl": ("lgpl", 2), "agpl": ("agpl", 4),
-            "gpl": ("gpl", 3), "cc0": ("public-domain", 0), "cc-by-sa": ("cc-by-sa", 3), "cc-by-nc": ("cc-by-nc", 5), "cc-by-nd": ("cc-by-nd", 5), "cc-by": ("cc-by", 1), "unlicense": ("public-domain", 0), "proprietary": ("reserved", 5)}
+            "gpl": ("gpl", 3), "cc0": ("public-domain", 0), "cc-by-sa": ("cc-by-sa", 3), "cc-by-nc": ("cc-by-nc", 5), "cc-by-nd": ("cc-by-nd", 5), "cc-by": ("cc-by", 1), "unlicense": ("public-domain", 0), "proprietary": ("reserved", 5),
+            "0bsd": ("bsd", 0), "artistic": ("artistic", 1)}
+ABSENT = ("NONE", "NOASSERTION")  # fixed values: identifiers that name no licence
 OBLIGATIONS = ("none", "notice", "file sharing", "sharing", "network sharing", "closed")
 _TAG = re.compile(rb"(?i)SPDX-License-Identifier\s*:[ \t]*([^\n\r]*)")
 _TOKEN = re.compile(rb"[()]|[A-Za-z0-9.+:-]+")
@@ -42,10 +49,13 @@ _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
 
-def family(identifier: str) -> tuple[str, int]:
+def family(identifier: str) -> tuple[str | None, int | None]:
+    """Label and obligation of an identifier; (None, None) for a word that is none."""
     name = identifier.lower().rstrip("+")
     best = max((f for f in FAMILIES if name == f or name.startswith(f + "-")), key=len, default=None)
-    return FAMILIES[best] if best else (name, 5)
+    if best:
+        return FAMILIES[best]
+    return name if any(c.isdigit() for c in name) or name.startswith("licenseref-") else None, None
 
 
 def to_postfix(tokens: list[str]) -> list[str] | None:
@@ -84,22 +94,27 @@ def to_postfix(tokens: list[str]) -> list[str] | None:
     return out + ops[::-1]
 
 
-def evaluate(postfix: list[str]) -> int:
-    """Obligation of an expression: or = the milder side, and = the stricter, with = one step milder than the licence."""
-    stack: list[int] = []
+def evaluate(postfix: list[str]) -> int | None:
+    """Obligation of an expression (None: unknown): or = the milder side, and = the stricter, with = one step milder than the licence."""
+    stack: list[int | None] = []
     for t in postfix:
         if t in _BINDS:
             b, a = stack.pop(), stack.pop()
-            stack.append(min(a, b) if t == "or" else max(a, b) if t == "and" else max(1, a - 1) if a else 0)
+            if t == "with":
+                stack.append(a and max(1, a - 1))
+            elif a is None or b is None:
+                stack.append((b if a is None else a) if t == "or" else None)
+            else:
+                stack.append(min(a, b) if t == "or" else max(a, b))
         else:
             stack.append(family(t)[1])
     return stack[-1]
 
 
-def read_expressions(text: bytes) -> tuple[set[str], int | None, list[str]]:
-    """Labels, strictest obligation and postfix forms of the identifier tags of a text."""
+def read_expressions(text: bytes) -> tuple[set[str], str | None, list[str]]:
+    """Labels, strictest obligation (unknown where no expression has a known one) and postfix forms of the identifier tags of a text."""
     labels: set[str] = set()
-    worst, forms = None, []
+    levels, forms = [], []
     for m in _TAG.finditer(text):
         tokens = [t.decode() for t in _TOKEN.findall(m[1])]
         # the expression ends where two operands meet: prose may follow the tag
@@ -112,11 +127,11 @@ def read_expressions(text: bytes) -> tuple[set[str], int | None, list[str]]:
         after = [None, *tokens]
         labels |= {family(t)[0] for p, t in zip(after, tokens, strict=False) if t not in "()" and t.lower() not in _BINDS and (p or "").lower() != "with"}
         post = to_postfix(tokens)
-        if post:
-            level = evaluate(post)
-            worst = level if worst is None else max(worst, level)
+        if post and not (len(post) == 1 and family(post[0]) == (None, None) and post[0].upper() not in ABSENT):
+            levels.append(evaluate(post))
             forms.append(" ".join(post))
-    return labels, worst, forms
+    known = [x for x in levels if x is not None]
+    return labels - {None}, OBLIGATIONS[max(known)] if known else "unknown" if levels else None, forms
 
 
 def automaton():
@@ -156,10 +171,10 @@ def scan_text(text: bytes, a) -> tuple:
     if tagged:
         more, level, forms = read_expressions(text)
         labels |= more
-        doubt *= 0.02 if more else 0.9
+        doubt *= 0.02 if more and forms else 0.5 if more else 0.9
     starts = [line.count(" ", 0, p) - 1 for p in (min(places) + 1, max(places) + 1)] if places else [None, None]
     score = 1 - doubt if labels or base or tagged else 0.0
-    return len(words), len(places), *starts, ",".join(sorted(base)), ",".join(sorted(labels | base)), score, notices, "; ".join(forms), None if level is None else OBLIGATIONS[level]
+    return len(words), len(places), *starts, ",".join(sorted(base)), ",".join(sorted(labels | base)), score, notices, "; ".join(forms), level
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

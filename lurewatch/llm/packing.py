@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 from lurewatch.llm.common import id_text, stored
 from lurewatch.llm.word_ids import word_ids
 
-MAX_TOKENS, MAX_PIECES, MAX_COST, END_ID = 4096, 1024, 4096 * 4096, 1
+MAX_TOKENS, MAX_PIECES, MAX_COST, END_ID = 4096, 4096, 4096 * 4096, 1
 WEIGHTS = (1.0, 0.01, 0.01)
 ORDER_ROWS = 20_000
 
@@ -77,7 +77,9 @@ def place_counts(counts: dict[int, int], caps: tuple[int, int, int] = (MAX_TOKEN
                 free, n, seq = room[best].copy(), int(many[best]), int(base[best])
             else:
                 best, free, n, seq = None, np.array(caps, np.int64), left, sequences
-            per = min(int((free // need).min()), left)
+            # equal pieces fill the tightest sequence one after the other; by the dot rule, which prefers room, an open one
+            # gets one piece and then others of its kind are preferred (a new one is the only choice until it is full)
+            per = min(int((free // need).min()), left) if best is None or rule == "norm" else 1
             bins = min(n, left // per)
             runs.append((length, first, per * bins, per, seq, int(caps[0] - free[0])))
             first, left = first + per * bins, left - per * bins

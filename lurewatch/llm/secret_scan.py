@@ -8,6 +8,9 @@ blank, and follows names assigned to names: with ``a = "x"`` and ``db_password =
 reaches times how much it looks like a secret (length, character kinds, entropy; placeholders score nothing); literals of
 at least ``MIN_SCORE`` become spans of kind ``literal``.
 
+Names are judged by their parts (``author``, ``tokenizer`` and ``max_tokens`` are not sensitive).  Triple quotes, back
+quotes and element texts hold literals too; in ``x + y`` and ``x or y`` every literal and every name counts, a call none.
+
 Offsets are code points of the whole text.  Edge cases: a null text is empty; no match gives counts of 0, the digest of
 the empty string and empty spans; names assigned in a circle end where the circle closes; repeated rows are scanned alike.
 """
@@ -32,16 +35,25 @@ HEX = re.compile(rb"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "literal")
 LEAST_VALUE, LEAST_ACCESS = 6, 20
 # Parts of names that make a target sensitive
-SENSITIVE = {b"password": 1.0, b"passwd": 1.0, b"passphrase": 1.0, b"pwd": 0.9, b"secret": 1.0, b"private_key": 1.0, b"api_key": 1.0, b"apikey": 1.0, b"access_key": 1.0,
-             b"token": 0.9, b"credential": 0.9, b"auth": 0.7, b"bearer": 0.9, b"signing_key": 1.0, b"encryption_key": 1.0, b"connection_string": 0.8, b"conn_str": 0.8}
-PLACEHOLDERS = (b"example", b"changeme", b"your", b"placeholder", b"xxxx", b"none", b"null", b"true", b"false", b"dummy", b"todo", b"****", b"<")
+# anywhere in a name, at the end of a part of it, or as whole parts
+ANYWHERE = {b"password": 1.0, b"passwd": 1.0, b"passphrase": 1.0, b"apikey": 1.0}
+AT_END = {b"pwd": 0.9, b"secret": 1.0, b"token": 0.9}
+WHOLE = {b"private_key": 1.0, b"api_key": 1.0, b"access_key": 1.0, b"credential": 0.9, b"credentials": 0.9, b"auth": 0.7, b"bearer": 0.9, b"signing_key": 1.0,
+         b"encryption_key": 1.0, b"connection_string": 0.8, b"conn_str": 0.8}
+# Literals that stand for another one, as a whole part; and marks of one
+PLACEHOLDERS = frozenset((b"example", b"changeme", b"your", b"placeholder", b"none", b"null", b"true", b"false", b"dummy", b"todo"))
+MARKS = (b"xxxx", b"****")
 MIN_SCORE = 0.45
 _WORDS = (b"pass", b"secret", b"token", b"key", b"pwd", b"credential", b"auth", b"bearer", b"conn")
 _HEX_RUN = bytes(120 if 48 <= b <= 57 or 97 <= b <= 102 else 32 for b in range(256))
 # a name and its separator; names start at a word's first letter and have no length limit, so each word is read once
 _TARGET = re.compile(rb"""(?<![A-Za-z0-9_.\-])[0-9.\-]*+(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*+)(?:["']\]?)?+[ \t]*+(?P<sep>:=|=>|=(?!=)|:(?![:=]))[ \t]*+""")
 _QUOTED = re.compile(
-    rb"""[bBrRuUfF]{0,2}(?P<value>"(?:[^"\\\n]|\\.)*+"(?:[ \t]*+\+[ \t]*+"(?:[^"\\\n]|\\.)*+")*+|'(?:[^'\\\n]|\\.)*+'(?:[ \t]*+\+[ \t]*+'(?:[^'\\\n]|\\.)*+')*+)""")
+    rb"""[bBrRuUfF]{0,2}(?P<value>\"{3}(?:[^"\\]|\\.|"(?!""))*+\"{3}|'{3}(?:[^'\\]|\\.|'(?!''))*+'{3}|`[^`\n]*+`|"(?:[^"\\\n]|\\.)*+"(?:[ \t]*+\+[ \t]*+"(?:[^"\\\n]|\\.)*+")*+|'(?:[^'\\\n]|\\.)*+'(?:[ \t]*+\+[ \t]*+'(?:[^'\\\n]|\\.)*+')*+)""", re.S)
+# what joins a value to a further one, a name or call that stands for one, and an element with its text
+_OP = re.compile(rb"[ \t]*+(?:\+|\|\||\?\?|or(?![A-Za-z0-9_]))[ \t]*+")
+_OPERAND = re.compile(rb"\$?[A-Za-z_][A-Za-z0-9_.]*+(?:\([^()\n]*+\)|\[[^\[\]\n]*+\])?+")
+_ELEMENT = re.compile(rb"<(?P<name>[A-Za-z_][A-Za-z0-9_.:\-]*+)(?:[ \t][^<>\n]*+)?>(?P<value>[^<>]++)</(?P=name)>")
 # an unquoted value goes to the next blank, or to a mark behind which a further pair starts
 _RUN = re.compile(rb"""(?:[^\x20\t\r\n\x0b\x0c;,&]|[;,&](?!["']?[A-Za-z_][A-Za-z0-9_.\-]*+["']?(?::=|=>|[:=])))++""")
 _ONE_TYPE = rb"(?:&(?:'[a-z]\w*+[ \t]++)?)?[A-Za-z_][A-Za-z0-9_.]*+(?:\[[^\[\]\n=]*+(?:\[[^\[\]\n=]*+\][^\[\]\n=]*+)*+\]|<[^<>\n=]*+>)?"
@@ -54,15 +66,17 @@ _JOIN = re.compile(rb"""["'][ \t]*\+[ \t]*["']""")
 
 
 def name_weight(name: bytes) -> float:
-    """How sensitive a target name is: camel case, dots and dashes are read as underscores."""
-    low = re.sub(rb"([a-z0-9])([A-Z])", rb"\1_\2", name).lower().replace(b"-", b"_").replace(b".", b"_")
-    return max((w for part, w in SENSITIVE.items() if part in low), default=0.0)
+    """How sensitive a target name is, by its parts: camel case, dots and dashes are read as underscores."""
+    low = b"_" + re.sub(rb"([a-z0-9])([A-Z])", rb"\1_\2", name).lower().replace(b"-", b"_").replace(b".", b"_") + b"_"
+    found = [w for part, w in ANYWHERE.items() if part in low] + [w for part, w in AT_END.items() if part + b"_" in low]
+    return max(found + [w for part, w in WHOLE.items() if b"_" + part + b"_" in low], default=0.0)
 
 
 def literal_weight(value: bytes) -> float:
     """How much a literal looks like a secret, 0 to 1."""
+    value = value.strip()
     low = value.lower()
-    if len(value) < 6 or b" " in value.strip() or any(p in low for p in PLACEHOLDERS) or len(set(value)) < 4:
+    if len(value) < 6 or b" " in value or len(set(value)) < 4 or low[:1] == b"<" or any(p in low for p in MARKS) or not PLACEHOLDERS.isdisjoint(re.split(rb"[^a-z0-9]+", low)):
         return 0.0
     counts = Counter(value)
     entropy = -sum(c / len(value) * math.log2(c / len(value)) for c in counts.values())
@@ -85,6 +99,27 @@ class _Run:
         return self.ends[closing]
 
 
+def _inside(text: bytes, q: re.Match) -> tuple[int, int]:
+    """Where a quoted value's text is, without its outer quotes."""
+    start, end = q.span("value")
+    n = 3 if end - start >= 6 and text[start : start + 3] in (b'"""', b"'''") else 1
+    return start + n, end - n
+
+
+def _chain(text: bytes, at: int) -> tuple[list[tuple[tuple[int, int], bool]], int]:
+    """Further operands of ``x + y`` and ``x or y`` from ``at`` on, as spans (quoted or not), and where they end."""
+    out: list[tuple[tuple[int, int], bool]] = []
+    while o := _OP.match(text, at):
+        if q := _QUOTED.match(text, o.end()):
+            out.append((_inside(text, q), True))
+        elif not (q := _OPERAND.match(text, o.end())):
+            break
+        else:
+            out.append((q.span(), False))
+        at = q.end()
+    return out, at
+
+
 def _pairs(text: bytes) -> list[tuple[bytes, tuple[int, int], bool]]:
     """Names with the spans of their values, in text order, and whether the value is quoted.
 
@@ -93,6 +128,8 @@ def _pairs(text: bytes) -> list[tuple[bytes, tuple[int, int], bool]]:
     the value of that assignment (``db_pwd: SecretStr = "x"``); so does a name in front of ``Bearer`` and the like.
     """
     out: list[tuple[bytes, tuple[int, int], bool]] = []
+    if b"</" in text:
+        out += [(m["name"], m.span("value"), True) for m in _ELEMENT.finditer(text) if name_weight(m["name"])]
     pos, types, run = 0, -1, _Run()
     while m := _TARGET.search(text, pos):
         pos, name, at = m.end("sep"), m["name"], m.end()
@@ -106,20 +143,29 @@ def _pairs(text: bytes) -> list[tuple[bytes, tuple[int, int], bool]]:
             if t["type"] in _TYPES:
                 types = t.start("type")
         if q := _QUOTED.match(text, at):
-            start, end = q.start("value") + 1, q.end("value") - 1
+            start, end = _inside(text, q)
             names = [name]
             if s := _SCHEME.match(text, start, end):
                 names.append(s["scheme"])
                 start = s.end()
             out += [(x, (start, end), True) for x in names]
+            more, stop = _chain(text, q.end())
+            out += [(x, *operand) for x in names for operand in more]
             # behind a simple type, that name's own pair comes next
             if after is None or not _NAME.match(after["type"]):
-                pos = q.end()
+                pos = stop
             continue
         names = [name]
         if s := _SCHEME.match(text, at):
             names.append(s["scheme"])
             at = s.end()
+        if (o := _OPERAND.match(text, at)) and (o.end() > at):
+            more, stop = _chain(text, o.end())
+            if more or (text[o.end() - 1 : o.end()] in (b")", b"]") and text[o.end() : o.end() + 1] in (b"", b"\n", b"\r", b";", b",", b" ", b")", b"}")):
+                # an expression: its names may be known, its calls are no literals
+                out += [(x, *operand) for x in names for operand in (((at, o.end()), False), *more) if operand[1] or _NAME.match(text, *operand[0])]
+                pos = max(pos, stop) if more else pos
+                continue
         if not run.start <= at < run.end:
             r = _RUN.match(text, at)
             if r is None or text[at : at + 1] in (b'"', b"'"):
@@ -180,7 +226,7 @@ def find_secrets(text: bytes) -> tuple[int, int, int, str, str, float]:
     if b"x" * 24 in text.translate(_HEX_RUN):
         spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     n = Counter(k for _, k, _ in spans)
-    more = lexed_literals(text) if (b"=" in text or b":" in text) and any(w in low for w in _WORDS) else []
+    more = lexed_literals(text) if (b"=" in text or b":" in text or b"</" in text) and any(w in low for w in _WORDS) else []
     ascii_only = text.isascii()
     at = (lambda i: i) if ascii_only else (lambda i: len(text[:i].decode("utf-8", "replace")))
     show = lambda some: ",".join(f"{KINDS[k]}:{at(i)}:{at(j)}" for i, k, j in sorted(some))

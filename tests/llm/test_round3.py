@@ -289,3 +289,71 @@ def test_line_dedup_of_a_text_of_common_lines(spark):
         assert got[2] == (39_999, 0, data[2][1])
         assert got[0] == (40_001, 39_998, "\n".join([*lines[:2], "own"])) and got[1][1] == 39_998
         assert time.time() - begun < 20
+
+
+def test_licence_identifiers_of_no_known_family():
+    from lurewatch.llm.license_scan import automaton, scan_text
+
+    def scan(t):
+        found = scan_text(t, automaton())
+        return found[5], found[8], found[9], found[6]
+
+    tag = b"SPDX-License-Identifier: "
+    assert scan(tag + b"0BSD")[:3] == ("bsd", "0BSD", "none") and scan(tag + b"Artistic-2.0")[:3] == ("artistic", "Artistic-2.0", "notice")
+    assert scan(tag + b"NOASSERTION")[:3] == ("", "NOASSERTION", "unknown")
+    assert scan(tag + b"Foo-1.0")[:3] == ("foo-1.0", "Foo-1.0", "unknown")
+    assert scan(tag + b"see the file")[:3] == ("", "", None)
+    assert scan(tag + b"Foo-1.0 OR MIT")[2] == "notice" and scan(tag + b"Foo-1.0 AND MIT")[2] == "unknown"
+    assert scan(tag + b"(MIT OR GPL-2.0-only")[2] is None and scan(tag + b"(MIT OR GPL-2.0-only")[3] < scan(tag + b"MIT OR GPL-2.0-only")[3]
+
+
+def slow_packing(counts, caps, rule, weights):
+    """One piece at a time, longest first, over all open sequences."""
+    bins, cap, w = [], np.array(caps, float), np.array(weights)
+    for length in sorted(counts, reverse=True):
+        need = np.array([length, 1, length * length])
+        for _ in range(counts[length]):
+            fits = [i for i, b in enumerate(bins) if (b >= need).all()]
+            if not fits:
+                bins.append(np.array(caps) - need)
+            elif rule == "norm":
+                bins[min(fits, key=lambda i: (w * ((bins[i] - need) / cap) ** 2).sum())] -= need
+            else:
+                bins[max(fits, key=lambda i: (w * (bins[i] / cap) * (need / cap)).sum())] -= need
+    return sorted(tuple(b.tolist()) for b in bins)
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_counts_are_placed_like_single_pieces(rule):
+    from lurewatch.llm.packing import place_counts
+
+    rng = random.Random(2)
+    for _ in range(150):
+        tokens = rng.randint(20, 60)
+        caps = (tokens, rng.randint(3, 12), rng.randint(tokens * tokens // 2, tokens * tokens))
+        most = int(caps[2] ** 0.5)
+        counts = {n: rng.randint(1, 9) for n in rng.sample(range(1, min(tokens, most) + 1), 6)}
+        weights = (1.0, 0.3, 0.5)
+        room = collections.defaultdict(lambda: np.array(caps))
+        for length, _, number, per, seq, _ in place_counts(counts, caps, rule, weights):
+            for t in range(number):
+                room[seq + t // per] = room[seq + t // per] - np.array([length, 1, length * length])
+        assert sorted(tuple(b.tolist()) for b in room.values()) == slow_packing(counts, caps, rule, weights)
+
+
+def test_secret_names_and_expressions():
+    from lurewatch.llm.secret_scan import find_secrets, lexed_literals, name_weight
+
+    hit = lambda s: [(s[i:j], name) for i, j, _, name in lexed_literals(s)]
+    x = b"Zx81kQ77pLm2"
+    for clean in (b'author = "JaneSmith1984"', b'tokenizer = "word_bpe_49k.json"', b"authority: JaneSmith1984", b"secretary: JaneSmith1984", b"max_tokens=Zx81kQ77pLm2"):
+        assert hit(clean) == [], clean
+    assert all(name_weight(n) for n in (b"dbPassword", b"clientSecret", b"client-secret", b"authtoken", b"AUTH", b"x.api.key", b"dbpwd", b"aws_access_key"))
+    assert hit(b'password = """' + x + b'"""') == [(x, b"password")] and hit(b"db_pwd = '''\n" + x + b"\n'''") == [(b"\n" + x + b"\n", b"db_pwd")]
+    assert hit(b"db_pwd = `" + x + b"`") == [(x, b"db_pwd")]
+    assert hit(b'seed = "' + x + b'"\npassword = "pre" + seed') == [(x, b"password")]
+    assert hit(b'a = "pre"\npassword = a + "' + x + b'"') == [(x, b"password")]
+    assert hit(b'password = os.getenv("X") or "' + x + b'"') == [(x, b"password")] and hit(b'password = os.getenv("DB_PWD_1x")') == []
+    assert hit(b"<password>" + x + b"</password>") == [(x, b"password")] and hit(b"<name>" + x + b"</name>") == []
+    assert hit(b'password = "trueNorth7x2"') == [(b"trueNorth7x2", b"password")] and hit(b'password = "example-key-12A"') == []
+    assert find_secrets(b"<secret>" + x + b"</secret>")[4] == "literal:8:20"
