@@ -185,7 +185,9 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["doc_id", "label", "bits"])
 
-    rows = id_text(docs, id_col, text_col).join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, bits binary").collect()
+    rows = id_text(docs, id_col, text_col).join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, bits binary")
+    # one row per labelled id, however often it is repeated
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("label", "bits")).alias("r")).select("doc_id", "r.*").collect()
     rows = sorted((tuple(r) for r in rows), key=lambda r: (r[0], bytes(r[2])))
     return fit_field([(np.frombuffer(bytes(b), np.uint16), y) for _, y, b in rows if len(b)])
 

@@ -427,5 +427,8 @@ def keep_first_of_groups(df: DataFrame, n: int = 5, pct: int = 80) -> DataFrame:
     repeated = judged.where("stays").drop("stays")
     if repeated.isEmpty():
         return out
-    again = rows.join(sized_broadcast(repeated, 500_000), same).groupBy("__llm_id", "__llm_row").agg(F.min(F.struct(*df.columns)).alias("r"))
+    again = rows.join(sized_broadcast(repeated, 500_000), same)
+    # the least row, by the columns that have an order (maps have none)
+    order = F.struct(*[F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()])
+    again = again.groupBy("__llm_id", "__llm_row").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), order).alias("r"))
     return out.unionByName(again.select("r.*"))

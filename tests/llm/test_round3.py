@@ -357,3 +357,30 @@ def test_secret_names_and_expressions():
     assert hit(b"<password>" + x + b"</password>") == [(x, b"password")] and hit(b"<name>" + x + b"</name>") == []
     assert hit(b'password = "trueNorth7x2"') == [(b"trueNorth7x2", b"password")] and hit(b'password = "example-key-12A"') == []
     assert find_secrets(b"<secret>" + x + b"</secret>")[4] == "literal:8:20"
+
+
+def test_repeated_rows_with_a_map_column(spark):
+    from lurewatch.llm.signature_join import keep_first_of_groups
+
+    text = " ".join(f"w{i}" for i in range(40))
+    data = [(1, text, {"k": 1}), (1, text, {"k": 1}), (2, text, None), (3, "other words stand here alone", {"k": 3})]
+    got = keep_first_of_groups(spark.createDataFrame(data, "doc_id long, text string, extra map<string,int>")).collect()
+    assert sorted((r.doc_id, str(r.extra)) for r in got) == [(1, "{'k': 1}"), (3, "{'k': 3}")]
+
+
+def test_repeated_labelled_rows_count_once(spark):
+    from lurewatch.llm.line_quality import fit_on_labels
+
+    texts = [(i, f"Some good line of prose number {i} is here.\n$$$ ### {i}" if i % 2 else f"### {i} $$$ |||\n>>> *** {i}") for i in range(20)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    once = fit_on_labels(spark.createDataFrame(texts, "doc_id long, text string"), labels)
+    often = fit_on_labels(spark.createDataFrame(texts + [texts[1]] * 50, "doc_id long, text string"), labels)
+    assert np.allclose(once, often)
+
+
+def test_pipeline_of_empty_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
