@@ -79,7 +79,7 @@ def test_mix_stage_keeps_on_where_a_source_has_only_blank_texts(spark):
     assert dict(cp.STAGES)["packing"](spark, out, SF).where("piece = 0").count() == out.count()
 
 
-NAMES = ["pipeline", *(f"op{n}_" for n in range(1, 11))]
+NAMES = ["pipeline", *(f"op{n}_" for n in range(1, 14))]
 
 
 def test_queries_are_registered():
