@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lurewatch import refdata
 from lurewatch.functions import text as X
-from lurewatch.operators.containment import containment_hits
+from lurewatch.operators.containment import any_contained, containment_hits, rule_hits
 from lurewatch.session import LITERAL_LIST_MAX, sized_broadcast
 
 
@@ -130,6 +130,20 @@ def pattern_columns(keywords=refdata.TABLE_KEYWORDS, regexes=refdata.TABLE_REGEX
     }
 
 
+def pattern_flags(parts: DataFrame, terms: DataFrame, rules: DataFrame, literal_max: int = LITERAL_LIST_MAX) -> DataFrame:
+    """The same flags from user tables of any size: ``terms`` (``family, term``; families keyword, typo, port, extension and
+    path) and ``rules`` (``rule_id, regex, weight``).  Repeated and NULL entries change nothing, an empty family gives 0."""
+    df = parts.select("url_id", F.lower("url").alias("u"), F.lower("netloc").alias("d"), F.lower("path").alias("p"))
+    of = lambda family: terms.where(F.col("family") == family).select("term")
+    df = any_contained(df, "url_id", "u", of("keyword"), "phishing_keyword_match", literal_max=literal_max)
+    found = rule_hits(df.select("u").distinct(), "u", "u", rules, literal_max).select("u").distinct().withColumn("suspicious_pattern_match", F.lit(1))
+    df = df.join(found, "u", "left").fillna(0, ["suspicious_pattern_match"])
+    df = any_contained(df, "url_id", "d", of("typo"), "typosquatting_detected", literal_max=literal_max)
+    df = any_contained(df, "url_id", "u", of("port").select(F.concat(F.lit(":"), "term").alias("term")), "suspicious_port", literal_max=literal_max)
+    df = any_contained(df, "url_id", "u", of("extension"), "suspicious_extension", at_end=True, literal_max=literal_max)
+    return any_contained(df, "url_id", "p", of("path"), "known_phishing_path", literal_max=literal_max).drop("u", "d", "p")
+
+
 def _impersonation_parts(brand: Column, legit: Column) -> tuple[Column, Column, Column]:
     d = F.lower("netloc")
     n = X.count_of(d, ".") + 1

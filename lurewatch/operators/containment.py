@@ -1,10 +1,11 @@
-"""Lexicon containment join: which terms occur in which texts.
+"""Matching many terms or regexes against texts, without comparing every text with every pattern.
 
-Two exact forms.  Up to ``LITERAL_LIST_MAX`` terms are tested as literals in
-one narrow pass.  A larger lexicon is joined by equality: every text emits its
-substrings of the lengths that occur in the lexicon, and these meet the terms
-in an ordinary (shuffled, skew-splittable) equi join.  Neither form compares
-every text with every term in one task, and no term is dropped.
+Two exact forms.  Up to ``LITERAL_LIST_MAX`` patterns are tested as literals in one narrow pass.  A larger table is indexed
+by *anchors*: every term is filed under the one of its three-character grams that the fewest terms of the table have (a
+shorter term under itself).  A text emits each of its grams once, whatever the lengths of the terms, meets the terms of
+that anchor in an ordinary (broadcast if counted small, else shuffled and skew-splittable) equi join, and ``contains``
+decides.  A regex is filed under the longest piece of text that all its matches must hold; the few without such a piece
+meet the texts in blocks.  No term, rule or text is dropped.
 """
 
 from __future__ import annotations
@@ -12,12 +13,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lurewatch.session import LITERAL_LIST_MAX, bounded_values, sized_broadcast
+from lurewatch.functions import text as X
+from lurewatch.session import LITERAL_LIST_MAX, bounded_values, materialize, sized_broadcast
+
+GRAM = 3
 
 
 def term_lengths(terms: DataFrame, term: str) -> list[int]:
     """The distinct term lengths (a handful of integers, whatever the number of terms)."""
-    return sorted(r[0] for r in terms.select(F.length(term).alias("n")).distinct().collect())
+    return sorted(r[0] for r in terms.select(F.length(term).alias("n")).where("n IS NOT NULL").distinct().collect())
 
 
 def substrings(s: Column, lengths: list[int]) -> Column:
@@ -27,23 +31,108 @@ def substrings(s: Column, lengths: list[int]) -> Column:
         return F.when(F.length(s) >= n, F.transform(starts, lambda i: F.substr(s, i, F.lit(n)))).otherwise(
             F.array().cast("array<string>"))
 
-    return F.array_distinct(F.concat(*[of(n) for n in lengths]))
+    return F.array_distinct(F.concat(F.array().cast("array<string>"), *[of(n) for n in lengths]))
+
+
+def anchors(terms: DataFrame, term: str) -> DataFrame:
+    """``term, _anchor``: each distinct term and its rarest gram within the table (ties to the smaller gram)."""
+    t = terms.select(term).where(F.col(term).isNotNull()).distinct()
+    grams = t.withColumn("_g", F.explode(F.when(F.length(term) >= GRAM, substrings(F.col(term), [GRAM])).otherwise(F.array(term))))
+    rarity = grams.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    return grams.join(rarity, "_g").groupBy(term).agg(F.min(F.struct("_n", "_g")).alias("_a")).select(term, F.col("_a._g").alias("_anchor"))
 
 
 def containment_hits(texts: DataFrame, text: str, terms: DataFrame, term: str,
                      literal_max: int = LITERAL_LIST_MAX) -> DataFrame:
-    """``texts`` x matching terms: all columns of ``texts`` plus ``term`` (inner)."""
+    """``texts`` x matching terms: all columns of ``texts`` plus ``term`` (inner).
+
+    Each row of ``texts`` meets each distinct term once; NULL texts and terms match nothing, an empty term matches every text.
+    """
     listed = bounded_values(terms, term, literal_max)
     if listed is not None:
-        hits = F.filter(F.array(*[F.lit(t) for t in listed]), lambda t: F.contains(F.col(text), t))
+        hits = F.filter(F.array(*[F.lit(t) for t in listed]).cast("array<string>"), lambda t: F.contains(F.col(text), t))
         return texts.withColumn(term, F.explode(hits))
-    keyed = texts.withColumn(term, F.explode(substrings(F.col(text), term_lengths(terms, term))))
-    return keyed.join(sized_broadcast(terms.select(term).distinct(), probe=terms), term)
+    lengths = term_lengths(terms.select(F.substr(F.col(term), F.lit(1), F.lit(GRAM)).alias(term)), term)
+    keyed = texts.withColumn("_anchor", F.explode(substrings(F.col(text), lengths)))
+    index = sized_broadcast(anchors(terms, term), probe=terms)  # one row per distinct term
+    return keyed.join(index, "_anchor").where(F.contains(F.col(text), F.col(term))).drop("_anchor")
 
 
-def containment_weights(texts: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
+def containment_weights(texts: DataFrame, key: str, text: str, lexicon: DataFrame, literal_max: int = LITERAL_LIST_MAX) -> DataFrame:
     """Per key: number, sum and maximum weight of the lexicon terms contained in the text."""
-    hits = containment_hits(texts.select(key, text), text, lexicon, "term")
+    hits = containment_hits(texts.select(key, text), text, lexicon, "term", literal_max)
     return (hits.join(sized_broadcast(lexicon.select("term", "weight")), "term")
             .groupBy(key).agg(F.count(F.lit(1)).alias("n_terms"), F.sum("weight").alias("sum_weight"),
                               F.max("weight").alias("max_weight")))
+
+
+def any_contained(df: DataFrame, key: str, text: str, terms: DataFrame, out: str, term: str = "term", at_end: bool = False,
+                  literal_max: int = LITERAL_LIST_MAX) -> DataFrame:
+    """Add the 0/1 column ``out``: whether any term is in ``text`` (with ``at_end``: ends it).  ``key`` must be unique."""
+    listed = bounded_values(terms, term, literal_max)
+    if listed is not None:
+        test = X.ends_with_any if at_end else X.any_of
+        return df.withColumn(out, X.flag(test(f"`{text}`", listed)) if listed else F.lit(0))
+    hits = containment_hits(df.select(key, text), text, terms, term, literal_max)
+    if at_end:
+        hits = hits.where(F.endswith(F.col(text), F.col(term)))
+    found = hits.select(key).distinct().withColumn(out, F.lit(1))
+    return df.join(found, key, "left").fillna(0, [out])
+
+
+# --- regex rules -------------------------------------------------------------
+
+_BREAK = "\x01"  # stands for everything that is no fixed text
+
+
+def required_text(regex: Column) -> Column:
+    """The longest text that every match of the regex must contain, or NULL where none is certain.
+
+    Works on the rule table, natively, and only ever errs by giving less: escapes, classes, groups, quantified and optional
+    characters break the text; alternatives outside groups, inline flags and rare escapes give NULL.
+    """
+    unclear = regex.rlike(r"\(\?(?!:)") | regex.rlike(r"\\[^dDwWsSbB0-9pP\W_]") | regex.rlike(r"\\0") | F.contains(regex, F.lit(_BREAK))
+    s = F.regexp_replace(regex, r"\\[pP]\{[^}]*\}|\\[pP].|\\.", _BREAK)
+    for _ in range(3):  # nested classes, then nested groups
+        s = F.regexp_replace(s, r"\[[^\[\]]*\]", _BREAK)
+    for _ in range(4):
+        s = F.regexp_replace(s, r"\([^()]*\)", _BREAK)
+    s = F.regexp_replace(s, r".(?:[?*]|\{[^}]*\})[+?]?", _BREAK)
+    unclear = unclear | s.rlike(r"[|()\[\]]")
+    s = F.regexp_replace(s, r"[+.^$?*{}]", _BREAK)
+    pieces = F.filter(F.split(s, _BREAK), lambda p: p != "")
+    longest = F.array_max(F.transform(pieces, lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"]
+    return F.when(unclear, F.lit(None).cast("string")).otherwise(longest)
+
+
+def rule_hits(texts: DataFrame, key: str, text: str, rules: DataFrame, literal_max: int = LITERAL_LIST_MAX, block: int = 64) -> DataFrame:
+    """``key, rule_id, weight`` of every rule whose ``regex`` occurs in the text.
+
+    ``rules``: ``rule_id, regex, weight``, one row per rule (repeated rows count once); rules and texts that are NULL match
+    nothing; a regex that Java cannot compile fails the job.
+    """
+    rules = rules.select("rule_id", "regex", F.col("weight").cast("int").alias("weight")).where("rule_id IS NOT NULL AND regex IS NOT NULL").distinct()
+    texts = texts.select(key, text)
+    t = F.col(text)
+    rows = rules.limit(literal_max + 1).collect()
+    if len(rows) <= literal_max:
+        tests = [F.when(t.rlike(r.regex), F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.weight).cast("int").alias("weight"))) for r in rows]
+        none = F.array().cast("array<struct<rule_id:string,weight:int>>")
+        return texts.select(key, F.explode(F.filter(F.concat(none, F.array(*tests)) if tests else none, lambda x: x.isNotNull())).alias("r")).select(key, "r.*")
+    rules = materialize(rules.withColumn("_must", required_text(F.col("regex"))))  # read by both ways below
+    anchored, free = rules.where(F.length("_must") >= GRAM), rules.where("_must IS NULL OR length(_must) < 3")
+    near = containment_hits(texts, text, anchored, "_must", literal_max=0).join(sized_broadcast(anchored), "_must")
+    near = near.where(F.rlike(F.col(text), F.col("regex"))).select(key, "rule_id", "weight")
+    n_blocks = max(1, -(-free.count() // block))
+    number = F.pmod(F.xxhash64("rule_id", "regex"), F.lit(n_blocks)).cast("int")
+    blocks = free.groupBy(number.alias("_block")).agg(F.collect_list(F.struct("rule_id", "weight", "regex")).alias("_rules"))
+    met = texts.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(sized_broadcast(blocks), "_block")
+    far = met.select(key, F.explode(F.filter("_rules", lambda r: F.rlike(t, r["regex"]))).alias("r")).select(key, "r.rule_id", "r.weight")
+    return near.unionByName(far)
+
+
+def rule_points(texts: DataFrame, key: str, text: str, rules: DataFrame, literal_max: int = LITERAL_LIST_MAX) -> DataFrame:
+    """Per key with a matching rule: ``n_rules, rule_points, rule_ids`` (ids in ascending order)."""
+    return rule_hits(texts, key, text, rules, literal_max).groupBy(key).agg(
+        F.count(F.lit(1)).cast("int").alias("n_rules"), F.coalesce(F.sum("weight"), F.lit(0)).cast("int").alias("rule_points"),
+        F.sort_array(F.collect_list("rule_id")).alias("rule_ids"))

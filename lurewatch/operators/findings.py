@@ -16,7 +16,7 @@ from lurewatch.functions import text as X
 from lurewatch.functions.urlparts import IPV4_RE
 from lurewatch.operators.brands import brand_keys, label_keys, unprotected_labels
 from lurewatch.operators.containment import containment_hits
-from lurewatch.session import bounded_values, settle, sized_broadcast
+from lurewatch.session import bounded_values, settle, sized_broadcast, spread_left_join
 
 # Typo technique -> (score, attack type)
 TYPOS = {
@@ -28,15 +28,23 @@ TYPOS = {
 SEVERITY_RANK = {"CRITICAL": 4, "HIGH": 3, "MEDIUM": 2, "LOW": 1}
 
 
-def typo_labels(labels: DataFrame, brands: DataFrame) -> DataFrame:
-    """Best typo explanation per label: ``label, typo_brand, typo_score, typo_type``."""
+def typo_labels(labels: DataFrame, brands: DataFrame, keyboard: DataFrame | None = None) -> DataFrame:
+    """Best typo explanation per label: ``label, typo_brand, typo_score, typo_type``.
+
+    ``keyboard`` (``key, neighbour``) replaces the listed neighbouring keys.
+    """
     keys = brand_keys(brands).where(F.col("technique").isin("omission", "transposition", "insertion", "substitution"))
     probe = label_keys(unprotected_labels(labels, brands), brands).where(F.col("kt").isin("S", "D", "W"))
     hits = probe.join(sized_broadcast(keys), ["kt", "key"]).where(F.col("label") != F.col("brand"))
     at = F.substring_index("key", ":", 1).try_cast("int")
     mine, theirs = F.substr(F.col("label"), at, F.lit(1)), F.substr(F.col("brand"), at, F.lit(1))
     pair = F.concat(theirs, mine)
-    near = pair.isin([k + n for k, ns in refdata.KEYBOARD.items() for n in ns])
+    if keyboard is not None:
+        pairs = keyboard.select(F.concat("key", "neighbour").alias("_pair")).where("_pair IS NOT NULL").distinct()
+        hits = hits.withColumn("_pair", pair).join(sized_broadcast(pairs.withColumn("_near", F.lit(True)), probe=keyboard), "_pair", "left")
+        near = F.coalesce("_near", F.lit(False))
+    else:
+        near = pair.isin([k + n for k, ns in refdata.KEYBOARD.items() for n in ns])
     looks = pair.isin([p for v in refdata.VISUAL_PAIRS for p in (v, v[::-1])])
     flip = ((F.bit_count(F.ascii(mine).bitwiseXOR(F.ascii(theirs))) == 1) & mine.rlike(r"^[\p{L}\p{N}]$")
             & theirs.rlike(r"^[\p{L}\p{N}]$"))
@@ -63,10 +71,10 @@ def attach_brand(df: DataFrame, out: str, brands: DataFrame, texts: list[str], c
         return df.withColumn(out, F.expr(f"get(filter(array({names}), b -> {condition}), 0)"))
     hits = containment_hits(df.select(*texts).distinct(), inside, brands.select(F.col("brand").alias("b")), "b").where(condition)
     best = hits.groupBy(*texts).agg(F.min_by("b", F.struct(-F.length("b"), "b")).alias(out))
-    return df.join(best, texts, "left")
+    return spread_left_join(df, best, texts, "url_id" if "url_id" in df.columns else texts[0])
 
 
-def attack_columns(parts: DataFrame, brands: DataFrame) -> DataFrame:
+def attack_columns(parts: DataFrame, brands: DataFrame, keyboard: DataFrame | None = None) -> DataFrame:
     """URL parts plus everything the checks need: clean host, first label, targets per check."""
     src, dst = (X.sql_text("".join(r[i] for r in refdata.confusables())) for i in (0, 1))
     base = parts.select("url_id", "url", "registered_domain", F.lower("netloc").alias("dom"), F.lower("path").alias("pa"))
@@ -90,8 +98,8 @@ def attack_columns(parts: DataFrame, brands: DataFrame) -> DataFrame:
                         "main IN (concat(b, 'com'), concat(b, 'net'), concat(b, 'org'), concat(b, 'co'))", "main")
     base = attach_brand(base, "stem_brand", brands, ["stem"], "contains(stem, b)", "stem")
     base = attach_brand(base, "path_brand", brands, ["pa", "clean"], "contains(pa, b) AND NOT contains(clean, b)", "pa")
-    typos = typo_labels(base.select(F.col("main").alias("label")).where("label <> ''").distinct(), brands)
-    return base.join(typos.withColumnRenamed("label", "main"), "main", "left")
+    typos = typo_labels(base.select(F.col("main").alias("label")).where("label <> ''").distinct(), brands, keyboard)
+    return spread_left_join(base, typos.withColumnRenamed("label", "main"), ["main"], "url_id")
 
 
 def _finding(no: int, cond: Column, category: str, kind, severity, conf, brand: Column | None = None) -> Column:
@@ -102,10 +110,23 @@ def _finding(no: int, cond: Column, category: str, kind, severity, conf, brand:
         (F.lit(None).cast("string") if brand is None else brand).alias("brand")))
 
 
-def findings_array(parts: DataFrame, brands: DataFrame, min_len: int = 4, decoded: DataFrame | None = None) -> DataFrame:
-    """``url_id, findings``: the ordered findings of each URL (possibly empty)."""
-    usable = brands.select("brand").where(F.length("brand") >= min_len).distinct()
-    df = attack_columns(parts, usable)
+def findings_array(parts: DataFrame, brands: DataFrame, min_len: int = 4, decoded: DataFrame | None = None, keyboard: DataFrame | None = None,
+                   tlds: DataFrame | None = None, shorteners: DataFrame | None = None) -> DataFrame:
+    """``url_id, findings``: the ordered findings of each URL (possibly empty).
+
+    A brand shorter than its own ``min_len`` (where the table has the column, else than ``min_len``) never matches.  User
+    tables replace the lists: ``keyboard`` (``key, neighbour``), ``tlds`` (``tld, is_finding``), ``shorteners`` (``host``).
+    """
+    least = F.coalesce("min_len", F.lit(min_len)) if "min_len" in brands.columns else F.lit(min_len)
+    usable = brands.where(F.length("brand") >= least).select("brand").distinct()
+    df = attack_columns(parts, usable, keyboard)
+    bad_tld, short = F.col("last").isin(refdata.FINDING_TLDS), F.replace("clean", F.lit("www."), F.lit("")).isin(refdata.FINDING_SHORTENERS)
+    if tlds is not None:
+        bad = sized_broadcast(tlds.where("is_finding").select(F.col("tld").alias("last")).distinct().withColumn("_bad", F.lit(True)), probe=tlds)
+        df, bad_tld = df.join(bad, "last", "left"), F.coalesce("_bad", F.lit(False))
+    if shorteners is not None:
+        listed = sized_broadcast(shorteners.select(F.col("host").alias("_host")).distinct().withColumn("_short", F.lit(True)), probe=shorteners)
+        df, short = df.withColumn("_host", F.replace("clean", F.lit("www."), F.lit(""))).join(listed, "_host", "left"), F.coalesce("_short", F.lit(False))
     if decoded is not None:  # decoded international labels: brand named by the decoded text
         names = attach_brand(decoded.select("label", F.lower("decoded").alias("text")), "puny_brand", usable, ["text"],
                              "contains(text, b)", "text")
@@ -123,7 +144,7 @@ def findings_array(parts: DataFrame, brands: DataFrame, min_len: int = 4, decode
     checks = [
         _finding(1, dom.rlike(r"[^\x00-\x7f]") & F.col("odd_label"), "HOMOGRAPH_ATTACK", script, "CRITICAL", 0.98, F.col("fold_brand")),
         _finding(2, F.contains(dom, F.lit("xn--")), "HOMOGRAPH_ATTACK", "PUNYCODE_ATTACK", "CRITICAL", 0.95, F.col("puny_brand")),
-        _finding(3, F.replace(clean, F.lit("www."), F.lit("")).isin(refdata.FINDING_SHORTENERS), "URL_STRUCTURE_ABUSE",
+        _finding(3, short, "URL_STRUCTURE_ABUSE",
                  "URL_SHORTENER_ABUSE", "HIGH", 0.95),
         _finding(4, F.col("typo_brand").isNotNull(), "DOMAIN_MANIPULATION", F.col("typo_type"),
                  F.when(F.col("typo_score") >= 0.95, "CRITICAL").otherwise("HIGH"), F.col("typo_score"), F.col("typo_brand")),
@@ -136,7 +157,7 @@ def findings_array(parts: DataFrame, brands: DataFrame, min_len: int = 4, decode
                  F.when(double, "CRITICAL").otherwise("HIGH"), 0.88),
         _finding(10, url.rlike("[​‌‍⁠﻿]"), "VISUAL_DECEPTION", "ZERO_WIDTH_CHARS", "CRITICAL", 0.95),
         _finding(11, F.contains(url, F.lit("‮")), "VISUAL_DECEPTION", "RTLO_ATTACK", "CRITICAL", 0.99),
-        _finding(12, F.col("last").isin(refdata.FINDING_TLDS) & F.col("stem_brand").isNotNull(), "BRAND_EXPLOITATION",
+        _finding(12, bad_tld & F.col("stem_brand").isNotNull(), "BRAND_EXPLOITATION",
                  "BRAND_TLD_SWAP", "HIGH", 0.85, F.col("stem_brand")),
         _finding(13, F.col("path_brand").isNotNull(), "URL_STRUCTURE_ABUSE", "PATH_MANIPULATION", "MEDIUM", 0.80, F.col("path_brand")),
     ]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lurewatch import refdata
 from lurewatch.functions import text as X
 from lurewatch.functions.urlparts import IPV4_RE
-from lurewatch.operators.containment import containment_weights
+from lurewatch.operators.containment import containment_weights, rule_points
 from lurewatch.session import LITERAL_LIST_MAX, settle, sized_broadcast
 
 
@@ -73,19 +73,34 @@ def garbage_terms(name: Column) -> list[tuple[Column, int, str]]:
     ]
 
 
-def garbage_score(parts: DataFrame) -> DataFrame:
-    """TLD validity and the garbage score of the domain label: ``tld_valid, tld_category, garbage_score, is_garbage``."""
+def with_tld(df: DataFrame, tld: Column, tlds: DataFrame, columns: list[str]) -> DataFrame:
+    """Add ``columns`` of the user's TLD table (one row per TLD counts), NULL where it does not list the TLD."""
+    rows = tlds.groupBy("tld").agg(*[F.max(c).alias(f"_{c}") for c in columns]).withColumnRenamed("tld", "_tld")
+    return df.withColumn("_key", tld).join(sized_broadcast(rows, probe=tlds), F.col("_key") == F.col("_tld"), "left").drop("_key", "_tld")
+
+
+def garbage_score(parts: DataFrame, tlds: DataFrame | None = None) -> DataFrame:
+    """TLD validity and the garbage score of the domain label: ``tld_valid, tld_category, garbage_score, is_garbage``.
+
+    ``tlds`` (``tld, category, is_valid``) replaces the listed TLDs.
+    """
     terms = garbage_terms(F.col("domain_label"))
     tld = F.lower("tld")
     category = F.when(F.col("is_ip"), F.lit("ip")).when(tld == "", F.lit("none"))
-    for name, tlds in refdata.TLD_CATEGORIES.items():
-        category = category.when(tld.isin(tlds), F.lit(name))
-    category = category.when(tld.isin(refdata.VALID_TLDS), F.lit("valid")).otherwise(F.lit("unknown"))
+    if tlds is not None:
+        known = F.coalesce(F.col("_is_valid"), F.lit(False))
+        category = category.otherwise(F.coalesce("_category", F.lit("unknown")))
+        parts = with_tld(parts, tld, tlds, ["category", "is_valid"])
+    else:
+        known = tld.isin(refdata.VALID_TLDS)
+        for name, listed in refdata.TLD_CATEGORIES.items():
+            category = category.when(tld.isin(listed), F.lit(name))
+        category = category.when(known, F.lit("valid")).otherwise(F.lit("unknown"))
     score = F.when(F.col("domain_label") == "", F.lit(100)).otherwise(points(*[(c, w) for c, w, _ in terms]))
     reasons = F.when(F.col("domain_label") == "", F.array(F.lit("empty_domain"))).otherwise(codes(*[(c, r) for c, _, r in terms]))
     return parts.select(
-        "*", (F.col("is_ip") | tld.isin(refdata.VALID_TLDS)).alias("tld_valid"), category.alias("tld_category"),
-        score.alias("garbage_score"), reasons.alias("garbage_reasons")).withColumn("is_garbage", F.col("garbage_score") >= 50)
+        "*", (F.col("is_ip") | known).alias("tld_valid"), category.alias("tld_category"),
+        score.alias("garbage_score"), reasons.alias("garbage_reasons")).withColumn("is_garbage", F.col("garbage_score") >= 50).drop("_category", "_is_valid")
 
 
 # --- pattern score ----------------------------------------------------------
@@ -102,17 +117,30 @@ def with_keywords(base: DataFrame, lexicon: DataFrame | None, default: list[tupl
         whole = lexicon.groupBy("term").agg(F.max(F.round(F.col("weight") * scale).cast("int")).alias("weight"))
         rows = whole.limit(literal_max + 1).collect()
         if len(rows) > literal_max:
-            hits = containment_weights(base, "url_id", "u", whole).select(
+            hits = containment_weights(base, "url_id", "u", whole, literal_max).select(
                 "url_id", F.col("n_terms").cast("int").alias("n_kw"), F.col("sum_weight").cast("int").alias("kw"), F.col("max_weight").cast("int").alias("kw_max"))
             return base.join(hits, "url_id", "left").fillna(0, ["n_kw", "kw", "kw_max"])
         pairs = sorted((r.term, r.weight) for r in rows)
     return base.withColumns({"n_kw": X.hits_of("u", [t for t, _ in pairs]), "kw": X.weight_of("u", pairs), "kw_max": X.max_weight_of("u", [*pairs, ("", 0), ("", 0)])})
 
 
-def pattern_score(parts: DataFrame, lexicon: DataFrame | None = None, literal_max: int = LITERAL_LIST_MAX, keep: tuple[str, ...] = ()) -> DataFrame:
+def with_rules(base: DataFrame, rules: DataFrame, literal_max: int = LITERAL_LIST_MAX) -> DataFrame:
+    """Add ``n_rules, rule_points, rule_ids`` of the user's regexes (``rule_id, regex, weight``) that occur in ``u``.
+
+    Each distinct text is matched once and meets the rows again by its text.
+    """
+    found = rule_points(base.select("u").distinct(), "u", "u", rules, literal_max)
+    none = F.array().cast("array<string>")
+    return base.join(found, "u", "left").withColumns({
+        "n_rules": F.coalesce("n_rules", F.lit(0)), "rule_points": F.coalesce("rule_points", F.lit(0)), "rule_ids": F.coalesce("rule_ids", none)})
+
+
+def pattern_score(parts: DataFrame, lexicon: DataFrame | None = None, literal_max: int = LITERAL_LIST_MAX, keep: tuple[str, ...] = (),
+                  rules: DataFrame | None = None) -> DataFrame:
     """Ten additive rule groups, capped at 100, with bands 10/15/30/50 and ordered reason codes.
 
-    ``lexicon`` (``term, weight``) replaces the default keywords; the columns ``keep`` of ``parts`` come along.
+    ``lexicon`` (``term, weight``) replaces the default keywords, ``rules`` (``rule_id, regex, weight``) the default regexes on
+    the lower-cased URL (their ids are reason codes, in ascending order); the columns ``keep`` of ``parts`` come along.
     """
     base = parts.select("url_id", "url", "scheme", F.lower("netloc").alias("d"), F.lower("path").alias("p"),
                         F.lower("url").alias("u"), *keep)
@@ -125,7 +153,10 @@ def pattern_score(parts: DataFrame, lexicon: DataFrame | None = None, literal_ma
         "sub": F.expr("CASE WHEN length(d) - length(replace(d, '.', '')) >= 2 THEN left(d, length(d) - length(substring_index(d, '.', -2)) - 1) ELSE '' END"),
     })
     base = with_keywords(base, lexicon, refdata.PATTERN_KEYWORDS, literal_max=literal_max)
-    base = settle(base, ["d", "p", "u", "first", "n_lab", "hyphens", "brand", "n_kw", "kw", "tld_risk", "sub"])
+    own_rules = ["rule_points", "rule_ids"] if rules is not None else []
+    if rules is not None:
+        base = with_rules(base, rules, literal_max).drop("n_rules")
+    base = settle(base, ["d", "p", "u", "first", "n_lab", "hyphens", "brand", "n_kw", "kw", "tld_risk", "sub", *own_rules])
     first, brand, n_lab, hyphens, sub = (F.col(c) for c in ("first", "brand", "n_lab", "hyphens", "sub"))
     has_brand = brand.isNotNull()
     own = (d == F.concat(brand, F.lit(".com"))) | (d == F.concat(F.lit("www."), brand, F.lit(".com")))
@@ -143,7 +174,7 @@ def pattern_score(parts: DataFrame, lexicon: DataFrame | None = None, literal_ma
     shortener = X.any_of("d", refdata.PATTERN_SHORTENERS)
     real_path = ~p.isin("", "/")
     path_word = real_path & X.any_of("p", refdata.PATTERN_PATH_WORDS)
-    rx = [(r, u.rlike(pattern), w) for r, pattern, w in refdata.PATTERN_REGEXES]
+    rx = [] if own_rules else [(r, u.rlike(pattern), w) for r, pattern, w in refdata.PATTERN_REGEXES]
     auth = has_brand & X.any_of("u", refdata.PATTERN_AUTH_WORDS) & in_first
     bad_combo = has_brand & (F.col("n_kw") >= 2) & (F.col("tld_risk") >= 3)
     urgent = X.any_of("u", refdata.PATTERN_URGENCY_WORDS) & X.any_of("u", refdata.PATTERN_SENSITIVE_WORDS)
@@ -157,15 +188,20 @@ def pattern_score(parts: DataFrame, lexicon: DataFrame | None = None, literal_ma
                       (sub_word & ~has_brand, 8), ((sub != "") & (n_lab > 4), 10), (numeric_sub, 5), (shortener, 8),
                       (executable, 20), (encoded, 10), (long_path, 8), (path_word & has_brand, 12),
                       (path_word & ~has_brand, 5), (dots, 15), (random, 6), (bad_combo, 30), (auth, 25), (urgent, 20)))
-    reasons = codes(
+    first_reasons = (
         (brand_risk > 0, "brand_context"), (F.col("n_kw") >= 3, "many_keywords"),
         (F.col("n_kw").isin(1, 2), "keywords"), (n_lab > 3, "many_subdomains"), (hyphens >= 3, "many_hyphens"),
         (F.length(first) > 30, "long_label"), (mixed, "digit_letter_mix"), (F.col("tld_risk") > 0, "bad_tld"),
-        *[(c, r) for r, c, _ in rx], (http & sensitive_http, "sensitive_http"), (http & ~sensitive_http, "plain_http"),
+        *[(c, r) for r, c, _ in rx])
+    last_reasons = ((http & sensitive_http, "sensitive_http"), (http & ~sensitive_http, "plain_http"),
         (sub_word, "subdomain_word"), ((sub != "") & (n_lab > 4), "deep_subdomain"), (numeric_sub, "numeric_subdomain"),
         (shortener, "shortener"), (executable, "executable_path"), (encoded, "encoded_path"), (long_path, "long_path"),
         (path_word & has_brand, "sensitive_path"), (dots, "many_extensions"), (random, "random_path"),
         (bad_combo, "brand_keywords_bad_tld"), (auth, "brand_auth"), (urgent, "urgency_and_sensitive"))
+    reasons = codes(*first_reasons, *last_reasons)
+    if own_rules:
+        score = score + F.col("rule_points")
+        reasons = F.concat(codes(*first_reasons), "rule_ids", codes(*last_reasons))
     raw = base.select("url_id", brand.alias("brand"), F.col("n_kw").alias("n_keywords"), score.alias("raw_score"),
                       reasons.alias("all_reasons"), *keep)
     raw = settle(raw, ["n_keywords", "raw_score", "all_reasons"])
@@ -198,20 +234,29 @@ def signature_brand(d: str = "d") -> Column:
 
 
 def signature_score(parts: DataFrame, known_bad: DataFrame | None = None, lexicon: DataFrame | None = None, literal_max: int = LITERAL_LIST_MAX,
-                    keep: tuple[str, ...] = ()) -> DataFrame:
+                    keep: tuple[str, ...] = (), rules: DataFrame | None = None, substrings: DataFrame | None = None) -> DataFrame:
     """Signature tables: 30 per regex, 40 per bad substring, TLD, brand, keywords, structure; known hash -> 100.
 
     The keyword part is computed in hundredths (integer arithmetic), so its
-    truncation does not depend on floating-point order.  ``lexicon`` (``term, weight``) replaces the default keywords; the
-    columns ``keep`` of ``parts`` come along.
+    truncation does not depend on floating-point order.  ``lexicon`` (``term, weight``) replaces the default keywords,
+    ``rules`` (``rule_id, regex, weight``) the regexes with points of their own, ``substrings`` (``term``) the bad substrings;
+    the columns ``keep`` of ``parts`` come along.
     """
     base = parts.select("url_id", "url", F.lower("netloc").alias("d"), F.lower("path").alias("p"), F.lower("url").alias("u"), *keep)
     d, p, u = F.col("d"), F.col("p"), F.col("u")
-    base = base.withColumns({
-        "n_rules": reduce(lambda a, b: a + b, [X.flag(u.rlike(r)) for _, r in refdata.SIGNATURE_REGEXES]),
-        "n_substrings": X.hits_of("u", refdata.SIGNATURE_SUBSTRINGS), "brand": signature_brand("d")})
+    if rules is not None:
+        base = with_rules(base, rules, literal_max).drop("rule_ids")
+    else:
+        base = base.withColumn("n_rules", reduce(lambda a, b: a + b, [X.flag(u.rlike(r)) for _, r in refdata.SIGNATURE_REGEXES]))
+    if substrings is not None:
+        base = with_keywords(base, substrings.select("term", F.lit(1).alias("weight")), [], literal_max=literal_max)
+        base = base.withColumnRenamed("n_kw", "n_substrings").drop("kw", "kw_max")
+    else:
+        base = base.withColumn("n_substrings", X.hits_of("u", refdata.SIGNATURE_SUBSTRINGS))
+    base = base.withColumn("brand", signature_brand("d"))
     base = with_keywords(base, lexicon, refdata.SIGNATURE_KEYWORDS, 100, literal_max).withColumnRenamed("kw", "kw_sum").drop("n_kw")
-    base = settle(base, ["d", "p", "u", "n_rules", "n_substrings", "brand", "kw_sum", "kw_max"])
+    base = settle(base, ["d", "p", "u", "n_rules", "n_substrings", "brand", "kw_sum", "kw_max", *(["rule_points"] if rules is not None else [])])
+    rule_score = F.col("rule_points") if rules is not None else F.col("n_rules") * 30
     kw = F.floor(F.least(F.lit(10000), F.col("kw_sum") * 30 + F.col("kw_max") * 70) * 20 / 10000).cast("int")
     structure = points(
         (d.rlike(r"^[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"), 25), (F.contains(u, F.lit("@")), 30),
@@ -222,7 +267,7 @@ def signature_score(parts: DataFrame, known_bad: DataFrame | None = None, lexico
     bad_tld = F.contains(d, F.lit(".")) & F.substring_index(d, ".", -1).isin(refdata.SIGNATURE_TLDS)
     scored = base.select("url_id", "url", "n_rules", "n_substrings", "brand", *keep, kw.alias("keyword_points"),
                          structure.alias("structure_points"),
-                         (F.col("n_rules") * 30 + F.col("n_substrings") * 40 + points((bad_tld, 15), (F.col("brand").isNotNull(), 35))
+                         (rule_score + F.col("n_substrings") * 40 + points((bad_tld, 15), (F.col("brand").isNotNull(), 35))
                           + kw + structure).alias("score"))
     scored = settle(scored, ["keyword_points", "structure_points", "score"])
     if known_bad is not None:
@@ -249,8 +294,15 @@ def indicator_points() -> Column:
     return points(*[(c, w) for c, w, _ in _indicator_terms()])
 
 
-def threat_indicators(parts: DataFrame) -> DataFrame:
-    """No HTTPS +20, IP host +15, abused TLD +10, more than 100 characters +5."""
+def threat_indicators(parts: DataFrame, tlds: DataFrame | None = None) -> DataFrame:
+    """No HTTPS +20, IP host +15, abused TLD +10, more than 100 characters +5.
+
+    ``tlds`` (``tld, is_indicator``; single labels) replaces the abused TLDs.
+    """
+    if tlds is not None:
+        parts = with_tld(parts, F.when(F.contains("netloc", F.lit(".")), F.substring_index("netloc", ".", -1)), tlds, ["is_indicator"])
+        terms = [(F.coalesce("_is_indicator", F.lit(False)) if r == "suspicious_tld" else c, w, r) for c, w, r in _indicator_terms()]
+        return parts.select("url_id", points(*[(c, w) for c, w, _ in terms]).alias("risk_score"), codes(*[(c, r) for c, _, r in terms]).alias("indicators"))
     return parts.select("url_id", indicator_points().alias("risk_score"), codes(*[(c, r) for c, _, r in _indicator_terms()]).alias("indicators"))
 
 

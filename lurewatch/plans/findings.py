@@ -13,6 +13,7 @@ from lurewatch.operators.parts import url_parts
 from lurewatch.plans import fixtures as fx
 from lurewatch.plans.features import corpus_parts
 from lurewatch.plans.registry import query
+from lurewatch.plans.rules import user_tlds
 
 
 def repaired_parts(spark, sf):
@@ -35,6 +36,22 @@ def _classified(spark, sf):
     return A.classify_urls(repaired_parts(spark, sf), fx.brands(spark, sf))
 
 
+def user_tables(spark, sf):
+    """A keyboard on which the next letters are neighbours, other TLDs and shorteners, and a least length per brand."""
+    keys = spark.range(25).select(F.char(F.col("id") + 97).alias("key"), F.char(F.col("id") + 98).alias("neighbour"))
+    keyboard = keys.unionByName(keys.select(F.col("neighbour").alias("key"), F.col("key").alias("neighbour")))
+    hosts = fx.brands(spark, sf).where(F.length("brand") % 4 == 0).select(F.concat("brand", F.lit(".com")).alias("host"))
+    brands = fx.brands(spark, sf).withColumn("min_len", F.when(F.ascii("brand") % 2 == 0, 8).otherwise(5))
+    return brands, {"keyboard": keyboard, "tlds": user_tlds(spark, sf), "shorteners": hosts}
+
+
+@query("attack_findings_user_tables")
+def _findings_user(spark, sf):
+    """The checks with a user's keyboard, TLDs, shorteners and least brand lengths."""
+    brands, tables = user_tables(spark, sf)
+    return A.attack_findings(repaired_parts(spark, sf), brands, **tables)
+
+
 @query("punycode_findings")
 def _puny(spark, sf):
     parts = repaired_parts(spark, sf)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lurewatch import refdata
+from lurewatch.operators import base_features as B
 from lurewatch.operators import corpus as C
 from lurewatch.operators import rules as R
 from lurewatch.operators import ultra_features as U
@@ -68,6 +69,76 @@ def _signature_user(spark, sf):
     return R.signature_score(corpus_parts(spark, sf), lexicon=lex)
 
 
+# a user's rules, one per word and shape: anchored host, word and digits, word or another, word and suffix, any order
+USER_RULES_SQL = """
+SELECT 'r_' || w || '_' || CAST(s AS STRING) AS rule_id, CAST(length(w) % 4 + s + 1 AS INT) AS weight,
+ CASE s WHEN 0 THEN '^https?://[^/]*' || w WHEN 1 THEN w || '[a-z][a-z]+[.](com|tk)/' WHEN 2 THEN '(' || w || '|zz)[0-9]' WHEN 3 THEN w || '(-login)?[.]com/p' ELSE '[.-]' || w || '|' || w || '-' END AS regex
+FROM (SELECT DISTINCT w FROM (SELECT {first} AS w FROM {part} UNION ALL SELECT {second} AS w FROM {part}) x) y
+CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS t(s)
+"""
+
+
+def user_rules(spark, sf):
+    sql = USER_RULES_SQL.replace("{first}", "split_part(lower(p_name), ' ', 1)").replace("{second}", "split_part(lower(p_name), ' ', 2)")
+    return spark.sql(sql, part=fx.table(spark, sf, "part"))
+
+
+@query("pattern_score_user_rules")
+def _pattern_rules(spark, sf):
+    """Pattern score with a user's regex table, as literals."""
+    return joined(R.pattern_score(corpus_parts(spark, sf), rules=user_rules(spark, sf)), "reasons")
+
+
+@query("pattern_score_indexed_rules")
+def _pattern_indexed(spark, sf):
+    """The same as for a table beyond the literal bound: regexes by required text, the others in blocks."""
+    return joined(R.pattern_score(materialize(corpus_parts(spark, sf)), rules=user_rules(spark, sf), literal_max=0, lexicon=user_lexicon(spark, sf)), "reasons")
+
+
+@query("signature_score_user_tables")
+def _signature_tables(spark, sf):
+    """Signature score with a user's regexes and bad substrings."""
+    terms = user_lexicon(spark, sf).select(F.concat("term", F.lit("-")).alias("term"))
+    return R.signature_score(corpus_parts(spark, sf), rules=user_rules(spark, sf), substrings=terms)
+
+
+def user_flag_terms(spark, sf):
+    """Words by family: keywords, misspellings (second letter doubled), paths, extensions and ports."""
+    w = user_lexicon(spark, sf).select("term")
+    kinds = [("keyword", F.concat("term", F.lit("-l"))), ("typo", F.concat(F.left("term", F.lit(2)), F.substr("term", F.lit(2)))),
+             ("path", F.concat(F.lit("/"), "term")), ("extension", F.concat(F.right("term", F.lit(1)), F.lit("/q2"))), ("port", F.concat(F.lit("8"), F.length("term").cast("string")))]
+    return w.select(F.explode(F.array(*[F.struct(F.lit(f).alias("family"), c.alias("term")) for f, c in kinds])).alias("t")).select("t.*")
+
+
+@query("pattern_flags_user_tables")
+def _flags_user(spark, sf):
+    return B.pattern_flags(corpus_parts(spark, sf), user_flag_terms(spark, sf), user_rules(spark, sf))
+
+
+@query("pattern_flags_indexed_tables")
+def _flags_indexed(spark, sf):
+    """The same by the anchor index, as for tables beyond the literal bound."""
+    return B.pattern_flags(materialize(corpus_parts(spark, sf)), user_flag_terms(spark, sf), user_rules(spark, sf), literal_max=0)
+
+
+def user_tlds(spark, sf):
+    """A TLD table of the user over the listed TLDs: other categories and flags."""
+    t = refdata.tlds_table(spark).select("tld")
+    n = F.length("tld") + F.ascii("tld")
+    return t.select("tld", F.when(n % 3 == 0, "odd").otherwise("even").alias("category"), (n % 4 != 0).alias("is_valid"), (n % 5 < 2).alias("is_indicator"), (n % 2 == 0).alias("is_finding"))
+
+
+@query("garbage_score_user_tlds")
+def _garbage_user(spark, sf):
+    return joined(R.garbage_score(valid_parts(spark, sf), user_tlds(spark, sf)), "garbage_reasons").select(
+        "url_id", "domain_label", "tld_valid", "tld_category", "garbage_score", "is_garbage", "garbage_reasons")
+
+
+@query("threat_indicators_user_tlds")
+def _threat_user(spark, sf):
+    return joined(R.threat_indicators(corpus_parts(spark, sf), user_tlds(spark, sf)), "indicators")
+
+
 @query("top_reasons")
 def _reasons(spark, sf):
     """First three pattern reasons per suspicious URL."""

@@ -48,6 +48,19 @@ def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, probe: Da
     return F.broadcast(df) if n <= max_rows else df
 
 
+def spread_left_join(df: DataFrame, side: DataFrame, on: list[str], spread: str, max_rows: int = BROADCAST_MAX_ROWS, salts: int = 32) -> DataFrame:
+    """Left join of a wide frame to a side with one row per key, whatever share of the rows one key holds.
+
+    The side is written once and counted.  A small one is broadcast, so the wide rows stay where they are; a larger one is
+    repeated per salt and the wide rows are salted by a hash of their column ``spread``, so a hot key is dealt to ``salts`` tasks.
+    """
+    side = materialize(side)
+    if side.limit(max_rows + 1).count() <= max_rows:
+        return df.join(F.broadcast(side), on, "left")
+    side = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(side, [*on, "_salt"], "left").drop("_salt")
+
+
 def settle(df: DataFrame, columns: list[str]) -> DataFrame:
     """Evaluate derived columns exactly once per row.
 

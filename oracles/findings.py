@@ -6,7 +6,7 @@ from lurewatch import refdata as R
 from lurewatch.operators.findings import TYPOS
 from oracles.brands import BRANDS
 from oracles.common import KNOWN, arr, lit, parts_cte
-from oracles.rules import VALID_CTE
+from oracles.rules import USER_TLD_FINDING, VALID_CTE
 
 _T = R.confusables()
 SRC, DST = lit("".join(c for c, _, _ in _T)), lit("".join(x for _, x, _ in _T))
@@ -90,3 +90,11 @@ SELECT category, count(*) FILTER (detected = expected) AS passed, count(*) FILTE
  round(coalesce(count(*) FILTER (expected AND detected) / nullif(count(*) FILTER (expected), 0), 0.0), 6) AS detection_rate,
  round(coalesce(count(*) FILTER (NOT expected AND detected) / nullif(count(*) FILTER (NOT expected), 0), 0.0), 6) AS false_positive_rate FROM c GROUP BY category""",
 }
+
+# a user's keyboard, TLDs, shorteners and least brand lengths
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_USER_NEAR = arr([a + b for a, b in zip(_LETTERS, _LETTERS[1:])] + [b + a for a, b in zip(_LETTERS, _LETTERS[1:])])
+_USER = findings_cte().replace(NEAR, _USER_NEAR).replace(arr(R.FINDING_TLDS), USER_TLD_FINDING).replace(
+    f"list_contains({arr(R.FINDING_SHORTENERS)}, replace(clean, 'www.', ''))", f"replace(clean, 'www.', '') IN (SELECT brand || '.com' FROM ({BRANDS}) sb WHERE length(brand) % 4 = 0)").replace(
+    "length(brand) >= 4)", "length(brand) >= CASE WHEN ascii(brand) % 2 = 0 THEN 8 ELSE 5 END)")
+ORACLES["attack_findings_user_tables"] = f"WITH {_USER} SELECT * FROM f"

@@ -177,6 +177,45 @@ for _name in ("pattern_score_user_lexicon", "pattern_score_joined_lexicon"):
     ORACLES[_name] = f"WITH {USER_LEX}, {PATTERN_CTE.replace(_struct_list(KW), '(SELECT list({t: term, w: w}) FROM lex)')} SELECT * EXCLUDE (rs) FROM pat".replace("{t: term, w: w}", "{'t': term, 'w': w}")
 ORACLES["signature_score_user_lexicon"] = f"WITH {USER_LEX}, {SIGNATURE_CTE.replace(_struct_list(SKW), '(SELECT list({t: term, w: w * 10}) FROM lex)')} SELECT * FROM sig".replace(
     "{t: term, w: w * 10}", "{'t': term, 'w': w * 10}").replace(f"CASE WHEN {URLHASH} IN (SELECT h FROM bad) THEN 100 ELSE", "CASE WHEN false THEN 100 ELSE")
+# user tables: regexes, flag terms, TLDs
+RULES_CTE = """urules AS (SELECT 'r_' || w || '_' || CAST(s AS VARCHAR) AS rule_id, length(w) % 4 + s + 1 AS weight,
+ CASE s WHEN 0 THEN '^https?://[^/]*' || w WHEN 1 THEN w || '[a-z][a-z]+[.](com|tk)/' WHEN 2 THEN '(' || w || '|zz)[0-9]' WHEN 3 THEN w || '(-login)?[.]com/p' ELSE '[.-]' || w || '|' || w || '-' END AS regex
+ FROM (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS w FROM part) y, (VALUES (0), (1), (2), (3), (4)) AS t(s))"""
+RULE_HITS = """rh AS (SELECT url_id, count(*) AS rn, CAST(sum(weight) AS BIGINT) AS rw, list(rule_id ORDER BY rule_id) AS rids FROM {src}, urules WHERE regexp_matches(u, regex) GROUP BY url_id)"""
+_MARK = ", ".join(f"CASE WHEN r{i} THEN '{k}' END" for i, k in enumerate(("ip_like", "punycode", "hyphen_run", "digit_run", "letter_repeat"), 1))
+_POINTS = " + ".join(f"CASE WHEN r{i} THEN {w} ELSE 0 END" for i, w in enumerate((10, 4, 3, 3, 2), 1))
+assert _MARK in PATTERN_CTE and _POINTS in PATTERN_CTE
+_USER_PATTERN = (PATTERN_CTE.replace(_MARK, "'@'").replace(_POINTS, "coalesce(rw, 0)").replace("FROM s2),", "FROM s2 LEFT JOIN rh USING (url_id)),")
+                 .replace("s1 AS (", RULE_HITS.format(src="s0") + ",\ns1 AS (", 1)
+                 .replace("lambda x: x IS NOT NULL) AS rs FROM s3)", "lambda x: x IS NOT NULL) AS rs0 FROM s3)")
+                 .replace("pat AS (SELECT", "s5 AS (SELECT *, flatten(list_transform(rs0, lambda x: CASE WHEN x = '@' THEN coalesce(rids, []) ELSE [x] END)) AS rs FROM s4),\npat AS (SELECT").replace("AS verdict FROM s4)", "AS verdict FROM s5)"))
+ORACLES["pattern_score_user_rules"] = f"WITH {RULES_CTE}, {_USER_PATTERN} SELECT * EXCLUDE (rs) FROM pat"
+ORACLES["pattern_score_indexed_rules"] = f"WITH {RULES_CTE}, {USER_LEX}, {_USER_PATTERN.replace(_struct_list(KW), '(SELECT list({t: term, w: w}) FROM lex)')} SELECT * EXCLUDE (rs) FROM pat".replace("{t: term, w: w}", "{'t': term, 'w': w}")
+_SRULES = " + ".join(flag(f"regexp_matches(u, {lit(r)})") for _, r in R.SIGNATURE_REGEXES)
+assert _SRULES in SIGNATURE_CTE and hits("u", R.SIGNATURE_SUBSTRINGS) in SIGNATURE_CTE
+ORACLES["signature_score_user_tables"] = f"WITH {RULES_CTE}, {USER_LEX}, sl AS (SELECT list(term || '-') AS terms FROM lex), " + (
+    SIGNATURE_CTE.replace(_SRULES, "coalesce(rn, 0)").replace(hits("u", R.SIGNATURE_SUBSTRINGS), "len(list_filter((SELECT terms FROM sl), lambda t: contains(u, t)))")
+    .replace("g1 AS (", RULE_HITS.format(src="g0") + ",\ng1 AS (", 1).replace("AS kmax FROM g0),", "AS kmax FROM g0 LEFT JOIN rh USING (url_id)),")
+    .replace(f"CASE WHEN {URLHASH} IN (SELECT h FROM bad) THEN 100 ELSE n_rules * 30", "CASE WHEN false THEN 100 ELSE coalesce(rw, 0)")) + " SELECT * FROM sig"
+_FLAGS = f"""WITH {USER_LEX}, {RULES_CTE}, {parts_cte()}, q AS (SELECT url_id, lower(url) AS u, lower(netloc) AS d, lower(path) AS pt FROM p),
+rh AS (SELECT DISTINCT url_id FROM q, urules WHERE regexp_matches(u, regex)), w AS (SELECT list(DISTINCT term) AS ws FROM lex)
+SELECT url_id, CAST(len(list_filter(ws, lambda t: contains(u, t || '-l'))) > 0 AS BIGINT) AS phishing_keyword_match, CAST(url_id IN (SELECT url_id FROM rh) AS BIGINT) AS suspicious_pattern_match,
+ CAST(len(list_filter(ws, lambda t: contains(d, t[1:2] || t[2:]))) > 0 AS BIGINT) AS typosquatting_detected, CAST(len(list_filter(ws, lambda t: contains(u, ':8' || CAST(length(t) AS VARCHAR)))) > 0 AS BIGINT) AS suspicious_port,
+ CAST(len(list_filter(ws, lambda t: ends_with(u, t[-1] || '/q2'))) > 0 AS BIGINT) AS suspicious_extension, CAST(len(list_filter(ws, lambda t: contains(pt, '/' || t))) > 0 AS BIGINT) AS known_phishing_path FROM q, w"""
+ORACLES["pattern_flags_user_tables"] = ORACLES["pattern_flags_indexed_tables"] = _FLAGS
+_TLDS = sorted(set(R.VALID_TLDS) | set(TLDW) | set(R.SIGNATURE_TLDS) | set(R.FINDING_TLDS))
+
+
+def _tlds_where(cond) -> str:
+    return arr([t for t in _TLDS if cond(len(t) + ord(t[0]))])
+
+
+USER_TLD_VALID, USER_TLD_ODD = _tlds_where(lambda n: n % 4 != 0), _tlds_where(lambda n: n % 3 == 0)
+USER_TLD_INDICATOR, USER_TLD_FINDING = _tlds_where(lambda n: n % 5 < 2), _tlds_where(lambda n: n % 2 == 0)
+_USER_CATEGORY = f"CASE WHEN is_ip THEN 'ip' WHEN tld = '' THEN 'none' WHEN list_contains({USER_TLD_ODD}, tld) THEN 'odd' WHEN list_contains({arr(_TLDS)}, tld) THEN 'even' ELSE 'unknown' END"
+ORACLES["garbage_score_user_tlds"] = ORACLES["garbage_score"].replace(CATEGORY, _USER_CATEGORY).replace(f"list_contains({arr(R.VALID_TLDS)}, tld)", f"list_contains({USER_TLD_VALID}, tld)")
+_USER_IND = [(f"contains(netloc, '.') AND list_contains({USER_TLD_INDICATOR}, string_split(netloc, '.')[-1])" if k == "suspicious_tld" else c, w, k) for c, w, k in IND]
+ORACLES["threat_indicators_user_tlds"] = f"WITH {parts_cte()} SELECT url_id, CAST({points(*[(c, w) for c, w, _ in _USER_IND])} AS BIGINT) AS risk_score, {codes(*[(c, k) for c, _, k in _USER_IND])} AS indicators FROM p"
 ORACLES["risk_factors"] = f"""WITH im AS (SELECT url_id AS i1, likely_brand_impersonation AS imp, brand_in_subdomain AS imp_sub, brand_with_hyphens AS imp_hyp FROM ({IMP}) z1),
 ho AS (SELECT url_id AS i2, is_idn_homograph AS h_idn FROM ({HOM}) z2),
 pp AS (WITH {parts_cte()} SELECT p.*, imp, imp_sub, imp_hyp, h_idn FROM p JOIN im ON p.url_id = i1 JOIN ho ON p.url_id = i2),
