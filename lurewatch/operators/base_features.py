@@ -195,27 +195,29 @@ def family(parts: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return parts.select("url_id", *[c.alias(n) for n, c in columns.items()])
 
 
+def base_feature_columns(decoded: str = "netloc", diff: Column | None = None, similarity: Column | None = None) -> dict[str, Column]:
+    """All 69 base features as columns over URL parts."""
+    cols: dict[str, Column] = {}
+    for fam in (lexical_columns(), structural_columns(), advanced_columns(), statistical_columns(), pattern_columns(),
+                impersonation_columns()):
+        cols.update(fam)
+    homo = homograph_columns(decoded)
+    cols.update({"punycode_length_diff": F.lit(0) if diff is None else diff, "idn_homograph_score": homo["idn_homograph_score"],
+                 "is_idn_homograph": homo["is_idn_homograph"], "punycode_brand_similarity": F.lit(0.0) if similarity is None else similarity})
+    return cols
+
+
 def base_features(parts: DataFrame, punycode: DataFrame | None = None) -> DataFrame:
     """All 69 base features in one narrow pass (plus ``url``, ``url_id``).
 
     ``punycode`` is the (small) table of decoded international hosts from
     ``homograph.punycode_features``; without it undecodable hosts keep their ``xn--`` form.
     """
-    cols: dict[str, Column] = {}
-    for fam in (lexical_columns(), structural_columns(), advanced_columns(), statistical_columns(), pattern_columns(),
-                impersonation_columns()):
-        cols.update(fam)
+    cols = base_feature_columns()
     if punycode is not None:
         extra = punycode.select("netloc", "decoded", "punycode_length_diff", "punycode_brand_similarity")
         parts = parts.join(extra, "netloc", "left")
-        decoded = "coalesce(decoded, netloc)"
-        diff = F.coalesce("punycode_length_diff", F.lit(0))
-        sim = F.coalesce("punycode_brand_similarity", F.lit(0.0))
-    else:
-        decoded, diff, sim = "netloc", F.lit(0), F.lit(0.0)
-    homo = homograph_columns(decoded)
-    cols.update({"punycode_length_diff": diff, "idn_homograph_score": homo["idn_homograph_score"],
-                 "is_idn_homograph": homo["is_idn_homograph"], "punycode_brand_similarity": sim})
+        cols = base_feature_columns("coalesce(decoded, netloc)", F.coalesce("punycode_length_diff", F.lit(0)), F.coalesce("punycode_brand_similarity", F.lit(0.0)))
     return parts.select("url_id", "url", *[c.alias(n) for n, c in cols.items()])
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -32,3 +32,16 @@ def verdict_json(df: DataFrame, key: str = "url_id") -> DataFrame:
 
 def write_metrics(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
+
+
+def newest_version(spark: SparkSession, path: str, marker: str | None = "_SUCCESS", missing: int | None = None) -> int:
+    """The highest N of the folders ``version=N`` that hold the ``marker`` (None: any folder); ``missing`` where there is none."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    folders = [s.getPath() for s in fs.listStatus(root)] if fs.exists(root) else []
+    found = [int(p.getName().partition("=")[2]) for p in folders
+             if p.getName().startswith("version=") and (marker is None or fs.exists(hadoop.Path(p, marker)))]
+    if not found and missing is None:
+        raise ValueError(f"no complete version under {path}")
+    return max(found, default=missing)

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from lurewatch.operators.corpus import keep_first, normalized_url
+from lurewatch.sources.sinks import newest_version
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -171,26 +172,21 @@ def event_seconds(ts: Column) -> Column:
     return F.unix_seconds(ts.cast("timestamp"))
 
 
-def newest_version(spark: SparkSession, path: str) -> tuple[int, DataFrame]:
-    """The newest complete version of a snapshot table (folders ``version=N`` with a success marker), read now."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = [int(s.getPath().getName().partition("=")[2]) for s in fs.listStatus(fs_path)
-             if s.getPath().getName().startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    if not found:
-        raise ValueError(f"no complete version under {path}")
-    return max(found), spark.read.parquet(f"{path}/version={max(found)}")
+def newest_snapshot(spark: SparkSession, path: str) -> tuple[int, DataFrame]:
+    """The newest complete version of a snapshot table, read now."""
+    version = newest_version(spark, path)
+    return version, spark.read.parquet(f"{path}/version={version}")
 
 
 def score_with_snapshots(stream: DataFrame, score: Callable[..., DataFrame], snapshots: dict[str, str], out_path: str, checkpoint: str) -> None:
     """Continuous scoring against dimensions that change: known-bad hashes, cached findings, TLDs, DNS facts.
 
-    Each batch reads the newest complete version of every snapshot (``newest_version``) and runs ``score(batch,
+    Each batch reads the newest complete version of every snapshot (``newest_snapshot``) and runs ``score(batch,
     **snapshots)``, the same job as in batch; the versions used are written with its rows (``<name>_version``).  A batch
     has a folder of its own, which a re-run replaces, so a failed batch leaves nothing twice.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
-        tables = {name: newest_version(batch.sparkSession, path) for name, path in snapshots.items()}
+        tables = {name: newest_snapshot(batch.sparkSession, path) for name, path in snapshots.items()}
         out = score(batch, **{name: df for name, (_, df) in tables.items()})
         out = out.withColumns({f"{name}_version": F.lit(v) for name, (v, _) in tables.items()})
         out.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
