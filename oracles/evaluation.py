@@ -10,7 +10,12 @@ from oracles import enrichment as OE
 from oracles import ultra as UL
 from oracles import rules as OR
 from oracles.common import CORPUS, KNOWN, parts_cte
-from oracles.features import LEXICAL
+from oracles.features import ADVANCED, LEXICAL, PATTERNS, STATISTICAL, STRUCTURAL
+from oracles.features import ORACLES as FEATURE_TABLES
+
+BASE_TABLE = FEATURE_TABLES["base_feature_table"]
+BASE_FEATURES = [*LEXICAL, *STRUCTURAL, *ADVANCED, *STATISTICAL, *PATTERNS, "brand_impersonation_score", "likely_brand_impersonation", "brand_in_subdomain",
+                 "brand_with_hyphens", "punycode_length_diff", "idn_homograph_score", "is_idn_homograph", "punycode_brand_similarity"]
 
 T = {"labels": "labels", "documents": "documents", "events": "events"}
 S, V, LOG = fx.SCORED_SQL.format(**T), fx.VOTES_SQL.format(**T), fx.SCAN_LOG_SQL.format(**T)
@@ -75,8 +80,9 @@ a AS (SELECT sum(rk) FILTER (label = 1) AS sr, count(*) FILTER (label = 1) AS p,
     + " UNION ALL ".join(f"SELECT '{a}' AS f1, '{b}' AS f2, CASE WHEN isfinite(corr({a}, {b})) THEN round(corr({a}, {b}), 6) + 0.0 END AS r FROM ga" for a in FEATURES[:6] for b in FEATURES[:6]),
     "class_histograms": f"""WITH {FEAT}, l AS ({" UNION ALL ".join(f"SELECT '{f}' AS feature, label, {f} AS x FROM fe" for f in HIST)}), r AS (SELECT feature, min(x) AS lo, max(x) AS hi FROM l GROUP BY feature)
 SELECT feature, CAST(label AS BIGINT) AS label, CAST(CASE WHEN hi > lo THEN least(29, floor((x - lo) / (hi - lo) * 30)) ELSE 0 END AS BIGINT) AS bin, count(*) AS n FROM l JOIN r USING (feature) GROUP BY ALL""",
-    "standardised_features": f"WITH {FEAT} " + " UNION ALL ".join(
-        f"SELECT {i}::BIGINT AS i, round(avg(z), 6) + 0.0 AS mean, round(stddev_samp(z), 6) AS std FROM (SELECT ({f} - avg({f}) OVER ()) / stddev_samp({f}) OVER () AS z FROM fe) z{i}" for i, f in enumerate(FEATURES)),
+    "standardised_features": f"WITH fe AS (SELECT * FROM ({BASE_TABLE}) bt WHERE url_id BETWEEN 1000000000 AND 1999999999) " + " UNION ALL ".join(
+        f"""SELECT {i}::BIGINT AS i, round(avg(z), 6) + 0.0 AS mean, round(stddev_samp(z), 6) AS std FROM (
+          SELECT CASE WHEN min({f}) OVER () < max({f}) OVER () THEN ({f} - avg({f}) OVER ()) / stddev_samp({f}) OVER () ELSE 0.0::DOUBLE END AS z FROM fe) z{i}""" for i, f in enumerate(BASE_FEATURES)),
     "model_comparison": f"WITH {MODELS} SELECT model, accuracy, precision, recall, f1, training_time FROM mm",
     "best_model": f"WITH {MODELS} SELECT (SELECT model FROM mm ORDER BY acc DESC, model LIMIT 1) AS most_accurate, (SELECT model FROM mm ORDER BY tt, model LIMIT 1) AS fastest",
     "batch_summary": f"WITH l AS ({LOG}) SELECT count(*) AS total, count(*) FILTER (error IS NULL AND is_phishing) AS phishing, count(*) FILTER (error IS NULL AND NOT is_phishing) AS safe, count(*) FILTER (error IS NULL AND is_phishing IS NULL) AS unclear, count(*) FILTER (error IS NOT NULL) AS error FROM l",

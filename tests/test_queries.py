@@ -12,7 +12,7 @@ from oracles import all_oracles
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 ORACLES, QUERIES = all_oracles(), load_all()
-SLOW = {"models_fast", "models_full", "soft_vote_metrics", "scored_urls"}
+SLOW = {"models_fast", "models_full", "soft_vote_metrics", "scored_urls", "full_analysis_by_bundle"}  # their parts are in test_models.py
 
 
 @pytest.fixture(scope="module")
