@@ -11,7 +11,8 @@ from lurewatch import refdata
 def read_reference(spark: SparkSession, name: str, path: str | None = None, fmt: str = "parquet") -> DataFrame:
     """A reference table: the default, or a user table cast to the default's schema.
 
-    Text keys are trimmed and lower-cased (dotted or upper-case entries would never match otherwise).
+    Text keys are trimmed and lower-cased (dotted or upper-case entries would never match otherwise).  A TLD table without
+    ``is_indicator`` lists no TLD as an indicator.
     """
     if name not in refdata.TABLES:
         raise KeyError(f"unknown reference table {name!r}; known: {sorted(refdata.TABLES)}")
@@ -20,6 +21,8 @@ def read_reference(spark: SparkSession, name: str, path: str | None = None, fmt:
         return default
     reader = spark.read.option("header", True)
     given = reader.csv(path) if fmt == "csv" else reader.format(fmt).load(path)
+    if name == "tlds" and "is_indicator" not in given.columns:
+        given = given.withColumn("is_indicator", F.lit(False))
     missing = [c for c in default.columns if c not in given.columns]
     if missing:
         raise ValueError(f"reference table {name!r} lacks columns {missing}")
