@@ -118,63 +118,22 @@ def sorted_chars(s: Column) -> Column:
     return F.array_join(F.sort_array(chars(s)), "")
 
 
-def n_distinct(ordered: Column) -> Column:
-    """Distinct characters of a string given its ``sorted_chars``."""
-    return F.length(F.regexp_replace(ordered, r"(?s)(.)\1+", "$1"))
-
-
-def top_count(ordered: Column) -> Column:
-    """Occurrences of the most frequent character given ``sorted_chars``."""
-    return longest_same(ordered)
-
-
 def _entropy_of(n: Column, counts: Column) -> Column:
     """``log2 n - sum(c log2 c) / n``; only counts above 1 contribute to the sum."""
     acc = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * F.log2(c))
     return F.when(n > 0, F.log2(n.cast("double")) - acc / n).otherwise(F.lit(0.0))
 
 
-def entropy(s: Column, ordered: Column | None = None) -> Column:
+def entropy(s: Column) -> Column:
     """Shannon entropy (bits) of the characters."""
-    runs = _runs(sorted_chars(s) if ordered is None else ordered)
+    runs = _runs(sorted_chars(s))
     return _entropy_of(F.length(s), F.transform(runs, lambda r: F.length(r).cast("double")))
 
 
-def ngram_entropy(grams: Column, k: int) -> Column:
-    """Shannon entropy (bits) of an array of k-grams: repeats are runs of the sorted, joined array."""
-    joined = F.concat(F.array_join(F.sort_array(grams), "\x01"), F.lit("\x01"))
-    runs = F.regexp_extract_all(joined, F.lit("(?s)((.{%d}\x01)\\2+)" % k), F.lit(1))
-    return _entropy_of(F.size(grams), F.transform(runs, lambda r: F.length(r) / F.lit(float(k + 1))))
-
-
-def ngrams(s: Column, k: int) -> Column:
-    """All k-grams of a string, in order."""
-    n = F.length(s)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.substr(s, i, F.lit(k)))
-    return F.when(n >= k, grams).otherwise(F.array().cast("array<string>"))
-
-
 def length_band(n: Column) -> Column:
     return (F.when(n < 20, 0).when(n < 40, 1).when(n < 60, 2).when(n < 80, 3).otherwise(4)).cast("int")
 
 
-def repeats_prefix(s: Column) -> Column:
-    """True when some prefix of length 2 .. n/2-1, repeated, covers the string (up to the last partial copy)."""
-    half = F.floor(F.length(s) / 2).cast("int")
-    return F.when(
-        half > 2,
-        F.exists(F.sequence(F.lit(2), half - 1),
-                 lambda k: F.repeat(F.substr(s, F.lit(1), k), F.floor(F.length(s) / k).cast("int"))
-                 == F.substr(s, F.lit(1), (F.floor(F.length(s) / k) * k).cast("int")))).otherwise(F.lit(False))
-
-
-def transition_score(s: Column) -> Column:
-    """Share of neighbouring characters whose code points differ by more than 5."""
-    n = F.length(s)
-    jumps = F.size(F.filter(ngrams(s, 2), lambda g: F.abs(F.ascii(g) - F.ascii(F.substr(g, F.lit(2), F.lit(1)))) > 5))
-    return F.when(n >= 2, jumps.cast("double") / (n - 1)).otherwise(F.lit(0.0))
-
-
 def url_decode(s: Column) -> Column:
     """Percent-decode; ``+`` stays a plus, undecodable input is returned unchanged."""
     return F.coalesce(F.try_url_decode(F.replace(s, F.lit("+"), F.lit("%2B"))), s)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lurewatch import refdata
 from lurewatch.functions import text as X
+from lurewatch.functions.profile import PROFILE, string_profile
 from lurewatch.functions.similarity import best_jaro
 from lurewatch.session import settle
 
@@ -27,9 +28,8 @@ def lowered(parts: DataFrame) -> DataFrame:
     """Parts with lower-cased components (``u`` = lower-cased URL); the raw host stays in ``raw_netloc``."""
     low = {c: F.lower(c) for c in ("netloc", "path", "query", "fragment")}
     out = parts.withColumn("raw_netloc", F.col("netloc")).withColumns(low).withColumn("u", F.lower("url"))
-    # what several features fold over is evaluated once (unused columns are pruned)
-    return out.withColumns({"url_sorted": X.sorted_chars(F.col("url")), "host_sorted": X.sorted_chars(F.col("netloc")),
-                            "bigrams": X.ngrams(F.col("url"), 2), "trigrams": X.ngrams(F.col("url"), 3)})
+    # all character and n-gram numbers come from one pass (unused, it is pruned)
+    return out.withColumn("profile", string_profile(F.col("url"), F.col("netloc"), F.col("path")))
 
 
 def basic() -> dict[str, Column]:
@@ -58,7 +58,7 @@ def lexical() -> dict[str, Column]:
         "uppercase_ratio": X.ratio(X.count_re(url, r"\p{Lu}"), n), "special_ratio": X.ratio(X.count_re(url, OTHER), n),
         "domain_digit_ratio": X.ratio(X.count_re(d, DIGIT), nd), "domain_hyphen_ratio": X.ratio(X.count_of(d, "-"), nd),
         "domain_underscore_ratio": X.ratio(X.count_of(d, "_"), nd),
-        "max_char_repeat": X.longest_same(url), "domain_max_char_repeat": X.longest_same(d),
+        "max_char_repeat": F.col("profile.url_run"), "domain_max_char_repeat": F.col("profile.host_run"),
         "max_consecutive_digits": X.longest_run(url, r"\p{Nd}+"), "max_consecutive_letters": X.longest_run(url, r"\p{L}+"),
         "max_consecutive_consonants": X.longest_run(d, r"[\p{L}&&[^aeiou]]+"),
         "hex_percent_encoding_count": X.count_of(url, "%"), "has_excessive_encoding": X.flag(X.count_of(url, "%") > 3),
@@ -66,7 +66,7 @@ def lexical() -> dict[str, Column]:
         "equals_count": X.count_of(url, "="), "question_marks_count": X.count_of(url, "?"),
         "ampersands_count": X.count_of(url, "&"),
         "has_tilde": X.flag(F.contains(url, F.lit("~"))), "has_pipe": X.flag(F.contains(url, F.lit("|"))),
-        "url_entropy": X.entropy(url, F.col("url_sorted")), "domain_entropy": X.entropy(d, F.col("host_sorted")), "path_entropy": X.entropy(p),
+        "url_entropy": F.col("profile.url_entropy"), "domain_entropy": F.col("profile.host_entropy"), "path_entropy": F.col("profile.path_entropy"),
         "domain_to_url_ratio": X.ratio(nd, n), "path_to_url_ratio": X.ratio(F.length(p), n),
         "query_to_url_ratio": X.ratio(F.length("query"), n),
     }
@@ -182,38 +182,36 @@ def obfuscation() -> dict[str, Column]:
     }
 
 
-def _complexity(s: Column, ordered: Column) -> Column:
+def _complexity(s: Column, entropy: Column, distinct: Column) -> Column:
     n = F.length(s)
-    distinct = X.n_distinct(ordered)
-    score = X.entropy(s, ordered) * 10 + X.ratio(distinct, n) * 20 + X.ratio(X.count_re(s, OTHER), n) * 30
+    score = entropy * 10 + X.ratio(distinct, n) * 20 + X.ratio(X.count_re(s, OTHER), n) * 30
     return F.when(n > 0, F.least(F.lit(100.0), score)).otherwise(F.lit(0.0))
 
 
 def statistics() -> dict[str, Column]:
     url, d, u = F.col("url"), F.col("netloc"), F.col("u")
-    n, cs = F.length(url), F.col("url_sorted")
-    distinct, top = X.n_distinct(cs), X.top_count(cs)
+    n, nd, prof = F.length(url), F.length(d), {c.split()[0]: F.col(f"profile.{c.split()[0]}") for c in PROFILE.split(", ")}
+    distinct = prof["url_distinct"]
     lengths = [F.length(c) for c in ("scheme", "netloc", "path", "query", "fragment")]
     total = reduce(lambda a, b: a + b, lengths)
     structural = reduce(lambda a, b: a + b, [
         F.when(ln > 0, -(ln / total) * F.log2(ln / total)).otherwise(F.lit(0.0)) for ln in lengths])
     vowels = X.count_re(d, "[aeiou]")
     return {
-        "most_common_char_freq": X.ratio(top, n), "unique_chars_ratio": X.ratio(distinct, n),
-        "bigram_entropy": X.ngram_entropy(F.col("bigrams"), 2), "trigram_entropy": X.ngram_entropy(F.col("trigrams"), 3),
-        "url_length_category": X.length_band(n), "domain_length_category": X.length_band(F.length(d)),
+        "most_common_char_freq": X.ratio(prof["url_top"], n), "unique_chars_ratio": X.ratio(distinct, n),
+        "bigram_entropy": prof["bigram_entropy"], "trigram_entropy": prof["trigram_entropy"],
+        "url_length_category": X.length_band(n), "domain_length_category": X.length_band(nd),
         "vowel_to_consonant_ratio": vowels.cast("double") / F.greatest(X.count_re(d, LETTER) - vowels, F.lit(1)),
         "alpha_to_digit_ratio": X.count_re(url, LETTER).cast("double") / F.greatest(X.count_re(url, DIGIT), F.lit(1)),
-        "url_complexity_score": _complexity(url, cs), "domain_complexity_score": _complexity(d, F.col("host_sorted")),
-        "has_repeating_pattern": X.flag(X.repeats_prefix(d)), "character_diversity": distinct,
+        "url_complexity_score": _complexity(url, prof["url_entropy"], distinct), "domain_complexity_score": _complexity(d, prof["host_entropy"], prof["host_distinct"]),
+        "has_repeating_pattern": X.flag(prof["host_repeats"]), "character_diversity": distinct,
         "digit_distribution": F.size(F.array_distinct(X.tokens(url, DIGIT))) / 10.0,
         "special_char_diversity": F.size(F.array_distinct(X.tokens(url, OTHER))),
         "structural_entropy": F.when(total > 0, structural).otherwise(F.lit(0.0)),
         "lexical_density": X.count_re(u, "[a-z]{3,}").cast("double") / F.greatest(X.count_re(url, r"\S+"), F.lit(1)),
-        "unique_bigrams": F.size(F.array_distinct("bigrams")),
-        "unique_trigrams": F.size(F.array_distinct("trigrams")),
-        "char_transition_score": X.transition_score(d),
-        "looks_random": X.flag((X.entropy(d, F.col("host_sorted")) > 4.0) & (X.ratio(vowels, F.length(d)) < 0.2)),
+        "unique_bigrams": prof["bigrams"], "unique_trigrams": prof["trigrams"],
+        "char_transition_score": X.ratio(prof["host_jumps"], nd - 1),
+        "looks_random": X.flag((prof["host_entropy"] > 4.0) & (X.ratio(vowels, nd) < 0.2)),
     }
 
 
