@@ -2,11 +2,12 @@
 
 A vector is cut into ``SEGMENTS`` parts; a score is the sum of the parts' partial scores.
 
-1. Each task gathers, for each query and part, its rows with the highest partial scores and their whole scores.  The
+1. Each task gathers, for each query and part, its rows with the highest partial scores; only these get whole scores.  The
    k-th highest whole score of all gathered rows is a safe cutoff ``t`` of the query: at least k rows reach it.
 2. The cutoffs go to all tasks.  A row that reaches ``t`` has a partial score of at least ``t / SEGMENTS`` in some part;
-   each task collects those entries.
-3. The missing partial scores of the collected entries are added; rows that reach ``t`` are ranked.
+   each task collects those entries.  A part of a row whose length times that of the query's part is below
+   ``t / SEGMENTS`` cannot be such an entry and is not scored.
+3. The missing partial scores of the collected entries are computed and added; rows that reach ``t`` are ranked.
 
 Queries go in blocks against slices of all rows: a row of the join is one block and one slice, both of bounded size, and
 both are dealt by a hash of (block, slice), so neither a common vector nor many queries make a large task.  Vectors are
@@ -42,13 +43,38 @@ def integer_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     return rows.select("vec_id", F.size("x").alias("dim"), v.alias("v"))
 
 
-def _scores(q: np.ndarray, r: np.ndarray) -> np.ndarray:
-    if q.shape[1] * np.abs(q).max(initial=0) * np.abs(r).max(initial=0) < 2.0**50:
+def _fits(q: np.ndarray, r: np.ndarray) -> bool:
+    """Whether every sum of products is exact in doubles."""
+    return bool(q.shape[1] * np.abs(q).max(initial=0) * np.abs(r).max(initial=0) < 2.0**50)
+
+
+def _scores(q: np.ndarray, r: np.ndarray, small: bool | None = None) -> np.ndarray:
+    if _fits(q, r) if small is None else small:
         return q @ r.T
     whole = lambda a: np.array([[int(e) for e in row] for row in a], dtype=object).reshape(a.shape)
     return whole(q).dot(whole(r).T)
 
 
+def _pair_scores(q: np.ndarray, r: np.ndarray, i: np.ndarray, j: np.ndarray, small: bool) -> np.ndarray:
+    """Scores of the pairs (query i, row j) alone, in blocks, so memory stays bounded."""
+    if not small:
+        return np.array([sum(int(x) * int(y) for x, y in zip(q[a], r[b], strict=True)) for a, b in zip(i, j, strict=True)], dtype=object)
+    step = max(1, 1_000_000 // max(1, q.shape[1]))
+    return np.concatenate([np.zeros(0), *[np.einsum("ij,ij->i", q[i[a : a + step]], r[j[a : a + step]]) for a in range(0, len(i), step)]])
+
+
+def _rounded_down(reach: np.ndarray, every: np.ndarray) -> np.ndarray:
+    """A little below what a part must reach, so rounding loses no entry; without a cutoff, below everything."""
+    return np.where(every, -np.inf, reach - np.abs(reach) * 1e-9 - 1.0)
+
+
+def _within_reach(q: np.ndarray, r: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Queries and rows whose lengths allow an entry (a product is at most the product of both lengths)."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        ql, rl = np.linalg.norm(q, axis=1), np.linalg.norm(r, axis=1)
+        return ~(ql * rl.max(initial=0) * (1 + 1e-9) < reach), ~(rl * ql.max(initial=0) * (1 + 1e-9) < reach.min(initial=np.inf))
+
+
 def _as_double(scores: np.ndarray) -> np.ndarray:
     """Scores for choosing candidates: whole numbers beyond a double's range are cut to that of a long."""
     return scores if scores.dtype != object else np.array([_longs(row) for row in scores], np.float64).reshape(scores.shape)
@@ -85,12 +111,12 @@ def _gather(k: int, segments: int):
                 own = queries["vec_id"].to_numpy()[at : at + STEP // 4]
                 n = min(k + 1, len(ids))  # one more, as the query's own row may be among them
                 chosen = [np.argpartition(-_as_double(_scores(part[:, a:b], r[:, a:b])), n - 1, axis=1)[:, :n] for a, b in zip(cuts, cuts[1:], strict=False)]
-                total = _scores(part, r)
                 for i, qid in enumerate(own):
                     c = np.unique(np.concatenate([x[i] for x in chosen]))
                     c = c[ids[c] != qid]
-                    c = c[_best(total[i][c], ids[c], k)]
-                    out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[c], "score": _longs(total[i][c])}))
+                    total = _scores(part[i : i + 1], r[c])[0]  # whole scores of the chosen rows only
+                    best = _best(total, ids[c], k)
+                    out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[c[best]], "score": _longs(total[best])}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
 
     return run
@@ -102,18 +128,28 @@ def _collect(k: int, segments: int):
         if len(queries) and len(rows):
             dim = int(rows["dim"].iloc[0])
             q, r, ids, own = _matrix(queries["v"], dim), _matrix(rows["v"], dim), rows["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
-            cutoff = queries["cutoff"].to_numpy()
+            cutoff, every = queries["cutoff"].to_numpy(), queries["every"].to_numpy(bool)
+            small = _fits(q, r)
             cuts = np.linspace(0, dim, segments + 1).astype(int)
+            parts = list(zip(cuts, cuts[1:], strict=False))
+            reach = _rounded_down(cutoff / segments, every)
             for at in range(0, len(ids), STEP):
                 some = r[at : at + STEP]
-                sent = np.zeros((len(q), len(some)), bool)
-                partial = []
-                for a, b in zip(cuts, cuts[1:], strict=False):
-                    partial.append(_scores(q[:, a:b], some[:, a:b]))
-                    sent |= (partial[-1] * segments >= cutoff[:, None]).astype(bool)
+                sent = np.repeat(every[:, None], len(some), axis=1)
+                total = np.zeros(sent.shape, float if small else object)
+                scored = []
+                for a, b in parts:
+                    asks, near = _within_reach(q[:, a:b], some[:, a:b], reach)
+                    scored.append((asks, near))
+                    partial = _scores(q[asks, a:b], some[near, a:b], small)
+                    total[np.ix_(asks, near)] += partial
+                    sent[np.ix_(asks, near)] |= (partial * segments >= cutoff[asks][:, None]).astype(bool)
                 i, j = np.nonzero(sent)
-                total = sum(p[i, j] for p in partial)
-                ok = (total >= cutoff[i]) & (ids[at + j] != own[i])
+                total = total[i, j]
+                for (a, b), (asks, near) in zip(parts, scored, strict=True):
+                    missing = np.flatnonzero(~(asks[i] & near[j]))
+                    total[missing] += _pair_scores(q[:, a:b], some[:, a:b], i[missing], j[missing], small)
+                ok = (every[i] | (total >= cutoff[i]).astype(bool)) & (ids[at + j] != own[i])
                 out.append(pd.DataFrame({"query_id": own[i[ok]], "vec_id": ids[at + j[ok]], "score": _longs(total[ok])}))
         both = pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
         both = both.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
@@ -139,8 +175,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, segments: int = SE
     ranked = lambda df: df.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
     gathered = stored(ranked(run(left, _gather(k, segments))), "gathered")
     cutoff = gathered.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("cutoff"))
-    lowest = F.lit(-(2**62))  # fewer than k rows in all: everything counts
-    left = left.join(cutoff, left.vec_id == cutoff.query_id, "left").withColumn("cutoff", F.coalesce("cutoff", lowest)).drop("query_id")
+    # fewer than k rows in all, or scores beyond a long: no cutoff, everything counts
+    left = left.join(cutoff, left.vec_id == cutoff.query_id, "left").drop("query_id")
+    left = left.withColumn("every", F.coalesce(F.col("cutoff") <= -(2**62), F.lit(True))).withColumn("cutoff", F.coalesce("cutoff", F.lit(0)))
     return ranked(run(left, _collect(k, segments))).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
