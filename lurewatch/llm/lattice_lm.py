@@ -8,7 +8,8 @@ probability is the sum over its words and one end piece.
 
 Word counts of the training documents are gathered whole (counted per task before the shuffle).  Scoring needs a count
 for every word of every document: the ``HOT_WORDS`` most frequent words of at most ``HOT_BYTES`` bytes (so the table is
-bounded) go to all tasks, so frequent words are never shuffled; every other word of a document is one row that meets its count in a join on the word.
+bounded) go to all tasks, so frequent words are never shuffled; every other word of a document is one row that meets
+its count in a sort-merge join on the word, which can spill.
 
 Edge cases: a null text is empty and holds the end token only; a null doc_id trains; repeated rows count and are scored
 each; without training documents all counts are 0 and the piece scores are uniform; an empty table gives no rows.
@@ -187,7 +188,7 @@ def score_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", te
                 yield out(rows, words, times, totals)
 
     rows = docs.mapInArrow(run, "row long, word binary, n int, doc struct<doc_id:long,n_tokens:long,n_known:long,base:double,score:double>")
-    met = rows.join(counts.hint("shuffle_hash"), "word", "left").where("doc IS NOT NULL OR c IS NOT NULL")
+    met = rows.join(counts.hint("merge"), "word", "left").where("doc IS NOT NULL OR c IS NOT NULL")
     sums = met.groupBy("row").agg(
         F.max("doc").alias("doc"), F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("known"),
         F.sum(F.when(F.col("c").isNotNull(), F.col("n") * F.log10(F.col("c") + 1)).otherwise(0.0)).alias("more"))
