@@ -316,6 +316,26 @@ def test_topk(spark):
     assert top_k(vectors.limit(0), asked.limit(0)).count() == 0
 
 
+def test_topk_whole_scores_of_chosen_rows_only(spark):
+    """Lengths that vary by orders of magnitude, parts without weight, fewer rows than k, and scores near the ends of a long."""
+    from lurewatch.llm.topk import integer_vectors, top_k
+
+    rng = np.random.default_rng(7)
+    data = [(i, [float(x) for x in rng.normal(size=9) * 10.0 ** rng.integers(-3, 4) * (rng.random(9) < 0.5)]) for i in range(900)]
+    data += [(1000 + i, [s * 1e7] * 3) for i, s in enumerate([1, -1, 1, -1])] + [(2000, [2.0**28, -(2.0**28)]), (2001, [-(2.0**28), 2.0**28 + 1])]
+    table = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    exp = []
+    for q, v in data:
+        if q % 100 == 0:
+            dot = lambda w: max(-(2**63), min(2**63 - 1, sum(math.floor(1024 * a) * math.floor(1024 * b) for a, b in zip(v, w))))  # noqa: B023, E731
+            scored = sorted((-dot(w), i) for i, w in data if i != q and len(w) == len(v))
+            exp += [(q, r, i, -s) for r, (s, i) in enumerate(scored[:10], 1)]
+    vectors = integer_vectors(table)
+    for segments in (1, 4, 12):
+        got = top_k(vectors, vectors.where("vec_id % 100 = 0"), segments=segments, row_slice=100)
+        assert rows(got, "query_id", "rank", "vec_id", "score") == expect(exp)
+
+
 # 6 lattice -----------------------------------------------------------------------------------------------------------
 
 
@@ -350,6 +370,39 @@ def test_lattice_scores(docs, none, hot):
     assert score_documents(none, tokenizer_path("piece_bpe_32k.model")).count() == 0
 
 
+def test_lattice_document_scores_equal_enumeration(spark):
+    """Piece counts, piece scores and the documents' scores, from the vocabulary file and all segmentations of each word."""
+    import functools
+
+    import sentencepiece
+
+    from lurewatch.llm.lattice_lm import score_documents
+    from lurewatch.llm.queries import tokenizer_path
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    data = [(i, t) for i, t in enumerate(["The quick brown fox", "quick quick 东京 fox", None, "naïve \u2603 foxes", "", "brown\tBROWN ab"] * 3)]
+    tokens = {d: lower(t or "").split() for d, t in data}
+    training = [d for d, _ in data if zlib.crc32(str(d).encode()) % 7 != 2]
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    used = collections.Counter(i for d in training for w in tokens[d] for i in sp.encode(w))
+    live = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
+    total = sum(used[i] for i in live) + len(training) + len(live) + 1
+    prob = {sp.id_to_piece(i): (used[i] + 1) / total for i in live if not sp.is_byte(i)}
+    byte = {int(sp.id_to_piece(i)[3:5], 16): (used[i] + 1) / total for i in live if sp.is_byte(i)}
+
+    @functools.cache
+    def every_way(s: str) -> float:
+        if not s:
+            return 1.0
+        spelled = math.prod(byte[b] for b in s[0].encode()) * every_way(s[1:]) if s[0] not in prob else 0.0
+        return spelled + sum(prob[s[:k]] * every_way(s[k:]) for k in range(1, len(s) + 1) if s[:k] in prob)
+
+    end = math.log10((len(training) + 1) / total)
+    exp = {d: sum(math.log10(every_way("\u2581" + w)) for w in ws) + end for d, ws in tokens.items()}
+    got = score_documents(spark.createDataFrame(data, "doc_id long, text string"), path).collect()
+    assert {r.doc_id: r.score for r in got} == pytest.approx(exp)
+
+
 # 7 licences ----------------------------------------------------------------------------------------------------------
 
 
