@@ -105,15 +105,24 @@ def label_keys(labels: DataFrame, brands: DataFrame, similar: bool = True) -> Da
             .select("label", "k.*"))
 
 
-def _best_possible(a: Column, b: Column) -> Column:
-    """Jaro-Winkler similarity if all common characters matched in order: an upper bound of the real one."""
-    one = F.lit(1)
+def _shared(a: Column, b: Column) -> Column:
+    """At least as many as the characters that two names have in common: those that occur in the other name at all."""
+    inside = lambda x, y: F.length(x) - F.length(F.call_function("translate", x, y, F.lit("")))
+    return F.least(inside(a, b), inside(b, a))
+
 
+def _common(a: Column, b: Column) -> Column:
+    """Characters that two names have in common, counted with repetition."""
     def numbered(s: Column) -> Column:
-        nth = lambda i: i - F.length(F.replace(F.substr(s, one, i), F.substr(s, i, one), F.lit("")))
-        return F.transform(V.positions(s), lambda i: F.concat(F.substr(s, i, one), nth(i).cast("string")))
+        nth = lambda i: i - F.length(F.replace(F.substr(s, F.lit(1), i), F.substr(s, i, F.lit(1)), F.lit("")))
+        return F.transform(V.positions(s), lambda i: F.concat(F.substr(s, i, F.lit(1)), nth(i).cast("string")))
+
+    return F.size(F.array_intersect(numbered(a), numbered(b)))
 
-    common = F.size(F.array_intersect(numbered(a), numbered(b)))
+
+def _best_possible(a: Column, b: Column, common: Column) -> Column:
+    """Jaro-Winkler similarity if all common characters (or a bound of their number) matched in order: an upper bound of the real one."""
+    one = F.lit(1)
     n, m = F.length(a), F.length(b)
     prefix = sum((F.when((F.substr(a, one, F.lit(k)) == F.substr(b, one, F.lit(k))) & (F.least(n, m) >= k), 1).otherwise(0) for k in range(1, 5)), F.lit(0))
     jaro = (common / n + common / m + 1) / 3
@@ -123,9 +132,9 @@ def _best_possible(a: Column, b: Column) -> Column:
 def compare_labels(labels: DataFrame, brands: DataFrame, keywords: list[str] = refdata.COMBO_KEYWORDS, similar: bool = True) -> DataFrame:
     """All label/brand pairs worth a look: ``label, brand, technique, score``.
 
-    One scan of the labels, one key join, one aggregation.  Pairs without an
-    edit technique that share a pair of rare characters stay with a NULL technique:
-    they are the (exact, pruned) similarity candidates; without ``similar`` none are made.
+    One scan of the labels, one key join, one aggregation.  Pairs without an edit technique that share a pair of rare
+    characters are held, once each, against an upper bound of their similarity; those that pass stay with a NULL
+    technique as (exact, pruned) similarity candidates.  Without ``similar`` none are made.
     """
     hits = label_keys(labels, brands, similar).join(sized_broadcast(brand_keys(brands, similar)), ["kt", "key"])
     hits = hits.where(F.col("label") != F.col("brand"))
@@ -133,18 +142,20 @@ def compare_labels(labels: DataFrame, brands: DataFrame, keywords: list[str] = r
     mine, theirs = F.substr(F.col("label"), at, F.lit(1)), F.substr(F.col("brand"), at, F.lit(1))
     flips = ((F.bit_count(F.ascii(mine).bitwiseXOR(F.ascii(theirs))) == 1) & mine.rlike(r"^[\p{L}\p{N}-]$")
              & theirs.rlike("^[a-z0-9-]$"))
-    rest = F.replace(F.col("label"), F.col("brand"), F.lit(""))
     n, m = F.length("label"), F.length("brand")
     kt = F.col("kt")
     technique = (F.when((kt == "W") & flips, F.lit("bitsquatting"))
                  .when(kt == "G", F.when(X.any_of("replace(label, brand, '')", keywords), F.col("technique")))
                  .when(kt.isin("A", "B"), F.lit(None)).otherwise(F.col("technique")))
-    near = kt.isin("A", "B") & (F.least(n, m) * 3 >= F.greatest(n, m) * 2) & (F.levenshtein("label", "brand", 2) == -1)
-    near = near & (_best_possible(F.col("label"), F.col("brand")) * SIMILARITY_WEIGHT >= DETECTION - 1e-9)
-    hits = hits.select("label", "brand", technique.alias("technique"), near.alias("near")).where(
-        F.col("technique").isNotNull() | F.col("near"))
-    return hits.withColumn("score", _score(F.col("technique"))).groupBy("label", "brand").agg(
+    # a cheap bound ends most key hits where they arise; those of one pair become one row before the close one is computed
+    label, brand = F.col("label"), F.col("brand")
+    reaches = lambda common: _best_possible(label, brand, common) * SIMILARITY_WEIGHT >= DETECTION - 1e-9
+    alike = kt.isin("A", "B") & (F.least(n, m) * 3 >= F.greatest(n, m) * 2) & reaches(_shared(label, brand))
+    hits = hits.select("label", "brand", technique.alias("technique"), alike.alias("alike")).where(F.col("technique").isNotNull() | F.col("alike"))
+    pairs = hits.withColumn("score", _score(F.col("technique"))).groupBy("label", "brand").agg(
         F.max_by("technique", "score").alias("technique"), F.max("score").alias("score"))
+    near = (F.levenshtein("label", "brand", 2) == -1) & reaches(_common(label, brand))
+    return pairs.where(F.when(F.col("technique").isNotNull(), True).otherwise(near))
 
 
 def ratio_candidates(labels: DataFrame, brands: DataFrame) -> DataFrame:
