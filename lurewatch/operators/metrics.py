@@ -78,7 +78,7 @@ def cumulative_scores(df: DataFrame, score: str = "score", label: str = "label",
     w = Window.partitionBy("bucket").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = per.join(offsets, "bucket").select(
         "score", "pos", "neg", (F.col("p0") + F.sum("pos").over(w)).alias("tp"), (F.col("n0") + F.sum("neg").over(w)).alias("fp"))
-    return out.withColumn("n_pos", F.lit(p)).withColumn("n_neg", F.lit(n))
+    return out.withColumn("n_pos", F.lit(p).cast("long")).withColumn("n_neg", F.lit(n).cast("long"))  # a literal alone is an int
 
 
 def roc_auc(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
@@ -87,7 +87,7 @@ def roc_auc(df: DataFrame, score: str = "score", label: str = "label") -> DataFr
     # pairs won by each score: its positives against all lower negatives, half of the equal ones
     won = F.col("pos") * (F.col("n_neg") - F.col("fp")) + F.col("pos") * F.col("neg") / 2
     agg = c.agg(F.sum(won.cast("double")).alias("w"), F.max("n_pos").alias("p"), F.max("n_neg").alias("n"), F.count(F.lit(1)).alias("k"))
-    return agg.select(F.when(F.col("k") <= 1, F.lit(0.0)).otherwise(_ratio(F.col("w"), F.col("p") * F.col("n"))).alias("roc_auc"))
+    return agg.select(F.when(F.col("k") <= 1, F.lit(0.0)).otherwise(_ratio(F.col("w"), F.col("p").cast("double") * F.col("n"))).alias("roc_auc"))
 
 
 def roc_curve(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
