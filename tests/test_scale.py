@@ -4,9 +4,18 @@ import pytest
 from pyspark.sql import functions as F
 
 from lurewatch.operators import metrics as M
+from lurewatch.operators import ml as L
 
 
 def test_auc_of_classes_whose_pairs_exceed_an_int(spark):
     df = spark.range(100_000).select((F.col("id") % 2).cast("int").alias("label"), (F.col("id") % 4).cast("double").alias("score"))
     # scores 0, 2 are negative and 1, 3 positive: three of four pairs of scores are in order
     assert M.roc_auc(df).first()[0] == pytest.approx(0.75)
+
+
+def test_sampled_fitting_rows_lie_in_all_folds(spark):
+    df = spark.range(2_000).select(F.col("id").alias("url_id"), (F.col("id") % 2).cast("int").alias("label"), (F.col("id") % 7).cast("double").alias("x"))
+    per = {r["fold"]: r["count"] for r in L.fitting_rows(df, limit=200).groupBy("fold").count().collect()}
+    assert set(per) == set(range(5)) and sum(per.values()) == 200
+    out = L.cross_validate(("decision_tree",), df, ["x"], sizes={"tree_depth": 2}, limit=200).first()
+    assert out.folds == 5
