@@ -17,11 +17,16 @@ from lurewatch.streaming import jobs as J
 LATE = "400 days"
 
 
-def _landed(spark, df, name, rows=4000):
-    """The frame as files of at most ``rows`` rows in the shared folder, for a file stream."""
+def _landed(spark, df, name, of, rows=4000, files=512, batches=8):
+    """The frame written as files in the shared folder, as a stream of them: at most ``rows`` rows a file, two files a batch.
+
+    Every batch costs a start and a commit of all state, so a long table gets larger files and batches and not more of
+    them: some ``files`` files (by the rows of ``of``, the table that the frame is made from) and at most ``batches`` batches.
+    """
     path = scratch_path(spark, name)
-    df.write.option("maxRecordsPerFile", rows).parquet(path)
-    return path
+    df.write.option("maxRecordsPerFile", max(rows, -(-of.count() // files))).parquet(path)
+    landed = len(spark.read.schema(df.schema).parquet(path).inputFiles())
+    return J.file_stream(spark, path, df.schema, max(2, -(-landed // batches)))
 
 
 def _landed_by_arrival(spark, df, name, slices=4, late_days=2):
@@ -41,16 +46,16 @@ def _landed_by_arrival(spark, df, name, slices=4, late_days=2):
 @query("stream_ingest_new_urls")
 def _ingest(spark, sf):
     df = fx.feed_a(spark, sf)
-    src, held = _landed(spark, df, "incoming"), scratch_path(spark, "held")
-    J.ingest_new_urls(J.file_stream(spark, src, df.schema, 2), held, scratch_path(spark, "ck"), ["ord", "f1"], digits=1)
+    src, held = _landed(spark, df, "incoming", fx.table(spark, sf, "lineitem")), scratch_path(spark, "held")
+    J.ingest_new_urls(src, held, scratch_path(spark, "ck"), ["ord", "f1"], digits=1)
     return spark.read.parquet(held).groupBy("url_normalized").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("stream_scored_urls")
 def _score(spark, sf):
     df = fx.corpus(spark, sf).select("url_id", "url")
-    src, out = _landed(spark, df, "urls"), scratch_path(spark, "scores")
-    J.score_stream(J.file_stream(spark, src, df.schema, 2), lambda s: R.pattern_score(url_parts(s)).select("url_id", "risk_score", "verdict"),
+    src, out = _landed(spark, df, "urls", df), scratch_path(spark, "scores")
+    J.score_stream(src, lambda s: R.pattern_score(url_parts(s)).select("url_id", "risk_score", "verdict"),
                    out, scratch_path(spark, "ck"))
     return spark.read.parquet(out)
 
@@ -85,8 +90,8 @@ def _counters(spark, sf):
 @query("stream_scan_counters")
 def _stream_counters(spark, sf):
     df = fx.scan_log(spark, sf).select("ts", "is_phishing", "error")
-    src, out = _landed(spark, df, "log"), scratch_path(spark, "counters")
-    J.write_updates(J.scan_counters(J.file_stream(spark, src, df.schema, 2), "6 hours", LATE), out, scratch_path(spark, "ck"))
+    src, out = _landed(spark, df, "log", df), scratch_path(spark, "counters")
+    J.write_updates(J.scan_counters(src, "6 hours", LATE), out, scratch_path(spark, "ck"))
     return _show(J.read_updates(spark, out, ["start"]))
 
 
@@ -98,8 +103,8 @@ def _audit(spark, sf):
 @query("stream_rate_audit")
 def _stream_audit(spark, sf):
     df = fx.table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    src, out = _landed(spark, df, "requests"), scratch_path(spark, "audit")
-    J.write_updates(J.rate_audit(J.file_stream(spark, src, df.schema, 2), "event_type", 20, "6 hours", LATE), out, scratch_path(spark, "ck"))
+    src, out = _landed(spark, df, "requests", df), scratch_path(spark, "audit")
+    J.write_updates(J.rate_audit(src, "event_type", 20, "6 hours", LATE), out, scratch_path(spark, "ck"))
     return _show(J.read_updates(spark, out, ["start", "event_type"]))
 
 
@@ -117,8 +122,8 @@ def _audit_user(spark, sf):
 @query("stream_rate_audit_per_user")
 def _stream_audit_user(spark, sf):
     df = _requests(spark, sf)
-    src, out = _landed(spark, df, "requests"), scratch_path(spark, "audit")
-    J.write_updates(J.rate_audit(J.file_stream(spark, src, df.schema, 2), "user_id", 20, watermark="1 hour"), out, scratch_path(spark, "ck"))
+    src, out = _landed(spark, df, "requests", df), scratch_path(spark, "audit")
+    J.write_updates(J.rate_audit(src, "user_id", 20, watermark="1 hour"), out, scratch_path(spark, "ck"))
     return _show(J.read_updates(spark, out, ["start", "user_id"]))
 
 

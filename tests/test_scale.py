@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lurewatch.operators import metrics as M
 from lurewatch.operators import ml as L
+from lurewatch.plans import streams as PS
 
 
 def test_auc_of_classes_whose_pairs_exceed_an_int(spark):
@@ -19,3 +20,11 @@ def test_sampled_fitting_rows_lie_in_all_folds(spark):
     assert set(per) == set(range(5)) and sum(per.values()) == 200
     out = L.cross_validate(("decision_tree",), df, ["x"], sizes={"tree_depth": 2}, limit=200).first()
     assert out.folds == 5
+
+
+def test_a_long_table_makes_larger_batches_not_more(spark, tmp_path):
+    df = spark.range(12_000, numPartitions=2).select("id")
+    seen = []
+    stream = PS._landed(spark, df, "long", df, rows=100, files=16, batches=4)
+    stream.writeStream.foreachBatch(lambda b, i: seen.append(sorted(r.id for r in b.collect()))).option("checkpointLocation", str(tmp_path)).trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) == 4 and sorted(sum(seen, [])) == list(range(12_000))
