@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lurewatch.operators import metrics as M
 from lurewatch.operators import ml as L
+from lurewatch.plans import fixtures as fx
 from lurewatch.plans import streams as PS
 
 
@@ -28,3 +29,12 @@ def test_a_long_table_makes_larger_batches_not_more(spark, tmp_path):
     stream = PS._landed(spark, df, "long", df, rows=100, files=16, batches=4)
     stream.writeStream.foreachBatch(lambda b, i: seen.append(sorted(r.id for r in b.collect()))).option("checkpointLocation", str(tmp_path)).trigger(availableNow=True).start().awaitTermination()
     assert len(seen) == 4 and sorted(sum(seen, [])) == list(range(12_000))
+
+
+def test_urls_of_a_short_file_are_dealt_to_many_tasks(spark, tmp_path):
+    rows = spark.range(30_000, numPartitions=1).select(F.col("id").alias("p_partkey"), F.lit("blue pen").alias("p_name"))
+    rows.write.parquet(f"{tmp_path}/part.parquet")
+    assert fx.table(spark, str(tmp_path), "part").rdd.getNumPartitions() < 6
+    known = fx.known_urls(spark, str(tmp_path))
+    assert known.rdd.getNumPartitions() == 6
+    assert sorted(r.url_id for r in known.select("url_id").collect()) == list(range(30_000))
