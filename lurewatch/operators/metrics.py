@@ -129,6 +129,7 @@ def correlation_matrix(df: DataFrame, features: list[str]) -> DataFrame:
     that no aggregate row grows beyond that.  The matrix is features x features, whatever the rows.  A pair without two
     different values on both sides has no correlation (null).
     """
+    df = materialize(df.select(*dict.fromkeys(features)))  # read for the means and for every step
     means = df.agg(*[F.avg(F.col(f).cast("double")).alias(f) for f in features]).first()
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i:]]
     out = None
