@@ -59,16 +59,22 @@ def typo_labels(labels: DataFrame, brands: DataFrame, keyboard: DataFrame | None
     return best.select("label", F.col("b.brand").alias("typo_brand"), F.col("b.s").alias("typo_score"), F.col("b.k").alias("typo_type"))
 
 
-def attach_brand(df: DataFrame, out: str, brands: DataFrame, texts: list[str], condition: str, inside: str) -> DataFrame:
+def preferred(listed: list[str]) -> str:
+    """The brands as a literal array in SQL, the preferred ones first."""
+    return f"CAST(array({', '.join(X.sql_text(b) for b in sorted(listed, key=lambda b: (-len(b), b)))}) AS array<string>)"
+
+
+def attach_brand(df: DataFrame, out: str, brands: DataFrame, texts: list[str], condition: str, inside: str, among: str | None = None) -> DataFrame:
     """Add the preferred brand ``b`` with ``condition(b)`` (SQL over ``texts`` and ``b``) as column ``out``.
 
-    Short brand lists are filtered as a literal array; a long list goes through
-    the containment join on the distinct texts (``inside`` is the text that must contain the brand).
+    Short brand lists are filtered as a literal array, or as the array column ``among`` of the brands in question, in the same
+    order; a long list goes through the containment join on the distinct texts (``inside`` is the text that must contain the brand).
     """
+    if among is not None:
+        return df.withColumn(out, F.expr(f"get(filter({among}, b -> {condition}), 0)"))
     listed = bounded_values(brands, "brand")
     if listed is not None:
-        names = ", ".join(X.sql_text(b) for b in sorted(listed, key=lambda b: (-len(b), b)))
-        return df.withColumn(out, F.expr(f"get(filter(array({names}), b -> {condition}), 0)"))
+        return df.withColumn(out, F.expr(f"get(filter({preferred(listed)}, b -> {condition}), 0)"))
     hits = containment_hits(df.select(*texts).distinct(), inside, brands.select(F.col("brand").alias("b")), "b").where(condition)
     best = hits.groupBy(*texts).agg(F.min_by("b", F.struct(-F.length("b"), "b")).alias(out))
     return spread_left_join(df, best, texts, "url_id" if "url_id" in df.columns else texts[0])
@@ -84,21 +90,27 @@ def attack_columns(parts: DataFrame, brands: DataFrame, keyboard: DataFrame | No
         f"length(main) <> length(translate(main, {src}, '')) AS odd_label",
         "CASE WHEN length(dom) - length(replace(dom, '.', '')) >= 2 THEN slice(split(dom, '[.]'), 1, length(dom) - length(replace(dom, '.', '')) - 1) ELSE array() END AS subs",
         "CASE WHEN contains(clean, '.') THEN left(clean, length(clean) - length(substring_index(clean, '.', -1)) - 1) END AS stem",
-        "substring_index(clean, '.', -1) AS last")
-    base = settle(base, ["dom", "pa", "clean", "main", "folded", "odd_label", "subs", "stem", "last"])
+        "substring_index(clean, '.', -1) AS last", r"concat_ws('\n', folded, dom, pa) AS _whole")
+    base = settle(base, ["dom", "pa", "clean", "main", "folded", "odd_label", "subs", "stem", "last", "_whole"])
+    labels = base.select(F.col("main").alias("label")).where("label <> ''").distinct()
+    # every check asks for a brand within the folded host, the host or the path: the list is gone through once, not per check
+    listed, among = bounded_values(brands, "brand"), None
+    if listed is not None:
+        among = "_among"
+        base = settle(base.withColumn(among, F.expr(f"filter({preferred(listed)}, b -> contains(_whole, b))")), [among])
     lures = "|".join(refdata.FINDING_KEYWORDS)
     rest = "replace(main, b, '')"
-    base = attach_brand(base, "fold_brand", brands, ["folded"], "contains(folded, b)", "folded")
+    base = attach_brand(base, "fold_brand", brands, ["folded"], "contains(folded, b)", "folded", among)
     base = attach_brand(
         base, "combo_brand", brands, ["main", "pa", "registered_domain"],
         f"contains(main, b) AND main <> b AND registered_domain <> concat(b, '.com') AND "
-        f"({rest} RLIKE '{lures}' OR pa RLIKE '{lures}' OR contains(main, '-') OR length({rest}) > 2)", "main")
-    base = attach_brand(base, "level_brand", brands, ["dom", "subs"], "array_contains(subs, b)", "dom")
+        f"({rest} RLIKE '{lures}' OR pa RLIKE '{lures}' OR contains(main, '-') OR length({rest}) > 2)", "main", among)
+    base = attach_brand(base, "level_brand", brands, ["dom", "subs"], "array_contains(subs, b)", "dom", among)
     base = attach_brand(base, "joined_brand", brands, ["main"],
-                        "main IN (concat(b, 'com'), concat(b, 'net'), concat(b, 'org'), concat(b, 'co'))", "main")
-    base = attach_brand(base, "stem_brand", brands, ["stem"], "contains(stem, b)", "stem")
-    base = attach_brand(base, "path_brand", brands, ["pa", "clean"], "contains(pa, b) AND NOT contains(clean, b)", "pa")
-    typos = typo_labels(base.select(F.col("main").alias("label")).where("label <> ''").distinct(), brands, keyboard)
+                        "main IN (concat(b, 'com'), concat(b, 'net'), concat(b, 'org'), concat(b, 'co'))", "main", among)
+    base = attach_brand(base, "stem_brand", brands, ["stem"], "contains(stem, b)", "stem", among)
+    base = attach_brand(base, "path_brand", brands, ["pa", "clean"], "contains(pa, b) AND NOT contains(clean, b)", "pa", among)
+    typos = typo_labels(labels, brands, keyboard)
     return spread_left_join(base, typos.withColumnRenamed("label", "main"), ["main"], "url_id")
 
 

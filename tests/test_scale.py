@@ -3,10 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lurewatch.operators import findings as A
 from lurewatch.operators import metrics as M
 from lurewatch.operators import ml as L
 from lurewatch.plans import fixtures as fx
 from lurewatch.plans import streams as PS
+from lurewatch.operators.parts import url_parts
 
 
 def test_auc_of_classes_whose_pairs_exceed_an_int(spark):
@@ -38,3 +40,14 @@ def test_urls_of_a_short_file_are_dealt_to_many_tasks(spark, tmp_path):
     known = fx.known_urls(spark, str(tmp_path))
     assert known.rdd.getNumPartitions() == 6
     assert sorted(r.url_id for r in known.select("url_id").collect()) == list(range(30_000))
+
+
+def test_attack_checks_go_through_the_brand_list_once(spark):
+    urls = [(1, "http://applebank.com/x"), (2, "http://a.apple.bank.tk/login"), (3, "http://site.net/apple"), (4, "http://applecom.com/"), (5, None), (6, "")]
+    parts = url_parts(spark.createDataFrame(urls, "url_id long, url string"))
+    brands = spark.createDataFrame([("apple",), ("bank",), ("zzzz",)], "brand string")
+    out = A.findings_array(parts, brands)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("filter([apple,bank,zzzz]") == 1
+    got = sorted((r.url_id, f.check_no, f.brand) for r in out.collect() for f in r.findings if f.check_no in (5, 6, 7, 12, 13))
+    assert got == [(1, 5, "apple"), (2, 6, "apple"), (2, 12, "apple"), (3, 13, "apple"), (4, 5, "apple"), (4, 7, "apple")]
