@@ -135,13 +135,14 @@ def pattern_flags(parts: DataFrame, terms: DataFrame, rules: DataFrame, literal_
     path) and ``rules`` (``rule_id, regex, weight``).  Repeated and NULL entries change nothing, an empty family gives 0."""
     df = parts.select("url_id", F.lower("url").alias("u"), F.lower("netloc").alias("d"), F.lower("path").alias("p"))
     of = lambda family: terms.where(F.col("family") == family).select("term")
-    df = any_contained(df, "url_id", "u", of("keyword"), "phishing_keyword_match", literal_max=literal_max)
     found = rule_hits(df.select("u").distinct(), "u", "u", rules, literal_max).select("u").distinct().withColumn("suspicious_pattern_match", F.lit(1))
+    ports = of("port").select(F.concat(F.lit(":"), "term").alias("term"))
+    df = any_contained(df, "url_id", {
+        "phishing_keyword_match": ("u", of("keyword"), False), "typosquatting_detected": ("d", of("typo"), False), "suspicious_port": ("u", ports, False),
+        "suspicious_extension": ("u", of("extension"), True), "known_phishing_path": ("p", of("path"), False)}, literal_max)
     df = df.join(found, "u", "left").fillna(0, ["suspicious_pattern_match"])
-    df = any_contained(df, "url_id", "d", of("typo"), "typosquatting_detected", literal_max=literal_max)
-    df = any_contained(df, "url_id", "u", of("port").select(F.concat(F.lit(":"), "term").alias("term")), "suspicious_port", literal_max=literal_max)
-    df = any_contained(df, "url_id", "u", of("extension"), "suspicious_extension", at_end=True, literal_max=literal_max)
-    return any_contained(df, "url_id", "p", of("path"), "known_phishing_path", literal_max=literal_max).drop("u", "d", "p")
+    return df.select("url_id", "phishing_keyword_match", "suspicious_pattern_match", "typosquatting_detected", "suspicious_port", "suspicious_extension",
+                     "known_phishing_path")
 
 
 def _impersonation_parts(brand: Column, legit: Column) -> tuple[Column, Column, Column]:

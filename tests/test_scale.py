@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lurewatch.operators import base_features as B
+from lurewatch.operators import containment as C
 from lurewatch.operators import findings as A
 from lurewatch.operators import metrics as M
 from lurewatch.operators import ml as L
@@ -51,3 +53,26 @@ def test_attack_checks_go_through_the_brand_list_once(spark):
     assert plan.count("filter([apple,bank,zzzz]") == 1
     got = sorted((r.url_id, f.check_no, f.brand) for r in out.collect() for f in r.findings if f.check_no in (5, 6, 7, 12, 13))
     assert got == [(1, 5, "apple"), (2, 6, "apple"), (2, 12, "apple"), (3, 13, "apple"), (4, 5, "apple"), (4, 7, "apple")]
+
+
+def test_flag_terms_meet_each_text_once(spark, monkeypatch):
+    urls = [(1, "http://a-pay.com/b.exe"), (2, "http://x.com:8080/login"), (3, "http://payy.org/"), (4, "http://x.org/\U0001f600pay"), (None, "http://pay.com/"), (6, None)]
+    parts = url_parts(spark.createDataFrame(urls, "url_id long, url string"))
+    terms = spark.createDataFrame([("keyword", "pay"), ("keyword", "\U0001f600pa"), ("typo", "payy"), ("path", "/login"), ("extension", ".exe"), ("port", "8080"), ("port", None)], "family string, term string")
+    rules = spark.createDataFrame([("r1", "[.-]pay|zz", 1), ("r2", "(?:org|net)/$", 2)], "rule_id string, regex string, weight int")
+    calls = []
+    real = C.containment_hits
+    monkeypatch.setattr(C, "containment_hits", lambda *a, **k: calls.append(a[2].columns) or real(*a, **k))
+    got = B.pattern_flags(parts, terms, rules, literal_max=0)
+    assert len([c for c in calls if "_must" not in c]) == 3  # host, path and URL, whatever the families
+    want = B.pattern_flags(parts, terms, rules)
+    assert sorted(map(str, got.where("url_id IS NOT NULL").collect())) == sorted(map(str, want.where("url_id IS NOT NULL").collect()))
+
+
+def test_rules_without_text_take_texts_in_blocks(spark):
+    texts = spark.createDataFrame([(i % 7, "x" * (i % 5) + str(i % 3)) for i in range(200)] + [(None, "x1"), (1, None)], "id long, s string")
+    rules = spark.createDataFrame([("a", "[0-1]$", 1), ("b", "^(x|y)2", 2), ("c", "^xxx|^1", 3)], "rule_id string, regex string, weight int")
+    hits = C.rule_hits(texts, "id", "s", rules, 0, 2, 16)
+    assert "_texts" in hits._jdf.queryExecution().optimizedPlan().toString()  # a regex is compiled per block of texts, not per text
+    count = lambda df: sorted(map(str, df.groupBy("id", "rule_id", "weight").count().collect()))
+    assert count(hits) == count(C.rule_hits(texts, "id", "s", rules))
