@@ -76,3 +76,12 @@ def test_rules_without_text_take_texts_in_blocks(spark):
     assert "_texts" in hits._jdf.queryExecution().optimizedPlan().toString()  # a regex is compiled per block of texts, not per text
     count = lambda df: sorted(map(str, df.groupBy("id", "rule_id", "weight").count().collect()))
     assert count(hits) == count(C.rule_hits(texts, "id", "s", rules))
+
+
+def test_registered_queries_run_wide_projections_as_compiled_code(spark):
+    from lurewatch.plans import load_all
+
+    s = spark.newSession()
+    s.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")  # Spark's default: up to that size a method is run, though interpreted
+    load_all()["ultra_statistics"](s, "/root/testdata/sf0.001")
+    assert s.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
