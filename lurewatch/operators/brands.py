@@ -18,7 +18,7 @@ from lurewatch.functions import variants as V
 from lurewatch.functions.similarity import jaro_winkler
 from lurewatch.operators.containment import containment_hits, substrings, term_lengths
 from lurewatch.operators.parts import usable_label
-from lurewatch.session import bounded_values, materialize, settle, sized_broadcast
+from lurewatch.session import bounded_values, dealt, materialize, settle, sized_broadcast
 
 # Technique scores and the detection threshold
 SCORES = {"omission": 0.95, "insertion": 0.90, "substitution": 0.92, "transposition": 0.93, "homophone": 0.85,
@@ -235,7 +235,8 @@ def lookalike_hosts(parts: DataFrame, brands: DataFrame) -> DataFrame:
 
 def lookalikes_of(hosts: DataFrame, brands: DataFrame) -> DataFrame:
     """The same for a (materialised) table of distinct ``host, label``."""
-    by_label = best_brand_per_label(hosts.select("label").distinct(), brands)
+    labels = dealt(materialize(hosts.select("label").distinct()))  # short rows, much work on each
+    by_label = best_brand_per_label(labels, brands)
     by_host = homograph_matches(hosts, brands).groupBy("host").agg(F.min("brand").alias("h_brand"))
     out = hosts.join(by_label, "label", "left").join(by_host, "host", "left")
     folded = F.col("h_brand").isNotNull()

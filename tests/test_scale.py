@@ -85,3 +85,13 @@ def test_registered_queries_run_wide_projections_as_compiled_code(spark):
     s.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")  # Spark's default: up to that size a method is run, though interpreted
     load_all()["ultra_statistics"](s, "/root/testdata/sf0.001")
     assert s.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+
+
+def test_labels_are_dealt_before_their_keys_are_made(spark, monkeypatch):
+    from lurewatch.operators import brands as R
+
+    seen, real = [], R.best_brand_per_label
+    monkeypatch.setattr(R, "best_brand_per_label", lambda labels, brands: seen.append(labels.rdd.getNumPartitions()) or real(labels, brands))
+    hosts = spark.sql("SELECT 'name' || id || '.com' AS host, 'name' || id AS label FROM range(12000) UNION ALL SELECT 'goggle.com', 'goggle'")
+    rows = R.lookalikes_of(hosts, spark.createDataFrame([("google",)], "brand string")).collect()
+    assert seen == [3] and [(r.host, r.brand) for r in rows] == [("goggle.com", "google")]
