@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lurewatch.llm.common import BLANKS, LOWER, UPPER, stored
+from lurewatch.llm.common import BLANKS, LOWER, UPPER, small_batches, stored
 from lurewatch.session import sized_broadcast
 
 MIN_CHARS, MIN_DOCS, BROADCAST_BYTES = 20, 3, 32 << 20
@@ -35,6 +35,7 @@ def _hash(key: Column) -> Column:
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text",
                 broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``docs`` with its columns, the text without repeated lines, and ``__n_lines`` and ``__n_dropped``."""
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     ids, same = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)), F.xxhash64(text)
     lines = docs.select(ids.alias("d"), same.alias("t"), F.posexplode(F.transform(F.split(text, "\n"), line_key)).alias("pos", "key"))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lurewatch.llm.common import WORD, stored
+from lurewatch.llm.common import WORD, small_batches, stored
 from lurewatch.session import sized_broadcast
 
 WEIGHTS, MAX_EPOCHS, SEED, RANGE_ROWS = (5, 2, 1), 3, "mix-1", 2_000
@@ -67,6 +67,7 @@ def source_budgets(rows: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", range_rows: int = RANGE_ROWS) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` for every row (and ``source_name`` to join back)."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), word_count(F.col(f"`{text_col}`").cast("string")).alias("size"))
     rows = stored(rows.withColumns({"key": _key(F.col("doc_id"), F.col("size")), "name": _source_name(F.col("source"))}), "sizes")
     budgets = stored(source_budgets(rows, range_rows), "budgets")
@@ -125,6 +126,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Only the table of cuts (a row per source) meets the texts, which stay where they are.  Where equal rows stand at the
     cut, as many of them as the rest holds are taken whole and one is shortened.
     """
+    small_batches(docs.sparkSession)
     own = _sized(docs, id_col, text_col, source_col)
     rows = docs.select(own["__name"].alias("name"), F.col(f"`{source_col}`").cast("string").alias("source"), own["__size"].alias("size"), own["__key"].alias("key"))
     cuts = stored(source_cuts(stored(rows, "mix-keys"), range_rows), "cuts")

@@ -32,6 +32,7 @@ WEIGHTS = (1.0, 0.01, 0.01)
 ORDER_ROWS = 20_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+RUNS = ["run_length", "first", "number", "per", "seq", "at"]
 
 
 def cut_pieces(docs: DataFrame, tokenizer_file: str, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -99,7 +100,9 @@ def best_fit(docs: DataFrame, tokenizer_file: str, caps: tuple[int, int, int] =
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` for every piece of every row."""
     pieces = stored(cut_pieces(docs, tokenizer_file, caps[0], END_ID, id_col, text_col), "pieces")
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most caps[0] rows
-    runs = docs.sparkSession.createDataFrame(place_counts(counts, caps, rule), "run_length long, first long, number long, per long, seq long, at long")
+    # an Arrow table becomes a frame in the JVM; a list of tuples would start one more Python daemon with workers on every executor
+    columns = np.array(place_counts(counts, caps, rule), np.int64).reshape(-1, len(RUNS)).T
+    runs = docs.sparkSession.createDataFrame(pa.table([pa.array(c) for c in columns], names=RUNS))
     parts = max(1, -(-sum(counts.values()) // ORDER_ROWS))
     rows = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)))
     sums = rows.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("c"))

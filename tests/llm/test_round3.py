@@ -384,3 +384,28 @@ def test_pipeline_of_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_packing_starts_no_python_for_its_runs(spark):
+    """A list made into a frame is read by Python workers of a second daemon, beside those that make the token ids."""
+    from lurewatch.llm.packing import best_fit
+    from lurewatch.llm.queries import tokenizer_path
+
+    docs = spark.createDataFrame([(1, "one two three"), (2, None), (3, "one two three")], "doc_id long, text string")
+    got = best_fit(docs, tokenizer_path("word_bpe_49k.json"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan and "LocalTableScan" in plan
+    assert sorted((r.doc_id, r.sequence_id) for r in got.collect()) == [(1, 0), (2, 0), (3, 0)]
+
+
+@pytest.mark.parametrize("stage", ["quality_rules", "line_dedup", "near_duplicates", "source_mix", "packing"])
+def test_stages_read_few_texts_at_a_time(spark, tmp_path, stage):
+    """Spark's 4,096 rows a Parquet batch are one large array of whole texts, which the heap holds in one piece."""
+    import corpus_pipeline
+
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    spark.createDataFrame([(1, "one two three", "en", "a", 13)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.conf.set(key, "4096")
+    dict(corpus_pipeline.STAGES)[stage](spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert int(spark.conf.get(key)) <= 512
