@@ -95,3 +95,15 @@ def test_labels_are_dealt_before_their_keys_are_made(spark, monkeypatch):
     hosts = spark.sql("SELECT 'name' || id || '.com' AS host, 'name' || id AS label FROM range(12000) UNION ALL SELECT 'goggle.com', 'goggle'")
     rows = R.lookalikes_of(hosts, spark.createDataFrame([("google",)], "brand string")).collect()
     assert seen == [3] and [(r.host, r.brand) for r in rows] == [("goggle.com", "google")]
+
+
+def test_all_labelled_rows_are_fitted_whatever_their_number(spark, monkeypatch):
+    df = spark.range(50_100).select(F.col("id").alias("url_id"), F.when(F.col("id") >= 20, F.col("id") % 2).cast("int").alias("label"), (F.col("id") % 7).cast("double").alias("x"))
+    assert L.fitting_rows(df).count() == 50_080
+    seen, real = [], L.fit
+    monkeypatch.setattr(L, "fit", lambda name, train, *a, **k: seen.append(train.count()) or real(name, train, *a, **k))
+    _, metrics = L.train_all(df, df.where("url_id BETWEEN 100 AND 200"), ["x"], names=("decision_tree",), sizes={"tree_depth": 2})
+    assert seen == [50_080] and metrics.first()["error"] is None
+    seen.clear()
+    assert L.cross_validate(("decision_tree",), df, ["x"], 2, sizes={"tree_depth": 2}).first()["folds"] == 2
+    assert sum(seen) == 50_080
