@@ -1,6 +1,9 @@
 """What only larger tables show: products of counts, samples and folds, tasks and batches."""
 
+import threading
+
 import pytest
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import functions as F
 
 from lurewatch.operators import base_features as B
@@ -107,3 +110,27 @@ def test_all_labelled_rows_are_fitted_whatever_their_number(spark, monkeypatch):
     seen.clear()
     assert L.cross_validate(("decision_tree",), df, ["x"], 2, sizes={"tree_depth": 2}).first()["folds"] == 2
     assert sum(seen) == 50_080
+
+
+def test_short_fits_share_the_cores(spark, monkeypatch):
+    df = spark.range(60).select(F.col("id").alias("url_id"), (F.col("id") % 2).cast("int").alias("label"), (F.col("id") % 7).cast("double").alias("x"))
+    both, real = threading.Barrier(2, timeout=60), L.fit
+    monkeypatch.setattr(L, "fit", lambda *a, **k: both.wait() is not None and real(*a, **k))
+    models, metrics = L.train_all(df, df, ["x"], names=("decision_tree", "random_forest"), sizes={"tree_depth": 2, "forest_trees": 2, "forest_depth": 2})
+    assert [(r.model, r.error) for r in metrics.collect()] == [("decision_tree", None), ("random_forest", None)] and list(models) == ["decision_tree", "random_forest"]
+    assert L.at_once(60) > 1 == L.at_once(10**9)
+
+
+def test_grid_search_equals_the_cross_validator(spark):
+    rows = spark.range(300).select(F.col("id").alias("url_id"), ((F.col("id") * 7 % 11 + F.col("id") % 3) > 5).cast("int").alias("label"),
+                                   (F.col("id") % 11).cast("double").alias("x"), (F.col("id") % 3).cast("double").alias("y"))
+    df = L.fitting_rows(rows, folds=3)
+    for stage in L.scaling_stages(["x", "y"]):
+        df = (stage.fit(df) if hasattr(stage, "fit") else stage).transform(df)
+    search = L.learner("logistic_regression", 2, {"folds": 3, "max_iter": 5})
+    plain = CrossValidator(estimator=search.getEstimator(), estimatorParamMaps=search.getEstimatorParamMaps(), evaluator=search.getEvaluator(), numFolds=3, foldCol="fold")
+    got, want = search.fit(df), plain.fit(df)
+    assert got.avgMetrics == pytest.approx(want.avgMetrics) and got.stdMetrics == pytest.approx(want.stdMetrics)
+    assert got.bestModel.coefficients.toArray() == pytest.approx(want.bestModel.coefficients.toArray()) and got.getFoldCol() == "fold"
+    with pytest.raises(ValueError, match="fold 1 is empty"):
+        search.fit(df.where("fold <> 1"))
