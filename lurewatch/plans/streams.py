@@ -30,17 +30,26 @@ def _landed(spark, df, name, of, rows=4000, files=512, batches=8):
 
 
 def _landed_by_arrival(spark, df, name, slices=4, late_days=2):
-    """Checks ``key, ts`` as files in order of arrival, up to ``late_days`` after their time; then a heartbeat."""
+    """Checks ``key, ts`` as files in order of arrival, up to ``late_days`` after their time, then a heartbeat; as a stream of them.
+
+    A slice is a batch, whatever its length: it has as many files as any other (empty ones where its rows take fewer), and
+    that many make a batch.  Its files in batches of their own would cost a pass over all state each, and move the time on
+    before the rest of the slice is read.
+    """
     path = scratch_path(spark, name)
     sec = F.unix_seconds("ts")
     arrived = df.withColumn("arrival", sec + F.pmod(F.xxhash64("key", "ts"), F.lit(late_days * 86_400)))
     lo, hi = arrived.agg(F.min("arrival"), F.max("arrival")).first()
+    files = df.rdd.getNumPartitions()
     for i in range(slices):
         a, b = (lo + (hi + 1 - lo) * k // slices for k in (i, i + 1))
         arrived.where((F.col("arrival") >= a) & (F.col("arrival") < b)).drop("arrival").write.mode("append").parquet(path)
+        missing = (i + 1) * files - len(spark.read.schema(df.schema).parquet(path).inputFiles())
+        for _ in range(missing):
+            spark.createDataFrame([], df.schema).coalesce(1).write.mode("append").parquet(path)
     beat = df.agg((F.max("ts") + F.expr(f"INTERVAL {late_days + 1} DAYS")).alias("ts")).select(F.lit(None).cast(df.schema["key"].dataType).alias("key"), "ts")
     beat.write.mode("append").parquet(path)
-    return path
+    return J.file_stream(spark, path, df.schema, files)
 
 
 @query("stream_ingest_new_urls")
@@ -141,5 +150,5 @@ def _stream_suppress(spark, sf):
     """Checks that arrive out of order by up to two days; the watermark waits for them."""
     df = fx.table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
     src, out = _landed_by_arrival(spark, df, "checks"), scratch_path(spark, "kept")
-    J.suppress_stream(J.file_stream(spark, src, df.schema, 1), 24 * 3600, out, scratch_path(spark, "ck"), "2 days")
+    J.suppress_stream(src, 24 * 3600, out, scratch_path(spark, "ck"), "2 days")
     return spark.read.schema("key long, sec long, kind string").parquet(out).where("kind = 'kept'").drop("kind")

@@ -5,11 +5,14 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from lurewatch.operators.corpus import keep_first, normalized_url
@@ -18,6 +21,7 @@ from lurewatch.sources.sinks import newest_version
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+BUCKETS = 1024  # of keys, whose state is read and written together
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1000, fmt: str = "parquet") -> DataFrame:
@@ -91,64 +95,80 @@ def read_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
 class Suppressor(StatefulProcessor):
     """Per key: pass a check when its event time is at least ``ttl`` after the last one passed, in order of event time.
 
-    Checks wait (list state) until a timer says that the watermark has passed them; then they are decided in order.  A check
-    older than one already passed comes too late to be decided and goes out as such.
+    State is kept per bucket of keys, one Arrow table each of the checks that wait and of the last ones passed, so that a call
+    decides many keys.  Checks wait until a timer says that the watermark has passed them; then they are decided in order.  A
+    check older than one already passed comes too late to be decided and goes out as such.
     """
 
-    def __init__(self, ttl: int):
-        self.ttl = ttl
+    def __init__(self, ttl: int, key_type: pa.DataType):
+        self.ttl, self.schema = ttl, pa.schema([("key", key_type), ("sec", pa.int64())])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        second = T.StructType([T.StructField("sec", T.LongType())])
-        self.handle, self.last, self.waiting = handle, handle.getValueState("last", second), handle.getListState("waiting", second)
-
-    def _passed(self) -> int | None:
-        state = self.last.get()
-        return None if state is None else state[0]
-
-    def _wait(self, seconds: list[int]) -> None:
-        if seconds:
-            self.waiting.put([(s,) for s in seconds])
-            self.handle.registerTimer(seconds[0] * 1000)
+        table = T.StructType([T.StructField("rows", T.BinaryType())])
+        self.handle, self.last, self.waiting = handle, handle.getValueState("last", table), handle.getValueState("waiting", table)
+
+    def _read(self, state) -> pd.DataFrame:
+        found = state.get()
+        return (self.schema.empty_table() if found is None else pa.ipc.open_stream(bytes(found[0])).read_all()).to_pandas()
+
+    def _write(self, state, rows: pd.DataFrame) -> None:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, self.schema) as out:
+            out.write_table(pa.Table.from_pandas(rows, self.schema, preserve_index=False))
+        state.update((sink.getvalue().to_pybytes(),))
+
+    def _wait(self, rows: pd.DataFrame) -> None:
+        if len(rows):
+            self._write(self.waiting, rows)
+            self.handle.registerTimer(int(rows["sec"].min()) * 1000)
         else:
             self.waiting.clear()
 
-    def _out(self, key, found: dict[str, list[int]]) -> Iterator[pd.DataFrame]:
-        rows = [(key[0], s, kind) for kind, secs in found.items() for s in secs]
-        if rows:
-            yield pd.DataFrame(rows, columns=["key", "sec", "kind"])
+    def _with_last(self, rows: pd.DataFrame, last: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, list]:
+        """The rows, the number of each one's key, and by number the second last passed (None: none)."""
+        codes, keys = pd.factorize(pd.concat([last["key"], rows["key"]], ignore_index=True), use_na_sentinel=False)
+        return rows, codes[len(last):], [*last["sec"].tolist(), *[None] * (len(keys) - len(last))]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new, passed = set().union(*[set(p["sec"].tolist()) for p in rows]), self._passed()
-        late = [] if passed is None else sorted(s for s in new if s < passed)
-        waiting = {s for (s,) in self.waiting.get()} if self.waiting.exists() else set()
-        self._wait(sorted(int(s) for s in (waiting | new).difference(late) if s != passed))
-        yield from self._out(key, {"late": late})
+        new = pd.concat([p[["key", "sec"]] for p in rows], ignore_index=True).drop_duplicates()
+        new, codes, passed = self._with_last(new, self._read(self.last))
+        at = np.array([-(2**63) if p is None else p for p in passed], dtype=np.int64)[codes]
+        late, fresh = new[new["sec"] < at], new[new["sec"] > at]
+        if len(fresh):
+            waiting = self._read(self.waiting)
+            self._wait(pd.concat([waiting, fresh], ignore_index=True).drop_duplicates() if len(waiting) else fresh)
+        if len(late):
+            yield late.assign(kind="late")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        upto, passed = timerValues.getCurrentWatermarkInMs(), self._passed()
-        waiting, kept = sorted(s for (s,) in self.waiting.get()) if self.waiting.exists() else [], []
-        ready = [s for s in waiting if s * 1000 <= upto]
-        for s in ready:
-            if passed is None or s >= passed + self.ttl:
-                kept.append(s)
-                passed = s
-        if kept:
-            self.last.update((passed,))
-        if ready:
-            self._wait(waiting[len(ready):])
-        yield from self._out(key, {"kept": kept})
+        waiting = self._read(self.waiting)
+        is_ready = waiting["sec"] * 1000 <= timerValues.getCurrentWatermarkInMs()
+        if not is_ready.any():
+            return
+        last = self._read(self.last)
+        ready, codes, passed = self._with_last(waiting[is_ready].sort_values("sec", kind="stable"), last)
+        kept = []
+        for i, (k, s) in enumerate(zip(codes.tolist(), ready["sec"].tolist())):
+            if passed[k] is None or s >= passed[k] + self.ttl:
+                kept.append(i)
+                passed[k] = s
+        kept = ready.iloc[kept]
+        self._write(self.last, pd.concat([last, kept], ignore_index=True).drop_duplicates("key", keep="last") if len(last) else kept.drop_duplicates("key", keep="last"))
+        self._wait(waiting[~is_ready])
+        if len(kept):
+            yield kept.assign(kind="kept")
 
     def close(self) -> None:
         pass
 
 
-def suppress_stream(stream: DataFrame, ttl: int, out_path: str, checkpoint: str, delay: str = "1 hour") -> None:
+def suppress_stream(stream: DataFrame, ttl: int, out_path: str, checkpoint: str, delay: str = "1 hour", buckets: int = BUCKETS) -> None:
     """Streaming look-up suppression over ``key, ts``, by event time: rows may come out of order by up to ``delay``.
 
     Writes ``key, sec`` under ``kind=kept``, and under ``kind=late`` the checks that came after a later one of their key had
     been passed.  A row without a key only moves the time on (a heartbeat, so that idle streams decide what waits).  State
-    is a number per key and the distinct seconds that wait for the watermark.
+    is a number per key and the distinct seconds that wait for the watermark, in ``buckets`` of keys (for the life of a checkpoint);
+    keys are of a type that is no array, map or struct.
     """
     spark = stream.sparkSession
     name = "spark.sql.streaming.stateStore.providerClass"
@@ -159,9 +179,9 @@ def suppress_stream(stream: DataFrame, ttl: int, out_path: str, checkpoint: str,
         # the event time itself is left out below the state, so that late rows reach it and are told apart there
         # a condition that reads the event time stays above the watermark, which so sees the heartbeats
         timed = stream.withWatermark("ts", delay).where("CASE WHEN ts IS NOT NULL THEN key IS NOT NULL ELSE false END")
-        timed = timed.select("key", event_seconds(F.col("ts")).alias("sec"))
-        out = timed.groupBy("key").transformWithStateInPandas(
-            statefulProcessor=Suppressor(ttl), outputStructType=T.StructType([
+        timed = timed.select(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"), "key", event_seconds(F.col("ts")).alias("sec"))
+        out = timed.groupBy("bucket").transformWithStateInPandas(
+            statefulProcessor=Suppressor(ttl, to_arrow_type(key_type)), outputStructType=T.StructType([
                 T.StructField("key", key_type), T.StructField("sec", T.LongType()), T.StructField("kind", T.StringType())]), outputMode="Append", timeMode="EventTime")
         run_available(out.writeStream.format("parquet").outputMode("append").partitionBy("kind").option("path", out_path), checkpoint)
     finally:

@@ -82,3 +82,28 @@ def test_scoring_follows_a_snapshot(spark, tmp_path):
         J.score_with_snapshots(J.file_stream(spark, src, spark.read.parquet(src).schema, 1), score, {"bad": f"{tmp_path}/bad"}, out, ck)
     rows = {r.url_id: (r.known, r.bad_version) for r in spark.read.parquet(out).collect()}
     assert rows == {0: (True, 1), 1: (False, 1), 10: (False, 2), 11: (True, 2), 20: (False, 2), 21: (True, 2)}
+
+
+def test_a_slice_of_many_files_is_one_batch(spark, tmp_path, monkeypatch):
+    from lurewatch.plans import streams as PS
+
+    rng = random.Random(5)
+    for i in range(3):  # each file has checks of all times
+        rows = [(j, START + dt.timedelta(seconds=rng.randrange(30 * 86_400)), rng.randrange(4)) for j in range(150)]
+        spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(PS, "scratch_path", lambda _spark, name: f"{tmp_path}/{name}")
+    got = sorted(map(tuple, PS._stream_suppress(spark, str(tmp_path)).collect()))
+    assert got == sorted(map(tuple, PS._suppress(spark, str(tmp_path)).collect()))
+    assert len([p for p in (tmp_path / "ck" / "commits").iterdir() if p.name.isdigit()]) <= 6  # four slices, the heartbeat, what then waits
+
+
+def test_buckets_of_keys_decide_as_keys_do(spark, tmp_path):
+    from lurewatch.streaming import jobs as J
+
+    rng = random.Random(6)
+    rows = [(f"k{rng.randrange(20)}", rng.randrange(1500)) for _ in range(400)]
+    land(spark, f"{tmp_path}/src", [rows[:200], rows[200:], [(None, 9000)]])
+    stream = J.file_stream(spark, f"{tmp_path}/src", spark.read.parquet(f"{tmp_path}/src").schema, 1)
+    J.suppress_stream(stream, TTL, f"{tmp_path}/out", f"{tmp_path}/ck", "2000 seconds", buckets=2)
+    base = int(START.timestamp())
+    assert sorted((r.key, r.sec - base) for r in spark.read.parquet(f"{tmp_path}/out").where("kind = 'kept'").collect()) == scan(rows)
